@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import TEMPLATE, digest, format_conversations
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -33,11 +34,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(narrow, shards=24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return digest(format_conversations(turns.unionByName(probe), TEMPLATE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op7_sharding": op7_sharding,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -50,4 +59,23 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ),
+        joined AS (
+            SELECT conv_id,
+                   count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+                   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+                   sum(12 + length(role) + length(regexp_replace(role, '[^\\<|]', '', 'g'))
+                          + length(text) + length(regexp_replace(text, '[^\\<]', '', 'g'))) AS formatted_chars
+            FROM turns GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars,
+               sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+        FROM joined
+    """,
 }
