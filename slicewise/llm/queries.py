@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import TEMPLATE, digest, format_conversations
+from . import licenses
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -34,6 +35,24 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(narrow, shards=24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents"), threshold=0.8)
+    starts = F.transform("places", lambda x: x["start"])
+    base, blocks = (F.array_distinct(F.transform(c, lambda x: x["label"])) for c in ("places", "blocks"))
+    joined = lambda labels: F.array_join(F.sort_array(labels), ",")
+    best = F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.array_union(base, blocks)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -46,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op7_sharding": op7_sharding,
+    "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -59,6 +79,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_license_scan": licenses.oracle_sql(threshold=0.8),
     "op10_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
