@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .chat import TEMPLATE, digest, format_conversations
 from . import licenses
 from .exact_dedup import exact_dedup
+from .factorisation import fit_quality, score_quality
 from .mixing import mix
 from .near_dedup import near_dedup
 from .sharding import shard
 from .tables import read
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,16 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"), threshold=75)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")), threshold=0.5)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -64,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
+    "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
