@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import TEMPLATE, digest, format_conversations
 from . import licenses
+from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .factorisation import fit_quality, score_quality
 from .mixing import mix
@@ -36,6 +37,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), threshold=0.6, least=0.75)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")), threshold=0.5)
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
+    "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op9_license_scan": op9_license_scan,
