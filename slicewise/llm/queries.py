@@ -15,6 +15,7 @@ from .factorisation import fit_quality, score_quality
 from .mixing import mix
 from .near_dedup import near_dedup
 from .sharding import shard
+from .suffix_dedup import remove_repeats
 from .tables import read
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -52,6 +53,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(narrow, shards=24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(read(spark, sf_dir, "documents"), threshold=0.8)
     starts = F.transform("places", lambda x: x["start"])
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
 }
