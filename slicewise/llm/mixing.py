@@ -10,7 +10,8 @@ A target of ``r`` times the source's size takes every document ``floor(r)``
 times and a seeded sample for the rest: documents ordered by a seeded hash are
 taken once more until the fraction of the source's words is reached. Hash
 buckets find the place where that happens; only documents of the one bucket per
-source that straddles it are sorted.
+source that straddles it are sorted. The outcome is one place per source, so
+whether a document is taken follows from the document and its source's row.
 """
 
 from __future__ import annotations
@@ -53,6 +54,60 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     return sources.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.lit(level)) if not math.isinf(level) else F.col("cap")).drop("cap")
 
 
+def _placed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Rows with what decides on them: id, source, size, source_key and luck."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("mix_source")), F.lit("null"))
+    named = docs.withColumns({"mix_id": F.col(id_col), "mix_source": F.col(source_col), "mix_size": word_count(F.col(text_col))})
+    return named.withColumns({"mix_key": key, "mix_luck": F.xxhash64(F.lit(seed), "mix_id", "mix_source", "mix_size")})
+
+
+def mixing_plan(sized: DataFrame, weights: DataFrame | tuple[float, ...], share: float, max_epochs: float) -> tuple[DataFrame, int]:
+    """One row per source (mix_key, source_size, target, whole, last), and the number of hash buckets.
+
+    A document is taken ``whole`` times, and once more if its place (bucket,
+    luck, id, size) is not after ``last``; a null ``last`` is before all.
+    """
+    sources = freeze(sized.groupBy("mix_key", "mix_source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("docs")), "mix_sources")
+    if isinstance(weights, tuple):
+        weights = repeating_weights(sources.select(F.col("mix_source").alias("source")), weights)
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    weights = weights.select(key.alias("mix_key"), F.col("weight").cast("double").alias("weight"))
+    sources = freeze(water_fill(sources.join(weights, "mix_key", "left").fillna(0.0, ["weight"]), share, max_epochs), "mix_targets")
+
+    largest = sources.agg(F.max("docs")).first()[0] or 0
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(largest / BUCKET_DOCS)))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = sources.withColumn("whole", F.floor(ratio + 1e-12).cast("int"))
+    plan = plan.withColumn("goal", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).select("mix_key", "source_size", "target", "whole", "goal")
+    # the bucket where a source's sample ends, and the words still wanted there
+    sums = sized.groupBy("mix_key", _bucket(buckets).alias("bucket")).agg(F.sum("mix_size").alias("words"))
+    upto = Window.partitionBy("mix_key").orderBy("bucket")
+    reach = sums.withColumn("upto", F.sum("words").over(upto)).join(plan, "mix_key")
+    edge = freeze(reach.where(F.col("upto") > F.col("goal")).groupBy("mix_key").agg(F.min(F.struct("bucket", (F.col("goal") - F.col("upto") + F.col("words")).alias("left"))).alias("edge")), "mix_edges")
+    # in that bucket a document is taken if more than half of it lies below the end
+    border = sized.withColumn("bucket", _bucket(buckets)).join(edge.select("mix_key", F.col("edge.bucket").alias("bucket"), F.col("edge.left").alias("left")), ["mix_key", "bucket"])
+    running = Window.partitionBy("mix_key").orderBy("mix_luck", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    taken = border.withColumn("upto", F.sum("mix_size").over(running)).where(F.col("upto") - F.col("mix_size") / 2 < F.col("left"))
+    ends = taken.groupBy("mix_key").agg(F.max(_place(buckets)).alias("end"))
+    before = F.when(F.col("edge").isNotNull(), F.struct((F.col("edge.bucket") - 1).alias("bucket"), F.lit((1 << 63) - 1).alias("mix_luck"), F.lit(None).cast(sized.schema["mix_id"].dataType).alias("mix_id"), F.lit(0).cast("long").alias("mix_size")))
+    plan = plan.join(edge, "mix_key", "left").join(ends, "mix_key", "left")
+    last = F.coalesce("end", before)
+    whole = F.when(F.col("edge").isNull() & (F.col("goal") > 0), F.col("whole") + 1).otherwise(F.col("whole"))
+    return freeze(plan.select("mix_key", "source_size", "target", whole.alias("whole"), last.alias("last")), "mix_plan"), buckets
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.shiftright("mix_luck", 16), F.lit(buckets))
+
+
+def _place(buckets: int) -> Column:
+    return F.struct(_bucket(buckets).alias("bucket"), "mix_luck", "mix_id", "mix_size")
+
+
+def _copies(placed: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
+    return placed.join(plan, "mix_key").withColumn("copies", F.col("whole") + F.coalesce(_place(buckets) <= F.col("last"), F.lit(False)).cast("int"))
+
+
 def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: id, source, size, source_size, target, copies, taken.
 
@@ -61,37 +116,27 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3, 1, 2), sha
     source of its own, last in order; a null text has size 0. ``weights`` is a
     table (source, weight) or weights given to the sources in code point order,
     in turn; a source that the table lacks weighs 0 and is not taken. Documents
-    without words are in the sample like others and take nothing. Rows repeated
-    in full are separate documents. Extra columns are ignored. Reruns agree.
+    without words take nothing, however often. Rows repeated in full are
+    taken alike. Extra columns are ignored; an empty table gives an empty
+    result. Reruns agree.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = freeze(sized.withColumn("luck", F.xxhash64(F.lit(seed), "id", "source", "size")), "mix_sizes")
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    sized = sized.withColumn("source_key", key)
-    sources = freeze(sized.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "mix_sources")
-    if isinstance(weights, tuple):
-        weights = repeating_weights(sources.select("source"), weights)
-    weights = weights.select(key.alias("source_key"), F.col("weight").cast("double").alias("weight"))
-    sources = sources.join(weights, "source_key", "left").fillna(0.0, ["weight"])
-    sources = freeze(water_fill(sources, share, max_epochs), "mix_targets")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    sized = freeze(_placed(own, seed, "id", "text", "source").drop("id", "text", "source"), "mix_sizes")
+    plan, buckets = mixing_plan(sized, weights, share, max_epochs)
+    out = _copies(sized, plan, buckets)
+    return out.select(F.col("mix_id").alias(id_col), F.col("mix_source").alias(source_col), F.col("mix_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken"))
 
-    largest = sources.agg(F.max("docs")).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(largest / BUCKET_DOCS)))
-    bucket = F.pmod(F.shiftright("luck", 16), F.lit(buckets))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = sources.withColumn("whole", F.floor(ratio + 1e-12).cast("int")).withColumn("goal", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    # where each source's sample ends: the bucket, and the words still wanted there
-    sums = sized.groupBy("source_key", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source_key").orderBy("bucket")
-    reach = sums.withColumn("upto", F.sum("words").over(upto)).join(plan.select("source_key", "goal"), "source_key")
-    edge = reach.where(F.col("upto") > F.col("goal")).groupBy("source_key").agg(F.min(F.struct("bucket", (F.col("goal") - F.col("upto") + F.col("words")).alias("left"))).alias("edge"))
-    plan = freeze(plan.join(edge, "source_key", "left").select("source_key", "source_size", "target", "whole", F.col("edge.bucket").alias("edge_bucket"), F.col("edge.left").alias("edge_left")), "mix_plan")
-
-    planned = sized.join(plan, "source_key").withColumn("bucket", bucket)
-    at_edge = planned["bucket"] == planned["edge_bucket"]
-    running = Window.partitionBy("source_key").orderBy("luck", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    # in the straddling bucket a document is taken if more than half of it lies below the end
-    border = planned.where(at_edge).withColumn("extra", (F.sum("size").over(running) - F.col("size") / 2 < F.col("edge_left")).cast("int"))
-    clear = planned.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", F.when(F.col("edge_bucket").isNull(), F.col("target") > F.col("whole") * F.col("source_size")).otherwise(F.col("bucket") < F.col("edge_bucket")).cast("int"))
-    copies = F.least(F.col("whole") + F.col("extra"), F.lit(int(math.ceil(max_epochs))))
-    return border.unionByName(clear).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+def mixed_rows(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as ``mix`` takes it.
+
+    A row's copies follow from the row and its source's plan, so the texts
+    aren't shuffled. All columns are kept.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    sized = freeze(_placed(own, seed, "id", "text", "source").drop("id", "text", "source"), "mix_sizes")
+    plan, buckets = mixing_plan(sized, weights, share, max_epochs)
+    plan = plan.select("mix_key", F.struct("whole", "last").alias("mix_plan"))
+    placed = _placed(docs, seed, id_col, text_col, source_col).join(plan, "mix_key")
+    copies = F.col("mix_plan.whole") + F.coalesce(_place(buckets) <= F.col("mix_plan.last"), F.lit(False)).cast("int")
+    return placed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])

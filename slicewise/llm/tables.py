@@ -50,3 +50,16 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
+
+
+#: bytes of ids that may be broadcast
+BROADCAST_BYTES = 64 << 20
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``ids``; a null id always stays.
+
+    The ids are broadcast if they are known to be few, and joined by a shuffle otherwise.
+    """
+    ids = freeze(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "dropped_ids")
+    return docs.join(F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -149,3 +149,16 @@ def score_toxicity(docs: DataFrame, model: Classifier, id_col: str = "doc_id", t
 
     scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Classifier, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns kept; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = np.log(threshold / (1 - threshold))
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
+            keep = [model.logit(text) < limit for text in words.texts(column)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
