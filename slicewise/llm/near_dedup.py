@@ -5,11 +5,15 @@ and coordinate k is the minimum of ``pi`` at the places shifted by k, so the
 coordinates of a shingle are one contiguous slice of ``pi``. 48 bands of 5
 coordinates miss a pair at Jaccard 0.75 with probability 2.3e-6.
 
-Documents with the same shingle set are one node from the start. Nodes that
-share a band bucket are joined to the bucket's smallest node, not to each
-other; links are confirmed on the full sets. Nodes of a bucket that this leaves
-in different components are then compared with each other across components,
-which is the exact way for what the stars leave open: no bucket is capped.
+Documents with the same shingle set are one node from the start. Of the nodes
+that share a band bucket with another, the shingles that no other has are
+counted: a node can't share more than the rest of its set, which rules out most
+false candidates exactly (copies edited too much for a link among them) before
+any pair is made. Nodes that are left join their bucket's centre, not
+each other; links are confirmed on the full sets. Nodes of a bucket that this
+leaves in different components are then joined across components by the prefixes
+of their sets, which is the exact way for what the stars leave open: no bucket
+is capped.
 """
 
 from __future__ import annotations
@@ -87,8 +91,10 @@ def _candidate_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             found = words.shingles(words.word_hashes(text))
             if fingerprint(found) == wanted:
                 keep.append(i)
-                sets.append(found.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], ["node", "shingles"])
+                sets.append(found.view(np.int64))
+        ends = np.cumsum([0] + [len(x) for x in sets])
+        shingles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), shingles], ["node", "shingles"])
 
 
 def _confirm(threshold: int):
@@ -98,10 +104,12 @@ def _confirm(threshold: int):
         centre = np.zeros(0, np.uint64)
         for batch in batches:
             found_u, found_v = [], []
-            for u, v, text in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), words.texts(batch.column("shingles")), strict=True):
-                own = np.frombuffer(text.tobytes(), np.uint64)
+            lists = batch.column("shingles")
+            values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            for i, (u, v) in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)):
+                own = values[ends[i] : ends[i + 1]]
                 if u is None:
-                    centre = own
+                    centre = own.copy()
                     continue
                 at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
                 both = int((centre[at] == own).sum())
@@ -143,30 +151,44 @@ def near_dedup(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", tex
     nodes = freeze(nodes.select(F.monotonically_increasing_id().alias("node"), "print", F.col("first.id").alias("id"), "n", "bands"), "near_nodes")
 
     placed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = placed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members = freeze(placed.join(freeze(buckets, "near_buckets"), "key").select("key", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "near_members")
-
-    def alike(a: str, b: str) -> F.Column:
-        return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
-
-    stars = freeze(members.where(F.col("node") != F.col("centre")).where(alike("n", "centre_n")).select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "near_stars")
+    buckets = placed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    members = freeze(placed.join(freeze(buckets, "near_buckets"), "key"), "near_members")
     wanted = members.select("node").distinct().join(nodes.select("node", "print", "id"), "node")
     wanted = freeze(wanted, "near_wanted")
     if wanted.count() * 48 <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     again = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("node", "print", "text")
-    sets = freeze(again.mapInArrow(_candidate_sets, "node long, shingles binary").dropDuplicates(["node"]), "near_sets")
-
-    tried = stars.limit(0)
+    sets = freeze(again.mapInArrow(_candidate_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "near_sets")
+
+    # what a node can share with others at most: its set without the shingles that no other candidate has
+    owners = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node"))
+    own = owners.where("nodes = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.select("node", F.size("shingles").cast("long").alias("n")).join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    sizes = freeze(sizes.where(100 * F.col("most") >= threshold * F.col("n")), "near_sizes")
+    members = freeze(members.select("key", "node").join(sizes, "node"), "near_left")
+
+    def possible(n: str, most: str, n2: str, most2: str) -> F.Column:
+        both = F.least(most, most2)
+        return 100 * both >= threshold * (F.col(n) + F.col(n2) - both)
+
+    # a bucket's centre is the node with the smallest share of shingles of its own: likeliest what the others were copied from
+    best = F.struct((1 - F.col("most") / F.col("n")).alias("own"), "node", "n", "most")
+    centres = members.groupBy("key").agg(F.min(best).alias("c"), F.count("*").alias("nodes")).where("nodes > 1")
+    centres = freeze(centres.select("key", "c.own", F.col("c.node").alias("v"), F.col("c.n").alias("n2"), F.col("c.most").alias("most2")), "near_centres")
+    stars = members.join(centres, "key").where("node <> v").where(possible("n", "most", "n2", "most2"))
+    stars = freeze(stars.select(F.col("node").alias("u"), "v", "own").distinct(), "near_stars")
+    sets = freeze(sets.join(sizes.select("node"), "node", "left_semi"), "near_left_sets")
+
+    tried = stars.select("u", "v").limit(0)
     links = None
     labels = None
     for step in range(3):
         if step == 0:  # one link of each node, then the others that still matter
-            edges = stars.groupBy("u").agg(F.min("v").alias("v"))
+            edges = stars.groupBy("u").agg(F.min(F.struct("own", "v")).alias("best")).select("u", "best.v")
         elif step == 1:
             edges = _across(stars, labels).join(tried, ["u", "v"], "left_anti")
         else:
-            edges = _open_pairs(members, labels, alike).join(tried, ["u", "v"], "left_anti")
+            edges = _open_pairs(members, sets, labels, threshold).join(tried, ["u", "v"], "left_anti")
         edges = freeze(edges, "near_edges")
         tried = freeze(tried.unionByName(edges), "near_tried")
         new = _confirmed(edges, sets, threshold)
@@ -189,11 +211,30 @@ def _across(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, alike) -> DataFrame:
-    """Pairs of a bucket that are in different components, sizes permitting."""
-    labelled = members.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+def _open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """Every pair of nodes in different components that may be linked, of buckets with such nodes.
+
+    An exact set-similarity join by prefixes: shingles are ordered by how many
+    of these nodes have them, rarest first; linked sets share one among their
+    first ones, and from the first one they share as many must follow as the
+    link needs. Shingles that one node has alone only take up places. So sets
+    that are alike but not linked (copies of one text with edits of their own)
+    don't meet.
+    """
+    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = freeze(labelled.join(mixed, "key", "left_semi"), "near_open")
-    right = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    pairs = left.join(right, "key").where("label < label2").where(alike("n", "n2"))
+    open_nodes = freeze(labelled.join(mixed, "key", "left_semi").select("node", "label").distinct(), "near_open")
+    shingles = sets.join(open_nodes, "node").select("node", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    ordered = shingles.join(common, "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("nodes", "shingle"))).alias("held"))
+    first = F.floor((100 - threshold) * F.col("n") / 100) + 1
+    own = F.col("n") - F.size("held")
+    ordered = ordered.withColumn("own", own).withColumn("held", F.slice("held", 1, F.greatest(F.lit(0), first - own).cast("int")))
+    prefixes = freeze(ordered.select("node", "label", "n", "own", F.posexplode("held").alias("i", "x")).select("node", "label", "n", (F.col("own") + F.col("i")).alias("at"), F.col("x.shingle").alias("shingle")), "near_prefixes")
+    larger = prefixes.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "at")))
+    needed = F.ceil(threshold * (F.col("n") + F.col("n2")) / (100 + threshold))
+    rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))  # this one and what may follow
+    ahead = F.col("at") <= F.col("n") - F.ceil(2 * threshold * F.col("n") / (100 + threshold))
+    order = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2")))
+    pairs = prefixes.where(ahead).join(larger, "shingle").where(order & (F.col("label") != F.col("label2")) & (rest >= needed) & (100 * F.col("n") >= threshold * F.col("n2")))
     return pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct()
