@@ -222,7 +222,7 @@ def self_ref_closure(spark, sf_dir):
 
 @query(
     "cycle_closure",
-    "WITH RECURSIVE emp AS (SELECT c_custkey AS id, c_custkey % 40 AS dept FROM customer), dep AS (SELECT DISTINCT c_custkey % 40 AS id, (c_custkey % 40) * 3 % 37 AS lead FROM customer), "
+    "WITH RECURSIVE emp AS (SELECT c_custkey AS id, c_custkey % 8 AS dept FROM customer), dep AS (SELECT DISTINCT c_custkey % 8 AS id, (c_custkey % 8) * 3 % 5 AS lead FROM customer), "
     "found(kind, id) AS (SELECT 'd', id FROM dep WHERE id = 1 UNION (SELECT 'e', e.id FROM emp e, found f WHERE f.kind = 'd' AND e.dept = f.id UNION SELECT 'd', d.id FROM dep d, found f WHERE f.kind = 'e' AND d.lead = f.id)), "
     "above(kind, id) AS (SELECT * FROM found UNION (SELECT 'd', e.dept FROM emp e, above a WHERE a.kind = 'e' AND e.id = a.id UNION SELECT 'e', d.lead FROM dep d, above a WHERE a.kind = 'd' AND d.id = a.id)) "
     "SELECT CASE kind WHEN 'd' THEN 'public.dep' ELSE 'public.emp' END AS table_name, count(*) AS row_count FROM above GROUP BY kind",
@@ -230,8 +230,8 @@ def self_ref_closure(spark, sf_dir):
 def cycle_closure(spark, sf_dir):
     """Departments with a lead among the employees, who each have a department."""
     customer = table(spark, sf_dir, "customer")
-    emp = customer.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 40).alias("dept"))
-    dep = customer.select((F.col("c_custkey") % 40).alias("id"), (F.col("c_custkey") % 40 * 3 % 37).alias("lead")).distinct()
+    emp = customer.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 8).alias("dept"))
+    dep = customer.select((F.col("c_custkey") % 8).alias("id"), (F.col("c_custkey") % 8 * 3 % 5).alias("lead")).distinct()
     c = Catalog(spark, [table_of("emp", emp, ["id"], [(["dept"], "dep", ["id"])]), table_of("dep", dep, ["id"], [(["lead"], "emp", ["id"])])])
     cut = extract(c, SubsetSpec(root="dep WHERE id = 1"))
     return cut.row_counts()
