@@ -213,7 +213,8 @@ class Index:
                 margin = len(item.words)
                 region = found[max(0, start - margin) : end + margin]
                 question, answer, whole = (overlap(x, region) for x in (item.question, item.answer, item.words))
-                if max(question, whole) >= least and score > best.get(ordinal, (0.0,))[0]:
+                asked = question if 2 * len(item.question) >= len(item.words) else 0.0
+                if max(asked, whole) >= least and score > best.get(ordinal, (0.0,))[0]:
                     best[ordinal] = (score, question, answer, whole)
         return [(self.items[o].item_id, *x) for o, x in sorted(best.items())]
 
@@ -248,9 +249,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least:
     id, item id, score, question_overlap, answer_overlap, overlap.
 
     ``score`` is the best passage's BM25 over the item's score against itself, at
-    least ``threshold``. A hit counts when at least ``least`` of the shingles of the
-    question, or of question and answer together, are in the passage and its
-    margins. Words are lower-cased runs of letters and digits, so case and
+    least ``threshold``. A hit counts when at least ``least`` of the shingles of
+    question and answer together, or of a question that is half of the item or
+    more, are in the passage and its margins. Words are lower-cased runs of letters and digits, so case and
     punctuation don't hide a leak. Null and empty texts and items match
     nothing; repeated rows are reported again; extra columns are ignored; empty
     tables give an empty result.
