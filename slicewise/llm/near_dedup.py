@@ -144,7 +144,7 @@ def near_dedup(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", tex
     ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    rows = freeze(source.mapInArrow(_sets, docs.select(F.col(id_col).alias("id")).schema.simpleString()[7:-1] + ", n long, print binary, bands array<long>"), "near_rows")
+    rows = freeze(source.mapInArrow(_sets, f"id {source.schema['id'].dataType.simpleString()}, n long, print binary, bands array<long>"), "near_rows")
     some = rows.where("n > 0")
     order = F.struct(F.isnull("id").alias("last"), "id")
     nodes = some.groupBy("print").agg(F.min(order).alias("first"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
