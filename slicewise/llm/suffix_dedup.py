@@ -43,7 +43,6 @@ PLACE_BITS = 28
 PIECE = 1 << 20
 #: suffixes that one bucket of the merge holds on average
 BUCKET_SUFFIXES = 20_000
-BROADCAST_BYTES = 32 << 20
 
 
 # ---- anchors
@@ -382,27 +381,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         narrow = source.select("doc", "digest")
     firsts = freeze(narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats_firsts")
     copies = freeze(narrow.join(firsts, "digest").where("doc <> first").select("doc", F.lit(True).alias("copy")), "repeats_copies")
-    copies = _small(copies, 16 * copies.count())
     unique = source.join(copies, "doc", "left_anti").select("doc", "text")
 
     rows = unique.mapInArrow(_anchor_rows, "gram long, doc long, place int, mark byte")
     places = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "doc long, place int")
     places = freeze(places.groupBy("doc").agg(F.sort_array(F.collect_list("place")).alias("places")), "repeats_places")
-    n_docs, n_places = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    n_places = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(n_places / BUCKET_SUFFIXES))
-    runs = unique.join(_small(places, 40 * n_docs + 4 * n_places), "doc").select("doc", "text", "places").mapInArrow(_runs(buckets), RUN)
+    runs = unique.join(places, "doc").select("doc", "text", "places").mapInArrow(_runs(buckets), RUN)
     spans = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(), "doc long, start long, end long")
     spans = freeze(spans, "repeats_spans")
-    n_spans = spans.count()
     spans = freeze(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats_by_doc")
-    spans = _small(spans, 40 * n_docs + 24 * n_spans)
 
     whole = source.join(copies, "doc", "left").join(spans, "doc", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     kind = whole.schema["id"].dataType.simpleString()
     out = whole.mapInArrow(_cut(WIDTH), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>")
     return out.withColumnRenamed("id", id_col)
 
-
-def _small(df: DataFrame, size: int) -> DataFrame:
-    """Marked for broadcast if it is known to be small."""
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
