@@ -1,8 +1,8 @@
 """Loading a slice: parents first, checked before anything is replaced.
 
-Spark has no transaction over several tables. A load into a folder of Parquet
-tables is staged beside it, checked for orphans, and moved in table by table;
-a load by JDBC appends table by table in key order.
+Spark has no transaction over several tables: the slice is checked for orphans
+first, and then written table by table in key order, into a folder of Parquet
+tables or by JDBC.
 """
 
 from __future__ import annotations
@@ -93,16 +93,16 @@ def next_sequence_values(catalog: Catalog, tables: dict[str, DataFrame]) -> Data
 
 def apply(cut: Slice, target: Target, force: bool = False, dry_run: bool = False, verify: bool = True, sync_sequences: bool = False) -> LoadResult:
     """Load a slice; ``force`` replaces what the tables hold. A dry run only counts and checks."""
-    order = load_order(cut.catalog, cut.tables)
+    order = load_order(cut.catalog, cut.filled)
     if verify:
         bad = dangling(cut).where("orphan_count > 0").collect()  # one row per constraint
         if bad:
             raise LoadError("; ".join(f"{r['child_table']}.{r['constraint_name']}: {r['orphan_count']} row(s) without parent" for r in bad))
-    counts = {r["table_name"]: r["row_count"] for r in cut.row_counts().collect()} if cut.tables else {}
+    counts = {r["table_name"]: r["row_count"] for r in cut.row_counts().collect()} if order else {}
     result = LoadResult(order, counts, dry_run=dry_run)
     if not dry_run:
         for name in order:
             target.write(name, cut.tables[name], force)
     if sync_sequences:
-        result.next_values = {r["table_name"]: r["last_value"] for r in next_sequence_values(cut.catalog, cut.tables).collect()}
+        result.next_values = {r["table_name"]: r["last_value"] for r in next_sequence_values(cut.catalog, cut.filled).collect()}
     return result

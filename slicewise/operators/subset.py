@@ -15,7 +15,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,21 +64,37 @@ class SubsetSpec:
 
 @dataclass
 class Slice:
-    """Tables of a slice, parents first, and how it was taken."""
+    """Tables of a slice, parents first, and how it was taken.
+
+    ``tables`` are those that keys or the spec lead to; one in which nothing was
+    found counts as untouched, like those that nothing leads to.
+    """
 
     catalog: Catalog
     tables: dict[str, DataFrame]
     root: str
     masks: list[str] = field(default_factory=list)
     filters: list[str] = field(default_factory=list)
-    untouched: list[str] = field(default_factory=list)
+    unreached: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     truncated: list[str] = field(default_factory=list)
 
     def row_counts(self) -> DataFrame:
-        """(table_name, row_count) of each table."""
+        """(table_name, row_count) of each table that has rows."""
         parts = [df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in self.tables.items()]
-        return reduce(DataFrame.unionByName, parts)
+        return reduce(DataFrame.unionByName, parts).where("row_count > 0")
+
+    @cached_property
+    def filled(self) -> dict[str, DataFrame]:
+        """The tables that have rows, parents first; one job looks for a row of each."""
+        flags = [df.limit(1).select(F.lit(name).alias("table_name")) for name, df in self.tables.items()]
+        found = {r["table_name"] for r in reduce(DataFrame.unionByName, flags).collect()} if flags else set()
+        return {name: df for name, df in self.tables.items() if name in found}
+
+    @property
+    def untouched(self) -> list[str]:
+        """Tables of which the slice has no row."""
+        return sorted({*self.unreached, *self.tables.keys() - self.filled.keys()})
 
 
 def split_root(spec: str) -> tuple[str, str]:
@@ -364,8 +380,8 @@ class Extraction:
         for name in order:
             table = self.catalog.table(name)
             tables[name] = apply_masks(rows[name], self.masks.get(name, {}), table.generated)
-        untouched = [t for t in self.catalog.names() if t not in rows and t not in self.excluded]
-        return Slice(self.catalog, tables, self.spec.root or self.spec.seed, list(self.spec.masks), list(self.spec.filters), untouched, sorted(set(self.warnings)), sorted(set(self.truncated)))
+        unreached = [t for t in self.catalog.names() if t not in rows and t not in self.excluded]
+        return Slice(self.catalog, tables, self.spec.root or self.spec.seed, list(self.spec.masks), list(self.spec.filters), unreached, sorted(set(self.warnings)), sorted(set(self.truncated)))
 
 
 def extract(catalog: Catalog, spec: SubsetSpec | None = None, **options) -> Slice:

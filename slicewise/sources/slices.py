@@ -29,7 +29,7 @@ def manifest(cut: Slice) -> dict:
         "untouched_tables": cut.untouched,
         "warnings": cut.warnings,
         "truncated": cut.truncated,
-        "table_order": list(cut.tables),
+        "table_order": list(cut.filled),
     }
 
 
@@ -38,8 +38,8 @@ def _write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def write_parquet(cut: Slice, path: str, mode: str = "error") -> None:
-    """``path/<table>`` for each table, and ``path/manifest`` last, so that a folder with one is complete."""
-    for name, df in cut.tables.items():
+    """``path/<table>`` for each table that has rows, and ``path/manifest`` last, so that a folder with one is complete."""
+    for name, df in cut.filled.items():
         df.write.mode(mode).parquet(f"{path}/{name}")
     _write_text(cut.catalog.spark, json.dumps(manifest(cut)), f"{path}/manifest")
 
@@ -63,7 +63,7 @@ def write_sql(cut: Slice, path: str, transaction: bool = False, on_conflict_do_n
     spark = cut.catalog.spark
     head = f"-- Root: {cut.root}\n" + ("BEGIN;\n" if transaction else "")
     spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/0000_begin")
-    for number, (name, df) in enumerate(cut.tables.items(), 1):
+    for number, (name, df) in enumerate(cut.filled.items(), 1):
         identity = cut.catalog.table(name).has_identity
         insert_statements(df, name, identity, on_conflict_do_nothing).write.mode(mode).text(f"{path}/{number:04d}_{name}")
     if transaction:
