@@ -61,30 +61,43 @@ def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), chars.alias("n_chars"))
 
 
+#: letters, digits and non-ASCII bytes
+_LETTERS = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+#: bytes of the beginnings that are marks
+BEGINNINGS = (3, 4, 5, 6, 7)
+
+
 def word_marks(text: np.ndarray) -> np.ndarray:
-    """Distinct hashes of a text's words and of their first 3, 4 and 5 bytes."""
+    """Distinct hashes of a text's words, of their first 3 to 7 bytes, and of
+    beginnings that at least two different words have."""
     if not len(text):
         return np.zeros(0, np.uint64)
-    out = []
+    rows = []
     for at in range(0, len(text), words.PIECE):  # a word cut between pieces is seen as two as well
-        end = min(len(text), at + words.PIECE)
-        out.append(_marks(text[at:end]))
-    return np.unique(np.concatenate(out)) if len(out) > 1 else np.unique(out[0])
+        rows.append(_distinct_words(text[at : at + words.PIECE]))
+    found = _distinct(np.concatenate(rows)) if len(rows) > 1 else rows[0]
+    begun, times = np.unique(found[:, 1:], return_counts=True)
+    several = words.mix(begun[(times > 1) & (begun > 0)] + np.uint64(1))
+    return np.unique(np.concatenate([found[:, 0], begun[begun > 0], several]))
 
 
-#: letters, digits and non-ASCII bytes
-_LETTERS = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    return rows[np.unique(rows[:, 0], return_index=True)[1]]
 
 
-def _marks(data: np.ndarray) -> np.ndarray:
+def _distinct_words(data: np.ndarray) -> np.ndarray:
+    """A row for each different word: its hash and those of its beginnings, 0 where it has no more bytes."""
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = _LETTERS[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     c = words.rolling(data, lower=True)
-    down = words.powers(len(data) + 1)[1][start]
-    out = [words.mix((c[end] - c[start]) * down)]
-    for width in (3, 4, 5):
+    down = words.powers(len(data) + 1)[1]
+    whole, first = np.unique(words.mix((c[end] - c[start]) * down[start]), return_index=True)
+    start, end = start[first], end[first]
+    out = np.zeros((len(whole), 1 + len(BEGINNINGS)), np.uint64)
+    out[:, 0] = whole
+    for i, width in enumerate(BEGINNINGS, 1):
         long = end - start > width
-        out.append(words.mix((c[start[long] + width] - c[start[long]]) * down[long] + np.uint64(width)))
-    return np.concatenate(out)
+        out[long, i] = words.mix((c[start[long] + width] - c[start[long]]) * down[start[long]] + np.uint64(width))
+    return out

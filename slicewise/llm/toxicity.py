@@ -3,11 +3,14 @@
 Known: texts confirmed as toxic, and texts about which nothing is known, of
 which a share ``prior`` is toxic. With logistic loss l and a linear score g the
 risk is ``prior * E_pos l(g) + max(0, E_unl l(-g) - prior * E_pos l(-g))``; where
-a batch's second part is below zero the step goes against it, as the estimator
-asks, so that the classifier doesn't learn the unlabelled texts by heart.
-
-Inputs are marks: hashed words and their first 3, 4 and 5 bytes (compounds of
-any language), present or not. The marks are those most characteristic of the
+the second part is below zero the step goes against it, as the estimator asks,
+so that the classifier doesn't learn the unlabelled texts by heart. Each step
+sees the whole bounded sample: on batches, texts with one telling mark only kept
+scores near the threshold that depended on the draw.
+
+Inputs are marks: hashed words, their first 3 to 7 bytes (compounds of any
+language), and beginnings that at least two different words of the text share,
+present or not. The marks are those most characteristic of the
 confirmed texts, counted by Spark over the bounded training sample.
 """
 
@@ -46,28 +49,29 @@ class Classifier:
         return float(self.bias + self.weights[self.present(text)].sum())
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_marks: int, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0, gamma: float = 1.0, seed: int = 9) -> tuple[np.ndarray, float]:
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_marks: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk; texts are arrays of mark places."""
-    rng = np.random.default_rng(seed)
     theta = np.zeros(n_marks + 1)
     theta[-1] = np.log(prior / (1 - prior))
     if not positive or not unlabelled:
         return theta[:-1], float(theta[-1])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
 
-    def gradient(texts: list[np.ndarray], sign: float) -> tuple[float, np.ndarray]:
+    def entries(texts: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+        """Texts, and the mark and the text of each of their entries."""
+        return len(texts), np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+
+    def gradient(texts: tuple[int, np.ndarray, np.ndarray], sign: float) -> tuple[float, np.ndarray]:
         """Mean logistic loss of ``sign * g`` and its gradient."""
-        index = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        g = theta[-1] + np.bincount(owner, weights=theta[index], minlength=len(texts))
-        slope = -sign * sigmoid(-sign * g) / len(texts)
+        n, index, owner = texts
+        g = theta[-1] + np.bincount(owner, weights=theta[index], minlength=n)
+        slope = -sign * sigmoid(-sign * g) / n
         out = np.bincount(index, weights=slope[owner], minlength=n_marks + 1)
         out[-1] = slope.sum()
         return float(np.logaddexp(0, -sign * g).mean()), out
 
+    some, rest = entries(positive), entries(unlabelled)
     for step in range(1, steps + 1):
-        some = [positive[i] for i in rng.integers(0, len(positive), 128)]
-        rest = [unlabelled[i] for i in rng.integers(0, len(unlabelled), 512)]
         _, up = gradient(some, 1.0)
         loss_p, down_p = gradient(some, -1.0)
         loss_u, down_u = gradient(rest, -1.0)

@@ -3,7 +3,8 @@ import odd
 import pytest
 from pyspark.sql import functions as F
 from slicewise.llm.factorisation import FACTORS, Machine, fit_quality, score_quality, train
-from slicewise.llm.features import STATISTICS, is_held_out
+from slicewise.llm import words
+from slicewise.llm.features import STATISTICS, is_held_out, word_marks
 from slicewise.llm.tables import read
 from slicewise.llm.toxicity import fit_toxicity, score_toxicity, train_nnpu, without_toxic
 
@@ -31,6 +32,18 @@ def test_machine_learns_an_interaction():
     assert np.mean(right) > 0.95
 
 
+def test_word_marks(monkeypatch):
+    marks = lambda text: set(word_marks(np.frombuffer(text.encode(), np.uint8)).tolist())
+    one, same, other = marks("abcdxyz"), marks("abcdxyz, ABCDXYZ!"), marks("abcdxyz abcdqrs")
+    assert one == same and len(one) == 1 + 4  # the word and its first 3 to 6 bytes
+    assert len(other) == 2 + (2 + 2 * 2) + 2  # two words, beginnings both shared and not, and the marks of two shared ones
+    assert marks("") == set() == marks(" -- ")
+    long = " ".join(f"word{i}" for i in range(500))
+    whole = marks(long)
+    monkeypatch.setattr(words, "PIECE", 64)
+    assert len(whole - marks(long)) < 150  # only words at the pieces' ends differ
+
+
 def test_risk_is_kept_from_falling_below_zero():
     """With few positives the correction keeps the classifier from calling every unlabelled text clean."""
     rng = np.random.default_rng(3)
