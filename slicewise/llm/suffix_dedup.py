@@ -16,6 +16,9 @@ A byte goes when a ``width``-byte string that covers it also starts earlier.
 * A loser tree merges the runs. Every contender knows how much it shares with
   the suffix last put out; contenders are compared by that number alone, and
   byte by byte only from there on where it is the same.
+* A 32-byte start that very many suffixes have is dealt to several buckets by
+  document, merged there, and what is left as earliest in each bucket meets once
+  more by window: at most one row for each window and bucket.
 * In the merged order, the right parts of two windows are equal when no common
   prefix between them is shorter; with the left parts' hashes that makes the
   classes of equal windows, of which all but the earliest are repeats.
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -43,6 +46,8 @@ PLACE_BITS = 28
 PIECE = 1 << 20
 #: suffixes that one bucket of the merge holds on average
 BUCKET_SUFFIXES = 20_000
+#: suffixes with one 32-byte start beyond which they are dealt to several buckets
+HOT_SUFFIXES = 100_000
 
 
 # ---- anchors
@@ -74,8 +79,8 @@ def anchors(text: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, doc, place, mark). Of a batch's equal hashes one row stands for all
-    (mark 1); the others are known to repeat (mark 2) and travel anywhere."""
+    """(hash, doc, place, times). Of a batch's equal hashes one row stands for all
+    and counts them; the others (0) are known to repeat and travel anywhere."""
     for batch in batches:
         docs = batch.column("doc").to_numpy()
         found = [anchors(text) for text in words.texts(batch.column("text"))]
@@ -83,31 +88,52 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.concatenate([f[0] for f in found] + [np.zeros(0, np.int64)])
         gram = np.concatenate([f[1] for f in found] + [np.zeros(0, np.uint64)])
         _, first, inverse, times = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-        mark = (times > 1).astype(np.int8)[inverse]
+        times = times.astype(np.int32)[inverse]
         other = first[inverse] != np.arange(len(gram))
-        mark[other] = 2
+        times[other] = 0
         gram[other] = words.mix(gram[other] + place[other].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc[other].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(mark)], ["gram", "doc", "place", "mark"])
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(times)], ["gram", "doc", "place", "times"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, (doc, place) of those whose hash is not alone."""
-    last = None  # the last row so far: its hash, doc, place, and whether it has been put out
-    for batch in batches:
-        gram, doc, place, mark = (batch.column(c).to_numpy() for c in ("gram", "doc", "place", "mark"))
-        own = mark < 2
-        out_doc, out_place = [doc[~own]], [place[~own]]
-        gram, doc, place, mark = gram[own], doc[own], place[own], mark[own]
-        if len(gram):
-            same = np.concatenate(([last is not None and gram[0] == last[0]], gram[1:] == gram[:-1]))
-            keep = same | (mark == 1) | np.concatenate((same[1:], [False]))
-            if same[0] and not last[3]:
-                out_doc.append(np.array([last[1]]))
-                out_place.append(np.array([last[2]], np.int32))
-            out_doc.append(doc[keep])
-            out_place.append(place[keep])
-            last = (gram[-1], doc[-1], place[-1], keep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_place))], ["doc", "place"])
+def _repeated(most: int):
+    """Of rows sorted by hash, (doc, place) of those whose hash is not alone, and
+    (hot, place) for a hash with too many suffixes, place being the buckets it needs."""
+
+    def put(doc: np.ndarray, place: np.ndarray, hot: list[tuple[int, int]]) -> pa.RecordBatch:
+        hot = [(gram, n) for gram, n in hot if n > most]
+        more = [pa.nulls(len(hot), pa.int64()), pa.array([-(-n // most) for _, n in hot], pa.int32()), pa.array([gram for gram, _ in hot], pa.int64())]
+        columns = [pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.nulls(len(doc), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in zip(columns, more, strict=True)], ["doc", "place", "hot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the last row so far: its hash, doc, place, and whether it has been put out
+        total = 0  # suffixes with its hash
+        for batch in batches:
+            gram, doc, place, times = (batch.column(c).to_numpy() for c in ("gram", "doc", "place", "times"))
+            own = times > 0
+            out_doc, out_place, hot = [doc[~own]], [place[~own]], []
+            gram, doc, place, times = gram[own], doc[own], place[own], times[own]
+            if len(gram):
+                same = np.concatenate(([last is not None and gram[0] == last[0]], gram[1:] == gram[:-1]))
+                keep = same | (times > 1) | np.concatenate((same[1:], [False]))
+                if same[0] and not last[3]:
+                    out_doc.append(np.array([last[1]]))
+                    out_place.append(np.array([last[2]], np.int32))
+                out_doc.append(doc[keep])
+                out_place.append(place[keep])
+                begin = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+                sums = np.add.reduceat(times.astype(np.int64), begin)
+                if same[0]:
+                    sums[0] += total
+                elif last:
+                    hot.append((int(last[0]), total))
+                hot += [(int(g), int(n)) for g, n in zip(gram[begin[:-1]], sums[:-1], strict=True) if n > most]
+                last, total = (gram[-1], doc[-1], place[-1], keep[-1]), int(sums[-1])
+            yield put(np.concatenate(out_doc), np.concatenate(out_place), hot)
+        if last:
+            yield put(np.zeros(0, np.int64), np.zeros(0, np.int32), [(int(last[0]), total)])
+
+    return run
 
 
 # ---- runs
@@ -140,7 +166,22 @@ def encode_run(entries: list[tuple[bytes, bytes, int, int]], done: list[tuple[in
     }
 
 
-def _runs(buckets: int, width: int = WIDTH):
+def _grams(text: np.ndarray, places: list[int]) -> list[int]:
+    """The hashes of the 32 bytes at each place, as ``anchors`` has them."""
+    bytes_at = text[np.array(places)[:, None] + np.arange(GRAM)]
+    return words.mix((words.byte_values()[bytes_at] * words.powers(GRAM)[0]).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def _hot_buckets(hot: dict[int, int], buckets: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """First bucket and number of buckets of each hot hash, above the others, and the number of all buckets."""
+    out = {}
+    for gram in sorted(hot):
+        out[gram] = (buckets, hot[gram])
+        buckets += hot[gram]
+    return out, buckets
+
+
+def _runs(buckets: int, hot: dict[int, tuple[int, int]] | None = None, width: int = WIDTH):
     """A front-coded run for each bucket and batch of (doc, text, places)."""
     left_width = width - GRAM
 
@@ -148,10 +189,12 @@ def _runs(buckets: int, width: int = WIDTH):
         for batch in batches:
             entries = []
             for doc, text, places in zip(batch.column("doc").to_pylist(), words.texts(batch.column("text")), batch.column("places").to_pylist(), strict=True):
+                dealt = [hot.get(g) for g in _grams(text, places)] if hot else [None] * len(places)
                 text = text.tobytes()
-                for p in places:
+                for p, wide in zip(places, dealt, strict=True):
                     suffix = text[p : p + width]
-                    entries.append((zlib.crc32(suffix[:GRAM]) % buckets, suffix, text[max(0, p - left_width) : p], doc, p))
+                    bucket = wide[0] + zlib.crc32(doc.to_bytes(8, "big", signed=True)) % wide[1] if wide else zlib.crc32(suffix[:GRAM]) % buckets
+                    entries.append((bucket, suffix, text[max(0, p - left_width) : p], doc, p))
             entries.sort()
             rows = []
             at = 0
@@ -262,10 +305,14 @@ def merge_runs(runs: list[tuple[list[int], list[int], bytes]]) -> Iterator[tuple
             node >>= 1
 
 
-def _classify(shared: np.ndarray, length: np.ndarray, lefts: np.ndarray, left_length: np.ndarray, doc: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of the bytes that repeated windows cover; rows are in merged order."""
+def _classify(shared: np.ndarray, length: np.ndarray, lefts: np.ndarray, left_length: np.ndarray, doc: np.ndarray, place: np.ndarray, width: int, whole: bool = False) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]:
+    """(doc, start, end) of the bytes that repeated windows cover; rows are in merged order.
+
+    With ``whole``, also the rows whose window is the earliest of its class, for each number of bytes to the left.
+    """
+    earliest = []
     near = shared >= GRAM
-    keep = near | np.concatenate((near[1:], [False]))
+    keep = near | np.concatenate((near[1:], [False])) | whole
     order = np.flatnonzero(keep)[np.lexsort((place[keep], doc[keep]))]  # earliest first
     span = lefts.shape[1]
     repeated = np.zeros((len(order), span + 3), bool)  # a false column at each side
@@ -278,18 +325,27 @@ def _classify(shared: np.ndarray, length: np.ndarray, lefts: np.ndarray, left_le
         key = words.mix(left_hash[valid] ^ words.mix(right_class[valid] + np.uint64(a << 40)))
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         repeated[valid, a + 1] = first[inverse] != np.arange(len(valid))
+        if whole:
+            earliest.append(order[valid[first]])
     edge = repeated[:, 1:] != repeated[:, :-1]
     row, column = np.nonzero(edge)
     row, low, high = row[::2], column[::2], column[1::2] - 1  # offsets low..high repeat
-    return doc[order][row], place[order][row] - high, place[order][row] - low + width
+    return (doc[order][row], place[order][row] - high, place[order][row] - low + width), earliest
 
 
-def _merge_bucket(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merge_bucket(rows: list[dict], width: int, hot: bool = False) -> Iterator[tuple]:
+    """(doc, start, end, None) of what repeats in a bucket; of a bucket that shares its
+    start with others also (doc, start, end, key) of each window's earliest place."""
     runs = [(list(r["shared"]), list(r["length"]), r["tails"]) for r in rows]
-    merged = [(r, h) for r, h, _ in merge_runs(runs)]
+    merged, suffixes = [], []
+    for r, h, suffix in merge_runs(runs):
+        merged.append((r, h))
+        if hot:
+            suffixes.append(suffix)
     done = np.concatenate([np.frombuffer(r["done"], np.int64).reshape(-1, 3) for r in rows])
+    yield *done.T, None
     if not merged:
-        return done[:, 0], done[:, 1], done[:, 2]
+        return
     of_run, shared = np.array(merged).T
     starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])[:-1]])
     order = np.argsort(of_run, kind="stable")
@@ -303,25 +359,30 @@ def _merge_bucket(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray,
         texts.append(all_lefts[at : at + n].rjust(span, b"\0"))
         at += n
     lefts = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, span)[take]
-    found = _classify(shared, column("length", np.uint8).astype(np.int64), lefts, column("left_length", np.uint8).astype(np.int64), column("doc", np.int64), column("place", np.int32).astype(np.int64), width)
-    return tuple(np.concatenate([a, b]) for a, b in zip(done.T, found, strict=True))
+    doc, place = column("doc", np.int64), column("place", np.int32).astype(np.int64)
+    found, earliest = _classify(shared, column("length", np.uint8).astype(np.int64), lefts, column("left_length", np.uint8).astype(np.int64), doc, place, width, hot)
+    yield *found, None
+    for a, at in enumerate(earliest):
+        keys = [hashlib.blake2b(lefts[i, span - a :].tobytes() + suffixes[i][: width - a], digest_size=16, salt=bytes([a])).digest() for i in at.tolist()]
+        yield doc[at], place[at] - a, place[at] - a + width, keys
 
 
-def _merged(width: int = WIDTH):
+def _merged(buckets: int, width: int = WIDTH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put(rows: list[dict]) -> pa.RecordBatch:
-            doc, start, end = _merge_bucket(rows, width)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc", "start", "end"])
+        def put(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            for *span, keys in _merge_bucket(rows, width, rows[0]["bucket"] >= buckets):
+                columns = [pa.array(x, pa.int64()) for x in span]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary()) if keys is None else pa.array(keys, pa.binary())], ["doc", "start", "end", "key"])
 
         rows: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if rows and rows[-1]["bucket"] != row["bucket"]:
-                    yield put(rows)
+                    yield from put(rows)
                     rows = []
                 rows.append(row)
         if rows:
-            yield put(rows)
+            yield from put(rows)
 
     return run
 
@@ -383,14 +444,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = freeze(narrow.join(firsts, "digest").where("doc <> first").select("doc", F.lit(True).alias("copy")), "repeats_copies")
     unique = source.join(copies, "doc", "left_anti").select("doc", "text")
 
-    rows = unique.mapInArrow(_anchor_rows, "gram long, doc long, place int, mark byte")
-    places = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "doc long, place int")
-    places = freeze(places.groupBy("doc").agg(F.sort_array(F.collect_list("place")).alias("places")), "repeats_places")
+    rows = unique.mapInArrow(_anchor_rows, "gram long, doc long, place int, times int")
+    found = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated(HOT_SUFFIXES), "doc long, place int, hot long")
+    found = freeze(found, "repeats_found")
+    # a row for every HOT_SUFFIXES anchors at most
+    hot = {r["hot"]: r["place"] for r in found.where("hot is not null").collect()}
+    places = freeze(found.where("hot is null").groupBy("doc").agg(F.sort_array(F.collect_list("place")).alias("places")), "repeats_places")
     n_places = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(n_places / BUCKET_SUFFIXES))
-    runs = unique.join(places, "doc").select("doc", "text", "places").mapInArrow(_runs(buckets), RUN)
-    spans = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(), "doc long, start long, end long")
-    spans = freeze(spans, "repeats_spans")
+    dealt, all_buckets = _hot_buckets(hot, buckets)
+    runs = unique.join(places, "doc").select("doc", "text", "places").mapInArrow(_runs(buckets, dealt), RUN)
+    merged = runs.repartition(all_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(buckets), "doc long, start long, end long, key binary")
+    merged = freeze(merged, "repeats_spans")
+    spans = merged.where("key is null").drop("key")
+    if hot:  # a window's rows here are as many as its start has buckets
+        places_of_window = Window.partitionBy("key").orderBy("doc", "start")
+        later = merged.where("key is not null").withColumn("n", F.row_number().over(places_of_window)).where("n > 1")
+        spans = spans.unionByName(later.select("doc", "start", "end"))
     spans = freeze(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats_by_doc")
 
     whole = source.join(copies, "doc", "left").join(spans, "doc", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")

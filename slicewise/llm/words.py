@@ -29,7 +29,7 @@ _ROLES = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _FACTOR) | np.uint64(1
 
 
 @lru_cache
-def _byte_values(lower: bool) -> np.ndarray:
+def byte_values(lower: bool = False) -> np.ndarray:
     code = np.arange(256)
     if lower:
         code[65:91] += 32
@@ -61,7 +61,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def rolling(data: np.ndarray, lower: bool = False) -> np.ndarray:
     """Prefix sums c; bytes [i, j) hash to ``(c[j] - c[i]) * down[i]``."""
     c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values(lower)[data] * powers(len(data))[0], out=c[1:])
+    np.cumsum(byte_values(lower)[data] * powers(len(data))[0], out=c[1:])
     return c
 
 

@@ -46,6 +46,25 @@ def test_repeats_of_every_kind(spark, monkeypatch):
     assert rows(remove_repeats(df)) == brute(texts)
 
 
+def test_starts_that_very_many_have(spark, monkeypatch):
+    """A passage and lines of 60 to 99 bytes in every document, dealt to many buckets."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_SUFFIXES", 50)
+    monkeypatch.setattr(suffix_dedup, "HOT_SUFFIXES", 6)
+    passage, lines = odd.prose(1, 30), [odd.prose(2 + n, 30)[:n] for n in (60, 80, 99)]
+    texts = [(i, "".join(odd.prose(100 * i + k, 6) + x for k, x in enumerate([passage, *lines])) + ("" if i % 3 else odd.prose(7, 20))) for i in range(60)]
+    texts += [(70, passage + lines[2] + passage), (71, lines[1] + lines[1]), (72, "a" * 300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(20)
+    dealt = []
+    real = suffix_dedup._hot_buckets
+    monkeypatch.setattr(suffix_dedup, "_hot_buckets", lambda hot, buckets: (dealt.append(hot), real(hot, buckets))[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert rows(remove_repeats(df)) == brute(texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(dealt[0]) >= 4 and max(dealt[0].values()) >= 5
+
+
 def test_empty(spark):
     assert remove_repeats(odd.empty(spark)).count() == 0
 
