@@ -106,7 +106,7 @@ class Matcher:
                     continue
                 # the first shared token: none before it is shared, so only what follows can count
                 tried.add(t)
-                if 1 + min(len(template.tokens) - i, len(known) - j) - 1 < template.needed:
+                if min(len(template.tokens) - i, len(known) - j) < template.needed:
                     continue
                 both = len(own.intersection(template.tokens))
                 if both >= template.needed:

@@ -1,4 +1,4 @@
-"""Reading inputs and cutting lineage with tables in the cluster's shared folder.
+"""Reading inputs, and cutting lineage with tables in the cluster's shared folder.
 
 Every operator follows the same rules for odd input: the columns it works on
 are selected into names of its own first, so extra columns never clash with
@@ -8,33 +8,10 @@ result with the documented columns.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: used only where the session names no folder, as in tests on one machine
-LOCAL_SHARED_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return (named or LOCAL_SHARED_DIR).rstrip("/")
-
-
-def freeze(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts lineage so that a lost executor costs only the running stage, gives
-    later joins a table of known size, and pins whatever was not deterministic.
-    The folder follows the cluster's retention of ``spark.checkpoint.dir``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/slicewise/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import freeze  # noqa: F401  the operators' way to cut lineage
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
