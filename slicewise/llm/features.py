@@ -45,13 +45,28 @@ def word_counts(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return found.astype(np.int32), (value / max(np.sqrt((value**2).sum()), 1e-9)).astype(np.float32)
 
 
+def seeded_rows(ids: DataFrame, rows: int, seed: int) -> DataFrame:
+    """At most ``rows`` rows of ``ids``, the first by a seeded hash of the column id and then by all columns.
+
+    Where there are many more, a cut by the hash comes first, so that each task
+    passes on a few rows and not ``rows``; if it leaves too few (one id in very
+    many rows), it isn't used.
+    """
+    luck = F.xxhash64(F.lit(seed), "id")
+    share = max(1, ids.count() // (4 * rows))
+    some = ids.where(F.pmod(F.shiftrightunsigned(luck, 20), F.lit(share)) == 0)
+    if share > 1 and some.count() < rows:
+        some = ids
+    return some.orderBy(luck, *ids.columns).limit(rows)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", seed: int = 5) -> DataFrame:
     """At most ``rows`` labelled rows of documents (id, text, n_chars, label) that are not held out.
 
     Chosen by a seeded hash of the id among all labelled rows; a null label is no label.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null").where(~held_out(F.col("id")))
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64(F.lit(seed), "id"), "id", "label").limit(rows))  # bounded by rows
+    chosen = F.broadcast(seeded_rows(chosen, rows, seed))  # bounded by rows
     return source(docs, id_col).join(chosen, "id")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .factorisation import sigmoid
-from .features import held_out, source, word_marks
+from .features import held_out, seeded_rows, source, word_marks
 from .tables import freeze
 
 
@@ -110,9 +110,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", p
     if prior is None:
         prior = float(np.clip(known[0] if known[1] else 0.05, 0.005, 0.5))
     rows = source(docs, id_col).select("id", "text")
-    luck = F.xxhash64(F.lit(seed), "id")
-    confirmed = F.broadcast(open_labels.where("label = 1").select("id").distinct().orderBy(luck, "id").limit(positives))  # bounded by positives
-    sampled = rows.select("id").where("id is not null").where(~held_out(F.col("id"))).orderBy(luck, "id").limit(unlabelled)
+    confirmed = F.broadcast(seeded_rows(open_labels.where("label = 1").select("id").distinct(), positives, seed))  # bounded by positives
+    sampled = seeded_rows(rows.select("id").where("id is not null").where(~held_out(F.col("id"))), unlabelled, seed)
     sampled = F.broadcast(sampled.distinct())  # bounded by unlabelled
     texts = freeze(rows.join(confirmed, "id").withColumn("positive", F.lit(1)).unionByName(rows.join(sampled, "id").withColumn("positive", F.lit(0))), "toxicity_sample")
     n_pos, n_unl = texts.agg(F.coalesce(F.sum("positive"), F.lit(0)), F.coalesce(F.sum(1 - F.col("positive")), F.lit(0))).first()

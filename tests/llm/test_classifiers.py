@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from slicewise.llm.factorisation import FACTORS, Machine, fit_quality, score_quality, train
 from slicewise.llm import words
-from slicewise.llm.features import STATISTICS, is_held_out, word_marks
+from slicewise.llm.features import STATISTICS, is_held_out, seeded_rows, word_marks
 from slicewise.llm.tables import read
 from slicewise.llm.toxicity import fit_toxicity, score_toxicity, train_nnpu, without_toxic
 
@@ -44,6 +44,16 @@ def test_word_marks(monkeypatch):
     assert len(whole - marks(long)) < 150  # only words at the pieces' ends differ
 
 
+def test_seeded_rows(spark):
+    ids = spark.range(5000).select("id")
+    found = [sorted(r.id for r in seeded_rows(x, 50, 3).collect()) for x in (ids, ids.repartition(7))]
+    assert found[0] == found[1] and len(set(found[0])) == 50
+    assert seeded_rows(ids.where("id < 20"), 50, 3).count() == 20
+    repeated = spark.range(5000).select((F.col("id") % 3).alias("id"))
+    assert all(seeded_rows(repeated, 50, seed).count() == 50 for seed in range(4))
+    assert seeded_rows(ids.limit(0), 50, 3).count() == 0
+
+
 def test_risk_is_kept_from_falling_below_zero():
     """With few positives the correction keeps the classifier from calling every unlabelled text clean."""
     rng = np.random.default_rng(3)
