@@ -196,7 +196,8 @@ def near_dedup(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", tex
         labels = freeze(components(links), "near_labels")
 
     whole = nodes.join(labels, "node", "left").select("print", "id", F.coalesce("label", "node").alias("label"))
-    first = whole.groupBy("label").agg(F.min(order).alias("first"))
+    # frozen, so that the join below has exchanges of its own, which adaptive execution splits for a large component
+    first = freeze(whole.groupBy("label").agg(F.min(order).alias("first")), "near_firsts")
     of_print = freeze(whole.join(first, "label").select("print", F.col("first.id").alias("component_id")), "near_components")
     out = rows.select("id", "n", "print").join(of_print, "print", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
