@@ -118,7 +118,7 @@ def repaired_children(spark, sf_dir):
 
 # ---- subsets
 
-_C = "c_acctbal > 9500"
+_C = "c_mktsegment = 'BUILDING'"
 ROOT = f"customer WHERE {_C}"
 _O = f"o_custkey IN (SELECT c_custkey FROM customer WHERE {_C})"
 _L = f"l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_O})"
