@@ -10,7 +10,8 @@ so many more can follow (positional filter). What passes is counted exactly.
 
 Only the templates, their vocabulary and its counts travel: their size depends
 on the templates, not on the corpus. Besides blocks, places where the words of
-a phrase stand consecutively are found.
+a phrase stand consecutively are found, and notices: runs of consecutive words,
+whatever the line feeds, that hold as much of a template as a block must.
 """
 
 from __future__ import annotations
@@ -61,14 +62,15 @@ class Template:
     label: str
     tokens: list[bytes]  # in global order
     needed: int
+    span: int = 0  # words that a notice may take
 
 
 def order_templates(templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float) -> tuple[list[Template], dict[bytes, int]]:
     """Templates with tokens in the global order, and each token's place in it."""
-    sets = [(label, set(tokens(text.encode()))) for label, text in templates]
-    vocabulary = sorted(set().union(*(s for _, s in sets)), key=lambda x: (counts.get(x, 0), x))
+    lists = [(label, tokens(text.encode())) for label, text in templates]
+    vocabulary = sorted({x for _, found in lists for x in found}, key=lambda x: (counts.get(x, 0), x))
     rank = {x: i for i, x in enumerate(vocabulary)}
-    return [Template(label, sorted(s, key=rank.get), max(1, math.ceil(threshold * len(s) - 1e-9))) for label, s in sets if s], rank
+    return [Template(label, sorted(set(found), key=rank.get), max(1, math.ceil(threshold * len(set(found)) - 1e-9)), len(found) + len(found) // 2) for label, found in lists if found], rank
 
 
 class Matcher:
@@ -113,6 +115,57 @@ class Matcher:
                     out.append((template.label, both / len(template.tokens)))
         return out
 
+    def notices(self, found: list[bytes]) -> list[dict]:
+        """The runs of at most ``span`` words that hold a template. Of runs that overlap the
+        fullest counts, then the first; starts are those of its first word of the template."""
+        own, out = set(found), []
+        for template in self.templates:
+            # a run can't hold more than the whole text
+            if len(own.intersection(template.tokens)) < template.needed:
+                continue
+            held = frozenset(template.tokens)
+            at = [i for i, word in enumerate(found) if word in held]
+            full = self._run_sizes([found[i] for i in at], at, template.span)
+            taken = bytearray(len(at))
+            mine = []
+            for a in sorted((a for a in range(len(at)) if full[a] >= template.needed), key=lambda a: (-full[a], a)):
+                end = self._run_end(found, at, a, full[a])
+                if any(taken[a : end + 1]):
+                    continue
+                taken[a : end + 1] = b"\x01" * (end + 1 - a)
+                rest = Counter(found[i] for i in at[a : end + 1])
+                start = a
+                while rest[found[at[start]]] > 1:  # a word that comes again isn't the run's beginning
+                    rest[found[at[start]]] -= 1
+                    start += 1
+                mine.append({"label": template.label, "start": at[start], "containment": full[a] / len(template.tokens)})
+            out += sorted(mine, key=lambda x: x["start"])
+        return out
+
+    @staticmethod
+    def _run_sizes(held: list[bytes], at: list[int], span: int) -> list[int]:
+        """For each place how many different words the run of ``span`` words from it on holds."""
+        out, inside, end = [], Counter(), 0
+        for a in range(len(at)):
+            while end < len(at) and at[end] < at[a] + span:
+                inside[held[end]] += 1
+                end += 1
+            out.append(len(inside))
+            inside[held[a]] -= 1
+            if not inside[held[a]]:
+                del inside[held[a]]
+        return out
+
+    @staticmethod
+    def _run_end(found: list[bytes], at: list[int], a: int, size: int) -> int:
+        """The first place by which the run from ``a`` on holds ``size`` different words."""
+        seen: set[bytes] = set()
+        for end in range(a, len(at)):
+            seen.add(found[at[end]])
+            if len(seen) == size:
+                break
+        return end
+
 
 def _counts(vocabulary: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +179,14 @@ def _counts(vocabulary: frozenset[bytes]):
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_words, places, blocks.
+    """One row per input row: id, n_words, places, blocks, notices.
 
     ``places`` are (label, start) of the phrases, starts counted in words from 0;
     ``blocks`` are (label, line, containment) of the lines that match a template,
-    lines counted from 0; a line may match several. Null and empty texts have no
+    lines counted from 0; a line may match several. ``notices`` are (label, start,
+    containment) of the runs of consecutive words that hold a template, line feeds or
+    not, starts counted in words from 0: a notice wrapped over lines is one, and words
+    scattered over more than one and a half times the template's words are none. Null and empty texts have no
     words; repeated rows are scanned like others; extra columns are ignored; an
     empty table gives an empty result. Long lines are matched whole.
     """
@@ -147,8 +203,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         matcher = Matcher(ordered, rank, phrases)
         place = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
         block = pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("containment", pa.float64())]))
+        notice = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("containment", pa.float64())]))
         for batch in batches:
-            sizes, places, blocks = [], [], []
+            sizes, places, blocks, notices = [], [], [], []
             for text in words.texts(batch.column("text")):
                 text = text.tobytes()
                 found = tokens(text)
@@ -156,10 +213,11 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 hit = not matcher.triggers.isdisjoint(found)
                 places.append(matcher.places(found) if hit else [])
                 blocks.append([{"label": label, "line": i, "containment": share} for i, line in enumerate(text.split(b"\n")) for label, share in matcher.block(tokens(line))] if hit else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(places, place), pa.array(blocks, block)], ["id", "n_words", "places", "blocks"])
+                notices.append(matcher.notices(found) if hit else [])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(places, place), pa.array(blocks, block), pa.array(notices, notice)], ["id", "n_words", "places", "blocks", "notices"])
 
     kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInArrow(run, f"id {kind}, n_words long, places array<struct<label: string, start: long>>, blocks array<struct<label: string, line: long, containment: double>>")
+    out = source.mapInArrow(run, f"id {kind}, n_words long, places array<struct<label: string, start: long>>, blocks array<struct<label: string, line: long, containment: double>>, notices array<struct<label: string, start: long, containment: double>>")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import odd
 from slicewise.llm.licenses import TEMPLATES, Matcher, order_templates, scan_licenses, tokens
@@ -39,3 +40,35 @@ def test_templates_match_themselves():
     matcher = Matcher(*order_templates(TEMPLATES, {}, 0.8), {})
     for label, text in TEMPLATES:
         assert (label, 1.0) in matcher.block(tokens(text.encode()))
+
+
+def test_wrapped_notices(spark):
+    """Every template is found however its lines are broken; scattered words are no notice."""
+    rows = [(width * 100 + i, "intro words\n" + "\n".join(f" * {x}" for x in textwrap.wrap(text, width, break_long_words=False)) + "\nmore") for width in (12, 30, 60) for i, (_, text) in enumerate(TEMPLATES)]
+    rows += [(1, "it was released " + "word " * 9 + "under a tree, the " + "word " * 9 + "license"), (2, None), (3, ""), (4, "\n".join([TEMPLATES[1][1]] * 3))]
+    got = {r.doc_id: [(n.label, n.start, n.containment) for n in r.notices] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for width in (12, 30, 60):
+        for i, (label, _) in enumerate(TEMPLATES):
+            assert (label, 2, 1.0) in got[width * 100 + i]
+    assert got[1] == got[2] == got[3] == []
+    assert got[4] == [("mit", 0, 1.0), ("mit", 5, 1.0), ("mit", 10, 1.0)]
+
+
+def test_notices_against_every_run():
+    rng = random.Random(6)
+    for threshold in (0.5, 0.8, 1.0):
+        templates = [(f"t{i}", " ".join(rng.choices(odd.WORDS, k=rng.randrange(2, 9)))) for i in range(12)]
+        ordered, rank = order_templates(templates, {}, threshold)
+        matcher = Matcher(ordered, rank, {})
+        for _ in range(200):
+            found = tokens(" ".join(rng.choices(odd.WORDS, k=rng.randrange(40))).encode())
+            full = {}
+            for t in ordered:
+                sizes = [len(set(found[i : i + t.span]) & set(t.tokens)) for i in range(len(found))]
+                if max(sizes, default=0) >= t.needed:
+                    full[t.label] = max(sizes) / len(t.tokens)
+            got = matcher.notices(found)
+            assert {n["label"] for n in got} == set(full)
+            assert all(n["containment"] <= full[n["label"]] for n in got)
+            for label, most in full.items():
+                assert max(n["containment"] for n in got if n["label"] == label) == most
