@@ -1,9 +1,12 @@
 """Benchmark decontamination: BM25 over test items, block-max WAND, verification.
 
-The index holds the test items; every passage of the corpus is a query. BM25
-impacts are divided by the item's score against itself, so that 1 means "all of
-the item's weight is in the passage" and one threshold serves all items. Items
-are ordered by length and cut into blocks of four. For each passage the sums
+The index holds the test items, and as entries of their own the questions that
+tell alone; every passage of the corpus is a query. BM25 impacts are divided by
+the entry's score against itself, so that 1 means "all of the entry's weight is in
+the passage". What the verification accepts has a least share for each entry. Impacts
+of questions are scaled so that it is the threshold, and impacts of whole items are
+where it is below the threshold, so that one threshold serves all entries and throws
+away nothing that would be verified. Entries are ordered by length and cut into blocks of four. For each passage the sums
 of its terms' block maxima tell which blocks can reach the threshold at all; where none can the passage is done.
 Elsewhere WAND with block maxima finds every item above the threshold. Hits are
 verified on five-word shingles of the item's question and answer.
@@ -38,6 +41,8 @@ LEAST_STRIDE = 32
 #: words of test items in one part of the index
 PART_WORDS = 2_000_000
 EPSILON = 1e-9
+#: words of a part times shingles that may be missing, up to which the least share is found place by place
+SHARE_WORK = 4_000_000
 
 
 def split_item(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -76,6 +81,40 @@ class Item:
         return self.question + self.answer
 
 
+def least_share(found: list[bytes], impacts: dict[bytes, float], least: float) -> float:
+    """A lower bound of the share of its weight that a text has which holds ``least`` of the part's shingles.
+
+    A word that the text doesn't have takes all shingles around it away; the most weight that
+    can go with the shingles that may be missing is found place by place. The weight of a
+    repeated word is dealt to its places, which can only lower the bound. For very long parts
+    a looser bound does: a place in the middle takes as many shingles as a shingle has places.
+    """
+    width = min(5, len(found))
+    places, own = len(found) - width + 1, len(shingle_set(found))
+    missing = next(m for m in range(own, -1, -1) if (own - m) / own >= least)
+    spare = missing + places - own  # of repeated shingles each place counts
+    times = Counter(found)
+    if len(found) * spare > SHARE_WORK:
+        heaviest = sorted((impacts[w] / times[w] for w in found), reverse=True)[: spare + 2 * (width - 1)]
+        return max(0.0, 1 - sum(heaviest) / sum(impacts.values()))
+    # most[d, c]: the weight that is gone at c lost shingles, the last lost word d + 1 places back (width or more: the last row)
+    most = np.full((width, spare + 1), -np.inf)
+    most[-1, 0] = 0.0
+    for at, word in enumerate(found):
+        lost = np.full(spare + 1, -np.inf)
+        for d in range(width):
+            cost = max(0, min(at, places - 1) - max(at - d, 0) + 1)
+            if cost <= spare:
+                np.maximum(lost[cost:], most[d, : spare + 1 - cost] + impacts[word] / times[word], out=lost[cost:])
+        most[-1] = np.maximum(most[-1], most[-2]) if width > 1 else most[-1]
+        if width > 1:
+            most[1:-1] = most[:-2].copy()
+            most[0] = lost
+        else:
+            most[0] = np.maximum(most[0], lost)
+    return 1 - float(most.max()) / sum(impacts.values())
+
+
 class Index:
     """A part of the inverted index, with block maxima.
 
@@ -83,8 +122,18 @@ class Index:
     ``n_items`` and ``mean_words`` are of all items.
     """
 
-    def __init__(self, items: list[Item], held_by: dict[bytes, int], n_items: int, mean_words: float, longest: int, threshold: float) -> None:
-        self.items = sorted((x for x in items if x.words), key=lambda x: (len(x.words), str(x.item_id)))
+    def __init__(self, items: list[Item], held_by: dict[bytes, int], n_items: int, mean_words: float, longest: int, threshold: float, least: float = 0.75) -> None:
+        idf = {term: math.log(1 + (n_items - held + 0.5) / (held + 0.5)) for term, held in held_by.items()}
+        entries = []  # the entry, the item that it stands for, and whether that item's question tells alone
+        for item in items:
+            if item.words:
+                asks = self.tells(item, idf, n_items)
+                entries.append((item, item, asks))
+                if asks and item.answer:
+                    entries.append((Item(item.item_id, item.question, []), item, True))
+        entries.sort(key=lambda x: (len(x[0].words), str(x[0].item_id)))
+        self.items, self.wholes, self.asks = ([x[i] for x in entries] for i in range(3))
+        self.raised: list[float] = []
         self.threshold = threshold
         self.stride = max(LEAST_STRIDE, longest)
         self.terms: dict[bytes, int] = {}
@@ -92,9 +141,10 @@ class Index:
         for ordinal, item in enumerate(self.items):
             impacts = {}
             for term, times in Counter(item.words).items():
-                idf = math.log(1 + (n_items - held_by[term] + 0.5) / (held_by[term] + 0.5))
-                impacts[term] = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(item.words) / mean_words))
-            whole = sum(impacts.values())
+                impacts[term] = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * len(item.words) / mean_words))
+            raised = threshold / max(EPSILON, least_share(item.words, impacts, least) - EPSILON)
+            self.raised.append(raised if item is not self.wholes[ordinal] else max(1.0, raised))
+            whole = sum(impacts.values()) / self.raised[-1]
             for term, impact in impacts.items():
                 if (t := self.terms.setdefault(term, len(postings))) == len(postings):
                     postings.append([])
@@ -123,6 +173,14 @@ class Index:
             starts.append(len(pair_block))
         self.starts, self.pair_block, self.pair_max = np.array(starts), np.array(pair_block, np.int64), np.array(pair_max)
 
+    @staticmethod
+    def tells(item: Item, idf: dict[bytes, float], n_items: int) -> bool:
+        """Whether a question is a leak without its answer: it is half of the item or more, or has a
+        whole shingle and words so rare that by chance none in ``n_items`` items has them all."""
+        if 2 * len(item.question) >= len(item.words):
+            return True
+        return len(item.question) >= 5 and sum(idf[w] for w in set(item.question)) >= 2 * math.log(1 + n_items)
+
     def live(self, ids: np.ndarray) -> dict[int, set[int]]:
         """Passages with the blocks whose maxima reach the threshold in them."""
         out: dict[int, set[int]] = {}
@@ -203,23 +261,24 @@ class Index:
             return []
         get = self.terms.get
         ids = np.array([get(w, -1) for w in found], np.int64)
-        best: dict[int, tuple[float, float, float, float]] = {}
+        best: dict[int, tuple[Item, float, float, float, float]] = {}
         for passage, live in self.live(ids).items():
             start = passage * self.stride
             end = len(found) if passage == self.passages(len(found)) - 1 else start + 2 * self.stride
             terms = np.unique(ids[start:end])
             for ordinal, score in self.search(terms[terms >= 0].tolist(), live):
-                item = self.items[ordinal]
+                item = self.wholes[ordinal]
                 margin = len(item.words)
                 region = found[max(0, start - margin) : end + margin]
                 question, answer, whole = (overlap(x, region) for x in (item.question, item.answer, item.words))
-                asked = question if 2 * len(item.question) >= len(item.words) else 0.0
-                if max(asked, whole) >= least and score > best.get(ordinal, (0.0,))[0]:
-                    best[ordinal] = (score, question, answer, whole)
-        return [(self.items[o].item_id, *x) for o, x in sorted(best.items())]
+                asked = question if self.asks[ordinal] else 0.0
+                share = score / self.raised[ordinal]
+                if max(asked, whole) >= least and share > best.get(id(item), (item, 0.0))[1]:
+                    best[id(item)] = (item, share, question, answer, whole)
+        return [(item.item_id, *x) for item, *x in best.values()]
 
 
-def _index_parts(items: DataFrame, item_col: str, text_col: str, threshold: float, part_words: int) -> Iterator[Index]:
+def _index_parts(items: DataFrame, item_col: str, text_col: str, threshold: float, least: float, part_words: int) -> Iterator[Index]:
     """The parts of the index, one after the other; a part's items fit the driver by ``part_words``."""
     source = items.select(F.col(item_col).alias("item_id"), text_or_empty(text_col).cast("binary").alias("text"))
 
@@ -241,17 +300,20 @@ def _index_parts(items: DataFrame, item_col: str, text_col: str, threshold: floa
         terms = own.select(F.explode("all").alias("term")).distinct().join(held_by, "term")
         counts = {bytes(r["term"]): r["count"] for r in terms.collect()}
         found = [Item(r["item_id"], [bytes(w) for w in r["question"]], [bytes(w) for w in r["answer"]]) for r in own.select("item_id", "question", "answer").collect()]
-        yield Index(found, counts, n_items, n_words / n_items, longest, threshold)
+        yield Index(found, counts, n_items, n_words / n_items, longest, threshold, least)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_words: int = PART_WORDS) -> DataFrame:
     """One row for each document and test item that it leaks, and none for clean documents:
     id, item id, score, question_overlap, answer_overlap, overlap.
 
-    ``score`` is the best passage's BM25 over the item's score against itself, at
-    least ``threshold``. A hit counts when at least ``least`` of the shingles of
-    question and answer together, or of a question that is half of the item or
-    more, are in the passage and its margins. Words are lower-cased runs of letters and digits, so case and
+    A hit counts when at least ``least`` of the shingles of question and answer
+    together, or of a question that tells alone, are in the passage and its margins. A
+    question tells alone if it is half of the item or more, or has five words or more
+    and together they are rare among the items. ``score`` is the best passage's BM25 over
+    the score of item or question against itself; ``threshold`` bounds it from below
+    except where a text with ``least`` of the shingles can have less, so that no copy
+    spread over at most the words of the longest item is lost before it is verified. Words are lower-cased runs of letters and digits, so case and
     punctuation don't hide a leak. Null and empty texts and items match
     nothing; repeated rows are reported again; extra columns are ignored; empty
     tables give an empty result.
@@ -276,6 +338,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least:
 
         return run
 
-    parts = [source.mapInArrow(scan(index), shape) for index in _index_parts(items, item_col, item_text_col, threshold, part_words)]
+    parts = [source.mapInArrow(scan(index), shape) for index in _index_parts(items, item_col, item_text_col, threshold, least, part_words)]
     found = union_all(parts) if parts else source.limit(0).select("id", F.lit(None).cast(item_type).alias("item"), *(F.lit(0.0).alias(c) for c in ("score", "question_overlap", "answer_overlap", "overlap")))
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "question_overlap", "answer_overlap", "overlap")

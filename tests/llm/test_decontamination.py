@@ -3,7 +3,8 @@ from collections import Counter
 
 import numpy as np
 import odd
-from slicewise.llm.decontamination import Index, Item, find_leaks, overlap, split_item
+from slicewise.llm import decontamination
+from slicewise.llm.decontamination import Index, Item, find_leaks, least_share, overlap, split_item
 from slicewise.llm.licenses import tokens
 from slicewise.llm.tables import read
 
@@ -80,3 +81,55 @@ def test_split_item():
     assert split_item(b"What is it? A thing.") == ([b"what", b"is", b"it"], [b"a", b"thing"])
     assert split_item(b"a b c d e f g h") == ([b"a", b"b", b"c", b"d", b"e", b"f"], [b"g", b"h"])
     assert split_item(b"") == ([], [])
+
+
+def test_questions_alone(spark):
+    """Each verbatim question counts without its answer unless it says too little, as does the part of it that verification accepts."""
+    items = [r for r in read(spark, SF, "benchmark").collect()]
+    split = {r.item_id: split_item(r.text.encode()) for r in items}
+    said = {i: b" ".join(q).decode() for i, (q, _) in split.items()}
+    filler = " ".join(f"zz{i}" for i in range(100))
+    docs = [(i, f"{filler} {q} {filler}") for i, q in said.items()]
+    for i, (q, _) in split.items():  # the last or first words are gone, as many as verification allows
+        most = next(k for k in range(len(q), -1, -1) if overlap(q, q[: len(q) - k]) >= 0.75)
+        docs += [(1000 + i, f"{filler} {b' '.join(q[: len(q) - most]).decode()} {filler}"), (2000 + i, f"{filler} {b' '.join(q[most:]).decode()} {filler}")]
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items)).collect()}
+    told = {i for i, (q, a) in split.items() if 2 * len(q) >= len(q + a) or len(q) >= 5}
+    assert len(told) >= 35 and sum(2 * len(q) < len(q + a) for i, (q, a) in split.items() if i in told) >= 5
+    for base in (0, 1000, 2000):
+        assert {(base + i, i) for i in told} <= got
+    assert not {(i, i) for i in set(split) - told} & got
+
+
+def test_verification_alone_decides(spark):
+    docs, items = read(spark, SF, "documents").collect(), read(spark, SF, "benchmark").collect()
+    index = index_of([(r.item_id, r.text or "") for r in items])
+    want = set()
+    for r in docs:
+        found = tokens((r.text or "").encode())
+        held = {tuple(found[i : i + 5]) for i in range(len(found) - 4)}
+        for o, item in enumerate(index.items):
+            shingles = {tuple(item.words[i : i + 5]) for i in range(len(item.words) - 4)}
+            if len(item.words) < 5 and overlap(item.words, found) >= 0.75 or shingles and len(shingles & held) / len(shingles) >= 0.75:
+                want.add((r.doc_id, item.item_id))
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs), spark.createDataFrame(items)).collect()}
+    assert got == want
+
+
+def test_least_share_is_a_bound(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(150):
+        found = [rng.choice("abcdefghijklmn"[: rng.randrange(1, 15)]).encode() for _ in range(rng.randrange(1, 13))]
+        impacts = {w: rng.random() ** 3 + 1e-3 for w in found}
+        bound = least_share(found, impacts, 0.75)
+        exact = 1.0
+        for mask in range(1 << len(impacts)):
+            gone = {w for k, w in enumerate(impacts) if mask >> k & 1}
+            if overlap(found, [b"" if w in gone else w for w in found]) >= 0.75:
+                exact = min(exact, 1 - sum(impacts[w] for w in gone) / sum(impacts.values()))
+        assert bound <= exact + 1e-9
+        if len(impacts) == len(found):
+            assert bound >= exact - 1e-9
+        with monkeypatch.context() as m:
+            m.setattr(decontamination, "SHARE_WORK", -1)
+            assert least_share(found, impacts, 0.75) <= bound + 1e-9
