@@ -87,9 +87,14 @@ def word_marks(text: np.ndarray) -> np.ndarray:
     beginnings that at least two different words have."""
     if not len(text):
         return np.zeros(0, np.uint64)
-    rows = []
-    for at in range(0, len(text), words.PIECE):  # a word cut between pieces is seen as two as well
-        rows.append(_distinct_words(text[at : at + words.PIECE]))
+    rows, at = [], 0
+    while at < len(text):
+        end = at + words.PIECE
+        while end < len(text) and _LETTERS[text[end]]:  # to the end of a word
+            gap = np.flatnonzero(~_LETTERS[text[end : end + words.PIECE]])
+            end += int(gap[0]) if len(gap) else words.PIECE
+        rows.append(_distinct_words(text[at:end]))
+        at = end
     found = _distinct(np.concatenate(rows)) if len(rows) > 1 else rows[0]
     begun, times = np.unique(found[:, 1:], return_counts=True)
     several = words.mix(begun[(times > 1) & (begun > 0)] + np.uint64(1))

@@ -44,6 +44,15 @@ def test_word_marks(monkeypatch):
     assert len(whole - marks(long)) < 150  # only words at the pieces' ends differ
 
 
+def test_word_marks_at_a_cut(monkeypatch):
+    """A text cut into pieces has the marks of the whole text, wherever a cut falls."""
+    texts = [np.frombuffer(t.encode(), np.uint8) for t in (" ".join(f"word{i}" for i in range(500)), "x " * 20 + "longword" * 40 + " end", "-" * 300, "größe " * 60)]
+    whole = [word_marks(t) for t in texts]
+    for piece in (16, 17, 31, 64):
+        monkeypatch.setattr(words, "PIECE", piece)
+        assert all((word_marks(t) == w).all() for t, w in zip(texts, whole, strict=True))
+
+
 def test_seeded_rows(spark):
     ids = spark.range(5000).select("id")
     found = [sorted(r.id for r in seeded_rows(x, 50, 3).collect()) for x in (ids, ids.repartition(7))]
