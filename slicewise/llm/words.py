@@ -102,11 +102,20 @@ def shingles(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def texts(column: pa.Array) -> Iterator[np.ndarray]:
-    """The bytes of each text of a binary or string column without nulls, uncopied."""
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary or string column without nulls, laid end to end, and where each text ends, from 0 on; uncopied."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
-    ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
-    buffer = column.buffers()[2] if len(column) else None
+    ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    buffer = column.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
+
+
+def texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """The bytes of each text of a binary or string column without nulls, uncopied."""
+    data, ends = flat(column)
+    ends = ends.tolist()
     for a, b in zip(ends, ends[1:]):
         yield data[a:b]

@@ -1,11 +1,14 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import odd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from slicewise.llm import suffix_dedup
-from slicewise.llm.suffix_dedup import anchors, encode_run, merge_runs, merge_spans, remove_repeats
+from slicewise.llm.suffix_dedup import RunWriter, Suffixes, anchors, block_rows, merge_runs, merge_spans, padded, read_blocks, remove_repeats
 
 
 def brute(texts):
@@ -38,7 +41,6 @@ def test_odd_documents(spark):
 
 def test_repeats_of_every_kind(spark, monkeypatch):
     """Passages that overlap, repeat within a document, are cut by edits or are all one letter."""
-    monkeypatch.setattr(suffix_dedup, "BUCKET_SUFFIXES", 50)
     passages = [odd.prose(i, 40) for i in range(4)]
     texts = [(i, odd.prose(100 + i, 15) + passages[i % 4] + odd.prose(200 + i, 10) + passages[(i + 1) % 4][: 60 + 11 * i]) for i in range(16)]
     texts += [(20, "a" * 450), (21, "a" * 99), (22, passages[0][5:] + passages[0][5:]), (23, odd.edited(passages[1] * 3, 1, 0.08)), (24, passages[2][:99]), (25, passages[2][:100]), (26, "ab" * 200), (27, odd.prose(100, 15))]
@@ -46,41 +48,89 @@ def test_repeats_of_every_kind(spark, monkeypatch):
     assert rows(remove_repeats(df)) == brute(texts)
 
 
-def test_starts_that_very_many_have(spark, monkeypatch):
-    """A passage and lines of 60 to 99 bytes in every document, dealt to many buckets."""
-    monkeypatch.setattr(suffix_dedup, "BUCKET_SUFFIXES", 50)
-    monkeypatch.setattr(suffix_dedup, "HOT_SUFFIXES", 6)
+@pytest.mark.parametrize("sizes", [{"CHUNK": 7, "BLOCK": 3}, {"CHUNK": 50, "BLOCK": 5, "SAMPLES": 2}, {"CHUNK": 30, "BLOCK": 4, "FAN_IN": 2}])
+def test_starts_that_very_many_have(spark, monkeypatch, sizes):
+    """A passage and lines of 60 to 99 bytes in every document: starts cut by splitters and by chunks, and merges of groups of runs."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
     passage, lines = odd.prose(1, 30), [odd.prose(2 + n, 30)[:n] for n in (60, 80, 99)]
     texts = [(i, "".join(odd.prose(100 * i + k, 6) + x for k, x in enumerate([passage, *lines])) + ("" if i % 3 else odd.prose(7, 20))) for i in range(60)]
     texts += [(70, passage + lines[2] + passage), (71, lines[1] + lines[1]), (72, "a" * 300)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(20)
-    dealt = []
-    real = suffix_dedup._hot_buckets
-    monkeypatch.setattr(suffix_dedup, "_hot_buckets", lambda hot, buckets: (dealt.append(hot), real(hot, buckets))[1])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    found = []
+    real = suffix_dedup.splitters_of
+    monkeypatch.setattr(suffix_dedup, "splitters_of", lambda *x: (found.append(real(*x)), found[-1])[1])
     try:
-        assert rows(remove_repeats(df)) == brute(texts)
+        assert rows(remove_repeats(df, tasks=9)) == brute(texts)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert len(dealt[0]) >= 4 and max(dealt[0].values()) >= 5
+    assert len(found[0]) == 8
+
+
+def test_as_many_ranges_at_any_size(spark, monkeypatch):
+    """The number of runs and ranges follows the cluster, and runs get longer with the input."""
+    length = {}
+    real = suffix_dedup.sorted_runs
+    for n in (40, 160):
+        texts = [(i, odd.prose(i // 2, 60) + odd.prose(1000 + i, 9)) for i in range(n)]
+        made = []
+        monkeypatch.setattr(suffix_dedup, "sorted_runs", lambda *x, made=made: (made.append(real(*x)), made[-1])[1])
+        df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+        assert rows(remove_repeats(df)) == brute(texts)
+        blocks = made[0].select("part", "run", F.length("length").alias("n")).collect()
+        runs = Counter()
+        for b in blocks:
+            runs[b.part, b.run] += b.n
+        assert len({b.run for b in blocks}) <= 16 and len({b.part for b in blocks}) == 16
+        length[n] = sum(runs.values()) / len(runs)
+    assert length[160] > 2 * length[40]
+
+
+def test_shared_ids(spark):
+    """Rows that share an id are ordered by their texts' hash; of rows repeated in full one stays."""
+    passage = odd.prose(1, 40)
+    pairs = [(i % 4, odd.prose(50 + i, 9) + passage) for i in range(12)] + [(2, passage), (2, passage), (9, passage)]
+    pairs.sort(key=lambda x: (x[0], hashlib.sha256(x[1].encode()).digest()))
+    assert rows(remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string").repartition(5))) == brute(pairs)
 
 
 def test_empty(spark):
     assert remove_repeats(odd.empty(spark)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.binary(max_size=12).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=12), max_size=7))
-def test_loser_tree(runs):
-    """The merge gives all suffixes in order, with what neighbours share."""
-    coded = []
-    for run in runs:
-        r = encode_run([(s, b"", 0, 0) for s in sorted(run)], [], 12)
-        coded.append((list(r["shared"]), list(r["length"]), r["tails"]))
-    got = list(merge_runs(coded))
-    assert [s for _, _, s in got] == sorted(s for run in runs for s in run)
-    for (_, _, a), (_, h, b) in zip(got, got[1:]):
-        assert h == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+def coded(runs: list[list[bytes]], width: int = 12) -> list:
+    """Blocks of each run, in the order in which a merge asks for them."""
+    out = []
+    for number, run in enumerate(runs):
+        suffixes, writer = sorted(run), RunWriter(number)
+        if not suffixes:
+            continue
+        length = np.array([len(s) for s in suffixes])
+        shared = np.array([0] + [shared_bytes(a, b) for a, b in zip(suffixes, suffixes[1:])])
+        none, place = np.zeros((len(suffixes), 0), np.uint8), np.arange(len(suffixes))
+        some = Suffixes(shared, padded(np.frombuffer(b"".join(suffixes), np.uint8), length, width), length, none, np.zeros(len(suffixes), int), place + 100 * number, place)
+        out += [*writer.put(0, some), *writer.flush()]
+    out.sort(key=lambda r: (r["forecast"] is not None, r["forecast"] or b"", r["place_in_run"]))
+    return list(read_blocks([block_rows(out)], [], 32))
+
+
+def shared_bytes(a: bytes, b: bytes) -> int:
+    return next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.binary(min_size=1, max_size=12).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=12), max_size=7), st.integers(1, 5))
+def test_loser_tree(runs, block):
+    """The merge gives all suffixes in order, with what neighbours share and where they are from."""
+    before, suffix_dedup.BLOCK = suffix_dedup.BLOCK, block
+    try:
+        got = list(merge_runs(iter(coded(runs))))
+    finally:
+        suffix_dedup.BLOCK = before
+    assert [s for *_, s in got] == sorted(s for run in runs for s in run)
+    assert all(h == shared_bytes(a, b) for (*_, a), (_, _, h, b) in zip(got, got[1:]))
+    assert all(sorted(runs[b.doc[i] // 100])[b.doc[i] % 100] == s for b, i, _, s in got)
 
 
 def test_anchors_depend_on_the_window_alone(monkeypatch):
