@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: used only where the session names no folder, as in tests on one machine
+#: used only where the session names no folder and all runs on one machine, as in tests
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster's session that names no folder which driver and executors share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    A session with a local master may do without; on a cluster tables written to
+    machine-local folders would lose rows, so that is refused.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and context.master.split("[")[0] != "local":
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or LOCAL_SHARED_DIR).rstrip("/")
 
 
+def _new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/slicewise/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def freeze(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -23,8 +39,19 @@ def freeze(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     later joins a table of known size, and pins whatever was not deterministic.
     The folder follows the cluster's retention of ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/slicewise/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def freeze_parts(parts: Iterable[DataFrame], label: str) -> DataFrame | None:
+    """The union of parts with the same columns, each written before the next one is
+    asked for, so that what only one part needs (a broadcast, an index) is gone by then."""
+    paths, schema, spark = [], None, None
+    for part in parts:
+        spark, schema = part.sparkSession, part.schema
+        paths.append(f"{paths[0].rsplit('/', 1)[0] if paths else _new_path(spark, label)}/{len(paths):06d}")
+        part.write.option("compression", "zstd").parquet(paths[-1])
+        del part
+    return spark.read.schema(schema).parquet(*paths) if paths else None
