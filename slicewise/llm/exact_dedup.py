@@ -11,7 +11,8 @@ groups are formed on the full SHA-256.
 
 The filter is bounded: hash space is cut into slices so that the filter of one
 slice never exceeds ``filter_mb``, whatever the row count; it is broadcast
-because of that bound.
+because of that bound. What a slice's filter says of its rows is written out
+before the next filter is built, so one filter is alive at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import freeze, union_all
+from .tables import freeze, freeze_parts
 
 BLOCK_BITS = 1 << 15
 BLOCK_BYTES = BLOCK_BITS // 8
@@ -97,20 +98,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     keyed = freeze(keyed.withColumn("slice", F.floor(F.col("block") / per_slice).cast("int")), "exact_dedup", "slice" if slices > 1 else None)
 
-    out = []
-    for number in range(slices):
-        part = keyed.where(F.col("slice") == number) if slices > 1 else keyed
-        first = number * per_slice
-        size = min(per_slice, blocks - first)
-        planes = part.select("block", "bits").coalesce(MAX_BUILDERS).mapInArrow(_build(first, size), "block long, seen binary, again binary")
-        # at most filter_mb, by the choice of slices
-        twice = F.broadcast(freeze(planes.groupBy("block").applyInPandas(_merge, "filter_block long, words array<long>"), "exact_dedup_filter"))
-        probed = part.join(twice, part["block"] == twice["filter_block"], "left")
-        flags = [F.getbit(F.element_at("words", (F.shiftrightunsigned("bits", 15 * i).bitwiseAND(BLOCK_BITS - 1) / 64).cast("int") + 1), F.shiftrightunsigned("bits", 15 * i).bitwiseAND(63).cast("int")) == 1 for i in range(3)]
-        probed = probed.select("id", "digest", "row", F.coalesce(flags[0] & flags[1] & flags[2], F.lit(False)).alias("maybe"))
-        repeated = probed.where("maybe").select("id", "digest", "row")
-        # one row per text, combined before the shuffle: a text that fills a third of the table is a few rows by then
-        groups = freeze(repeated.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size")), "exact_dedup_groups")
-        out.append(repeated.join(groups, "digest").select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest"))
-        out.append(probed.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"))
-    return union_all(out).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    def probed() -> Iterator[DataFrame]:
+        for number in range(slices):
+            part = keyed.where(F.col("slice") == number) if slices > 1 else keyed
+            first = number * per_slice
+            size = min(per_slice, blocks - first)
+            planes = part.select("block", "bits").coalesce(MAX_BUILDERS).mapInArrow(_build(first, size), "block long, seen binary, again binary")
+            # at most filter_mb, by the choice of slices; written out before the next slice's filter is built
+            twice = F.broadcast(freeze(planes.groupBy("block").applyInPandas(_merge, "filter_block long, words array<long>"), "exact_dedup_filter"))
+            found = part.join(twice, part["block"] == twice["filter_block"], "left")
+            flags = [F.getbit(F.element_at("words", (F.shiftrightunsigned("bits", 15 * i).bitwiseAND(BLOCK_BITS - 1) / 64).cast("int") + 1), F.shiftrightunsigned("bits", 15 * i).bitwiseAND(63).cast("int")) == 1 for i in range(3)]
+            yield found.select("id", "digest", "row", F.coalesce(flags[0] & flags[1] & flags[2], F.lit(False)).alias("maybe"))
+
+    rows = freeze_parts(probed(), "exact_dedup_probed")
+    repeated = rows.where("maybe").select("id", "digest", "row")
+    # one row per text, combined before the shuffle: a text that fills a third of the table is a few rows by then
+    groups = freeze(repeated.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size")), "exact_dedup_groups")
+    again = repeated.join(groups, "digest").select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest")
+    alone = rows.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    return again.unionByName(alone).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import freeze  # noqa: F401  the operators' way to cut lineage
+from ..scratch import freeze, freeze_parts  # noqa: F401  the operators' way to cut lineage
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

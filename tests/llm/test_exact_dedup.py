@@ -3,6 +3,7 @@ from collections import Counter
 
 import odd
 import pytest
+from slicewise.llm import exact_dedup as exact_dedup_module
 from slicewise.llm.exact_dedup import exact_dedup
 
 
@@ -18,6 +19,28 @@ def test_against_a_dictionary(spark, options):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_one_filter_at_a_time(spark, monkeypatch):
+    """Each slice's filter is gone before the next one is built, and none is in the result's plan."""
+    events, real = [], exact_dedup_module.freeze_parts
+
+    def watched(parts, label):
+        def told():
+            for part in parts:
+                plan = part._jdf.queryExecution().executedPlan().toString()
+                events.append(plan.count("BroadcastExchange"))
+                yield part
+
+        return real(told(), label)
+
+    monkeypatch.setattr(exact_dedup_module, "freeze_parts", watched)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2900) AS text")
+    out = exact_dedup(docs, filter_mb=0, bits_per_text=64)
+    assert len(events) == 6 and set(events) == {1}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "filter_block" not in plan and "words" not in plan
+    assert out.where("not kept").count() == 100
+
+
 def test_empty(spark):
     out = exact_dedup(odd.empty(spark))
     assert out.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"] and out.count() == 0
