@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .tables import freeze
 
 # fixed values: names of the structure statistics, in order
 STATISTICS = (
@@ -60,14 +61,26 @@ def seeded_rows(ids: DataFrame, rows: int, seed: int) -> DataFrame:
     return some.orderBy(luck, *ids.columns).limit(rows)
 
 
+def one_row_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of ``rows`` (id, text and others) for each of the ids that it has, however many rows share one.
+
+    It is the one with the smallest hash of its text, chosen before the shuffle in each
+    partition. ``ids`` are few: they are broadcast.
+    """
+    others = [c for c in rows.columns if c != "id"]
+    least = F.min(F.struct(F.xxhash64("text").alias("luck"), *others)).alias("row")
+    return rows.join(F.broadcast(ids.select("id").distinct()), "id").groupBy("id").agg(least).select("id", *[F.col(f"row.{c}") for c in others])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", seed: int = 5) -> DataFrame:
     """At most ``rows`` labelled rows of documents (id, text, n_chars, label) that are not held out.
 
     Chosen by a seeded hash of the id among all labelled rows; a null label is no label.
+    Of documents that share an id one is taken, so the bound holds for what is returned.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null").where(~held_out(F.col("id")))
-    chosen = F.broadcast(seeded_rows(chosen, rows, seed))  # bounded by rows
-    return source(docs, id_col).join(chosen, "id")
+    chosen = freeze(seeded_rows(chosen, rows, seed), "labelled_ids")  # bounded by rows
+    return one_row_each(source(docs, id_col), chosen).join(F.broadcast(chosen), "id")
 
 
 def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .factorisation import sigmoid
-from .features import held_out, seeded_rows, source, word_marks
+from .features import held_out, one_row_each, seeded_rows, source, word_marks
 from .tables import freeze
 
 
@@ -49,6 +49,35 @@ class Classifier:
         return float(self.bias + self.weights[self.present(text)].sum())
 
 
+Texts = tuple[int, np.ndarray, np.ndarray]
+
+
+def entries(texts: list[np.ndarray]) -> Texts:
+    """How many texts there are, and the mark and the text of each of their entries."""
+    return len(texts), np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+
+
+def mean_loss(theta: np.ndarray, texts: Texts, sign: float) -> tuple[float, np.ndarray]:
+    """Mean logistic loss of ``sign * g`` and its gradient; the last of ``theta`` is the bias."""
+    n, index, owner = texts
+    g = theta[-1] + np.bincount(owner, weights=theta[index], minlength=n)
+    slope = -sign * sigmoid(-sign * g) / n
+    out = np.bincount(index, weights=slope[owner], minlength=len(theta))
+    out[-1] = slope.sum()
+    return float(np.logaddexp(0, -sign * g).mean()), out
+
+
+def nn_risk(theta: np.ndarray, positive: Texts, unlabelled: Texts, prior: float, beta: float = 0.0, gamma: float = 1.0) -> tuple[float, np.ndarray]:
+    """The non-negative risk, and the direction that a step goes against: its gradient, or where
+    the part of the negative texts is below ``-beta``, ``-gamma`` times that part's gradient."""
+    loss, up = mean_loss(theta, positive, 1.0)
+    loss_p, down_p = mean_loss(theta, positive, -1.0)
+    loss_u, down_u = mean_loss(theta, unlabelled, -1.0)
+    negative = loss_u - prior * loss_p
+    direction = prior * up + down_u - prior * down_p if negative >= -beta else -gamma * (down_u - prior * down_p)
+    return prior * loss + max(0.0, negative), direction
+
+
 def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_marks: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk; texts are arrays of mark places."""
     theta = np.zeros(n_marks + 1)
@@ -56,30 +85,9 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_marks
     if not positive or not unlabelled:
         return theta[:-1], float(theta[-1])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-
-    def entries(texts: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
-        """Texts, and the mark and the text of each of their entries."""
-        return len(texts), np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-
-    def gradient(texts: tuple[int, np.ndarray, np.ndarray], sign: float) -> tuple[float, np.ndarray]:
-        """Mean logistic loss of ``sign * g`` and its gradient."""
-        n, index, owner = texts
-        g = theta[-1] + np.bincount(owner, weights=theta[index], minlength=n)
-        slope = -sign * sigmoid(-sign * g) / n
-        out = np.bincount(index, weights=slope[owner], minlength=n_marks + 1)
-        out[-1] = slope.sum()
-        return float(np.logaddexp(0, -sign * g).mean()), out
-
     some, rest = entries(positive), entries(unlabelled)
     for step in range(1, steps + 1):
-        _, up = gradient(some, 1.0)
-        loss_p, down_p = gradient(some, -1.0)
-        loss_u, down_u = gradient(rest, -1.0)
-        negative = loss_u - prior * loss_p
-        if negative >= -beta:
-            grad = prior * up + down_u - prior * down_p
-        else:
-            grad = -gamma * (down_u - prior * down_p)
+        _, grad = nn_risk(theta, some, rest, prior, beta, gamma)
         grad[:-1] += decay * theta[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
@@ -102,18 +110,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", p
     """Learns from at most ``positives`` confirmed and ``unlabelled`` other texts.
 
     Held-out ids are in neither. The unlabelled texts are a seeded sample of all
-    documents, toxic or not, whatever their labels say. ``prior`` is the share of
-    toxic texts; by default that of the labelled rows that aren't held out.
+    documents, toxic or not, whatever their labels say. Of documents that share an
+    id one is taken, so the bounds hold for what is collected. ``prior`` is the share
+    of toxic texts; by default that of the labelled rows that aren't held out.
     """
     open_labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null").where(~held_out(F.col("id")))
     known = open_labels.agg(F.avg("label"), F.count("*")).first()
     if prior is None:
         prior = float(np.clip(known[0] if known[1] else 0.05, 0.005, 0.5))
     rows = source(docs, id_col).select("id", "text")
-    confirmed = F.broadcast(seeded_rows(open_labels.where("label = 1").select("id").distinct(), positives, seed))  # bounded by positives
-    sampled = seeded_rows(rows.select("id").where("id is not null").where(~held_out(F.col("id"))), unlabelled, seed)
-    sampled = F.broadcast(sampled.distinct())  # bounded by unlabelled
-    texts = freeze(rows.join(confirmed, "id").withColumn("positive", F.lit(1)).unionByName(rows.join(sampled, "id").withColumn("positive", F.lit(0))), "toxicity_sample")
+    confirmed = freeze(seeded_rows(open_labels.where("label = 1").select("id").distinct(), positives, seed), "toxicity_confirmed")  # bounded by positives
+    sampled = freeze(seeded_rows(rows.select("id").where("id is not null").where(~held_out(F.col("id"))), unlabelled, seed), "toxicity_unlabelled")  # bounded by unlabelled
+    wanted = [ids.select("id").distinct().withColumn("positive", F.lit(side)) for ids, side in ((confirmed, 1), (sampled, 0))]
+    texts = one_row_each(rows, confirmed.unionByName(sampled))
+    texts = freeze(texts.join(F.broadcast(wanted[0].unionByName(wanted[1])), "id"), "toxicity_sample")
     n_pos, n_unl = texts.agg(F.coalesce(F.sum("positive"), F.lit(0)), F.coalesce(F.sum(1 - F.col("positive")), F.lit(0))).first()
     counts = texts.mapInArrow(_mark_counts, "mark long, texts long, positive int").groupBy("mark").agg(F.sum(F.col("texts") * F.col("positive")).alias("p"), F.sum(F.col("texts") * (1 - F.col("positive"))).alias("u"))
     # how far the share among confirmed texts is above that among the others, in standard errors

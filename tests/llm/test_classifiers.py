@@ -3,12 +3,12 @@ import odd
 import pytest
 from pyspark.sql import functions as F
 from slicewise.llm.factorisation import FACTORS, Machine, fit_quality, score_quality, train
-from slicewise.llm import words
-from slicewise.llm.features import STATISTICS, is_held_out, seeded_rows, word_marks
+from slicewise.llm import toxicity, words
+from slicewise.llm.features import STATISTICS, is_held_out, labelled_sample, seeded_rows, word_marks
 from slicewise.llm.tables import read
-from slicewise.llm.toxicity import fit_toxicity, score_toxicity, train_nnpu, without_toxic
+from slicewise.llm.toxicity import entries, fit_toxicity, nn_risk, score_toxicity, train_nnpu, without_toxic
 
-SF = "/root/testdata/sf0.01"
+SF, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def test_linear_time_identity():
@@ -74,12 +74,73 @@ def test_risk_is_kept_from_falling_below_zero():
     assert train_nnpu([], clean, 40, 0.1)[0].sum() == 0
 
 
-@pytest.mark.parametrize("label,fit,score,least", [("quality", fit_quality, score_quality, 0.9), ("toxic", fit_toxicity, score_toxicity, 0.9)])
-def test_held_out_accuracy(spark, label, fit, score, least):
-    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+def test_risk_against_its_formula():
+    """The risk and its gradient against sums over texts and differences, on both sides of zero."""
+    rng = np.random.default_rng(4)
+    positive = [np.array(x) for x in ([0, 1], [1], [0, 2, 3])]
+    unlabelled = [np.array(x, np.int64) for x in ([], [3], [0, 1, 2], [2, 3])]
+    loss = lambda z: np.log(1 + np.exp(-z))
+    sides = set()
+    for prior in (0.1, 0.9):
+        for _ in range(20):
+            theta = rng.normal(0, 2, 5)
+
+            def formula(theta, prior=prior):
+                g = lambda texts: [theta[-1] + sum(theta[m] for m in t) for t in texts]
+                mean = lambda texts, sign: sum(loss(sign * z) for z in g(texts)) / len(texts)
+                return prior * mean(positive, 1), mean(unlabelled, -1) - prior * mean(positive, -1)
+
+            first, second = formula(theta)
+            value, direction = nn_risk(theta, entries(positive), entries(unlabelled), prior)
+            assert value == pytest.approx(first + max(0, second))
+            sides.add(second >= 0)
+            for i in range(5):
+                step = np.eye(5)[i] * 1e-6
+                up, down = formula(theta + step), formula(theta - step)
+                slope = [(a - b) / 2e-6 for a, b in zip(up, down, strict=True)]
+                assert direction[i] == pytest.approx(sum(slope) if second >= 0 else -slope[1], abs=1e-5)
+    assert sides == {True, False}
+
+
+def held_out_scores(spark, label, fit, score):
+    docs, labels = read(spark, LARGE, "documents"), read(spark, LARGE, "labels")
     out = score(docs, fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
-    assert len(out) > 50 and np.mean([r["predicted"] == r[label] for r in out]) >= least
     assert all(is_held_out(r["doc_id"]) for r in out)
+    return [r for r in out if r[label]], [r for r in out if not r[label]]
+
+
+def test_held_out_quality(spark):
+    """Of a good and a bad text that it didn't learn from the good one scores higher, and few are called wrong."""
+    good, bad = held_out_scores(spark, "quality", fit_quality, score_quality)
+    assert min(len(good), len(bad)) > 100
+    area = np.mean([(g["score"] > b["score"]) + (g["score"] == b["score"]) / 2 for g in good for b in bad])
+    assert area >= 0.98
+    assert np.mean([r["predicted"] for r in good]) >= 0.95 and np.mean([r["predicted"] for r in bad]) <= 0.05
+
+
+def test_held_out_toxicity(spark):
+    toxic, clean = held_out_scores(spark, "toxic", fit_toxicity, score_toxicity)
+    assert len(toxic) > 80
+    assert np.mean([r["predicted"] for r in toxic]) >= 0.88 and np.mean([r["predicted"] for r in clean]) <= 0.01
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """Each document stands 40 times under its id, and one id holds a third of the rows: what is collected stays within the bound."""
+    docs = spark.range(8000).selectExpr("if(id % 3 = 0, 1, id % 200) AS doc_id", "concat('text ', id) AS text", "10L AS n_chars")
+    labels = spark.range(200).selectExpr("id AS doc_id", "int(id % 2) AS quality", "int(id % 2) AS toxic")
+    for rows in (100, 37):
+        sample = labelled_sample(docs, labels, "quality", rows).collect()
+        assert len(sample) == len({r["id"] for r in sample}) == rows
+    few = labelled_sample(docs, labels.unionByName(labels), "quality", 100).collect()
+    assert len(few) == 100 and all(r["label"] == r["id"] % 2 for r in few)
+    seen = []
+    real = toxicity.train_nnpu
+    toxicity.train_nnpu = lambda positive, unlabelled, *rest: (seen.append((len(positive), len(unlabelled))), real(positive, unlabelled, *rest))[1]
+    try:
+        fit_toxicity(docs, labels, positives=30, unlabelled=50)
+    finally:
+        toxicity.train_nnpu = real
+    assert seen[0][0] == 30 and 0 < seen[0][1] <= 50
 
 
 @pytest.mark.parametrize("fit,score", [(fit_quality, score_quality), (fit_toxicity, score_toxicity)])
