@@ -579,8 +579,8 @@ def splitters_of(source: DataFrame, places: DataFrame, parts: int) -> list[tuple
 
 
 def sorted_runs(source: DataFrame, places: DataFrame, tasks: int, splitters: list[tuple[bytes, bytes]]) -> DataFrame:
-    """The front-coded blocks of one run for each of ``tasks`` tasks, of (doc, text) and (doc, number, places)."""
-    rows = source.repartition(tasks, "doc").join(places.repartition(tasks, "doc"), "doc").select("number", "text", "places")
+    """The front-coded blocks of at most ``tasks`` runs, one of each task, of (doc, text) and (doc, number, places)."""
+    rows = source.join(places, "doc").select("number", "text", "places").coalesce(tasks)
     rows = rows.mapInArrow(_surroundings(), "suffix binary, left binary, doc long, place int")
     return rows.sortWithinPartitions("suffix", "left", "doc", "place").mapInArrow(_front_coded(splitters), BLOCKS)
 
