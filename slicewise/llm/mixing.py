@@ -8,10 +8,12 @@ Each round moves two sums to the driver, nothing else.
 
 A target of ``r`` times the source's size takes every document ``floor(r)``
 times and a seeded sample for the rest: documents ordered by a seeded hash are
-taken once more until the fraction of the source's words is reached. Hash
-buckets find the place where that happens; only documents of the one bucket per
-source that straddles it are sorted. The outcome is one place per source, so
-whether a document is taken follows from the document and its source's row.
+taken once more until the fraction of the source's words is reached. Buckets of
+the hash's first bits find the place where that happens, level by level: each
+level cuts the one bucket per source that straddles the place into finer ones, until
+a bucket holds some BUCKET_DOCS documents however many the source has; only those
+are sorted. The outcome is one place per source, so whether a document is taken
+follows from the document and its source's row.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from .tables import freeze
 
 BUCKET_DOCS = 2_000
-MAX_BUCKETS = 1 << 16
+#: bits of the hash that one level adds: a level sums at most 2 to the power of it buckets a source
+LEVEL_BITS = 16
+LUCK_BITS = 63
 
 
 def word_count(text: Column) -> Column:
@@ -58,14 +62,14 @@ def _placed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col:
     """Rows with what decides on them: id, source, size, source_key and luck."""
     key = F.coalesce(F.concat(F.lit("="), F.col("mix_source")), F.lit("null"))
     named = docs.withColumns({"mix_id": F.col(id_col), "mix_source": F.col(source_col), "mix_size": word_count(F.col(text_col))})
-    return named.withColumns({"mix_key": key, "mix_luck": F.xxhash64(F.lit(seed), "mix_id", "mix_source", "mix_size")})
+    return named.withColumns({"mix_key": key, "mix_luck": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", "mix_source", "mix_size"), 64 - LUCK_BITS)})
 
 
-def mixing_plan(sized: DataFrame, weights: DataFrame | tuple[float, ...], share: float, max_epochs: float) -> tuple[DataFrame, int]:
-    """One row per source (mix_key, source_size, target, whole, last), and the number of hash buckets.
+def mixing_plan(sized: DataFrame, weights: DataFrame | tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """One row per source: mix_key, source_size, target, whole, below, last.
 
-    A document is taken ``whole`` times, and once more if its place (bucket,
-    luck, id, size) is not after ``last``; a null ``last`` is before all.
+    A document is taken ``whole`` times, and once more if its luck is under ``below`` or its
+    place (luck, id, size) is not after ``last``; a null is before all.
     """
     sources = freeze(sized.groupBy("mix_key", "mix_source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("docs")), "mix_sources")
     if isinstance(weights, tuple):
@@ -74,38 +78,49 @@ def mixing_plan(sized: DataFrame, weights: DataFrame | tuple[float, ...], share:
     weights = weights.select(key.alias("mix_key"), F.col("weight").cast("double").alias("weight"))
     sources = freeze(water_fill(sources.join(weights, "mix_key", "left").fillna(0.0, ["weight"]), share, max_epochs), "mix_targets")
 
-    largest = sources.agg(F.max("docs")).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(largest / BUCKET_DOCS)))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = sources.withColumn("whole", F.floor(ratio + 1e-12).cast("int"))
     plan = plan.withColumn("goal", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).select("mix_key", "source_size", "target", "whole", "goal")
     # the bucket where a source's sample ends, and the words still wanted there
-    sums = sized.groupBy("mix_key", _bucket(buckets).alias("bucket")).agg(F.sum("mix_size").alias("words"))
-    upto = Window.partitionBy("mix_key").orderBy("bucket")
-    reach = sums.withColumn("upto", F.sum("words").over(upto)).join(plan, "mix_key")
-    edge = freeze(reach.where(F.col("upto") > F.col("goal")).groupBy("mix_key").agg(F.min(F.struct("bucket", (F.col("goal") - F.col("upto") + F.col("words")).alias("left"))).alias("edge")), "mix_edges")
+    largest = sources.agg(F.max("docs")).first()[0] or 0
+    bits = min(LUCK_BITS, math.ceil(math.log2(max(1.0, largest / BUCKET_DOCS))))
+    edge = plan.select("mix_key", F.lit(0).cast("long").alias("bucket"), F.col("goal").alias("left"))
+    done, upto = 0, Window.partitionBy("mix_key").orderBy("bucket")  # at most 2 ** LEVEL_BITS rows a source
+    while True:
+        level = min(LEVEL_BITS, bits - done)
+        sums = _inside(sized, edge, done).groupBy("mix_key", "left", _bucket(done + level).alias("bucket")).agg(F.sum("mix_size").alias("words"))
+        reach = sums.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") > F.col("left"))
+        edge = reach.groupBy("mix_key").agg(F.min(F.struct("bucket", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))).alias("edge"))
+        edge, done = freeze(edge.select("mix_key", "edge.bucket", "edge.left"), "mix_edges"), done + level
+        if done == bits:
+            break
     # in that bucket a document is taken if more than half of it lies below the end
-    border = sized.withColumn("bucket", _bucket(buckets)).join(edge.select("mix_key", F.col("edge.bucket").alias("bucket"), F.col("edge.left").alias("left")), ["mix_key", "bucket"])
     running = Window.partitionBy("mix_key").orderBy("mix_luck", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
-    taken = border.withColumn("upto", F.sum("mix_size").over(running)).where(F.col("upto") - F.col("mix_size") / 2 < F.col("left"))
-    ends = taken.groupBy("mix_key").agg(F.max(_place(buckets)).alias("end"))
-    before = F.when(F.col("edge").isNotNull(), F.struct((F.col("edge.bucket") - 1).alias("bucket"), F.lit((1 << 63) - 1).alias("mix_luck"), F.lit(None).cast(sized.schema["mix_id"].dataType).alias("mix_id"), F.lit(0).cast("long").alias("mix_size")))
-    plan = plan.join(edge, "mix_key", "left").join(ends, "mix_key", "left")
-    last = F.coalesce("end", before)
-    whole = F.when(F.col("edge").isNull() & (F.col("goal") > 0), F.col("whole") + 1).otherwise(F.col("whole"))
-    return freeze(plan.select("mix_key", "source_size", "target", whole.alias("whole"), last.alias("last")), "mix_plan"), buckets
+    border = _inside(sized, edge, done).withColumn("upto", F.sum("mix_size").over(running)).where(F.col("upto") - F.col("mix_size") / 2 < F.col("left"))
+    ends = border.groupBy("mix_key").agg(F.max(_place()).alias("last"))
+    plan = plan.join(edge.select("mix_key", "bucket"), "mix_key", "left").join(ends, "mix_key", "left")
+    whole = F.when(F.col("bucket").isNull() & (F.col("goal") > 0), F.col("whole") + 1).otherwise(F.col("whole"))
+    below = F.shiftleft("bucket", LUCK_BITS - done) if done else F.lit(None).cast("long")
+    return freeze(plan.select("mix_key", "source_size", "target", whole.alias("whole"), below.alias("below"), "last"), "mix_plan")
+
+
+def _bucket(bits: int) -> Column:
+    """The first bits of a document's luck."""
+    return F.shiftright("mix_luck", LUCK_BITS - bits) if bits else F.lit(0).cast("long")
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.shiftright("mix_luck", 16), F.lit(buckets))
+def _inside(sized: DataFrame, edge: DataFrame, bits: int) -> DataFrame:
+    """Documents in their source's bucket of that many bits, and the words wanted there; one row per source is joined."""
+    return sized.withColumn("bucket", _bucket(bits)).join(edge, ["mix_key", "bucket"]).drop("bucket")
 
 
-def _place(buckets: int) -> Column:
-    return F.struct(_bucket(buckets).alias("bucket"), "mix_luck", "mix_id", "mix_size")
+def _place() -> Column:
+    return F.struct("mix_luck", "mix_id", "mix_size")
 
 
-def _copies(placed: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
-    return placed.join(plan, "mix_key").withColumn("copies", F.col("whole") + F.coalesce(_place(buckets) <= F.col("last"), F.lit(False)).cast("int"))
+def _copies(whole: str, below: str, last: str) -> Column:
+    once = F.coalesce(F.col("mix_luck") < F.col(below), F.lit(False)) | F.coalesce(_place() <= F.col(last), F.lit(False))
+    return F.col(whole) + once.cast("int")
 
 
 def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -122,8 +137,7 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3, 1, 2), sha
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     sized = freeze(_placed(own, seed, "id", "text", "source").drop("id", "text", "source"), "mix_sizes")
-    plan, buckets = mixing_plan(sized, weights, share, max_epochs)
-    out = _copies(sized, plan, buckets)
+    out = sized.join(mixing_plan(sized, weights, share, max_epochs), "mix_key").withColumn("copies", _copies("whole", "below", "last"))
     return out.select(F.col("mix_id").alias(id_col), F.col("mix_source").alias(source_col), F.col("mix_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken"))
 
 
@@ -131,12 +145,15 @@ def mixed_rows(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3, 1,
     """The mix itself: rows of ``docs``, each as often as ``mix`` takes it.
 
     A row's copies follow from the row and its source's plan, so the texts
-    aren't shuffled. All columns are kept.
+    aren't shuffled. All columns are kept, also those with names that ``mix`` has. Nulls,
+    empty texts, ties and repeated rows are taken as ``mix`` says: a row
+    without words is there once for each whole copy of its source (and once more if
+    the sample reaches it), and rows repeated in full each as often. An empty
+    table stays empty.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     sized = freeze(_placed(own, seed, "id", "text", "source").drop("id", "text", "source"), "mix_sizes")
-    plan, buckets = mixing_plan(sized, weights, share, max_epochs)
-    plan = plan.select("mix_key", F.struct("whole", "last").alias("mix_plan"))
+    plan = mixing_plan(sized, weights, share, max_epochs).select("mix_key", F.struct("whole", "below", "last").alias("mix_plan"))
     placed = _placed(docs, seed, id_col, text_col, source_col).join(plan, "mix_key")
-    copies = F.col("mix_plan.whole") + F.coalesce(_place(buckets) <= F.col("mix_plan.last"), F.lit(False)).cast("int")
-    return placed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.array_repeat(F.lit(1), _copies("mix_plan.whole", "mix_plan.below", "mix_plan.last"))
+    return placed.withColumn("mix_copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@ import re
 
 import odd
 import pytest
+from slicewise.llm import mixing
 from slicewise.llm.mixing import mix, mixed_rows
 
 
@@ -41,6 +42,23 @@ def test_words_near_target(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 400
 
 
+@pytest.mark.parametrize("docs_in_bucket,level_bits", [(10**6, 16), (50, 16), (3, 2), (1, 1)])
+def test_the_sample_is_the_first_by_luck(spark, monkeypatch, docs_in_bucket, level_bits):
+    """However many levels find its end, the sample is what comes first in the order of the seeded hash."""
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", docs_in_bucket)
+    monkeypatch.setattr(mixing, "LEVEL_BITS", level_bits)
+    docs = spark.range(900).selectExpr("id AS doc_id", "if(id % 3 = 0, null, concat('s', id % 2)) AS source", "repeat('word ', int(pmod(hash(id), 30))) AS text")
+    placed = mixing._placed(docs, 11, "doc_id", "text", "source").collect()
+    got = {r.doc_id: r for r in mix(docs, weights=(3, 1, 2), share=0.9).collect()}
+    for source in ("s0", "s1", None):
+        own = sorted((r for r in placed if r.mix_source == source), key=lambda r: (r.mix_luck, r.mix_id))
+        target, size = got[own[0].mix_id].target, sum(r.mix_size for r in own)
+        whole, at = int(target / size + 1e-12), 0
+        for r in own:
+            at += r.mix_size
+            assert got[r.mix_id].copies == whole + (at - r.mix_size / 2 < target - whole * size)
+
+
 def test_given_weights_and_rows(spark):
     weights = spark.createDataFrame([("s1", 1.0), (None, 2.0)], "source string, weight double")
     docs = odd.docs(spark)
