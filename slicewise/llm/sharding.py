@@ -10,12 +10,13 @@
 3. Rows are exchanged: ranks below the first count go to shard 0, and so on.
 4. Each shard is permuted again: rows are dealt to buckets of a random hash,
    sorted within the bucket, and numbered from the bucket's offset, so that no
-   task ever holds a whole shard.
+   task ever holds a whole shard. Buckets are as many as rows and bytes ask for.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from .tables import freeze
 
 #: partitions (or ranges of partitions) split by one row of the draw
 FAN_OUT = 256
-#: rows that one bucket of the second permutation holds on average
+#: rows and bytes that one bucket of the second permutation holds on average, at most
 BUCKET_ROWS = 50_000
+BUCKET_BYTES = 64 << 20
 
 
 def _let(value: Column, body) -> Column:
@@ -126,6 +128,12 @@ def communication_matrix(sizes: DataFrame, shard_sizes: list[int], seed: int = 0
     return vectors.select(F.col("node").cast("int").alias("part"), "counts")
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: those of its strings, and 8 for any other column."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") if t in ("string", "binary") else F.lit(8).cast("long") for c, t in df.dtypes]
+    return reduce(Column.__add__, sizes, F.lit(0).cast("long"))
+
+
 def shard(df: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     """``df`` with the columns shard (int) and slot (long, gapless from 0 in each shard).
 
@@ -136,16 +144,16 @@ def shard(df: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     """
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
-    rows = rows.withColumn("luck", F.rand(seed)).sortWithinPartitions("luck").drop("luck")
+    rows = rows.withColumns({"luck": F.rand(seed), "bytes": row_bytes(rows)}).sortWithinPartitions("luck").drop("luck")
     number = F.monotonically_increasing_id()
     rows = freeze(rows.withColumn("number", number), "shard_rows")
     part, rank = F.shiftright("number", 33).cast("int"), F.col("number").bitwiseAND((1 << 33) - 1)
     rows = rows.withColumn("part", part).withColumn("rank", rank)
-    sizes = freeze(rows.groupBy("part").agg(F.count("*").alias("rows")), "shard_sizes")
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
-    matrix = freeze(communication_matrix(sizes, [total // shards + (s < total % shards) for s in range(shards)], seed), "shard_matrix")
+    sizes = freeze(rows.groupBy("part").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")), "shard_sizes")
+    total, size = (x or 0 for x in sizes.agg(F.sum("rows"), F.sum("bytes")).first())
+    matrix = freeze(communication_matrix(sizes.select("part", "rows"), [total // shards + (s < total % shards) for s in range(shards)], seed), "shard_matrix")
     ends = matrix.select("part", F.transform("counts", lambda x, i: F.aggregate(F.slice("counts", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y)).alias("ends"))
-    buckets = max(1, math.ceil(total / shards / BUCKET_ROWS))
+    buckets = max(1, math.ceil(total / shards / BUCKET_ROWS), math.ceil(size / shards / BUCKET_BYTES))
     sent = rows.join(ends, "part").select(
         *[f"c{i}" for i in range(len(kept))],
         "number",
