@@ -1,17 +1,20 @@
 """License scans: exact set-similarity search of text blocks against templates.
 
-A block (a line of a document) matches a template when it holds at least
-``threshold`` of the template's distinct tokens. Tokens are ordered by how many
-documents of the whole corpus hold them, rarest first. A template of n tokens
-of which c are needed can only match a block that shares one of its n - c + 1
-first tokens (prefix filter); a block needs c tokens of the template vocabulary
-(length filter); and from the places of a shared token in both orders at most
-so many more can follow (positional filter). What passes is counted exactly.
+A block is a run of consecutive words, whatever the line feeds between them, of at
+most SPAN times a template's words. It matches the template when it holds at least
+``threshold`` of its distinct tokens. Tokens are ordered by how many documents of the
+whole corpus hold them, rarest first. A template of n tokens of which c are needed
+can only match a block that shares one of its n - c + 1 first tokens (prefix filter);
+the text needs c tokens of the template at all (length filter); and around a place
+of a shared token a block in which it is the first has only tokens that follow it in
+the order, of which the neighbourhood must hold enough (positional filter). In what
+is left every run is counted exactly, so that no block is lost, and a notice wrapped
+over lines or between comment marks is found like one on a line of its own, while
+words scattered over a long line are none.
 
 Only the templates, their vocabulary and its counts travel: their size depends
 on the templates, not on the corpus. Besides blocks, places where the words of
-a phrase stand consecutively are found, and notices: runs of consecutive words,
-whatever the line feeds, that hold as much of a template as a block must.
+a phrase stand consecutively are found.
 """
 
 from __future__ import annotations
@@ -46,9 +49,41 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "mit",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the Software.",
+    ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "gpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 ]
 
-#: A-Z to a-z; what separates words to a space; a line feed stays
+#: words that a block may take for each of its template's
+SPAN = 1.5
+
+#: A-Z to a-z; what separates words, line feeds included, to a space
 _TO_WORDS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -62,7 +97,7 @@ class Template:
     label: str
     tokens: list[bytes]  # in global order
     needed: int
-    span: int = 0  # words that a notice may take
+    span: int = 0  # words that a block may take
 
 
 def order_templates(templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float) -> tuple[list[Template], dict[bytes, int]]:
@@ -70,18 +105,15 @@ def order_templates(templates: list[tuple[str, str]], counts: dict[bytes, int],
     lists = [(label, tokens(text.encode())) for label, text in templates]
     vocabulary = sorted({x for _, found in lists for x in found}, key=lambda x: (counts.get(x, 0), x))
     rank = {x: i for i, x in enumerate(vocabulary)}
-    return [Template(label, sorted(set(found), key=rank.get), max(1, math.ceil(threshold * len(set(found)) - 1e-9)), len(found) + len(found) // 2) for label, found in lists if found], rank
+    return [Template(label, sorted(set(found), key=rank.get), max(1, math.ceil(threshold * len(set(found)) - 1e-9)), math.floor(SPAN * len(found))) for label, found in lists if found], rank
 
 
 class Matcher:
     def __init__(self, templates: list[Template], rank: dict[bytes, int], phrases: dict[str, str]) -> None:
         self.templates, self.rank = templates, rank
-        self.index: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, template in enumerate(templates):
-            for place in range(len(template.tokens) - template.needed + 1):
-                self.index[template.tokens[place]].append((t, place))
+        self.prefixes = [t.tokens[: len(t.tokens) - t.needed + 1] for t in templates]
         self.phrases = [(tokens(phrase.encode()), label) for phrase, label in phrases.items()]
-        self.triggers = frozenset(self.index) | {phrase[0] for phrase, _ in self.phrases}
+        self.triggers = frozenset().union(*self.prefixes) | {phrase[0] for phrase, _ in self.phrases}
 
     def places(self, found: list[bytes]) -> list[dict]:
         out = []
@@ -96,55 +128,60 @@ class Matcher:
                     out.append({"label": label, "start": at})
         return out
 
-    def block(self, found: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of the templates that a block holds."""
-        own = set(found)
-        known = sorted(own & self.rank.keys(), key=self.rank.get)
-        tried, out = set(), []
-        for j, token in enumerate(known):
-            for t, i in self.index.get(token, ()):
-                template = self.templates[t]
-                if t in tried or len(known) < template.needed:
-                    continue
-                # the first shared token: none before it is shared, so only what follows can count
-                tried.add(t)
-                if min(len(template.tokens) - i, len(known) - j) < template.needed:
-                    continue
-                both = len(own.intersection(template.tokens))
-                if both >= template.needed:
-                    out.append((template.label, both / len(template.tokens)))
-        return out
-
-    def notices(self, found: list[bytes]) -> list[dict]:
+    def blocks(self, found: list[bytes]) -> list[dict]:
         """The runs of at most ``span`` words that hold a template. Of runs that overlap the
-        fullest counts, then the first; starts are those of its first word of the template."""
-        own, out = set(found), []
-        for template in self.templates:
+        fullest counts, then the first; it starts at the last place from which it holds as much."""
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for i, word in enumerate(found):
+            if word in self.rank:
+                places[word].append(i)
+        out = []
+        for template, prefix in zip(self.templates, self.prefixes, strict=True):
             # a run can't hold more than the whole text
-            if len(own.intersection(template.tokens)) < template.needed:
+            if sum(x in places for x in template.tokens) < template.needed or not any(x in places for x in prefix):
                 continue
-            held = frozenset(template.tokens)
-            at = [i for i, word in enumerate(found) if word in held]
-            full = self._run_sizes([found[i] for i in at], at, template.span)
-            taken = bytearray(len(at))
+            held = sorted((i, order) for order, x in enumerate(template.tokens) for i in places.get(x, ()))
             mine = []
-            for a in sorted((a for a in range(len(at)) if full[a] >= template.needed), key=lambda a: (-full[a], a)):
-                end = self._run_end(found, at, a, full[a])
-                if any(taken[a : end + 1]):
-                    continue
-                taken[a : end + 1] = b"\x01" * (end + 1 - a)
-                rest = Counter(found[i] for i in at[a : end + 1])
-                start = a
-                while rest[found[at[start]]] > 1:  # a word that comes again isn't the run's beginning
-                    rest[found[at[start]]] -= 1
-                    start += 1
-                mine.append({"label": template.label, "start": at[start], "containment": full[a] / len(template.tokens)})
+            for low, high in self._near(held, template):
+                mine += self._fullest([i for i, _ in held[low:high]], [order for _, order in held[low:high]], template)
             out += sorted(mine, key=lambda x: x["start"])
         return out
 
+    def _near(self, held: list[tuple[int, int]], template: Template) -> list[tuple[int, int]]:
+        """Stretches of (place, order) around prefix tokens with enough tokens that aren't before
+        them in the order. A run that matches lies within that of the first of its tokens."""
+        out: list[tuple[int, int]] = []
+        low = high = 0
+        last = len(template.tokens) - template.needed
+        for place, order in held:
+            if order > last:
+                continue
+            while held[low][0] <= place - template.span:
+                low += 1
+            while high < len(held) and held[high][0] < place + template.span:
+                high += 1
+            if len({x for _, x in held[low:high] if x >= order}) >= template.needed:
+                out.append((out.pop()[0] if out and out[-1][1] >= low else low, high))
+        return out
+
+    def _fullest(self, at: list[int], held: list[int], template: Template) -> list[dict]:
+        full = self._run_sizes(held, at, template.span)
+        taken, out = bytearray(len(at)), []
+        for a in sorted((a for a in range(len(at)) if full[a] >= template.needed), key=lambda a: (-full[a], a)):
+            end = self._run_end(held, a, full[a])
+            if any(taken[a : end + 1]):
+                continue
+            taken[a : end + 1] = b"\x01" * (end + 1 - a)
+            rest, start = Counter(held[a : end + 1]), a
+            while rest[held[start]] > 1:  # a word that comes again isn't needed at the beginning
+                rest[held[start]] -= 1
+                start += 1
+            out.append({"label": template.label, "start": at[start], "containment": full[a] / len(template.tokens)})
+        return out
+
     @staticmethod
-    def _run_sizes(held: list[bytes], at: list[int], span: int) -> list[int]:
-        """For each place how many different words the run of ``span`` words from it on holds."""
+    def _run_sizes(held: list[int], at: list[int], span: int) -> list[int]:
+        """For each place how many different tokens the run of ``span`` words from it on holds."""
         out, inside, end = [], Counter(), 0
         for a in range(len(at)):
             while end < len(at) and at[end] < at[a] + span:
@@ -157,11 +194,11 @@ class Matcher:
         return out
 
     @staticmethod
-    def _run_end(found: list[bytes], at: list[int], a: int, size: int) -> int:
-        """The first place by which the run from ``a`` on holds ``size`` different words."""
-        seen: set[bytes] = set()
-        for end in range(a, len(at)):
-            seen.add(found[at[end]])
+    def _run_end(held: list[int], a: int, size: int) -> int:
+        """The first place by which the run from ``a`` on holds ``size`` different tokens."""
+        seen: set[int] = set()
+        for end in range(a, len(held)):
+            seen.add(held[end])
             if len(seen) == size:
                 break
         return end
@@ -179,16 +216,15 @@ def _counts(vocabulary: frozenset[bytes]):
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_words, places, blocks, notices.
+    """One row per input row: id, n_words, places, blocks.
 
-    ``places`` are (label, start) of the phrases, starts counted in words from 0;
-    ``blocks`` are (label, line, containment) of the lines that match a template,
-    lines counted from 0; a line may match several. ``notices`` are (label, start,
+    ``places`` are (label, start) of the phrases; ``blocks`` are (label, start,
     containment) of the runs of consecutive words that hold a template, line feeds or
-    not, starts counted in words from 0: a notice wrapped over lines is one, and words
-    scattered over more than one and a half times the template's words are none. Null and empty texts have no
-    words; repeated rows are scanned like others; extra columns are ignored; an
-    empty table gives an empty result. Long lines are matched whole.
+    not; starts are counted in words from 0. A text may hold several templates, and one
+    several times; where blocks of one template overlap the fullest counts, then the
+    first. Null and empty texts have no words; repeated rows are scanned like
+    others; extra columns are ignored; an empty table gives an empty result. Long
+    texts are matched whole.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
@@ -202,39 +238,39 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(ordered, rank, phrases)
         place = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
-        block = pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("containment", pa.float64())]))
-        notice = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("containment", pa.float64())]))
+        block = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("containment", pa.float64())]))
         for batch in batches:
-            sizes, places, blocks, notices = [], [], [], []
+            sizes, places, blocks = [], [], []
             for text in words.texts(batch.column("text")):
-                text = text.tobytes()
-                found = tokens(text)
+                found = tokens(text.tobytes())
                 sizes.append(len(found))
                 hit = not matcher.triggers.isdisjoint(found)
                 places.append(matcher.places(found) if hit else [])
-                blocks.append([{"label": label, "line": i, "containment": share} for i, line in enumerate(text.split(b"\n")) for label, share in matcher.block(tokens(line))] if hit else [])
-                notices.append(matcher.notices(found) if hit else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(places, place), pa.array(blocks, block), pa.array(notices, notice)], ["id", "n_words", "places", "blocks", "notices"])
+                blocks.append(matcher.blocks(found) if hit else [])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(places, place), pa.array(blocks, block)], ["id", "n_words", "places", "blocks"])
 
     kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInArrow(run, f"id {kind}, n_words long, places array<struct<label: string, start: long>>, blocks array<struct<label: string, line: long, containment: double>>, notices array<struct<label: string, start: long, containment: double>>")
+    out = source.mapInArrow(run, f"id {kind}, n_words long, places array<struct<label: string, start: long>>, blocks array<struct<label: string, start: long, containment: double>>")
     return out.withColumnRenamed("id", id_col)
 
 
 def oracle_sql(threshold: float = 0.8) -> str:
     """DuckDB SQL for the digest of ``scan_licenses`` over documents."""
     quoted = lambda values: ", ".join(f"'{v}'" for v in values)
-    known = []
+    known, held = [], []
     for number, (label, text) in enumerate(TEMPLATES):
-        own = sorted({t.decode() for t in tokens(text.encode())})
-        known.append(f"({number}, '{label}', [{quoted(own)}], {max(1, math.ceil(threshold * len(own) - 1e-9))})")
+        spoken = tokens(text.encode())
+        own = sorted({t.decode() for t in spoken})
+        known.append(f"({number}, '{label}', {len(own)}, {max(1, math.ceil(threshold * len(own) - 1e-9))}, {math.floor(SPAN * len(spoken))})")
+        held += [f"({number}, '{x}')" for x in own]
     spoken = [f"('{label}', [{quoted(phrase.split())}])" for phrase, label in PHRASES.items()]
-    lower = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     return f"""
-        WITH templates(number, label, own, needed) AS (VALUES {", ".join(known)}),
+        WITH templates(number, label, size, needed, span) AS (VALUES {", ".join(known)}),
+        tokens(number, token) AS (VALUES {", ".join(held)}),
         phrases(label, spoken) AS (VALUES {", ".join(spoken)}),
-        worded AS (SELECT doc_id, text, regexp_extract_all({lower.format("text")}, {word}) AS ws FROM documents),
+        worded AS (SELECT doc_id, regexp_extract_all({lower}, {word}) AS ws FROM documents),
         places AS (
             SELECT doc_id, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1 : i + len(spoken)] = spoken)) AS start
             FROM worded, phrases
@@ -243,14 +279,19 @@ def oracle_sql(threshold: float = 0.8) -> str:
             SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS found
             FROM places GROUP BY doc_id
         ),
-        lines AS (
-            SELECT doc_id, list_distinct(regexp_extract_all({lower.format("line")}, {word})) AS held
-            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM worded),
+        hits AS (SELECT doc_id, number, token, place FROM words JOIN tokens ON word = token),
+        enough AS (
+            SELECT doc_id, number, any_value(span) AS span, any_value(needed) AS needed, any_value(size) AS size, any_value(label) AS label
+            FROM hits JOIN templates USING (number) GROUP BY doc_id, number HAVING count(DISTINCT token) >= any_value(needed)
+        ),
+        runs AS (
+            SELECT a.doc_id, a.number, a.place, e.label, e.size, e.needed, count(DISTINCT b.token) AS held
+            FROM enough e JOIN hits a USING (doc_id, number)
+            JOIN hits b ON b.doc_id = a.doc_id AND b.number = a.number AND b.place >= a.place AND b.place < a.place + e.span
+            GROUP BY ALL
         ),
-        matched AS (
-            SELECT doc_id, list(DISTINCT label) AS found, max(len(list_intersect(held, own)) / len(own)) AS share
-            FROM lines JOIN templates ON len(list_intersect(held, own)) >= needed GROUP BY doc_id
-        )
+        matched AS (SELECT doc_id, list(DISTINCT label) AS found, max(held / size) AS share FROM runs WHERE held >= needed GROUP BY doc_id)
         SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                coalesce(array_to_string(list_sort(b.found), ','), '') AS base_labels,
                coalesce(array_to_string(list_sort(list_distinct(coalesce(b.found, []) || coalesce(m.found, []))), ','), '') AS labels,
