@@ -6,15 +6,17 @@ the entry's score against itself, so that 1 means "all of the entry's weight is
 the passage". What the verification accepts has a least share for each entry. Impacts
 of questions are scaled so that it is the threshold, and impacts of whole items are
 where it is below the threshold, so that one threshold serves all entries and throws
-away nothing that would be verified. Entries are ordered by length and cut into blocks of four. For each passage the sums
-of its terms' block maxima tell which blocks can reach the threshold at all; where none can the passage is done.
+away nothing that would be verified. Entries are ordered by length and cut into blocks of
+four. For each passage the block maxima of its rarer terms, and what its commoner terms can
+add at most, tell which blocks may reach the threshold; where none can the passage is done.
 Elsewhere WAND with block maxima finds every item above the threshold. Hits are
 verified on five-word shingles of the item's question and answer.
 
-Passages overlap by half and are twice as long as the longest item, so that a
-leaked item is whole in one of them. The index is cut into parts of a bounded
-number of words; each is one pass over the corpus and one closure of bounded
-size. Item counts are over all items, whatever the parts.
+Items of like length have an index of their own. Its passages overlap by half and are twice
+as long as its longest item, so that a leaked item is whole in one of them, and a very
+long item doesn't make the passages of short ones longer. The indexes are dealt to
+passes over the corpus, of a bounded number of item words each; a pass's hits are written
+out before the next pass's indexes are built. Item counts are over all items.
 """
 
 from __future__ import annotations
@@ -33,13 +35,17 @@ from pyspark.sql import functions as F
 
 from . import words
 from .licenses import tokens
-from .tables import freeze, text_or_empty, union_all
+from .tables import freeze, freeze_parts, text_or_empty
 
 K1, B = 1.2, 0.75
 BLOCK = 4
 LEAST_STRIDE = 32
-#: words of test items in one part of the index
+#: words of the items of the first index; each further one has items up to four times as long
+SHORT_ITEM = 64
+#: words of test items in the indexes of one pass over the corpus
 PART_WORDS = 2_000_000
+#: cells of passages and common terms looked at together
+CELLS = 1 << 22
 EPSILON = 1e-9
 #: words of a part times shingles that may be missing, up to which the least share is found place by place
 SHARE_WORK = 4_000_000
@@ -116,7 +122,7 @@ def least_share(found: list[bytes], impacts: dict[bytes, float], least: float) -
 
 
 class Index:
-    """A part of the inverted index, with block maxima.
+    """An inverted index over some of the items, with block maxima.
 
     ``items`` come with the number of items that hold each of their words;
     ``n_items`` and ``mean_words`` are of all items.
@@ -171,7 +177,7 @@ class Index:
                 pair_block += most.keys()
                 pair_max += most.values()
             starts.append(len(pair_block))
-        self.starts, self.pair_block, self.pair_max = np.array(starts), np.array(pair_block, np.int64), np.array(pair_max)
+        self.starts, self.pair_block, self.pair_max = np.array(starts), np.array(pair_block, np.int64), np.array(pair_max, np.float64)
 
     @staticmethod
     def tells(item: Item, idf: dict[bytes, float], n_items: int) -> bool:
@@ -182,9 +188,14 @@ class Index:
         return len(item.question) >= 5 and sum(idf[w] for w in set(item.question)) >= 2 * math.log(1 + n_items)
 
     def live(self, ids: np.ndarray) -> dict[int, set[int]]:
-        """Passages with the blocks whose maxima reach the threshold in them."""
+        """Passages with the blocks whose maxima reach the threshold in them.
+
+        Only blocks that a passage's rarer terms have, and that with all its common terms could
+        reach it, are looked at one by one; or all, where the common terms alone could do so.
+        """
         out: dict[int, set[int]] = {}
         total, size = self.passages(len(ids)), len(self.terms)
+        goal = self.threshold - 1e-4
         for low in range(0, total, 256):
             n = min(256, total - low)
             own = ids[low * self.stride : (low + n + 1) * self.stride] if low + n < total else ids[low * self.stride :]
@@ -195,13 +206,24 @@ class Index:
             column = self.common[term]
             present = np.zeros((n, len(self.common_max)), np.float32)
             present[passage[column >= 0], column[column >= 0]] = 1
-            bound = (present @ self.common_max).ravel().astype(np.float64)
+            most = present @ self.common_max.max(axis=1) if len(self.common_max) else np.zeros(n)
             passage, term = passage[column < 0], term[column < 0]
             counts = self.starts[term + 1] - self.starts[term]
             pair = np.repeat(self.starts[term], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            bound += np.bincount(np.repeat(passage, counts) * self.blocks + self.pair_block[pair], weights=self.pair_max[pair], minlength=len(bound))
-            for cell in np.flatnonzero(bound >= self.threshold - 1e-4).tolist():
-                out.setdefault(low + cell // self.blocks, set()).add(cell % self.blocks)
+            cells, where = np.unique(np.repeat(passage, counts) * self.blocks + self.pair_block[pair], return_inverse=True)
+            bound = np.bincount(where, weights=self.pair_max[pair], minlength=len(cells))
+            maybe = bound + most[cells // self.blocks] >= goal
+            cells, bound = cells[maybe], bound[maybe]
+            every = np.flatnonzero(most >= goal)
+            if len(every):
+                more = np.setdiff1d((every[:, None] * self.blocks + np.arange(self.blocks)).ravel(), cells)
+                cells, bound = np.concatenate([cells, more]), np.concatenate([bound, np.zeros(len(more))])
+            step = max(1, CELLS // max(1, len(self.common_max)))
+            for some in range(0, len(cells), step):
+                at = cells[some : some + step]
+                reach = bound[some : some + step] + (present[at // self.blocks] * self.common_max[:, at % self.blocks].T).sum(axis=1)
+                for cell in at[reach >= goal].tolist():
+                    out.setdefault(low + cell // self.blocks, set()).add(cell % self.blocks)
         return out
 
     def passages(self, n_words: int) -> int:
@@ -254,9 +276,8 @@ class Index:
                 cursors = [c for c in cursors if id(c) not in gone]
         return out
 
-    def leaks(self, text: bytes, least: float) -> list[tuple[int, float, float, float, float]]:
-        """(item_id, score, question, answer and whole overlap) of the items that a text leaks."""
-        found = tokens(text)
+    def leaks(self, found: list[bytes], least: float) -> list[tuple[int, float, float, float, float]]:
+        """(item_id, score, question, answer and whole overlap) of the items that a text of these words leaks."""
         if not found or not self.items:
             return []
         get = self.terms.get
@@ -278,8 +299,8 @@ class Index:
         return [(item.item_id, *x) for item, *x in best.values()]
 
 
-def _index_parts(items: DataFrame, item_col: str, text_col: str, threshold: float, least: float, part_words: int) -> Iterator[Index]:
-    """The parts of the index, one after the other; a part's items fit the driver by ``part_words``."""
+def _index_parts(items: DataFrame, item_col: str, text_col: str, threshold: float, least: float, part_words: int) -> Iterator[list[Index]]:
+    """The indexes of each pass, one pass after the other; a pass's items fit the driver by ``part_words``."""
     source = items.select(F.col(item_col).alias("item_id"), text_or_empty(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,19 +309,32 @@ def _index_parts(items: DataFrame, item_col: str, text_col: str, threshold: floa
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), *(pa.array([s[i] for s in split], pa.list_(pa.binary())) for i in (0, 1))], ["item_id", "question", "answer"])
 
     kind = source.schema["item_id"].dataType.simpleString()
-    split = freeze(source.mapInArrow(run, f"item_id {kind}, question array<binary>, answer array<binary>").withColumn("all", F.concat("question", "answer")).where(F.size("all") > 0), "benchmark_items")
-    n_items, n_words, longest = split.agg(F.count("*"), F.sum(F.size("all")), F.max(F.size("all"))).first()
-    if not n_items:
+    split = source.mapInArrow(run, f"item_id {kind}, question array<binary>, answer array<binary>").withColumn("all", F.concat("question", "answer")).where(F.size("all") > 0)
+    split = freeze(split.withColumn("class", F.greatest(F.lit(0), F.ceil(F.log2(F.size("all") / SHORT_ITEM) / 2)).cast("int")), "benchmark_items")
+    # one row per length class, of which there are as many as powers of four up to the longest item
+    classes = split.groupBy("class").agg(F.count("*").alias("items"), F.sum(F.size("all")).alias("words"), F.max(F.size("all")).alias("longest")).orderBy("class").collect()
+    if not classes:
         return
-    parts = math.ceil(n_words / part_words)
-    split = split.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    n_items, n_words = sum(c["items"] for c in classes), sum(c["words"] for c in classes)
     held_by = freeze(split.select(F.explode(F.array_distinct("all")).alias("term")).groupBy("term").count(), "benchmark_terms")
-    for part in range(parts):
-        own = split.where(F.col("part") == part)
+
+    def index(c, part: int, parts: int) -> Index:
+        own = split.where((F.col("class") == c["class"]) & (F.pmod(F.xxhash64("item_id", "all"), F.lit(parts)) == part))
         terms = own.select(F.explode("all").alias("term")).distinct().join(held_by, "term")
         counts = {bytes(r["term"]): r["count"] for r in terms.collect()}
         found = [Item(r["item_id"], [bytes(w) for w in r["question"]], [bytes(w) for w in r["answer"]]) for r in own.select("item_id", "question", "answer").collect()]
-        yield Index(found, counts, n_items, n_words / n_items, longest, threshold, least)
+        return Index(found, counts, n_items, n_words / n_items, c["longest"], threshold, least)
+
+    held, room = [], part_words
+    for c in classes:
+        parts = min(-(-c["words"] // part_words), c["items"])
+        for part in range(parts):
+            if held and room < c["words"] / parts:
+                yield held
+                held, room = [], part_words
+            held.append(index(c, part, parts))
+            room -= c["words"] / parts
+    yield held
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_words: int = PART_WORDS) -> DataFrame:
@@ -310,10 +344,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least:
     A hit counts when at least ``least`` of the shingles of question and answer
     together, or of a question that tells alone, are in the passage and its margins. A
     question tells alone if it is half of the item or more, or has five words or more
-    and together they are rare among the items. ``score`` is the best passage's BM25 over
+    and together they are rare among the items. An answer without its question is no leak:
+    its overlap is told, and decides nothing. ``score`` is the best passage's BM25 over
     the score of item or question against itself; ``threshold`` bounds it from below
     except where a text with ``least`` of the shingles can have less, so that no copy
-    spread over at most the words of the longest item is lost before it is verified. Words are lower-cased runs of letters and digits, so case and
+    spread over at most the words of the longest item of like length is lost before it is
+    verified. Words are lower-cased runs of letters and digits, so case and
     punctuation don't hide a leak. Null and empty texts and items match
     nothing; repeated rows are reported again; extra columns are ignored; empty
     tables give an empty result.
@@ -324,12 +360,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least:
     shape = f"id {id_type}, item {item_type}, score double, question_overlap double, answer_overlap double, overlap double"
     item_arrow = pa.int64() if item_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
 
-    def scan(index: Index):
+    def scan(indexes: list[Index]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, found = [], []
                 for i, text in enumerate(words.texts(batch.column("text"))):
-                    leaks = index.leaks(text.tobytes(), least)
+                    split = tokens(text.tobytes())
+                    leaks = [leak for index in indexes for leak in index.leaks(split, least)]
                     rows += [i] * len(leaks)
                     found += leaks
                 columns = [pa.array([x[0] for x in found], item_arrow).cast({"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(item_type, item_arrow))]
@@ -338,6 +375,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least:
 
         return run
 
-    parts = [source.mapInArrow(scan(index), shape) for index in _index_parts(items, item_col, item_text_col, threshold, least, part_words)]
-    found = union_all(parts) if parts else source.limit(0).select("id", F.lit(None).cast(item_type).alias("item"), *(F.lit(0.0).alias(c) for c in ("score", "question_overlap", "answer_overlap", "overlap")))
+    found = freeze_parts((source.mapInArrow(scan(indexes), shape) for indexes in _index_parts(items, item_col, item_text_col, threshold, least, part_words)), "leaks")
+    if found is None:
+        found = source.limit(0).select("id", F.lit(None).cast(item_type).alias("item"), *(F.lit(0.0).alias(c) for c in ("score", "question_overlap", "answer_overlap", "overlap")))
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "question_overlap", "answer_overlap", "overlap")

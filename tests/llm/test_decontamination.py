@@ -35,6 +35,11 @@ def test_search_finds_all_above_threshold():
             want = {o for o, x in scores.items() if x >= 0.35 - 1e-9}
             assert {o for o, _ in index.search(terms)} == want
             assert {o for o, _ in index.search(terms, live.get(k, set()))} == want
+            # the blocks looked at are those whose maxima reach the threshold, by all blocks' sums
+            reach = Counter()
+            for t in terms:
+                reach.update(index.block_max[t])
+            assert {b for b, x in reach.items() if x >= 0.35} <= live.get(k, set()) <= {b for b, x in reach.items() if x >= 0.35 - 2e-4}
 
 
 def leaks(docs, items, least=0.75, threshold=0.6):
@@ -67,6 +72,29 @@ def test_against_brute_force(spark):
         assert all(0.6 <= r.score <= 1 + 1e-9 for r in got)
 
 
+def test_long_items_leave_short_ones_alone(spark, monkeypatch):
+    """An item of many thousand words has an index of its own; all are found as by brute force, in one pass or several."""
+    items = [(i, odd.prose(i, 20 + i)) for i in range(30)] + [(100, odd.prose(100, 9000)), (101, odd.prose(101, 300))]
+    docs = [(i, odd.prose(500 + i, 200) + " " + odd.prose(i, 20 + i) + " " + odd.prose(600 + i, 100)) for i in range(0, 30, 3)]
+    docs += [(200, odd.prose(7, 40) + " " + odd.prose(100, 9000)), (201, odd.prose(101, 300)[:1200]), (202, odd.prose(101, 300) + " x " * 50), (203, odd.prose(900, 3000))]
+    want = set()
+    for i, t in docs:
+        for j, u in items:
+            question, answer = split_item(u.encode())
+            asked = overlap(question, tokens(t.encode())) if 2 * len(question) >= len(question + answer) else 0
+            if max(asked, overlap(question + answer, tokens(t.encode()))) >= 0.75:
+                want.add((i, j))
+    frames = [spark.createDataFrame(x, f"{name} long, text string") for name, x in (("doc_id", docs), ("item_id", items))]
+    alive = []
+    real = decontamination._index_parts
+    monkeypatch.setattr(decontamination, "_index_parts", lambda *x: (alive.append([i.stride for i in indexes]) or indexes for indexes in real(*x)))
+    for part_words, passes in ((2_000_000, 1), (9000, 2), (500, 5)):
+        alive.clear()
+        got = {(r.doc_id, r.item_id) for r in find_leaks(*frames, part_words=part_words).collect()}
+        assert got == want and len(want) == 13
+        assert len(alive) == passes and {s for strides in alive for s in strides} == {49, 300, 9000}
+
+
 def test_odd_documents(spark):
     passage = odd.prose(40, 50)
     rows = odd.rows() + [(50, odd.prose(41, 300) + "\n" + passage.upper() + "! " + odd.prose(42, 20), *odd.rows()[0][2:])] * 2
