@@ -44,7 +44,7 @@ LEAST_STRIDE = 32
 SHORT_ITEM = 64
 #: words of test items in the indexes of one pass over the corpus
 PART_WORDS = 2_000_000
-#: cells of passages and common terms looked at together
+#: cells of passages and blocks looked at together, at most
 CELLS = 1 << 22
 EPSILON = 1e-9
 #: words of a part times shingles that may be missing, up to which the least share is found place by place
@@ -177,6 +177,7 @@ class Index:
                 pair_block += most.keys()
                 pair_max += most.values()
             starts.append(len(pair_block))
+        self.common_top = self.common_max.max(axis=1) if len(self.common_max) else np.zeros(0, np.float32)
         self.starts, self.pair_block, self.pair_max = np.array(starts), np.array(pair_block, np.int64), np.array(pair_max, np.float64)
 
     @staticmethod
@@ -190,39 +191,46 @@ class Index:
     def live(self, ids: np.ndarray) -> dict[int, set[int]]:
         """Passages with the blocks whose maxima reach the threshold in them.
 
-        Only blocks that a passage's rarer terms have, and that with all its common terms could
-        reach it, are looked at one by one; or all, where the common terms alone could do so.
+        Where a passage's common terms could reach it alone, its sums over all blocks are taken;
+        elsewhere only blocks are looked at that its rarer terms have.
         """
         out: dict[int, set[int]] = {}
         total, size = self.passages(len(ids)), len(self.terms)
-        goal = self.threshold - 1e-4
-        for low in range(0, total, 256):
-            n = min(256, total - low)
+        goal, at_once = self.threshold - 1e-4, max(1, min(256, CELLS // self.blocks))
+        for low in range(0, total, at_once):
+            n = min(at_once, total - low)
             own = ids[low * self.stride : (low + n + 1) * self.stride] if low + n < total else ids[low * self.stride :]
             at = np.flatnonzero(own >= 0)
             half = at // self.stride
             keys = np.unique(np.concatenate([np.minimum(half, n - 1) * size + own[at], np.clip(half - 1, 0, n - 1) * size + own[at]]))
             passage, term = keys // size, keys % size
             column = self.common[term]
+            is_common = column >= 0
             present = np.zeros((n, len(self.common_max)), np.float32)
-            present[passage[column >= 0], column[column >= 0]] = 1
-            most = present @ self.common_max.max(axis=1) if len(self.common_max) else np.zeros(n)
-            passage, term = passage[column < 0], term[column < 0]
+            present[passage[is_common], column[is_common]] = 1
+            most = present @ self.common_top
+            passage, term = passage[~is_common], term[~is_common]
             counts = self.starts[term + 1] - self.starts[term]
             pair = np.repeat(self.starts[term], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            cells, where = np.unique(np.repeat(passage, counts) * self.blocks + self.pair_block[pair], return_inverse=True)
-            bound = np.bincount(where, weights=self.pair_max[pair], minlength=len(cells))
-            maybe = bound + most[cells // self.blocks] >= goal
-            cells, bound = cells[maybe], bound[maybe]
-            every = np.flatnonzero(most >= goal)
-            if len(every):
-                more = np.setdiff1d((every[:, None] * self.blocks + np.arange(self.blocks)).ravel(), cells)
-                cells, bound = np.concatenate([cells, more]), np.concatenate([bound, np.zeros(len(more))])
-            step = max(1, CELLS // max(1, len(self.common_max)))
-            for some in range(0, len(cells), step):
-                at = cells[some : some + step]
-                reach = bound[some : some + step] + (present[at // self.blocks] * self.common_max[:, at % self.blocks].T).sum(axis=1)
-                for cell in at[reach >= goal].tolist():
+            cells, rarer = np.repeat(passage, counts) * self.blocks + self.pair_block[pair], self.pair_max[pair]
+            dense = most >= goal
+            if dense.any():
+                row = np.cumsum(dense) - 1
+                inside = dense[cells // self.blocks]
+                bound = (present[dense] @ self.common_max).ravel().astype(np.float64)
+                bound += np.bincount(row[cells[inside] // self.blocks] * self.blocks + cells[inside] % self.blocks, weights=rarer[inside], minlength=len(bound))
+                found = np.flatnonzero(bound >= goal)
+                cells, rarer = cells[~inside], rarer[~inside]
+                found = np.flatnonzero(dense)[found // self.blocks] * self.blocks + found % self.blocks
+                for cell in found.tolist():
+                    out.setdefault(low + cell // self.blocks, set()).add(cell % self.blocks)
+            if len(cells):
+                cells, where = np.unique(cells, return_inverse=True)
+                bound = np.bincount(where, weights=rarer, minlength=len(cells))
+                maybe = bound + most[cells // self.blocks] >= goal
+                cells, bound = cells[maybe], bound[maybe]
+                bound += (present[cells // self.blocks] * self.common_max[:, cells % self.blocks].T).sum(axis=1)
+                for cell in cells[bound >= goal].tolist():
                     out.setdefault(low + cell // self.blocks, set()).add(cell % self.blocks)
         return out
 
