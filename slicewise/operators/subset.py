@@ -5,24 +5,30 @@ given value. Rows reached *down* (parent to child) expand further down; rows
 needed *up* (child to parent) are there for integrity only. Closures are semi
 joins on key columns; a child with several ways in is filtered once by
 ``EXISTS ... OR EXISTS ...``, so its rows keep their multiplicity and need no
-primary key. Where the key graph has no cycle each direction is one pass over
-the tables; tables of a cycle are iterated on the rows found last, which are
-written out each round. Masks are applied when all keys have been followed.
+primary key.
+
+A table's rows are a plan that is made when they are asked for. What other tables
+need of them, the key columns, is written once as a narrow table and joined from
+there, so a large table is read once for its keys, if any other table wants them,
+and once for its rows, whatever hangs on it. Where the key graph has no cycle each
+direction is one pass over the tables; tables of a cycle, and hops where a depth is
+given, follow the keys found last. Masks are applied when all keys have been followed.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dialect import to_spark
 from ..plans.graph import children_of, cycles, load_order
 from ..scratch import freeze
-from ..sources.catalog import Catalog, ForeignKey
+from ..sources.catalog import Catalog, ForeignKey, short
 from .masking import apply_masks, parse_filters, parse_masks
 
 MAX_ROUNDS = 100
@@ -43,7 +49,7 @@ class SubsetSpec:
     ``first_fk_only``: of several keys between two tables follow one down.
     ``table_level``: rows of a table that was reached down expand however they
     were reached themselves. ``materialize``: write each table's rows once when
-    they are known, so that tables derived from them don't compute them again.
+    they are known, so that several uses of the slice don't compute them again.
     """
 
     root: str | None = None
@@ -62,6 +68,24 @@ class SubsetSpec:
     max_rounds: int = MAX_ROUNDS
 
 
+class Tables(Mapping):
+    """Tables by name, in order, each made when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass
 class Slice:
     """Tables of a slice, parents first, and how it was taken.
@@ -71,7 +95,7 @@ class Slice:
     """
 
     catalog: Catalog
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     root: str
     masks: list[str] = field(default_factory=list)
     filters: list[str] = field(default_factory=list)
@@ -105,16 +129,38 @@ def split_root(spec: str) -> tuple[str, str]:
     return parts[0], parts[1] if len(parts) > 1 else ""
 
 
+class Rows:
+    """A table's rows in a slice. ``keys`` are their key columns, written when they are first
+    asked for; rows repeated in them change nothing."""
+
+    def __init__(self, make: Callable[[], DataFrame], columns: list[str]) -> None:
+        self._make, self._columns = make, columns
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self._make()
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        return freeze(narrow(self.df, self._columns), "slice_keys")
+
+
+def narrow(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
 @dataclass(frozen=True)
 class Way:
-    """Rows come in whose columns (first of each pair) are among the keys' (second)."""
+    """Rows come in whose columns (first of each pair) are among the keys' (second), and for
+    which the condition holds, if there is one."""
 
     keys: DataFrame
     pairs: tuple[tuple[str, str], ...]
+    condition: str = ""
 
 
-def children_in(fk: ForeignKey, parents: DataFrame) -> Way:
-    return Way(parents, tuple(zip(fk.child_cols, fk.parent_cols, strict=True)))
+def children_in(fk: ForeignKey, parents: DataFrame, condition: str = "") -> Way:
+    return Way(parents, tuple(zip(fk.child_cols, fk.parent_cols, strict=True)), condition)
 
 
 def parents_of(fk: ForeignKey, children: DataFrame) -> Way:
@@ -132,7 +178,8 @@ def rows_by(base: DataFrame, ways: list[Way]) -> DataFrame:
         wide = wide.withColumns({f"own_{n}_{i}": F.col(f"`{own}`") for i, (own, _) in enumerate(way.pairs)})
         named = way.keys.select(*[F.col(f"`{theirs}`").alias(f"key_{n}_{i}") for i, (_, theirs) in enumerate(way.pairs)])
         match = reduce(Column.__and__, [F.col(f"key_{n}_{i}") == F.col(f"own_{n}_{i}").outer() for i in range(len(way.pairs))])
-        conditions.append(named.where(match).exists())
+        found = named.where(match).exists()
+        conditions.append(found & F.expr(way.condition) if way.condition else found)
     return wide.where(reduce(Column.__or__, conditions)).select(*[F.col(f"`{c}`") for c in base.columns])
 
 
@@ -185,10 +232,11 @@ class Extraction:
         full = self.catalog.resolve(name)
         if full in self.excluded:
             raise SubsetError(f"the root {name} is excluded")
-        base = self.catalog.df(full)
         view = full.replace(".", "_") + "_root"
-        base.createOrReplaceTempView(view)
-        rows = self.catalog.spark.sql(f"SELECT * FROM {view} {tail}")  # a trusted operator's SQL; analysis errors surface here
+        self.catalog.df(full).createOrReplaceTempView(view)
+        # the tail may name the table's columns by the table
+        alias = f"AS `{short(full)}` " if not tail or tail.split(maxsplit=1)[0].lower() in ("where", "order", "limit", "offset") else ""
+        rows = self.catalog.spark.sql(f"SELECT * FROM {view} {alias}{to_spark(tail)}")  # a trusted operator's SQL; analysis errors surface here
         if not tail.lower().startswith("where") or any(w in tail.lower() for w in ("rand", "limit", "uuid")):
             rows = freeze(rows, "root") if tail else rows  # every use must see the same rows
         if rows.isEmpty():
@@ -218,26 +266,34 @@ class Extraction:
     def key(self, name: str) -> list[str]:
         return list(self.catalog.table(name).primary_key) or self.catalog.df(name).columns
 
+    def key_columns(self, name: str) -> list[str]:
+        """The columns by which other tables' rows follow from this one's, and this one's key."""
+        table = self.catalog.table(name)
+        used = {*table.key_columns, *(c for fk in self.catalog.constraints() if fk.parent == name for c in fk.parent_cols)}
+        return [c for c in self.catalog.df(name).columns if c in used]
+
+    def rows(self, name: str, make: Callable[[], DataFrame]) -> Rows:
+        return Rows((lambda: freeze(make(), "slice")) if self.spec.materialize else make, self.key_columns(name))
+
     def missing(self, name: str, rows: DataFrame, have: DataFrame) -> DataFrame:
         """``rows`` that ``have`` lacks, by key, nulls being equal."""
         keys = have.select(*[F.col(f"`{c}`").alias(f"have_{i}") for i, c in enumerate(self.key(name))]).distinct()
         return rows.join(keys, [rows[f"`{c}`"].eqNullSafe(keys[f"have_{i}"]) for i, c in enumerate(self.key(name))], "left_anti")
 
-    def union(self, name: str, have: DataFrame | None, rows: DataFrame | None) -> DataFrame | None:
-        if have is None or rows is None:
-            return rows if have is None else have
-        return have.unionByName(self.missing(name, rows, have))
-
-    def matching(self, name: str, ways: list[Way], filtered: bool) -> DataFrame | None:
-        if not ways:
-            return None
-        base = self.catalog.df(name)
-        if filtered and name in self.filters:
-            base = base.where(F.expr(self.filters[name]))
-        return rows_by(base, ways)
-
-    def capped(self, name: str, rows: DataFrame | None) -> DataFrame | None:
-        if rows is None or not self.spec.limit:
+    def added(self, name: str, have: Rows | None, found: DataFrame) -> DataFrame:
+        """The rows of ``have`` and those found that it lacks."""
+        if have is None:
+            return found
+        return have.df.unionByName(self.missing(name, found, have.keys if self.catalog.table(name).primary_key else have.df))
+
+    def matching(self, name: str, ways: list[Way]) -> DataFrame:
+        return rows_by(self.catalog.df(name), ways)
+
+    def down_way(self, fk: ForeignKey, parents: DataFrame) -> Way:
+        return children_in(fk, parents, self.filters.get(fk.child, ""))
+
+    def capped(self, name: str, rows: DataFrame) -> DataFrame:
+        if not self.spec.limit:
             return rows
         wider = freeze(rows.orderBy(*[F.col(f"`{c}`") for c in self.key(name)]).limit(self.spec.limit + 1), "limited")
         if wider.count() > self.spec.limit:
@@ -247,32 +303,38 @@ class Extraction:
 
     # -- closures
 
-    def down(self, start: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def down(self, start: dict[str, Rows]) -> dict[str, Rows]:
         """Start rows and all rows below them."""
-        if self.spec.depth:
-            return self._down_by_hops(start)
         rows = dict(start)
-        sources = dict(start) if self.spec.expand_includes else {t: df for t, df in start.items() if t not in {self.catalog.resolve(i) for i in self.spec.include}}
+        sources = dict(start)
+        if not self.spec.expand_includes:
+            sources = {t: r for t, r in start.items() if t not in {self.catalog.resolve(i) for i in self.spec.include}}
+        if self.spec.depth:
+            return rows | self._down_by_hops(start, sources)
         for group in cycles(self.catalog, self._below(sources)):
-            found = {}
+            found: dict[str, Rows] = {}
             for name in sorted(group):
                 ways = [fk for fk in self._entries(name) if fk.parent in sources and fk.parent not in group]
-                conditions = [children_in(fk, sources[fk.parent]) for fk in ways]
-                found[name] = self.capped(name, self.matching(name, conditions, True))
+                if ways:
+                    found[name] = self._found_below(name, ways, dict(sources))
                 if len(ways) == 1 and name not in start and len(group) == 1 and ways[0].parent != name:
                     self.settled.add(ways[0])
             loops = [fk for name in group for fk in self._entries(name) if fk.parent in group]
             if loops:
-                begin = {t: self.union(t, sources.get(t), found[t]) for t in group}
-                found = self._iterate({t: df for t, df in begin.items() if df is not None}, lambda fk, last: (fk.child, children_in(fk, last[fk.parent])) if fk.parent in last else None, loops, True)
-            for name, df in found.items():
-                if df is not None:
-                    rows[name] = self.kept(name, self.union(name, rows.get(name), df))
-                    sources[name] = rows[name]
+                begin = {t: self._together(t, sources.get(t), found.get(t)) for t in sorted(group)}
+                follow = lambda fk, last: (fk.child, self.down_way(fk, last[fk.parent])) if fk.parent in last else None
+                found = self._looped({t: r for t, r in begin.items() if r}, group, follow, loops, True)
+            for name, own in found.items():
+                rows[name] = sources[name] = self._together(name, None if loops and name in sources else rows.get(name), own)
         return rows
 
-    def kept(self, name: str, rows: DataFrame) -> DataFrame:
-        return freeze(rows, "slice") if self.spec.materialize else rows
+    def _found_below(self, name: str, ways: list[ForeignKey], sources: dict[str, Rows]) -> Rows:
+        return self.rows(name, lambda: self.capped(name, self.matching(name, [self.down_way(fk, sources[fk.parent].keys) for fk in ways])))
+
+    def _together(self, name: str, have: Rows | None, found: Rows | None) -> Rows | None:
+        if have is None or found is None:
+            return found if have is None else have
+        return self.rows(name, lambda: self.added(name, have, found.df))
 
     def _entries(self, name: str) -> list[ForeignKey]:
         return [] if name in self.sealed else self.into.get(name, [])
@@ -286,36 +348,57 @@ class Extraction:
                 todo += [fk.child for fk in self.below.get(name, []) if fk.child not in self.sealed]
         return seen
 
-    def _down_by_hops(self, start: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """Hop k takes the children of all rows within k - 1 hops."""
-        rows = dict(start)
+    def _down_by_hops(self, start: dict[str, Rows], sources: dict[str, Rows]) -> dict[str, Rows]:
+        """Rows within a number of hops. Each hop reads a table once, for the keys of the rows below
+        those found last, and the rows are read once at the end; with a limit a hop looks below
+        all rows so far, since those that count may change."""
+        have = {t: r.keys for t, r in sources.items() if self.below.get(t)}
+        last, rows = dict(have), {}
         for hop in range(self.spec.depth):
+            ways: dict[str, list[Way]] = {}
+            for name in sorted({fk.child for p in last for fk in self.below.get(p, [])}):
+                own = [self.down_way(fk, last[fk.parent]) for fk in self._entries(name) if fk.parent in last]
+                if own:
+                    ways[name] = own
+            if hop + 1 == self.spec.depth or not ways:
+                break
             new = {}
-            for name in sorted({fk.child for p in rows for fk in self.below.get(p, [])}):
-                conditions = [children_in(fk, rows[fk.parent]) for fk in self._entries(name) if fk.parent in rows]
-                found = self.matching(name, conditions, True)
-                if found is not None:
-                    new[name] = self.union(name, start.get(name), self.capped(name, found) if hop + 1 == self.spec.depth or self.spec.limit else found)
-            rows |= new
+            for name, own in ways.items():
+                found = narrow(self.capped(name, self.matching(name, own)), self.key_columns(name))
+                if name in have and not self.spec.limit:
+                    found = found.join(have[name], [found[f"`{c}`"].eqNullSafe(have[name][f"`{c}`"]) for c in self.key_columns(name)], "left_anti")
+                new[name] = freeze(found, "hop_keys")
+            for name, found in new.items():
+                have[name] = have[name].unionByName(found) if name in have and not self.spec.limit else found
+                if self.spec.limit and name in sources:
+                    have[name] = have[name].unionByName(sources[name].keys)
+            last = dict(have) if self.spec.limit else new
+        for name in sorted({fk.child for p in have for fk in self.below.get(p, [])}):
+            own = [self.down_way(fk, have[fk.parent]) for fk in self._entries(name) if fk.parent in have]
+            if own:
+                found = self.rows(name, lambda name=name, own=own: self.capped(name, self.matching(name, own)))
+                rows[name] = self._together(name, start.get(name), found)
         return rows
 
-    def up(self, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def up(self, rows: dict[str, Rows]) -> dict[str, Rows]:
         """The rows and all rows that their keys reference, however far up."""
         rows, grown = dict(rows), set()
         for group in reversed(cycles(self.catalog, self._above(rows))):
             for name in sorted(group):
-                conditions = [parents_of(fk, rows[fk.child]) for fk in self._references(name) if fk.child in rows and fk.child not in group and (fk not in self.settled or fk.child in grown)]
-                found = self.matching(name, conditions, False)
-                if found is not None:
-                    rows[name] = self.kept(name, self.union(name, rows.get(name), found))
+                ways = [fk for fk in self._references(name) if fk.child in rows and fk.child not in group and (fk not in self.settled or fk.child in grown)]
+                if ways:
+                    rows[name] = self._found_above(name, ways, dict(rows))
                     grown.add(name)
             loops = [fk for name in group for fk in self._references(name) if fk.child in group]
             begin = {t: rows[t] for t in group if t in rows}
             if loops and begin:
                 grown |= group
-                rows |= self._iterate(begin, lambda fk, last: (fk.parent, parents_of(fk, last[fk.child])) if fk.child in last else None, loops, False)
+                rows |= self._looped(begin, group, lambda fk, last: (fk.parent, parents_of(fk, last[fk.child])) if fk.child in last else None, loops, False)
         return rows
 
+    def _found_above(self, name: str, ways: list[ForeignKey], rows: dict[str, Rows]) -> Rows:
+        return self.rows(name, lambda: self.added(name, rows.get(name), self.matching(name, [parents_of(fk, rows[fk.child].keys) for fk in ways])))
+
     def _references(self, name: str) -> list[ForeignKey]:
         if name in self.excluded:
             return []
@@ -330,7 +413,18 @@ class Extraction:
                 todo += [fk.parent for fk in self.catalog.table(name).foreign_keys]
         return seen
 
-    def _iterate(self, begin: dict[str, DataFrame], step: Callable, edges: list[ForeignKey], filtered: bool) -> dict[str, DataFrame]:
+    def _looped(self, begin: dict[str, Rows], group: set[str], step: Callable, edges: list[ForeignKey], downwards: bool) -> dict[str, Rows]:
+        """The tables of a cycle, iterated when one of them is first asked for."""
+        done: list[dict[str, DataFrame]] = []
+
+        def make(name: str) -> DataFrame:
+            if not done:
+                done.append(self._iterate({t: r.df for t, r in begin.items()}, step, edges, downwards))
+            return done[0][name] if name in done[0] else self.catalog.df(name).limit(0)
+
+        return {t: Rows(lambda t=t: make(t), self.key_columns(t)) for t in sorted(group)}
+
+    def _iterate(self, begin: dict[str, DataFrame], step: Callable, edges: list[ForeignKey], downwards: bool) -> dict[str, DataFrame]:
         """Rows of a cycle's tables to the fixpoint, following only the rows found last."""
         have = {t: freeze(df, "cycle") for t, df in begin.items()}
         last = dict(have)
@@ -341,8 +435,8 @@ class Extraction:
                     ways.setdefault(way[0], []).append(way[1])
             last = {}
             for name, conditions in ways.items():
-                found = self.matching(name, conditions, filtered)
-                if filtered and self.spec.limit:
+                found = self.matching(name, conditions)
+                if downwards:
                     found = self.capped(name, found)
                 new = freeze(self.missing(name, found, have[name]) if name in have else found, "cycle")
                 if not new.isEmpty():
@@ -353,17 +447,18 @@ class Extraction:
                 return have
         raise SubsetError(f"no fixpoint after {self.spec.max_rounds} rounds")
 
-    def closure(self) -> dict[str, DataFrame]:
-        start = self.start()
+    def closure(self) -> dict[str, Rows]:
+        start = {t: Rows(lambda df=df: df, self.key_columns(t)) for t, df in self.start().items()}
         if not self.spec.table_level:
             return self.up(self.down(start))
         # rows of tables reached down expand whatever brought them there
         rows, before = start, None
         for _ in range(self.spec.max_rounds):
             self.settled = set()
-            down = self.down({t: df for t, df in rows.items() if t in self._below(start)})
-            rows = {t: freeze(df, "table_level") for t, df in self.up({**rows, **down}).items()}
-            counts = {t: df.count() for t, df in rows.items()}
+            down = self.down({t: r for t, r in rows.items() if t in self._below(start)})
+            frozen = {t: freeze(r.df, "table_level") for t, r in self.up({**rows, **down}).items()}
+            rows = {t: Rows(lambda df=df: df, self.key_columns(t)) for t, df in frozen.items()}
+            counts = {t: df.count() for t, df in frozen.items()}
             if counts == before:
                 return rows
             before = counts
@@ -376,10 +471,9 @@ class Extraction:
                 if fk.parent in self.excluded:
                     self.warnings.append(f"{name}.{fk.name} references the excluded table {fk.parent}")
         order = load_order(self.catalog, rows, lambda names: self.warnings.append(f"circular keys: {', '.join(names)}"))
-        tables = {}
-        for name in order:
-            table = self.catalog.table(name)
-            tables[name] = apply_masks(rows[name], self.masks.get(name, {}), table.generated)
+        tables = Tables({name: lambda name=name: apply_masks(rows[name].df, self.masks.get(name, {}), self.catalog.table(name).generated) for name in order})
+        if self.spec.limit:
+            list(tables.values())  # what a limit cuts off is known when the rows are
         unreached = [t for t in self.catalog.names() if t not in rows and t not in self.excluded]
         return Slice(self.catalog, tables, self.spec.root or self.spec.seed, list(self.spec.masks), list(self.spec.filters), unreached, sorted(set(self.warnings)), sorted(set(self.truncated)))
 

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.rendering import copy_lines, insert_statements, interval_text, rfc3339_seconds, sql_literal, uuid_text
+from .functions.rendering import copy_lines, insert_statements, interval_text, rendered, rfc3339_seconds, sql_literal, uuid_text
 from .operators.integrity import orphan_counts, orphan_samples, orphans, repaired
 from .operators.load import dangling, next_sequence_values
 from .operators.masking import apply_masks
-from .operators.subset import SubsetSpec, extract
+from .operators.subset import Slice, SubsetSpec, extract
 from .plans.graph import load_order, reachable, root_candidates_df
 from .plans.pii import analyze, mask_specs, matches_df
 from .plans.suggest_fks import suggest, suggestions_df, validate
-from .sources.catalog import Catalog, Column, Table, table_of
+from .sources.catalog import Catalog, Column, Table, short, table_of
 from .sources.testdata import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +68,24 @@ def orphans_by_fk(spark, sf_dir):
     return orphan_counts(star(spark, sf_dir))
 
 
+# tables of which only some rows are there, so that every key but one has orphans
+_SOME = {"region": "r_name <> 'ASIA'", "nation": "n_regionkey <> 1", "customer": "c_acctbal > 0", "supplier": "s_acctbal > 1000", "part": "p_size < 25", "orders": "o_orderstatus = 'F'", "lineitem": "l_quantity > 10", "events": "user_id IS NOT NULL"}
+
+
+@query(
+    "orphans_by_fk_restricted",
+    f"WITH {', '.join(f'some_{t} AS (SELECT * FROM {t} WHERE {w})' for t, w in _SOME.items())} "
+    + " UNION ALL ".join(
+        f"SELECT 'public.{t}' AS child_table, '{t}_{c}_fkey' AS constraint_name, count(*) AS orphan_count FROM some_{t} WHERE {_NO_PARENT.format(c=c, p=f'some_{p}', pc=pc)}"
+        for t, c, p, pc in _FKS
+    ),
+)
+def orphans_by_fk_restricted(spark, sf_dir):
+    whole = star(spark, sf_dir)
+    tables = [replace(t, load=lambda s, n=n: whole.df(n).where(_SOME[short(n)])) for n, t in whole.tables.items()]
+    return orphan_counts(Catalog(spark, tables)).select("child_table", "constraint_name", "orphan_count")
+
+
 @query("orphans_partial_parent", f"SELECT {LINE_SQL} FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
 def orphans_partial_parent(spark, sf_dir):
     finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
@@ -192,6 +211,48 @@ def subset_depth1(spark, sf_dir):
     return extract(star(spark, sf_dir), SubsetSpec(root=ROOT, depth=1)).row_counts()
 
 
+_REGION = "region WHERE r_name = 'ASIA'"
+_HOPS = (
+    "WITH r AS (SELECT * FROM region WHERE r_name = 'ASIA'), n AS (SELECT * FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM r)), "
+    "c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)), s AS (SELECT * FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n))"
+)
+
+
+@query("subset_depth2", _HOPS + " UNION ALL ".join(f" SELECT 'public.{t}' AS table_name, count(*) AS row_count FROM {a}" for t, a in (("region", "r"), ("nation", "n"), ("customer", "c"), ("supplier", "s"))))
+def subset_depth2(spark, sf_dir):
+    return extract(star(spark, sf_dir), SubsetSpec(root=_REGION, depth=2)).row_counts()
+
+
+@query(
+    "subset_depth3",
+    _HOPS + ", l AS (SELECT * FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM s)), e AS (SELECT * FROM events WHERE user_id IN (SELECT c_custkey FROM c)), "
+    "o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c) OR o_orderkey IN (SELECT l_orderkey FROM l)), p AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM l)), "
+    "cc AS (SELECT * FROM customer WHERE c_custkey IN (SELECT c_custkey FROM c) OR c_custkey IN (SELECT o_custkey FROM o)), "
+    "nn AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM n) OR n_nationkey IN (SELECT c_nationkey FROM cc)), "
+    "rr AS (SELECT * FROM region WHERE r_regionkey IN (SELECT r_regionkey FROM r) OR r_regionkey IN (SELECT n_regionkey FROM nn))"
+    + " UNION ALL ".join(f" SELECT 'public.{t}' AS table_name, count(*) AS row_count FROM {a}" for t, a in (("region", "rr"), ("nation", "nn"), ("customer", "cc"), ("supplier", "s"), ("orders", "o"), ("lineitem", "l"), ("events", "e"), ("part", "p"))),
+)
+def subset_depth3(spark, sf_dir):
+    return extract(star(spark, sf_dir), SubsetSpec(root=_REGION, depth=3)).row_counts()
+
+
+_PG_TAIL = "WHERE \"c_mktsegment\"::text ILIKE 'build%' AND customer.c_acctbal::numeric(12,2) > 100 AND cast(c_nationkey AS text) <> '7'"
+
+
+@query("subset_root_dialect", f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer {_PG_TAIL})")
+def subset_root_dialect(spark, sf_dir):
+    """A root clause as PostgreSQL writes it."""
+    return _sliced(spark, sf_dir, "orders", root=f"customer {_PG_TAIL}").select("o_orderkey", "o_custkey")
+
+
+_RICHEST = "WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 100"
+
+
+@query("subset_root_order_limit", f"SELECT {LINE_SQL} FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer {_RICHEST}))")
+def subset_root_order_limit(spark, sf_dir):
+    return _sliced(spark, sf_dir, "lineitem", root=f"customer {_RICHEST}").select(*LINE)
+
+
 @query("subset_exclude", " UNION ALL ".join(f"SELECT 'public.{t}' AS table_name, count(*) AS row_count FROM {t} WHERE {w}" for t, w in _COUNTS.items() if t not in ("events", "part")))
 def subset_exclude(spark, sf_dir):
     return extract(star(spark, sf_dir), SubsetSpec(root=ROOT, exclude=["events", "part"])).row_counts()
@@ -220,6 +281,20 @@ def self_ref_closure(spark, sf_dir):
     return extract(c, SubsetSpec(root="tree WHERE node = 7")).tables["public.tree"]
 
 
+@query(
+    "self_ref_filtered",
+    "WITH RECURSIVE tree AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey > 0 THEN o_orderkey // 10 END AS parent, o_orderstatus AS status FROM orders), "
+    "found AS (SELECT * FROM tree WHERE node = 7 UNION SELECT t.* FROM tree t JOIN found f ON t.parent = f.node WHERE t.status <> 'O'), "
+    "above AS (SELECT * FROM found UNION SELECT t.* FROM tree t JOIN above a ON t.node = a.parent) SELECT * FROM above",
+)
+def self_ref_filtered(spark, sf_dir):
+    """A filter holds on the steps down a tree; those up are for integrity."""
+    parent = F.when(F.col("o_orderkey") > 0, F.floor(F.col("o_orderkey") / 10)).cast("long")
+    tree = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), parent.alias("parent"), F.col("o_orderstatus").alias("status"))
+    c = Catalog(spark, [table_of("tree", tree, ["node"], [(["parent"], "tree", ["node"])])])
+    return extract(c, SubsetSpec(root="tree WHERE node = 7", filters=["tree=status <> 'O'"])).tables["public.tree"]
+
+
 @query(
     "cycle_closure",
     "WITH RECURSIVE emp AS (SELECT c_custkey AS id, c_custkey % 8 AS dept FROM customer), dep AS (SELECT DISTINCT c_custkey % 8 AS id, (c_custkey % 8) * 3 % 5 AS lead FROM customer), "
@@ -239,13 +314,14 @@ def cycle_closure(spark, sf_dir):
 
 @query(
     "subset_composite",
-    f"SELECT {LINE_SQL} FROM lineitem WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey <= 50) WHERE p = l_partkey AND s = l_suppkey)",
+    f"SELECT {LINE_SQL} FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 40)",
 )
 def subset_composite(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    pairs = lines.select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    """A key of two columns, from the pairs of part and supplier in use, of large parts."""
+    lines, sizes = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), "p_size")
+    pairs = lines.select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct().join(sizes, "p")
     c = Catalog(spark, [table_of("partsupp", pairs, ["p", "s"]), table_of("lineitem", lines, [], [(["l_partkey", "l_suppkey"], "partsupp", ["p", "s"])])])
-    return extract(c, SubsetSpec(root="partsupp WHERE p <= 50")).tables["public.lineitem"].select(*LINE)
+    return extract(c, SubsetSpec(root="partsupp WHERE p_size > 40")).tables["public.lineitem"].select(*LINE)
 
 
 @query("slice_has_no_orphans", " UNION ALL ".join(f"SELECT 'public.{t}' AS child_table, '{t}_{c}_fkey' AS constraint_name, CAST(0 AS BIGINT) AS orphan_count" for t, c, _, _ in _FKS))
@@ -253,6 +329,24 @@ def slice_has_no_orphans(spark, sf_dir):
     return dangling(extract(star(spark, sf_dir), SubsetSpec(root=ROOT)))
 
 
+_LOST = {"orders": "o_orderstatus <> 'F'", "part": "p_size >= 25", "region": "r_name = 'EUROPE'"}
+_ALIVE = {t: f"{w} AND NOT ({_LOST[t]})" if t in _LOST else w for t, w in _COUNTS.items()}
+
+
+@query(
+    "slice_with_orphans",
+    " UNION ALL ".join(
+        f"SELECT 'public.{t}' AS child_table, '{t}_{c}_fkey' AS constraint_name, count(*) AS orphan_count FROM {t} WHERE {_ALIVE[t]} AND {c} IS NOT NULL AND {c} NOT IN (SELECT {pc} FROM {p} WHERE {_ALIVE[p]})"
+        for t, c, p, pc in _FKS
+    ),
+)
+def slice_with_orphans(spark, sf_dir):
+    """A slice that lost some of its parents."""
+    cut = extract(star(spark, sf_dir), SubsetSpec(root=ROOT))
+    tables = {n: df.where(f"NOT ({_LOST[short(n)]})") if short(n) in _LOST else df for n, df in cut.tables.items()}
+    return dangling(Slice(cut.catalog, tables, cut.root))
+
+
 @query("untouched_tables", "SELECT * FROM (VALUES ('public.benchmark'), ('public.conversations'), ('public.documents'), ('public.embeddings'), ('public.labels'), ('public.pages')) t(table_name)")
 def untouched_tables(spark, sf_dir):
     cut = extract(catalog(spark, sf_dir), SubsetSpec(root=ROOT))
@@ -348,10 +442,32 @@ def fk_candidates(spark, sf_dir):
 # ---- values as text
 
 
-@query("sql_literals", "SELECT c_custkey, '''' || replace(c_name || '''s', '''', '''''') || '''' AS quoted, CASE WHEN c_acctbal > 0 THEN 'TRUE' ELSE 'FALSE' END AS flag, CASE WHEN c_custkey % 2 = 0 THEN 'NULL' ELSE CAST(c_custkey AS VARCHAR) END AS number FROM customer")
+@query("sql_literals", "SELECT c_custkey, '''' || replace(c_name || '''s', '''', '''''') || '''' AS quoted, CASE WHEN c_acctbal > 0 THEN 'TRUE' ELSE 'FALSE' END AS flag, CASE WHEN c_custkey % 2 = 0 THEN 'NULL' ELSE CAST(c_custkey AS VARCHAR) END AS number, '''' || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '1 day ' ELSE '2 days ' END || '01:02:0' || c_custkey % 10 || '.5''' AS span, CASE c_custkey % 15 WHEN 0 THEN '''00:00:00''' WHEN 1 THEN '''1 mon''' ELSE '''' || c_custkey % 15 || ' mons''' END AS months FROM customer")
 def sql_literals(spark, sf_dir):
-    values = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("'s")).alias("t"), (F.col("c_acctbal") > 0).alias("b"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_custkey")).alias("n"))
-    return values.select("c_custkey", sql_literal(F.col("t"), "string").alias("quoted"), sql_literal(F.col("b"), "boolean").alias("flag"), sql_literal(F.col("n"), "bigint").alias("number"))
+    values = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("'s")).alias("quoted"), (F.col("c_acctbal") > 0).alias("flag"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_custkey")).alias("number"), F.expr("make_dt_interval(int(c_custkey % 3), 1, 2, c_custkey % 10 + 0.5)").alias("span"), F.expr("make_ym_interval(0, int(c_custkey % 15))").alias("months"))
+    return values.select("c_custkey", *(sql_literal(F.col(c), t).alias(c) for c, t in values.dtypes[1:]))
+
+
+@query("array_text", "SELECT c_custkey, '{\"' || c_name || ', x\",' || c_mktsegment || ',NULL,\"\",\"null\",\"say \\\"hi\\\" \\\\\"}' AS names, '{' || CAST(c_acctbal AS DECIMAL(12,2)) || ',NULL}' AS numbers, '{{' || c_custkey || ',' || c_nationkey || '},{' || c_nationkey || '}}' AS nested FROM customer")
+def array_texts(spark, sf_dir):
+    """Arrays as text, of elements with commas, quotes and backslashes, of empty text and of the word NULL."""
+    said = 'say "hi" \\'
+    arrays = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.array(F.concat("c_name", F.lit(", x")), "c_mktsegment", F.lit(None), F.lit(""), F.lit("null"), F.lit(said)).alias("names"),
+        F.array(F.col("c_acctbal").cast("decimal(12,2)"), F.lit(None)).alias("numbers"),
+        F.array(F.array("c_custkey", "c_nationkey"), F.array("c_nationkey")).alias("nested"),
+    )
+    return arrays.select("c_custkey", *(rendered(F.col(c), t).alias(c) for c, t in arrays.dtypes[1:]))
+
+
+@query("timestamp_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS plain, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS zoned, strftime(ts, '''%Y-%m-%d %H:%M:%S.%f''') AS plain_literal, strftime(ts, '''%Y-%m-%d %H:%M:%S.%f+00''') AS zoned_literal FROM events")
+def timestamp_text(spark, sf_dir):
+    """Moments with and without zone, the same in any session's zone."""
+    moment = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', plain))")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("plain")).withColumn("zoned", moment)
+    kinds = dict(events.dtypes)
+    return events.select("event_id", *(rendered(F.col(c), kinds[c]).alias(c) for c in ("plain", "zoned")), *(sql_literal(F.col(c), kinds[c]).alias(f"{c}_literal") for c in ("plain", "zoned")))
 
 
 @query("insert_script", "SELECT 'INSERT INTO \"public\".\"nation\" (\"n_nationkey\", \"n_name\", \"n_regionkey\") VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ') ON CONFLICT DO NOTHING;' AS value FROM nation")

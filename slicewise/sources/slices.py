@@ -15,7 +15,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rendering import insert_statements, rendered
+from ..functions.rendering import insert_statements, parsed, rendered
 from ..operators.subset import Slice
 from .catalog import Catalog
 
@@ -109,14 +109,6 @@ def read_document(catalog: Catalog, path: str) -> Slice:
     for name in order:
         rows = tables.where(F.col("name") == name).select(F.explode("rows").alias("r"))
         types = dict(catalog.df(name).dtypes)
-        out[name] = rows.select(*[_parsed(F.col("r")[i], types[c]).alias(c) for i, c in enumerate(heads[name])])
+        out[name] = rows.select(*[parsed(F.col("r")[i], types[c]).alias(c) for i, c in enumerate(heads[name])])
     m = meta["meta"]
     return Slice(catalog, out, m["root"], m["masks_applied"] or [], m["filters_applied"] or [], m["untouched_tables"] or [])
-
-
-def _parsed(text, spark_type: str):
-    if spark_type == "binary":
-        return F.unhex(F.substring(text, 3, 1 << 30))
-    if spark_type.startswith("timestamp"):
-        return F.regexp_replace(text, "Z$", "").cast(spark_type)
-    return text.cast(spark_type)
