@@ -48,7 +48,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the rolling hash's base and of its inverse."""
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(PIECE * 2, 1 << (n - 1).bit_length())
         inverse = pow(int(_FACTOR), -1, 1 << 64)
         for name, base in (("up", int(_FACTOR)), ("down", inverse)):

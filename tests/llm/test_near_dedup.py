@@ -77,3 +77,9 @@ def test_word_hashes_by_piece(monkeypatch):
     assert (words.word_hashes(text) == whole).all() and len(whole) == 3000
     long = np.frombuffer(b"a" * 1000 + b" b", np.uint8)
     assert len(words.word_hashes(long)) == 2
+
+
+def test_a_worker_that_begins_with_an_empty_text(monkeypatch):
+    monkeypatch.setattr(words, "_powers", {})
+    assert len(words.word_hashes(np.zeros(0, np.uint8))) == 0
+    assert [len(p) for p in words.powers(0)] == [0, 0] and [len(p) for p in words.powers(5)] == [5, 5]
