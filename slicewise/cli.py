@@ -9,28 +9,31 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from .config import Profile, find_profile, resolve_masks
 from .operators.integrity import check, format_check, format_cleanup_sql, total_orphans
-from .operators.load import JdbcTarget, ParquetTarget, apply
+from .operators.load import JdbcTarget, LoadError, ParquetTarget, RegistryTarget, Target, apply
 from .operators.subset import SubsetSpec, extract
 from .plans.graph import format_inspect, format_roots, reachable, root_candidates
 from .plans.pii import Confidence, analyze, format_analysis, policy_yaml
 from .plans.suggest_fks import format_ddl, format_suggestions, suggest, validate
 from .sources import jdbc, slices
-from .sources.catalog import Catalog, from_yaml
+from .sources.catalog import DEFAULT_SCHEMA, Catalog, from_yaml
 
 
 def comma_list(values: list[str]) -> list[str]:
     return [part.strip() for value in values for part in value.split(",") if part.strip()]
 
 
-def open_catalog(spark: SparkSession, connection: str, schema: str = "") -> Catalog:
+def open_catalog(spark: SparkSession, connection: str, schema: str = "", timeout: int = 0) -> Catalog:
     if connection.startswith("jdbc:"):
-        return jdbc.catalog(spark, connection)
+        return jdbc.catalog(spark, connection, {"queryTimeout": str(timeout)} if timeout else None, default_schema=schema or DEFAULT_SCHEMA)
     path = Path(connection)
     catalog = from_yaml(spark, path / "catalog.yaml" if path.is_dir() else path)
     if schema:
@@ -38,6 +41,32 @@ def open_catalog(spark: SparkSession, connection: str, schema: str = "") -> Cata
     return catalog
 
 
+def open_target(where: str, catalog: Catalog, connection: str, disable_triggers: bool = False) -> Target:
+    """Where a load goes: a folder or JDBC URL that is named, or else the tables of the connection."""
+    if where.startswith("jdbc:") or (not where and connection.startswith("jdbc:")):
+        return JdbcTarget(where or connection, {"driver": "org.postgresql.Driver"} if "postgresql" in (where or connection) else {}, disable_triggers)
+    if disable_triggers:
+        raise LoadError("only a database has triggers to disable")
+    if not where or where == connection:
+        return RegistryTarget(catalog)
+    if where.endswith((".yaml", ".yml")) or (Path(where) / "catalog.yaml").is_file():
+        return RegistryTarget(open_catalog(catalog.spark, where))
+    return ParquetTarget(where)
+
+
+def elapsed(seconds: float) -> str:
+    return f"{seconds * 1000:.0f} ms" if seconds < 1 else f"{seconds:.1f} s" if seconds < 60 else f"{seconds // 60:.0f} min {seconds % 60:.0f} s"
+
+
+@contextmanager
+def timed(what: str, verbose: bool) -> Iterator[None]:
+    """With ``verbose`` says on stderr how long a step took."""
+    began = time.monotonic()
+    yield
+    if verbose:
+        print(f"{what}: {elapsed(time.monotonic() - began)}", file=sys.stderr)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="slicewise", description=__doc__)
     top.add_argument("--profile", help="profile file (default: .slicewise.yaml in the working folder)")
@@ -57,7 +86,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("extract", "Take a referentially closed slice.", scoped=False)
     for name in ("root", "seed", "output", "masks-file"):
         c.add_argument(f"--{name}", *(["-o"] if name == "output" else []))
-    c.add_argument("--format", choices=["parquet", "json", "sql"])
+    c.add_argument("--format", choices=["parquet", "jsonl", "json", "sql"])
     for name in ("limit", "depth", "statement-timeout"):
         c.add_argument(f"--{name}", type=int)
     for name in ("include", "exclude", "mask", "mask-policy", "filter"):
@@ -66,7 +95,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(f"--{name}", action="store_true")
     c = command("apply", "Load a slice, parents first.", scoped=False)
     c.add_argument("slice")
-    c.add_argument("--target", help="folder or jdbc: URL (default: the connection)")
+    c.add_argument("--target", help="folder or jdbc: URL (default: the tables of the connection)")
     for name in ("force", "dry-run", "disable-triggers", "sync-sequences"):
         c.add_argument(f"--{name}", action="store_true")
     c = command("check", "Count rows whose foreign key has no parent.")
@@ -115,10 +144,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("no connection: use --connection, a profile or DATABASE_URL", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("slicewise").getOrCreate()
-    catalog = open_catalog(spark, connection, args.schema or profile.schema)
     timeout = getattr(args, "statement_timeout", None) or profile.extract.get("statement_timeout", 0)
-    with cancelled_after(spark, timeout):
-        return run(args, profile, catalog)
+    verbose = getattr(args, "verbose", False)
+    with timed("catalog", verbose):
+        catalog = open_catalog(spark, connection, args.schema or profile.schema, timeout)
+    with cancelled_after(spark, timeout), timed(args.command, verbose):
+        return run(args, profile, catalog, connection)
 
 
 class cancelled_after:
@@ -141,15 +172,20 @@ class cancelled_after:
             self.spark.removeTag("slicewise-timeout")
 
 
-def run(args: argparse.Namespace, profile: Profile, catalog: Catalog) -> int:
+def run(args: argparse.Namespace, profile: Profile, catalog: Catalog, connection: str) -> int:
+    verbose = getattr(args, "verbose", False)
     if args.command == "extract":
-        cut = extract(catalog, merged_spec(args, profile))
+        with timed("rows", verbose):
+            cut = extract(catalog, merged_spec(args, profile))
+            cut.filled  # noqa: B018  rows are found when they are asked for
         for warning in cut.warnings:
             print(f"Warning: {warning}", file=sys.stderr)
         output, form = args.output or profile.extract.get("output"), args.format or profile.extract.get("format") or "parquet"
         if args.dry_run or not output:
             for r in cut.row_counts().collect():
                 print(f"{r['table_name']}: {r['row_count']} rows")
+        elif form == "jsonl":
+            slices.write_lines(cut, output, "overwrite")
         elif form == "json":
             Path(output).parent.mkdir(parents=True, exist_ok=True)
             slices.write_document(cut, output)
@@ -160,23 +196,27 @@ def run(args: argparse.Namespace, profile: Profile, catalog: Catalog) -> int:
             slices.write_parquet(cut, output, "overwrite")
         return 0
     if args.command == "apply":
-        cut = slices.read_document(catalog, args.slice) if args.slice.endswith(".json") else slices.read_parquet(catalog, args.slice)
-        where = args.target or args.connection or profile.connection
+        cut = slices.read_document(catalog, args.slice) if args.slice.endswith(".json") else slices.read_slice(catalog, args.slice)
         own = profile.apply
-        properties = {"sessionInitStatement": "SET session_replication_role = 'replica'"} if args.disable_triggers or own.get("disable_triggers") else {}
-        target = JdbcTarget(where, properties) if where.startswith("jdbc:") else ParquetTarget(where)
-        result = apply(cut, target, args.force or own.get("force", False), args.dry_run, sync_sequences=args.sync_sequences or own.get("sync_sequences", False))
+        try:
+            target = open_target(args.target or "", catalog, connection, args.disable_triggers or own.get("disable_triggers", False))
+            result = apply(cut, target, args.force or own.get("force", False), args.dry_run, sync_sequences=args.sync_sequences or own.get("sync_sequences", False))
+        except LoadError as e:
+            print(f"not loaded: {e}", file=sys.stderr)
+            return 1
         for name in result.order:
             print(f"{name}: {result.rows[name]} rows" + (f", last key {result.next_values[name]}" if name in result.next_values else ""))
         return 0
     scope = reachable(catalog, args.root, args.depth) if getattr(args, "root", None) else catalog.names()
     if args.command == "check":
-        results = check(catalog, scope, args.samples)
+        with timed(f"{len(catalog.constraints(scope))} constraint(s)", verbose):
+            results = check(catalog, scope, args.samples)
         print(format_cleanup_sql(results) if args.emit_sql else format_check(results), end="")
         return 1 if total_orphans(results) else 0
     if args.command == "suggest-fks":
         found = suggest(catalog, scope)
-        found = found if args.names_only else validate(catalog, found)
+        with timed(f"{len(found)} column(s)", verbose):
+            found = found if args.names_only else validate(catalog, found)
         print(format_ddl(found) if args.emit_sql else format_suggestions(found, args.show_unmatched), end="")
     elif args.command == "suggest-roots":
         print(format_roots(root_candidates(catalog)[: args.top]), end="")

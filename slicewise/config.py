@@ -36,7 +36,7 @@ class MaskDatabase:
         """Column to expression: those tagged for any of the policies, or all without policies."""
         for name in policies:
             if name not in self.policies:
-                raise ConfigError(f"masks file has no policy {name!r}")
+                raise ConfigError(f"{name!r} is none of the policies in the masks file")
         tags = {t for name in policies for t in self.policies[name]}
         return {k: c.expr for k, c in self.columns.items() if not policies or tags & set(c.tags)}
 
@@ -47,11 +47,11 @@ def load_masks_file(path: str | Path) -> dict[str, MaskDatabase]:
     try:
         spec = yaml.safe_load(text) or {}
     except yaml.YAMLError as e:
-        raise ConfigError(f"can't parse masks file {path}: {e}") from e
+        raise ConfigError(f"{path} is no YAML: {e}") from e
     if not isinstance(spec, dict):
-        raise ConfigError(f"can't parse masks file {path}: not a mapping")
+        raise ConfigError(f"{path} is no masks file: it holds no mapping")
     if spec.get("version") != 1:
-        raise ConfigError(f"unsupported masks file version {spec.get('version', 0)} in {path} (expected 1)")
+        raise ConfigError(f"{path} has version {spec.get('version')!r}; only version 1 is known")
     out = {}
     for name, db in (spec.get("databases") or {}).items():
         db = db or {}
@@ -88,7 +88,7 @@ class Policy:
 def load_policy(path: str | Path, database_id: str, policies: list[str]) -> Policy:
     databases = load_masks_file(path)
     if database_id not in databases:
-        raise ConfigError(f"database_id {database_id!r} not found in {path} (available: {', '.join(sorted(databases))})")
+        raise ConfigError(f"{path} knows no database {database_id!r}, only {', '.join(sorted(databases))}")
     return Policy(database_id, databases[database_id].select(policies))
 
 
@@ -135,7 +135,7 @@ def expand_env(text: str) -> str:
     names = re.compile(r"\$\{([^}]+)\}|\$([A-Za-z_]\w*)")
     unset = [m[0] for m in names.finditer(text) if not os.environ.get(m[1] or m[2])]
     if unset:
-        raise ConfigError(f"unresolved environment variable(s): {', '.join(unset)}")
+        raise ConfigError(f"not set in the environment: {', '.join(unset)}")
     return names.sub(lambda m: os.environ[m[1] or m[2]], text)
 
 
@@ -143,7 +143,7 @@ def load_profile(path: str | Path) -> Profile:
     try:
         spec = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
     except yaml.YAMLError as e:
-        raise ConfigError(f"can't parse profile {path}: {e}") from e
+        raise ConfigError(f"{path} is no YAML: {e}") from e
     known = {k: v for k, v in spec.items() if k in Profile.__dataclass_fields__ and k != "path" and v is not None}
     profile = Profile(**known, path=str(path))
     profile.connection = expand_env(profile.connection)
@@ -177,12 +177,12 @@ def resolve_masks(profile: Profile | None = None, flag_file: str = "", flag_poli
     in_file: set[str] = set()
     if path and not profile.database_id:
         if flag_file or profile.masks_file:
-            raise ConfigError(f"masks file {path} configured but no database_id is set")
+            raise ConfigError(f"{path} can't be used: the profile names no database_id")
         warnings.warn(f"masks file {path} was found but the profile has no database_id: no masks taken from it", stacklevel=2)
     elif path:
         databases = load_masks_file(path)
         if profile.database_id not in databases:
-            raise ConfigError(f"database_id {profile.database_id!r} not found in {path} (available: {', '.join(sorted(databases))})")
+            raise ConfigError(f"{path} knows no database {profile.database_id!r}, only {', '.join(sorted(databases))}")
         in_file = set(databases[profile.database_id].policies)
         chosen = [p for p in policies if p in in_file]
         if chosen or not policies:
@@ -191,6 +191,6 @@ def resolve_masks(profile: Profile | None = None, flag_file: str = "", flag_poli
         if name in in_file:
             continue
         if name not in profile.masks:
-            raise ConfigError(f"undefined mask policy: {name}")
+            raise ConfigError(f"{name!r} is a policy neither of the masks file nor of the profile")
         out += profile.masks[name]
     return out + list(profile.extract.get("masks") or [])

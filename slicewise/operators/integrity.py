@@ -85,22 +85,17 @@ def total_orphans(results: Iterable[OrphanResult]) -> int:
 
 
 def format_check(results: list[OrphanResult]) -> str:
-    lines: list[str] = []
-    table = None
+    """A section for each table, a line for each of its keys, and what it comes to."""
+    sections: dict[str, list[str]] = {}
     for r in results:
-        if r.constraint.child != table:
-            table = r.constraint.child
-            lines += ([""] if lines else []) + [table]
-        lines.append(f"  {'ok ' if not r.count else 'BAD'} {r.constraint.name}  {r.constraint.label()}" + (f"  {r.count} orphan row(s)" if r.count else ""))
-        lines += ["      " + "  ".join(f"{c}={'NULL' if v is None else v}" for c, v in zip(r.columns, s, strict=True)) for s in r.samples]
-        if r.samples and r.count > len(r.samples):
-            lines.append(f"      ... and {r.count - len(r.samples)} more")
+        verdict = f"{r.count} without a parent" if r.count else "complete"
+        lines = sections.setdefault(r.constraint.child, [])
+        lines.append(f"  {r.constraint.label()} [{r.constraint.name}]: {verdict}")
+        lines += ["    e.g. " + ", ".join(f"{c} = {'null' if v is None else v}" for c, v in zip(r.columns, s, strict=True)) for s in r.samples]
     bad = [r for r in results if r.count]
-    if bad:
-        summary = f"{total_orphans(results)} orphan row(s) in {len(bad)} of {len(results)} constraint(s) across {len({r.constraint.child for r in bad})} table(s)."
-    else:
-        summary = f"No orphaned rows. All {len(results)} FK constraint(s) satisfied."
-    return "\n".join([*lines, *([""] if lines else []), summary]) + "\n"
+    whole = f"{len(results)} key(s) checked, {len(bad)} broken"
+    whole += f": {total_orphans(results)} row(s) without a parent in {', '.join(dict.fromkeys(r.constraint.child for r in bad))}" if bad else ""
+    return "".join(f"{table}\n" + "\n".join(lines) + "\n\n" for table, lines in sections.items()) + whole + "\n"
 
 
 def orphan_predicate(fk: ForeignKey) -> str:
@@ -112,12 +107,12 @@ def orphan_predicate(fk: ForeignKey) -> str:
 
 def format_cleanup_sql(results: Iterable[OrphanResult]) -> str:
     """A script that deletes orphans from the source database, to be reviewed first."""
-    parts = ["-- Removes rows whose foreign key has no parent. Review before running.\n"]
+    parts = ["-- Orphans of the slice's source. Look at each statement before it is run.\n"]
     for r in results:
         if r.count:
             fk = r.constraint
-            parts.append(f"-- {fk.child} {fk.name}: {r.count} orphan row(s)\nDELETE FROM {quote_table(fk.child)} AS c\nWHERE {orphan_predicate(fk)};\n")
-    return "\n".join(parts if len(parts) > 1 else [*parts, "-- No orphaned rows found.\n"])
+            parts.append(f"-- {r.count} row(s) by {fk.name}\nDELETE FROM {quote_table(fk.child)} AS c\nWHERE {orphan_predicate(fk)};\n")
+    return "\n".join(parts if len(parts) > 1 else [*parts, "-- There are none.\n"])
 
 
 def repaired(catalog: Catalog, fk: ForeignKey) -> DataFrame:

@@ -1,29 +1,42 @@
 """Loading a slice: parents first, checked before anything is replaced.
 
 Spark has no transaction over several tables: the slice is checked for orphans
-first, and then written table by table in key order, into a folder of Parquet
-tables or by JDBC.
+first. Tables that are replaced are then emptied, children first, and written in key
+order: into a folder of Parquet tables, to the paths of a registry, or by JDBC.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quoting import quote_table
 from ..plans.graph import load_order
 from ..sources.catalog import Catalog
 from .integrity import orphans
 from .subset import Slice
 
 
+class LoadError(ValueError):
+    """A slice that would leave rows without parents, or a target that can't take it."""
+
+
 class Target(Protocol):
     """Where tables go."""
 
-    def write(self, name: str, df: DataFrame, replace: bool) -> None: ...
+    def clear(self, tables: Mapping[str, DataFrame]) -> None:
+        """Empties the tables, in the order given: children first."""
+
+    def write(self, name: str, df: DataFrame, replace: bool) -> None:
+        """Adds the rows; what the table held is gone already, or goes, with ``replace``."""
+
+    def set_sequences(self, values: Iterable[tuple[str, str, int]]) -> bool:
+        """Sets the sequences of (table, column, last value); false if there are none to set."""
 
 
 @dataclass
@@ -32,24 +45,77 @@ class ParquetTarget:
 
     path: str
 
+    def __post_init__(self) -> None:
+        if not self.path.strip("/ "):
+            raise LoadError("the target names no folder")
+
+    def clear(self, tables: Mapping[str, DataFrame]) -> None:
+        pass  # a folder is replaced as it is written
+
     def write(self, name: str, df: DataFrame, replace: bool) -> None:
         df.write.mode("overwrite" if replace else "append").parquet(f"{self.path}/{name}")
 
+    def set_sequences(self, values: Iterable[tuple[str, str, int]]) -> bool:
+        return False
+
+
+@dataclass
+class RegistryTarget:
+    """The paths and formats that a registry states, so that its catalog reads what was loaded."""
+
+    catalog: Catalog
+
+    def clear(self, tables: Mapping[str, DataFrame]) -> None:
+        pass
+
+    def write(self, name: str, df: DataFrame, replace: bool) -> None:
+        table = self.catalog.table(name)
+        if not table.path:
+            raise LoadError(f"the registry states no path for {name}")
+        df.write.format(table.format).mode("overwrite" if replace else "append").save(table.path)
+        self.catalog.forget(name)
+
+    def set_sequences(self, values: Iterable[tuple[str, str, int]]) -> bool:
+        return False
+
 
 @dataclass
 class JdbcTarget:
-    """Tables of a database; truncated, not dropped, where they are replaced."""
+    """Tables of a database; truncated, not dropped, where they are replaced.
+
+    Triggers and keys are off for the writing connections with ``disable_triggers``, by a
+    connection parameter of PostgreSQL's driver, since Spark's writer takes no session statement.
+    """
 
     url: str
     properties: dict[str, str] = field(default_factory=dict)
+    disable_triggers: bool = False
+
+    def __post_init__(self) -> None:
+        if not self.url.startswith("jdbc:"):
+            raise LoadError(f"no JDBC URL: {self.url!r}")
+        if self.disable_triggers and not self.url.startswith("jdbc:postgresql:"):
+            raise LoadError("triggers can be disabled on PostgreSQL only")
+
+    def _options(self) -> dict[str, str]:
+        return self.properties | ({"options": "-c session_replication_role=replica"} if self.disable_triggers else {})
+
+    def clear(self, tables: Mapping[str, DataFrame]) -> None:
+        for name, df in tables.items():
+            # no rows: what this does is to truncate
+            df.limit(0).write.format("jdbc").mode("overwrite").options(url=self.url, dbtable=quote_table(name), truncate="true", cascadeTruncate="true", **self._options()).save()
 
     def write(self, name: str, df: DataFrame, replace: bool) -> None:
-        schema, table = name.split(".", 1)
-        df.write.mode("overwrite" if replace else "append").option("truncate", "true").jdbc(self.url, f'"{schema}"."{table}"', properties=self.properties)
+        df.write.format("jdbc").mode("append").options(url=self.url, dbtable=quote_table(name), **self._options()).save()
 
+    def set_sequences(self, values: Iterable[tuple[str, str, int]]) -> bool:
+        from ..sources.jdbc import read_sql
 
-class LoadError(ValueError):
-    """The slice would leave rows without parents."""
+        for table, column, last in values:
+            text = lambda x: "'" + x.replace("'", "''") + "'"
+            # a table without a sequence has none to set: setval of null is null
+            read_sql(SparkSession.active(), self.url, f"SELECT setval(pg_get_serial_sequence({text(quote_table(table))}, {text(column)}), {int(last)}) AS v", self.properties).collect()
+        return True
 
 
 @dataclass
@@ -58,6 +124,7 @@ class LoadResult:
     rows: dict[str, int]
     next_values: dict[str, int] = field(default_factory=dict)
     dry_run: bool = False
+    sequences_set: bool = False
 
 
 def dangling(cut: Slice, tables: Iterable[str] | None = None) -> DataFrame:
@@ -70,13 +137,10 @@ def dangling(cut: Slice, tables: Iterable[str] | None = None) -> DataFrame:
             parts.append(found.agg(F.count("*").alias("orphan_count")).select(F.lit(fk.child).alias("child_table"), F.lit(fk.name).alias("constraint_name"), "orphan_count"))
     if not parts:
         return cut.catalog.spark.createDataFrame([], "child_table string, constraint_name string, orphan_count long")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def next_sequence_values(catalog: Catalog, tables: dict[str, DataFrame]) -> DataFrame:
+def next_sequence_values(catalog: Catalog, tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, last_value): the largest integer key of each table, 1 for an empty one."""
     parts = []
     for name, df in tables.items():
@@ -85,10 +149,7 @@ def next_sequence_values(catalog: Catalog, tables: dict[str, DataFrame]) -> Data
             parts.append(df.agg(F.coalesce(F.max(f"`{key[0]}`").cast("long"), F.lit(1)).cast("long").alias("last_value")).select(F.lit(name).alias("table_name"), F.lit(key[0]).alias("column_name"), "last_value"))
     if not parts:
         return catalog.spark.createDataFrame([], "table_name string, column_name string, last_value long")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def apply(cut: Slice, target: Target, force: bool = False, dry_run: bool = False, verify: bool = True, sync_sequences: bool = False) -> LoadResult:
@@ -101,8 +162,12 @@ def apply(cut: Slice, target: Target, force: bool = False, dry_run: bool = False
     counts = {r["table_name"]: r["row_count"] for r in cut.row_counts().collect()} if order else {}
     result = LoadResult(order, counts, dry_run=dry_run)
     if not dry_run:
+        if force:
+            target.clear({name: cut.tables[name] for name in reversed(order)})
         for name in order:
             target.write(name, cut.tables[name], force)
     if sync_sequences:
-        result.next_values = {r["table_name"]: r["last_value"] for r in next_sequence_values(cut.catalog, cut.filled).collect()}
+        found = next_sequence_values(cut.catalog, cut.filled).collect()  # one row per table
+        result.next_values = {r["table_name"]: r["last_value"] for r in found}
+        result.sequences_set = not dry_run and target.set_sequences((r["table_name"], r["column_name"], r["last_value"]) for r in found)
     return result

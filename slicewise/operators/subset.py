@@ -131,10 +131,11 @@ def split_root(spec: str) -> tuple[str, str]:
 
 class Rows:
     """A table's rows in a slice. ``keys`` are their key columns, written when they are first
-    asked for; rows repeated in them change nothing."""
+    asked for; rows repeated in them change nothing. ``ways`` says how they come in, if that is
+    all there is to say of them."""
 
-    def __init__(self, make: Callable[[], DataFrame], columns: list[str]) -> None:
-        self._make, self._columns = make, columns
+    def __init__(self, make: Callable[[], DataFrame], columns: list[str], ways: Callable[[], list[Way]] | None = None) -> None:
+        self._make, self._columns, self.ways = make, columns, ways
 
     @cached_property
     def df(self) -> DataFrame:
@@ -272,18 +273,16 @@ class Extraction:
         used = {*table.key_columns, *(c for fk in self.catalog.constraints() if fk.parent == name for c in fk.parent_cols)}
         return [c for c in self.catalog.df(name).columns if c in used]
 
-    def rows(self, name: str, make: Callable[[], DataFrame]) -> Rows:
-        return Rows((lambda: freeze(make(), "slice")) if self.spec.materialize else make, self.key_columns(name))
+    def rows(self, name: str, make: Callable[[], DataFrame], ways: Callable[[], list[Way]] | None = None) -> Rows:
+        return Rows((lambda: freeze(make(), "slice")) if self.spec.materialize else make, self.key_columns(name), ways)
 
     def missing(self, name: str, rows: DataFrame, have: DataFrame) -> DataFrame:
         """``rows`` that ``have`` lacks, by key, nulls being equal."""
         keys = have.select(*[F.col(f"`{c}`").alias(f"have_{i}") for i, c in enumerate(self.key(name))]).distinct()
         return rows.join(keys, [rows[f"`{c}`"].eqNullSafe(keys[f"have_{i}"]) for i, c in enumerate(self.key(name))], "left_anti")
 
-    def added(self, name: str, have: Rows | None, found: DataFrame) -> DataFrame:
+    def added(self, name: str, have: Rows, found: DataFrame) -> DataFrame:
         """The rows of ``have`` and those found that it lacks."""
-        if have is None:
-            return found
         return have.df.unionByName(self.missing(name, found, have.keys if self.catalog.table(name).primary_key else have.df))
 
     def matching(self, name: str, ways: list[Way]) -> DataFrame:
@@ -328,8 +327,12 @@ class Extraction:
                 rows[name] = sources[name] = self._together(name, None if loops and name in sources else rows.get(name), own)
         return rows
 
-    def _found_below(self, name: str, ways: list[ForeignKey], sources: dict[str, Rows]) -> Rows:
-        return self.rows(name, lambda: self.capped(name, self.matching(name, [self.down_way(fk, sources[fk.parent].keys) for fk in ways])))
+    def _by_ways(self, name: str, ways: Callable[[], list[Way]]) -> Rows:
+        return self.rows(name, lambda: self.matching(name, ways()), ways)
+
+    def _found_below(self, name: str, fks: list[ForeignKey], sources: dict[str, Rows]) -> Rows:
+        ways = lambda: [self.down_way(fk, sources[fk.parent].keys) for fk in fks]
+        return self.rows(name, lambda: self.capped(name, self.matching(name, ways()))) if self.spec.limit else self._by_ways(name, ways)
 
     def _together(self, name: str, have: Rows | None, found: Rows | None) -> Rows | None:
         if have is None or found is None:
@@ -364,6 +367,8 @@ class Extraction:
                 break
             new = {}
             for name, own in ways.items():
+                if not self.below.get(name):
+                    continue
                 found = narrow(self.capped(name, self.matching(name, own)), self.key_columns(name))
                 if name in have and not self.spec.limit:
                     found = found.join(have[name], [found[f"`{c}`"].eqNullSafe(have[name][f"`{c}`"]) for c in self.key_columns(name)], "left_anti")
@@ -376,7 +381,7 @@ class Extraction:
         for name in sorted({fk.child for p in have for fk in self.below.get(p, [])}):
             own = [self.down_way(fk, have[fk.parent]) for fk in self._entries(name) if fk.parent in have]
             if own:
-                found = self.rows(name, lambda name=name, own=own: self.capped(name, self.matching(name, own)))
+                found = self.rows(name, lambda name=name, own=own: self.capped(name, self.matching(name, own)), None if self.spec.limit else lambda own=own: own)
                 rows[name] = self._together(name, start.get(name), found)
         return rows
 
@@ -396,8 +401,14 @@ class Extraction:
                 rows |= self._looped(begin, group, lambda fk, last: (fk.parent, parents_of(fk, last[fk.child])) if fk.child in last else None, loops, False)
         return rows
 
-    def _found_above(self, name: str, ways: list[ForeignKey], rows: dict[str, Rows]) -> Rows:
-        return self.rows(name, lambda: self.added(name, rows.get(name), self.matching(name, [parents_of(fk, rows[fk.child].keys) for fk in ways])))
+    def _found_above(self, name: str, fks: list[ForeignKey], rows: dict[str, Rows]) -> Rows:
+        have = rows.get(name)
+        ways = lambda: [parents_of(fk, rows[fk.child].keys) for fk in fks]
+        if have is None:
+            return self._by_ways(name, ways)
+        if have.ways:  # all ways in one pass over the table
+            return self._by_ways(name, lambda: have.ways() + ways())
+        return self.rows(name, lambda: self.added(name, have, self.matching(name, ways())))
 
     def _references(self, name: str) -> list[ForeignKey]:
         if name in self.excluded:

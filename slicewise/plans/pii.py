@@ -145,13 +145,12 @@ def _by_table(catalog: Catalog, matches: list[Match]) -> dict[str, list[Match]]:
 
 
 def format_analysis(catalog: Catalog, matches: list[Match], scanned: int) -> str:
-    if not matches:
-        return f"No PII columns detected across {scanned} table(s).\n"
+    """What was found, table by table with parents first, and what it comes to."""
     parts = []
     for table, found in _by_table(catalog, matches).items():
-        wide = [max(len(x) for x in column) for column in zip(*((m.column, m.type, m.category) for m in found), strict=True)]
-        parts.append(f"{table}\n" + "".join(f"  {m.column:<{wide[0]}}  {m.type:<{wide[1]}}  {m.category:<{wide[2]}}  {m.confidence.name:<4}  {m.mask}\n" for m in found))
-    return "\n".join([*parts, f"{len(matches)} PII column(s) in {len({m.table for m in matches})} table(s)\n"])
+        wide = max(len(m.column) for m in found)
+        parts += [f"{table}\n", *(f"  {m.column:<{wide}} ({m.type}): {m.category}, {m.confidence.name.lower()} confidence; mask {m.mask}\n" for m in found), "\n"]
+    return "".join(parts) + f"{len(matches)} sensitive column(s) in {len({m.table for m in matches})} of {scanned} table(s)\n"
 
 
 def policy_yaml(catalog: Catalog, matches: list[Match], database: str = "default") -> str:

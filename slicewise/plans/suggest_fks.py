@@ -95,34 +95,34 @@ def suggestions_df(spark: SparkSession, suggestions: Iterable[Suggestion]) -> Da
 
 
 def format_suggestions(suggestions: list[Suggestion], show_unmatched: bool = False) -> str:
+    """A section for each table, a line for each column that could be a key, and how many there are."""
     shown = [s for s in suggestions if s.parent or show_unmatched]
-    lines: list[str] = []
-    for table in dict.fromkeys(s.child for s in shown):
-        lines += ([""] if lines else []) + [table]
-        for s in (s for s in shown if s.child == table):
-            if not s.parent:
-                lines.append(f"  {s.column}  (no candidate parent table)")
-                continue
-            verdict = "candidate (not validated)" if not s.checked else "would validate" if not s.orphans else f"{s.orphans} row(s) have no parent"
-            lines.append(f"  {s.column}  -> {s.parent}.{s.parent_column}  {verdict}")
+    sections: dict[str, list[str]] = {}
+    for s in shown:
+        if not s.parent:
+            text = "names no table that there is"
+        else:
+            found = "not looked at" if not s.checked else f"{s.orphans} row(s) fit no parent" if s.orphans else "every row fits"
+            text = f"{s.parent}.{s.parent_column}: {found}"
+        sections.setdefault(s.child, []).append(f"  {s.column} -> {text}")
     matched = [s for s in suggestions if s.parent]
-    summary = f"{len(matched)} candidate FK(s)"
+    whole = f"{len(matched)} key(s) suggested" if matched else "no key suggested"
     if any(s.checked for s in matched):
-        bad = sum(s.orphans > 0 for s in matched)
-        summary += f": {len(matched) - bad} safe to add, {bad} with orphaned data"
-    unmatched = sum(not s.parent for s in shown)
-    return "\n".join([*lines, *([""] if lines else []), summary + (f"; {unmatched} unmatched *_id column(s)" if unmatched else "") + "."]) + "\n"
+        whole += f", {sum(s.checked and not s.orphans for s in matched)} of them hold"
+    if others := len(shown) - len(matched):
+        whole += f"; {others} column(s) left over"
+    return "".join(f"{table}\n" + "\n".join(lines) + "\n\n" for table, lines in sections.items()) + whole + "\n"
 
 
 def format_ddl(suggestions: Iterable[Suggestion]) -> str:
     """One ALTER TABLE for each candidate; NOT VALID where there are orphans."""
-    parts = ["-- Foreign keys suggested by column names. Review before running.\n"]
+    parts = ["-- Keys that column names suggest. Look at each statement before it is run.\n"]
     for s in suggestions:
         if s.parent:
-            note = "data not validated" if not s.checked else f"{s.orphans} orphan row(s)" if s.orphans else "would validate"
+            note = "rows not looked at" if not s.checked else f"{s.orphans} row(s) fit no parent" if s.orphans else "every row fits"
             parts.append(
                 f"-- {s.child}.{s.column} -> {s.parent}.{s.parent_column} ({note})\n"
                 f"ALTER TABLE {quote_table(s.child)}\n  ADD CONSTRAINT {quote_ident(s.foreign_key().name)}\n"
                 f"  FOREIGN KEY ({quote_ident(s.column)}) REFERENCES {quote_table(s.parent)} ({quote_ident(s.parent_column)}){' NOT VALID' if s.orphans else ''};\n"
             )
-    return "\n".join(parts if len(parts) > 1 else [*parts, "-- No candidate foreign keys found.\n"])
+    return "\n".join(parts if len(parts) > 1 else [*parts, "-- There are none.\n"])

@@ -70,6 +70,8 @@ class Table:
     primary_key: tuple[str, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = ()
     load: Callable[[SparkSession], DataFrame] | None = field(default=None, compare=False)
+    path: str = ""  # where a registry says the rows are, and in which format
+    format: str = "parquet"
 
     def column(self, name: str) -> Column | None:
         return next((c for c in self.columns if c.name == name), None)
@@ -139,6 +141,10 @@ class Catalog:
             self._frames[full] = self.tables[full].load(self.spark)
         return self._frames[full]
 
+    def forget(self, name: str) -> None:
+        """Drops what is known of a table's files, which have changed."""
+        self._frames.pop(self.resolve(name), None)
+
     def constraints(self, tables: Iterable[str] | None = None) -> list[ForeignKey]:
         """Foreign keys of the tables, by child and name."""
         names = self.names() if tables is None else [self.resolve(t) for t in tables]
@@ -191,9 +197,12 @@ def from_yaml(spark: SparkSession, path: str | Path, data_dir: str | None = None
         t = t or {}
         where = t.get("path", f"{short(name)}.parquet")
         full = where if "://" in where or where.startswith("/") else f"{base}/{where}"
-        df = spark.read.format(t.get("format", "parquet")).load(full)
+        kind = t.get("format", "parquet")
+        df = spark.read.format(kind).load(full)
         keys = [(fk["columns"], fk["table"], fk["references"], *([fk["name"]] if "name" in fk else [])) for fk in t.get("foreign_keys", [])]
-        tables.append(table_of(name, df, t.get("primary_key", ()), keys, t.get("types"), t.get("generated", ()), t.get("identity", ()), t.get("unique", ()), t.get("not_null", ())))
+        made = table_of(name, df, t.get("primary_key", ()), keys, t.get("types"), t.get("generated", ()), t.get("identity", ()), t.get("unique", ()), t.get("not_null", ()))
+        # read anew when the catalog forgets it, in the columns that it was registered with
+        tables.append(replace(made, path=full, format=kind, load=lambda s, kind=kind, full=full, shape=df.schema: s.read.format(kind).schema(shape).load(full)))
     return Catalog(spark, tables, spec.get("default_schema", DEFAULT_SCHEMA))
 
 

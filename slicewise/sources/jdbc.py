@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import Catalog, Column, ForeignKey, Table, without_partitions
+from .catalog import DEFAULT_SCHEMA, Catalog, Column, ForeignKey, Table, without_partitions
 
 COLUMNS = """
     SELECT n.nspname AS schema_name, c.relname AS table_name, a.attname AS column_name, a.attnum AS place,
@@ -57,8 +57,8 @@ def read_table(spark: SparkSession, url: str, name: str, integer_key: str | None
     return reader.load()
 
 
-def catalog(spark: SparkSession, url: str, properties: dict[str, str] | None = None, partitions: int = 32) -> Catalog:
-    """The tables of a database; partitions are part of their root table."""
+def catalog(spark: SparkSession, url: str, properties: dict[str, str] | None = None, partitions: int = 32, default_schema: str = DEFAULT_SCHEMA) -> Catalog:
+    """The tables of a database; partitions are part of their root table. Names without a schema are in ``default_schema``."""
     properties = {"driver": "org.postgresql.Driver"} | (properties or {})
     columns = read_sql(spark, url, COLUMNS, properties).orderBy("schema_name", "table_name", "place").collect()
     found = read_sql(spark, url, CONSTRAINTS, properties).withColumns({c: F.split(c, "\x1f") for c in ("columns", "parent_columns")}).collect()
@@ -83,4 +83,4 @@ def catalog(spark: SparkSession, url: str, properties: dict[str, str] | None = N
         pk = table.primary_key[0] if len(table.primary_key) == 1 else None
         integer = pk if pk and table.column(pk).type in ("smallint", "integer", "bigint") else None
         tables[name] = replace(table, load=lambda s, n=name, k=integer: read_table(s, url, n, k, properties, partitions))
-    return Catalog(spark, without_partitions(tables.values(), parents))
+    return Catalog(spark, without_partitions(tables.values(), parents), default_schema)

@@ -1,20 +1,22 @@
 """Slices on disk.
 
-The native form is a folder with a Parquet table for each table and a manifest.
-A SQL form has a folder of INSERT statements for each table, numbered in load
-order. The JSON document ``{meta, table_order, tables: {name: {columns, rows,
-identity_columns}}}`` is for interchange: it is one file by nature, so it is
-streamed by the driver and meant for slices of fixture size.
+The native form is a folder with a Parquet table for each table and a manifest; the
+same with JSON lines has values as text where JSON has no such type. The SQL form is one
+folder of INSERT statements, cut into steps in load order. The JSON document ``{meta,
+table_order, tables: {name: {columns, rows, identity_columns}}}`` is for interchange: it is
+one file by nature, so it is streamed by the driver and meant for slices of fixture size.
 """
 
 from __future__ import annotations
 
 import json
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quoting import backtick
 from ..functions.rendering import insert_statements, parsed, rendered
 from ..operators.subset import Slice
 from .catalog import Catalog
@@ -48,26 +50,52 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()[0])
 
 
-def read_parquet(catalog: Catalog, path: str) -> Slice:
-    meta = read_manifest(catalog.spark, path)
-    tables = {name: catalog.spark.read.parquet(f"{path}/{name}") for name in meta["table_order"]}
+def _with_meta(catalog: Catalog, tables: dict[str, DataFrame], meta: dict) -> Slice:
     return Slice(catalog, tables, meta["root"], meta["masks_applied"], meta["filters_applied"], meta["untouched_tables"], meta["warnings"], meta["truncated"])
 
 
+def read_slice(catalog: Catalog, path: str) -> Slice:
+    """A slice from a folder of Parquet tables or JSON lines, whichever the manifest says."""
+    meta = read_manifest(catalog.spark, path)
+    if meta.get("format") == "jsonl":
+        return _with_meta(catalog, {name: _read_lines(catalog, name, f"{path}/{name}", meta["columns"][name]) for name in meta["table_order"]}, meta)
+    return _with_meta(catalog, {name: catalog.spark.read.parquet(f"{path}/{name}") for name in meta["table_order"]}, meta)
+
+
+def write_lines(cut: Slice, path: str, mode: str = "error", seconds_only: bool = False) -> None:
+    """``path/<table>`` folders of JSON lines, written in parallel, and ``path/manifest`` last."""
+    columns = {}
+    for name in cut.filled:
+        rows = rendered_rows(cut, name, seconds_only)
+        columns[name] = rows.columns
+        rows.write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/{name}")
+    _write_text(cut.catalog.spark, json.dumps(manifest(cut) | {"format": "jsonl", "columns": columns}), f"{path}/manifest")
+
+
+def _read_lines(catalog: Catalog, name: str, path: str, columns: list[str]) -> DataFrame:
+    """Every value is read as text and made one of the catalog's type, so large integers keep all digits."""
+    types = dict(catalog.df(name).dtypes)
+    rows = catalog.spark.read.schema(", ".join(f"{backtick(c)} string" for c in columns)).json(path)
+    return rows.select(*[parsed(F.col(backtick(c)), types[c]).alias(c) for c in columns])
+
+
 def write_sql(cut: Slice, path: str, transaction: bool = False, on_conflict_do_nothing: bool = False, mode: str = "error") -> None:
-    """``path/NNNN_<table>`` folders of INSERT statements, written in parallel.
+    """``path/step=NNNN_<table>`` folders of INSERT statements, written in parallel by one job.
 
-    Run in the order of their names they load the slice; the first and last
-    begin and commit where a transaction is asked for.
+    Run in the order of their names they load the slice; the first and last begin and commit
+    where a transaction is asked for. What an earlier slice left in the folder is gone after
+    an overwrite.
     """
     spark = cut.catalog.spark
-    head = f"-- Root: {cut.root}\n" + ("BEGIN;\n" if transaction else "")
-    spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/0000_begin")
+    head = f"-- Root: {cut.root}\n" + ("BEGIN;" if transaction else "")
+    line = lambda step, text: spark.createDataFrame([(text, step)], "value string, step string")
+    steps = [line("0000_begin", head)]
     for number, (name, df) in enumerate(cut.filled.items(), 1):
         identity = cut.catalog.table(name).has_identity
-        insert_statements(df, name, identity, on_conflict_do_nothing).write.mode(mode).text(f"{path}/{number:04d}_{name}")
+        steps.append(insert_statements(df, name, identity, on_conflict_do_nothing).withColumn("step", F.lit(f"{number:04d}_{name}")))
     if transaction:
-        spark.createDataFrame([("COMMIT;",)], "value string").coalesce(1).write.mode(mode).text(f"{path}/9999_commit")
+        steps.append(line("9999_commit", "COMMIT;"))
+    reduce(DataFrame.unionByName, steps).write.mode(mode).partitionBy("step").text(path)
 
 
 def rendered_rows(cut: Slice, name: str, seconds_only: bool = False) -> DataFrame:

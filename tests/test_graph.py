@@ -1,6 +1,6 @@
 import pytest
 
-from company import company
+from harbour import harbour
 from slicewise.plans.graph import cycles, format_inspect, format_roots, load_order, reachable, root_candidates
 from slicewise.sources.catalog import Catalog, Column, ForeignKey, Table, UnknownTable, partition_roots, qualify, split_name, without_partitions
 
@@ -15,39 +15,42 @@ def schema(**tables):
     return Catalog(None, made)
 
 
-SCORES = dict(
-    organizations=("id name", []),
-    users=("id org_id", [("org_id", "organizations")]),
-    projects=("id org_id owner_id", [("org_id", "organizations"), ("owner_id", "users")]),
-    tasks=("id project_id user_id", [("project_id", "projects"), ("user_id", "users")]),
-    comments=("id task_id user_id", [("task_id", "tasks"), ("user_id", "users")]),
-    statuses=("id", []),
+#: a port's ships, their voyages, the legs of those, and remarks on legs by crew members
+FLEET = dict(
+    ports=("id name", []),
+    crew=("id port_id", [("port_id", "ports")]),
+    voyages=("id port_id captain_id", [("port_id", "ports"), ("captain_id", "crew")]),
+    legs=("id voyage_id pilot_id", [("voyage_id", "voyages"), ("pilot_id", "crew")]),
+    remarks=("id leg_id by_id", [("leg_id", "legs"), ("by_id", "crew")]),
+    flags=("id", []),
 )
 
 
 def test_root_scores():
-    got = {c.table: c.score for c in root_candidates(schema(**SCORES))}
-    assert got == {"public.users": 37, "public.organizations": 32, "public.projects": 12, "public.tasks": 12}
-    assert "public.users" in format_roots(root_candidates(schema(**SCORES)))
-    assert "No root" in format_roots([])
+    """Ten for each child, three for each table within reach, five off for each key of its own."""
+    found = root_candidates(schema(**FLEET))
+    assert {c.table: c.score for c in found} == {"public.crew": 4 * 10 + 4 * 3 - 5 - 10, "public.ports": 2 * 10 + 4 * 3, "public.voyages": 10 + 4 * 3 - 10, "public.legs": 10 + 4 * 3 - 10}
+    assert found[0].reason == "3 children, 4 reachable, 1 outgoing FKs"
+    assert "public.crew" in format_roots(found)
+    assert "nothing to start from" in format_roots([])
 
 
 def test_reachable():
-    c = schema(organizations=("id", []), users=("id org_id", [("org_id", "organizations")]), posts=("id user_id", [("user_id", "users")]), tags=("id", []))
-    assert reachable(c, "users") == ["public.organizations", "public.posts", "public.users"]
-    assert reachable(c, "posts", 1) == ["public.posts", "public.users"]
+    c = schema(ports=("id", []), ships=("id port_id", [("port_id", "ports")]), logs=("id ship_id", [("ship_id", "ships")]), flags=("id", []))
+    assert reachable(c, "ships") == ["public.logs", "public.ports", "public.ships"]
+    assert reachable(c, "logs", 1) == ["public.logs", "public.ships"]
     with pytest.raises(UnknownTable):
         reachable(c, "nothing")
 
 
 def test_order_and_cycles(spark):
-    c = company(spark)
+    c = harbour(spark)
     told = []
     order = load_order(c, c.names(), told.append)
-    assert told == [["public.departments", "public.employees"]]
-    assert order.index("public.organizations") < order.index("public.users") < order.index("public.projects")
-    assert {"public.departments", "public.employees"} in cycles(c, c.names())
-    assert "FK -> public.organizations.id" in format_inspect(c, ["users"]) and "NOT NULL" in format_inspect(c, ["users"])
+    assert told == [["public.crews", "public.sailors"]]
+    assert order.index("public.ports") < order.index("public.captains") < order.index("public.voyages")
+    assert {"public.crews", "public.sailors"} in cycles(c, c.names())
+    assert "FK -> public.ports.id" in format_inspect(c, ["captains"]) and "NOT NULL" in format_inspect(c, ["captains"])
 
 
 def test_names_and_partitions():

@@ -1,39 +1,41 @@
-from company import company
+from harbour import harbour
 from slicewise.operators.integrity import check, format_check, format_cleanup_sql, orphan_counts, repaired, total_orphans
 from slicewise.plans.suggest_fks import format_ddl, format_suggestions, name_forms, stem, suggest, type_family, validate
 
-BROKEN = {"projects": [(99, 9999, "lost")], "task_comments": [(99, 8888, "lost")], "project_assignments": [(9, 1, 1, "lost")]}
+LOST = {"voyages": [(98, 777, "lost"), (99, 777, "lost")], "berth_checks": [(9, 8080, "lost")], "pilots": [(9, 62, 31, "lost")]}
 
 
 def test_clean(spark):
-    results = check(company(spark))
-    assert total_orphans(results) == 0 and "satisfied" in format_check(results)
-    assert "No orphaned rows" in format_cleanup_sql(results)
+    results = check(harbour(spark))
+    assert total_orphans(results) == 0 and "14 key(s) checked, 0 broken\n" in format_check(results)
+    assert "There are none" in format_cleanup_sql(results)
 
 
 def test_orphans(spark):
-    c = company(spark, **BROKEN)
-    results = check(c, samples=2)
+    c = harbour(spark, **LOST)
+    results = check(c, samples=1)
     bad = {r.constraint.child: (r.count, r.samples) for r in results if r.count}
-    assert bad == {"public.projects": (1, [(99, 9999)]), "public.task_comments": (1, [(99, 8888)]), "public.project_assignments": (1, [(9, 1, 1)])}
-    assert "3 orphan row(s) in 3 of" in format_check(results)
-    assert 'DELETE FROM "public"."projects" AS c' in format_cleanup_sql(results)
-    assert orphan_counts(c, ["users"]).first()["orphan_count"] == 0
-    fk = next(fk for fk in c.constraints() if fk.child == "public.projects")
-    assert repaired(c, fk).count() == 2
+    assert bad == {"public.voyages": (2, [(98, 777)]), "public.berth_checks": (1, [(9, 8080)]), "public.pilots": (1, [(9, 62, 31)])}
+    text = format_check(results)
+    assert "14 key(s) checked, 3 broken: 4 row(s) without a parent in public.berth_checks, public.pilots, public.voyages" in text
+    assert "captain_id -> public.captains.id [voyages_captain_id_fkey]: 2 without a parent\n    e.g. id = 98, captain_id = 777" in text
+    assert 'DELETE FROM "public"."voyages" AS c' in format_cleanup_sql(results)
+    assert orphan_counts(c, ["captains"]).first()["orphan_count"] == 0
+    fk = next(fk for fk in c.constraints() if fk.child == "public.voyages")
+    assert repaired(c, fk).count() == 4
 
 
 def test_suggestions(spark):
-    c = company(spark, workspace_projects=[(1, 777, "x")])
+    c = harbour(spark, passages=[(62, 5005, "lost")])
     found = {(s.child, s.column): s for s in validate(c, suggest(c))}
-    hit = found["public.workspace_projects", "project_id"]
-    assert (hit.parent, hit.parent_column, hit.orphans) == ("public.projects", "id", 1)
-    assert found["public.workspace_projects", "workspace_id"].parent is None
-    assert ("public.users", "org_id") not in found
+    hit = found["public.passages", "voyage_id"]
+    assert (hit.parent, hit.parent_column, hit.orphans) == ("public.voyages", "id", 1)
+    assert found["public.passages", "area_id"].parent is None
+    assert ("public.captains", "port_id") not in found
     text = format_suggestions(list(found.values()), show_unmatched=True)
-    assert "1 candidate FK(s): 0 safe to add, 1 with orphaned data; 1 unmatched" in text
+    assert "voyage_id -> public.voyages.id: 1 row(s) fit no parent" in text and "1 key(s) suggested, 0 of them hold; 1 column(s) left over" in text
     assert "NOT VALID" in format_ddl(found.values())
-    assert "1 candidate FK(s)." in format_suggestions(suggest(c))
+    assert "voyage_id -> public.voyages.id: not looked at" in format_suggestions(suggest(c)) and "1 key(s) suggested\n" in format_suggestions(suggest(c))
 
 
 def test_names():
