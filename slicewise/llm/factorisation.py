@@ -41,8 +41,20 @@ class Machine:
         return np.concatenate([index, WORD_BUCKETS + np.arange(len(z), dtype=np.int32)]), np.concatenate([value, z])
 
     def logit(self, index: np.ndarray, value: np.ndarray) -> float:
+        return float(self.logits([(index, value)])[0])
+
+    def logits(self, inputs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The scores' logits of several texts; each has inputs, since the statistics always are."""
+        if not inputs:
+            return np.zeros(0)
+        return self.bias + self.sums(*flattened(inputs))[0]
+
+    def sums(self, index: np.ndarray, value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts whose inputs lie end to end: linear plus pairwise part, and what the gradient needs."""
         vx = self.factors[index] * value[:, None]
-        return float(self.bias + self.weights[index] @ value + 0.5 * (vx.sum(axis=0) ** 2 - (vx**2).sum(axis=0)).sum())
+        whole = np.add.reduceat(vx, starts)
+        pairs = 0.5 * (whole**2 - np.add.reduceat(vx**2, starts)).sum(axis=1)
+        return np.add.reduceat(self.weights[index] * value, starts) + pairs, whole, vx
 
 
 def raw_inputs(text: np.ndarray, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,6 +63,12 @@ def raw_inputs(text: np.ndarray, n_chars: int | None) -> tuple[np.ndarray, np.nd
     return index, value, statistics(text, hashes, n_chars)
 
 
+def flattened(inputs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs of several texts end to end, and where each text begins."""
+    sizes = [len(i) for i, _ in inputs]
+    return np.concatenate([i for i, _ in inputs]), np.concatenate([v for _, v in inputs]).astype(np.float64), np.cumsum([0, *sizes[:-1]])
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -74,14 +92,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: in
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 128):
             batch = order[at : at + 128]
-            index = np.concatenate([inputs[i][0] for i in batch])
-            value = np.concatenate([inputs[i][1] for i in batch]).astype(np.float64)
-            starts = np.concatenate([[0], np.cumsum([len(inputs[i][0]) for i in batch])[:-1]])
-            owner = np.repeat(np.arange(len(batch)), [len(inputs[i][0]) for i in batch])
-            v = machine.factors[index]
-            vx = v * value[:, None]
-            sums = np.add.reduceat(vx, starts)
-            logits = machine.bias + np.add.reduceat(machine.weights[index] * value, starts) + 0.5 * (sums**2 - np.add.reduceat(vx**2, starts)).sum(axis=1)
+            index, value, starts = flattened([inputs[i] for i in batch])
+            owner = np.repeat(np.arange(len(batch)), np.diff([*starts, len(index)]))
+            score, sums, vx = machine.sums(index, value, starts)
+            logits = machine.bias + score
             error = (sigmoid(logits) - y[batch]) / len(batch)
             pull = error[owner] * value
             steps = [pull, *((pull[:, None] * (sums[owner] - vx)).T)]
@@ -127,8 +141,8 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", thr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = [machine.logit(*machine.inputs(text, n)) for text, n in zip(words.texts(batch.column("text")), batch.column("n_chars").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigmoid(np.array(logits, np.float64)))], ["id", "score"])
+            logits = machine.logits([machine.inputs(text, n) for text, n in zip(words.texts(batch.column("text")), batch.column("n_chars").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigmoid(logits))], ["id", "score"])
 
     scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -16,7 +16,7 @@ confirmed texts, counted by Spark over the bounded training sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,8 +45,11 @@ class Classifier:
         at[at == len(self.marks)] = 0
         return at[self.marks[at] == found]
 
-    def logit(self, text: np.ndarray) -> float:
-        return float(self.bias + self.weights[self.present(text)].sum())
+    def logits(self, texts: Iterable[np.ndarray]) -> np.ndarray:
+        found = [self.present(text) for text in texts]
+        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        index = np.concatenate([*found, np.zeros(0, np.int64)])
+        return self.bias + np.bincount(owner, weights=self.weights[index], minlength=len(found))
 
 
 Texts = tuple[int, np.ndarray, np.ndarray]
@@ -157,8 +160,7 @@ def score_toxicity(docs: DataFrame, model: Classifier, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = [model.logit(text) for text in words.texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigmoid(np.array(logits, np.float64)))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigmoid(model.logits(words.texts(batch.column("text")))))], ["id", "score"])
 
     scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -171,7 +173,6 @@ def without_toxic(docs: DataFrame, model: Classifier, threshold: float = 0.5, te
         limit = np.log(threshold / (1 - threshold))
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
-            keep = [model.logit(text) < limit for text in words.texts(column)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(model.logits(words.texts(column)) < limit))
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,6 +18,8 @@ def test_linear_time_identity():
     index, value = rng.choice(size, 12, replace=False), rng.normal(size=12)
     pairs = sum(m.factors[index[i]] @ m.factors[index[j]] * value[i] * value[j] for i in range(12) for j in range(i))
     assert m.logit(index, value) == pytest.approx(0.3 + m.weights[index] @ value + pairs)
+    many = [(index[:k], value[:k]) for k in (1, 5, 12)]
+    assert m.logits(many) == pytest.approx([m.logit(*x) for x in many]) and len(m.logits([])) == 0
 
 
 def test_machine_learns_an_interaction():
@@ -158,6 +160,16 @@ def test_odd_documents(spark, fit, score):
     assert score(odd.empty(spark), fit(odd.empty(spark), labels)).count() == 0
 
 
+def test_logits_of_a_batch():
+    """Texts with and without marks, empty ones among them, and no text."""
+    texts = [np.frombuffer(t.encode(), np.uint8) for t in ("alpha beta", "", "gamma", "beta beta")]
+    marks = np.sort(np.unique(np.concatenate([word_marks(t) for t in texts])))
+    model = toxicity.Classifier(marks, np.arange(1.0, len(marks) + 1), -2.0)
+    want = [-2.0 + sum(model.weights[k] for k, m in enumerate(marks) if m in set(word_marks(t))) for t in texts]
+    assert model.logits(texts).tolist() == want and want[1] == -2.0
+    assert len(model.logits([])) == 0 and toxicity.Classifier(marks[:0], np.zeros(0), 0.5).logits(texts).tolist() == [0.5] * 4
+
+
 def test_without_toxic(spark):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     model = fit_toxicity(docs, labels)
