@@ -115,8 +115,8 @@ ORACLE_SQL: dict[str, str] = {
         joined AS (
             SELECT conv_id,
                    count(*) AS n_turns,
-                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
-                   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+                   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
                    sum(12 + length(role) + length(regexp_replace(role, '[^\\<|]', '', 'g'))
                           + length(text) + length(regexp_replace(text, '[^\\<]', '', 'g'))) AS formatted_chars
             FROM turns GROUP BY conv_id

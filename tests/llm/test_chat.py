@@ -1,9 +1,11 @@
 import hashlib
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from slicewise.llm.chat import TEMPLATE, digest, format_conversations, read_back
+from slicewise.llm.queries import ORACLE_SQL, op10_chat_format
 from slicewise.llm.templates import Const, Show, TemplateError, compile_template, escape, fold, parse, unescape
 
 RENDER = compile_template(TEMPLATE)
@@ -62,3 +64,13 @@ def test_conversations(spark):
     assert got[-7].loss_sha256 == sha(said) and got[-7].turns_sha256 == sha(f"user\n{said}\nassistant\n{said}\n")
     assert got[None].turns_sha256 == sha("\nlost\n") and got[3].n_turns == 3 and got[3].loss_sha256 == sha("xx") and got[4].n_turns == 1
     assert digest(format_conversations(df.limit(0))).count() == 0
+
+
+def test_query_against_its_sql(spark, tmp_path):
+    """Null turns, roles and texts, repeated turns and marks inside texts, through the query and its SQL."""
+    rows = [(1, None, "assistant", "first"), (1, 0, None, "s"), (1, 1, "user", None), (1, 1, "assistant", "a<|end|>\\b"), (1, 1, "assistant", "a<|end|>\\b"), (2, None, None, None), (3, 5, "assistant", ""), (4, 2, "user", "größe 漢字 |<"), (4, 1, "a|b", "x\n")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["op10_chat_format"]).fetchall())
+    assert sorted(tuple(r) for r in op10_chat_format(spark, str(tmp_path)).collect()) == want and len(want) == 5
