@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .tables import freeze
 
-BUCKET_DOCS = 2_000
+BUCKET_DOCS = 256
 #: bits of the hash that one level adds: a level sums at most 2 to the power of it buckets a source
 LEVEL_BITS = 16
 LUCK_BITS = 63
