@@ -35,7 +35,7 @@ BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
 DOMAIN = 1 << 22
 #: members compared with one copy of a bucket's centre
-MEMBERS = 512
+MEMBERS = 64
 #: bytes of candidate ids that may be broadcast
 BROADCAST_BYTES = 64 << 20
 
