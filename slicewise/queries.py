@@ -439,6 +439,38 @@ def fk_candidates(spark, sf_dir):
     return suggestions_df(spark, validate(c, suggest(c)))
 
 
+_NAMED = {
+    "customers": ("customer", {"id": "c_custkey", "nation_id": "c_nationkey"}, "c_acctbal > 0"),
+    "nations": ("nation", {"id": "n_nationkey", "region_id": "n_regionkey"}, "n_regionkey <> 1"),
+    "region": ("region", {"id": "r_regionkey"}, "r_name <> 'ASIA'"),
+    "parts": ("part", {"id": "p_partkey"}, "p_size < 25"),
+    "orders": ("orders", {"id": "o_orderkey", "customer_id": "o_custkey", "clerk_id": "o_orderkey"}, "o_orderstatus = 'F'"),
+    "lines": ("lineitem", {"order_id": "l_orderkey", "part_id": "l_partkey", "vendor_id": "l_suppkey"}, "l_quantity > 10"),
+}
+_FITS = [("customers", "nation_id", "nations"), ("lines", "order_id", "orders"), ("lines", "part_id", "parts"), ("lines", "vendor_id", None), ("nations", "region_id", "region"), ("orders", "clerk_id", None), ("orders", "customer_id", "customers")]
+_NAMED_SQL = ", ".join(f"named_{n} AS (SELECT {', '.join(f'{own} AS {c}' for c, own in columns.items())} FROM {t} WHERE {w})" for n, (t, columns, w) in _NAMED.items())
+
+
+@query(
+    "fk_candidates_many",
+    f"WITH {_NAMED_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT 'public.{t}' AS child_table, '{c}' AS child_column, 'public.{p}' AS parent_table, 'id' AS parent_column, true AS checked, count(*) AS orphan_count FROM named_{t} WHERE {c} NOT IN (SELECT id FROM named_{p})"
+        if p
+        else f"SELECT 'public.{t}', '{c}', NULL, NULL, false, CAST(0 AS BIGINT)"
+        for t, c, p in _FITS
+    ),
+)
+def fk_candidates_many(spark, sf_dir):
+    """Singular and plural names, columns that name no table, and parents that lack rows; one job looks at all."""
+    tables = []
+    for name, (source, columns, condition) in _NAMED.items():
+        df = table(spark, sf_dir, source).where(condition).select(*[F.col(own).alias(c) for c, own in columns.items()])
+        tables.append(table_of(name, df, ["id"] if "id" in columns else []))
+    c = Catalog(spark, tables)
+    return suggestions_df(spark, validate(c, suggest(c)))
+
+
 # ---- values as text
 
 
