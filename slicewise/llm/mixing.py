@@ -36,10 +36,18 @@ def word_count(text: Column) -> Column:
 
 
 def repeating_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """``sources`` (column source) in code point order, null last, with weights in turn."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    return sources.select("source", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")).alias("weight"))
+    """``sources`` (column source) in code point order, null last, with weights in turn.
+
+    Sources are sorted by a shuffle and numbered where they are; only the number of sources of
+    each partition meets in one task, so there may be as many as hosts of the web.
+    """
+    ordered = freeze(sources.select("source").orderBy(F.col("source").asc_nulls_last()).withColumn("number", F.monotonically_increasing_id()), "mix_ordered")
+    ordered = ordered.withColumn("part", F.shiftright("number", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.col("offset") + F.col("number").bitwiseAND((1 << 33) - 1)
+    turn = F.pmod(place, F.lit(len(weights))).cast("int")
+    return ordered.join(offsets, "part").select("source", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1).alias("weight"))
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:

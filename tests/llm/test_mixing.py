@@ -59,6 +59,15 @@ def test_the_sample_is_the_first_by_luck(spark, monkeypatch, docs_in_bucket, lev
             assert got[r.mix_id].copies == whole + (at - r.mix_size / 2 < target - whole * size)
 
 
+def test_weights_in_turn(spark):
+    """In code point order, whatever partitions hold the sources."""
+    names = [f"s{i}" for i in range(500)] + ["", "ß", "Z", "漢", "\U0001F600", "\uffee", None]
+    frame = spark.createDataFrame([(n,) for n in names], "source string").repartition(9)
+    order = sorted(names, key=lambda s: (s is None, s or ""))
+    got = {r.source: r.weight for r in mixing.repeating_weights(frame, (3, 1, 2)).collect()}
+    assert got == {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(order)}
+
+
 def test_given_weights_and_rows(spark):
     weights = spark.createDataFrame([("s1", 1.0), (None, 2.0)], "source string, weight double")
     docs = odd.docs(spark)
