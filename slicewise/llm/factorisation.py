@@ -73,6 +73,19 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def loss_gradient(machine: Machine, inputs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Mean logistic loss of some texts, its gradient by weight and factors of each input, and by the bias."""
+    index, value, starts = flattened(inputs)
+    owner = np.repeat(np.arange(len(inputs)), np.diff([*starts, len(index)]))
+    score, sums, vx = machine.sums(index, value, starts)
+    logits = machine.bias + score
+    error = (sigmoid(logits) - y) / len(inputs)
+    pull = error[owner] * value
+    steps = [pull, *((pull[:, None] * (sums[owner] - vx)).T)]
+    grad = np.stack([np.bincount(index, weights=s, minlength=len(machine.weights)) for s in steps], axis=1)
+    return float(np.logaddexp(0, np.where(y > 0, -logits, logits)).mean()), grad, float(error.sum())
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: int = 12, least_steps: int = 800, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> Machine:
     """Adagrad on the logistic loss. Without both labels the score is the labels' mean."""
     size = WORD_BUCKETS + len(STATISTICS)
@@ -92,21 +105,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: in
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 128):
             batch = order[at : at + 128]
-            index, value, starts = flattened([inputs[i] for i in batch])
-            owner = np.repeat(np.arange(len(batch)), np.diff([*starts, len(index)]))
-            score, sums, vx = machine.sums(index, value, starts)
-            logits = machine.bias + score
-            error = (sigmoid(logits) - y[batch]) / len(batch)
-            pull = error[owner] * value
-            steps = [pull, *((pull[:, None] * (sums[owner] - vx)).T)]
-            grad = np.stack([np.bincount(index, weights=s, minlength=size) for s in steps], axis=1)
+            _, grad, bias_grad = loss_gradient(machine, [inputs[i] for i in batch], y[batch])
             grad += decay * np.concatenate([machine.weights[:, None], machine.factors], axis=1)
             squares += grad**2
             step = rate * grad / np.sqrt(squares)
             machine.weights -= step[:, 0]
             machine.factors -= step[:, 1:]
-            bias_squares += error.sum() ** 2
-            machine.bias -= rate * error.sum() / np.sqrt(bias_squares)
+            bias_squares += bias_grad**2
+            machine.bias -= rate * bias_grad / np.sqrt(bias_squares)
     return machine
 
 

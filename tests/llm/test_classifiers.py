@@ -2,9 +2,10 @@ import numpy as np
 import odd
 import pytest
 from pyspark.sql import functions as F
-from slicewise.llm.factorisation import FACTORS, Machine, fit_quality, score_quality, train
+from slicewise.llm.factorisation import FACTORS, Machine, fit_quality, loss_gradient, score_quality, train
 from slicewise.llm import toxicity, words
 from slicewise.llm.features import STATISTICS, is_held_out, labelled_sample, seeded_rows, word_marks
+from slicewise.llm.queries import op4_quality, op6_toxicity
 from slicewise.llm.tables import read
 from slicewise.llm.toxicity import entries, fit_toxicity, nn_risk, score_toxicity, train_nnpu, without_toxic
 
@@ -22,6 +23,68 @@ def test_linear_time_identity():
     assert m.logits(many) == pytest.approx([m.logit(*x) for x in many]) and len(m.logits([])) == 0
 
 
+def by_pairs(m, index, value):
+    """A machine's logit by its definition: every pair of inputs."""
+    own = m.factors[index] * np.asarray(value, np.float64)[:, None]
+    return m.bias + m.weights[index] @ value + np.triu(own @ own.T, 1).sum()
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(9)
+    size = 9
+    m = Machine(0.2, rng.normal(size=size), rng.normal(size=(size, FACTORS)), np.zeros(0), np.ones(0))
+    inputs = [(rng.choice(size, n, replace=False), rng.normal(size=n)) for n in (1, 4, 7, 3)]
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss():
+        z = np.array([by_pairs(m, *x) for x in inputs])
+        return np.mean(np.log(1 + np.exp(np.where(y > 0, -z, z))))
+
+    value, grad, bias_grad = loss_gradient(m, inputs, y)
+    assert value == pytest.approx(loss())
+
+    def slope(array, at):
+        array[at] += 1e-6
+        up = loss()
+        array[at] -= 2e-6
+        down = loss()
+        array[at] += 1e-6
+        return (up - down) / 2e-6
+
+    for i in range(size):
+        assert grad[i, 0] == pytest.approx(slope(m.weights, i), abs=1e-7)
+        for f in range(FACTORS):
+            assert grad[i, 1 + f] == pytest.approx(slope(m.factors, (i, f)), abs=1e-7)
+    m.bias += 1e-6
+    up = loss()
+    m.bias -= 2e-6
+    assert bias_grad == pytest.approx((up - loss()) / 2e-6, abs=1e-7)
+
+
+def test_quality_query_against_pair_sums(spark):
+    """Every score of op4 on the smallest tables, with the learned machine, by the definition."""
+    small = "/root/testdata/sf0.001"
+    docs = read(spark, small, "documents")
+    machine = fit_quality(docs, read(spark, small, "labels"))
+    want = {}
+    for r in docs.collect():
+        text = np.frombuffer((r.text or "").encode(), np.uint8)
+        want[r.doc_id] = 1 / (1 + np.exp(-np.clip(by_pairs(machine, *machine.inputs(text, r.n_chars)), -30, 30)))
+    got = op4_quality(spark, small).collect()
+    assert len(got) == len(want) and all(r.score == pytest.approx(want[r.doc_id], abs=1e-6) and r.predicted == (r.score >= 0.3) and r.held_out == is_held_out(r.doc_id) for r in got)
+
+
+def test_toxicity_query_against_sums_of_marks(spark):
+    """Every score of op6 on the smallest tables, with the learned weights, mark by mark."""
+    small = "/root/testdata/sf0.001"
+    docs = read(spark, small, "documents")
+    model = fit_toxicity(docs, read(spark, small, "labels"))
+    weight = dict(zip(model.marks.tolist(), model.weights.tolist(), strict=True))
+    want = {r.doc_id: 1 / (1 + np.exp(-(model.bias + sum(weight.get(m, 0.0) for m in word_marks(np.frombuffer((r.text or "").encode(), np.uint8)).tolist())))) for r in docs.collect()}
+    got = op6_toxicity(spark, small).collect()
+    assert len(got) == len(want) and all(r.score == pytest.approx(want[r.doc_id], abs=1e-9) and r.predicted == (r.score >= 0.5) and r.held_out == is_held_out(r.doc_id) for r in got)
+
+
 def test_machine_learns_an_interaction():
     """The label is whether exactly one of two words is there, which no linear score can tell."""
     rng = np.random.default_rng(2)
