@@ -85,7 +85,7 @@ def test_law_of_places(spark):
     found, pairs = Counter(), Counter()
     df = spark.range(3).repartition(2).cache()
     df.count()
-    n = 36
+    n = 24
     for seed in range(n):
         order = [r.id for r in sorted(shard(df, 2, seed).collect(), key=lambda r: (r.shard, r.slot))]
         found.update(enumerate(order))
