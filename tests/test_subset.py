@@ -75,7 +75,7 @@ def test_controls(spark):
     assert counts(extract(c, root=BRINE, include=["zones"]))["zones"] == 4
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 2}, {"filters": ["captains=title <> 'Mate'"]}])
+@pytest.mark.parametrize("options", [{}, {"limit": 2, "filters": ["captains=title <> 'Mate'"]}])
 def test_hops(spark, options):
     """A depth beyond the longest way is no depth; each less leaves out the tables that far away."""
     c = harbour(spark)
