@@ -15,6 +15,8 @@ from .factorisation import fit_quality, score_quality
 from .mixing import mix
 from .near_dedup import near_dedup
 from .sharding import shard
+from .spelling import oracle_sql as spelling_sql
+from .spelling import spelling_variants, word_occurrences
 from .suffix_dedup import remove_repeats
 from .tables import read
 from .toxicity import fit_toxicity, score_toxicity
@@ -82,6 +84,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(turns.unionByName(probe), TEMPLATE))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_occurrences(read(spark, sf_dir, "documents"), drop_every=199))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -106,6 +113,7 @@ ORACLE_SQL: dict[str, str] = {
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
     "op9_license_scan": licenses.oracle_sql(threshold=0.8),
+    "op11_spelling_variants": spelling_sql(),
     "op10_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
