@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .chat import TEMPLATE, digest, format_conversations
 from . import licenses
 from .decontamination import find_leaks
@@ -88,6 +89,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_occurrences(read(spark, sf_dir, "documents"), drop_every=199))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = align(read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
