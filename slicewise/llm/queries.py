@@ -18,6 +18,7 @@ from .near_dedup import near_dedup
 from .sharding import shard
 from .spelling import oracle_sql as spelling_sql
 from .spelling import spelling_variants, word_occurrences
+from .substrings import remove_shared_passages
 from .suffix_dedup import remove_repeats
 from .tables import read
 from .toxicity import fit_toxicity, score_toxicity
@@ -94,6 +95,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_shared_passages(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -65,26 +65,26 @@ def rolling(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return c
 
 
-def _piece(data: np.ndarray) -> np.ndarray:
+def _piece(data: np.ndarray, lower: bool) -> np.ndarray:
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = _word_bytes()[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    c = rolling(data, lower=True)
+    c = rolling(data, lower)
     return mix((c[end] - c[start]) * powers(len(data) + 1)[1][start])
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the words of one text, in order."""
+def word_hashes(data: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of the words of one text, in order; unchanged words with ``lower`` off."""
     if len(data) <= 2 * PIECE:
-        return _piece(data)
+        return _piece(data, lower)
     out, at = [], 0
     while at < len(data):
         end = at + PIECE
         while end < len(data) and _word_bytes()[data[end]]:  # to the end of a word
             gap = np.flatnonzero(~_word_bytes()[data[end : end + PIECE]])
             end += int(gap[0]) if len(gap) else PIECE
-        out.append(_piece(data[at : min(end, len(data))]))
+        out.append(_piece(data[at : min(end, len(data))], lower))
         at = end
     return np.concatenate(out)
 
