@@ -12,7 +12,8 @@ A byte goes when a ``width``-byte string that covers it also starts earlier.
   (Spark's sort, which spills) into one run. It is front-coded: what a suffix
   shares with the one before isn't sent. Suffixes with equal surroundings are
   combined into the earliest, so a passage that a third of all documents share is
-  one entry of each run.
+  one entry of each run. The others are settled: they leave the run as narrow rows
+  of bounded size that go past the merge, to ranges of their own dealt in turn.
 * Runs are cut at splitters taken from a sample of the suffixes, and exchanged in
   blocks. Splitters compare whole suffixes and what is to their left, so a start
   that very many suffixes have is cut as well.
@@ -60,6 +61,8 @@ TASKS_PER_CORE = 4
 SAMPLES = 16
 #: suffixes of a block, the unit of exchange
 BLOCK = 256
+#: settled places of one row
+SETTLED = 4096
 #: runs that one merge takes; it holds a block of each
 FAN_IN = 1024
 #: suffixes classified together, or twice as many where no end between two starts comes
@@ -190,7 +193,7 @@ class RunWriter:
     needs the block when it has put that out. It is null for the first of a part."""
 
     def __init__(self, run: int) -> None:
-        self.run, self.blocks, self.pending, self.done, self.before = run, 0, None, [], None
+        self.run, self.blocks, self.pending, self.before = run, 0, None, None
 
     def put(self, part: int, some: Suffixes) -> Iterator[dict]:
         """Blocks that are complete; what is added comes after all that was."""
@@ -220,13 +223,32 @@ class RunWriter:
 
     def flush(self, final: bool = True) -> Iterator[dict]:
         if self.pending:
-            done = np.concatenate([*self.done, np.zeros((0, 3), np.int64)])
-            yield self.pending | {"final": final, "done": done.astype(np.int64).tobytes()}
-            self.pending, self.done = None, []
+            yield self.pending | {"final": final}
+            self.pending = None
+
+
+class SettledWriter:
+    """Rows of settled (doc, start, end), none of more than ``most`` places, dealt in turn to the ranges behind those of the merge."""
+
+    def __init__(self, run: int, parts: int, most: int) -> None:
+        self.run, self.parts, self.most, self.turn, self.waiting, self.n = run, parts, most, run, [], 0
+
+    def put(self, places: np.ndarray) -> Iterator[dict]:
+        self.waiting.append(places)
+        self.n += len(places)
+        if self.n >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[dict]:
+        places = np.concatenate([*self.waiting, np.zeros((0, 3), np.int64)]).astype(np.int64)
+        for low in range(0, len(places), self.most):
+            yield {"part": self.parts + self.turn % self.parts, "run": self.run, "place_in_run": -1, "done": places[low : low + self.most].tobytes()}
+            self.turn += 1
+        self.waiting, self.n = [], 0
 
 
 def block_rows(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], _KINDS[k]) for c, k in _COLUMNS.items()], list(_COLUMNS))
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], _KINDS[k]) for c, k in _COLUMNS.items()], list(_COLUMNS))
 
 
 def _front_coded(splitters: list[tuple[bytes, bytes]], width: int = WIDTH):
@@ -234,6 +256,7 @@ def _front_coded(splitters: list[tuple[bytes, bytes]], width: int = WIDTH):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, part, last = RunWriter(TaskContext.get().partitionId()), 0, None
+        settled = SettledWriter(writer.run, len(splitters) + 1, SETTLED)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -251,10 +274,10 @@ def _front_coded(splitters: list[tuple[bytes, bytes]], width: int = WIDTH):
             same = (differ == width) & (length == before[1]) & (left_length == before[3]) & (left == before[2]).all(axis=1)
             least = np.maximum(0, width - length)
             whole = same & (left_length >= least)  # an earlier one has the same surroundings, windows included
-            writer.done.append(np.stack([doc, place - left_length, place + width - least], axis=1)[whole])
+            out = list(settled.put(np.stack([doc, place - left_length, place + width - least], axis=1)[whole]))
             found, kept = Suffixes(shared, suffix, length, left, left_length, doc, place), ~same
             key = lambda i: (batch.column("suffix")[i].as_py(), batch.column("left")[i].as_py())  # noqa: B023, E731
-            at, out = 0, []
+            at = 0
             while at < n:
                 end = n if part == len(splitters) or key(n - 1) < splitters[part] else bisect_left(range(n), splitters[part], lo=at, key=key)
                 rows = np.arange(at, end)
@@ -262,7 +285,7 @@ def _front_coded(splitters: list[tuple[bytes, bytes]], width: int = WIDTH):
                 at = end
                 part += end < n
             yield block_rows(out)
-        yield block_rows(list(writer.flush()))
+        yield block_rows([*writer.flush(), *settled.flush()])
 
     return run
 
@@ -287,15 +310,16 @@ class Block:
     taken: int = 0
 
 
-def read_blocks(batches: Iterable[pa.RecordBatch], done: list[np.ndarray], width: int = WIDTH) -> Iterator[Block]:
-    """The blocks one by one; what runs had settled goes to ``done``."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in _COLUMNS}
-            done.append(np.frombuffer(row["done"], np.int64).reshape(-1, 3))
-            left_length = np.frombuffer(row["left_length"], np.uint8).astype(np.int64)
-            left = padded(np.frombuffer(row["lefts"], np.uint8), left_length, width - GRAM, True)
-            yield Block(row["part"], row["run"], row["forecast"], row["final"], list(row["shared"]), list(row["length"]), row["tails"], left, left_length, np.frombuffer(row["doc"], np.int64), np.frombuffer(row["place"], np.int32).astype(np.int64))
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, Iterator[dict]]]:
+    """Stretches of rows that are settled and of rows that are blocks, one row at a time."""
+    rows = ({c: batch.column(c)[i].as_py() for c in _COLUMNS} for batch in batches for i in range(batch.num_rows))
+    return itertools.groupby(rows, key=lambda row: row["done"] is not None)
+
+
+def read_block(row: dict, width: int = WIDTH) -> Block:
+    left_length = np.frombuffer(row["left_length"], np.uint8).astype(np.int64)
+    left = padded(np.frombuffer(row["lefts"], np.uint8), left_length, width - GRAM, True)
+    return Block(row["part"], row["run"], row["forecast"], row["final"], list(row["shared"]), list(row["length"]), row["tails"], left, left_length, np.frombuffer(row["doc"], np.int64), np.frombuffer(row["place"], np.int32).astype(np.int64))
 
 
 def shared_prefix(a: bytes, b: bytes, low: int) -> int:
@@ -437,11 +461,10 @@ class Chunk:
 
 
 def _merged_runs(width: int = WIDTH):
-    """Blocks of one run for each group of runs of a part; rows sorted by part, group and forecast."""
+    """Blocks of one run for each group of runs of a part, and settled rows as they are; rows sorted by part, group and forecast."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[np.ndarray] = []
-        for (part, group), blocks in itertools.groupby(read_blocks(batches, done, width), key=lambda b: (b.part, b.run // FAN_IN)):
+    def merged(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for (part, group), blocks in itertools.groupby((read_block(r, width) for r in rows), key=lambda b: (b.part, b.run // FAN_IN)):
             writer, chunk = RunWriter(group), Chunk()
             for item in merge_runs(blocks):
                 chunk.add(*item)
@@ -449,10 +472,12 @@ def _merged_runs(width: int = WIDTH):
                     yield block_rows(list(writer.put(part, chunk.take(width))))
             if chunk.numbers:
                 yield block_rows(list(writer.put(part, chunk.take(width))))
-            writer.done += done
-            done.clear()
             yield block_rows(list(writer.flush()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for settled, rows in rows_of(batches):
+            yield from (block_rows([row]) for row in rows) if settled else merged(rows)
+
     return run
 
 
@@ -502,9 +527,8 @@ def _chunk_spans(some: Suffixes, below: int, above: int, width: int) -> Iterator
 def _spans(splitters: list[tuple[bytes, bytes]], width: int = WIDTH):
     """What repeats, from the blocks of a range's runs, sorted by part and forecast."""
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        done: list[np.ndarray] = []
-        for part, blocks in itertools.groupby(read_blocks(batches, done, width), key=lambda b: b.part):
+    def merged(rows: Iterator[dict]) -> Iterator[tuple]:
+        for part, blocks in itertools.groupby((read_block(r, width) for r in rows), key=lambda b: b.part):
             low, high = splitters[part - 1][0] if part else b"", splitters[part][0] if part < len(splitters) else b""
             chunk, below, last = Chunk(), None, b""
             for item in merge_runs(blocks):
@@ -517,14 +541,12 @@ def _spans(splitters: list[tuple[bytes, bytes]], width: int = WIDTH):
                 last = item[3]
             if chunk.numbers:
                 yield from _chunk_spans(chunk.take(width), below, shared_prefix(last, high, 0), width)
-            if done:
-                yield *np.concatenate(done).T, None
-                done.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *span, keys in merged(batches):
-            columns = [pa.array(np.ascontiguousarray(x), pa.int64()) for x in span]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary()) if keys is None else pa.array(keys, pa.binary())], ["doc", "start", "end", "key"])
+        for settled, rows in rows_of(batches):
+            for *span, keys in ((*np.frombuffer(r["done"], np.int64).reshape(-1, 3).T, None) for r in rows) if settled else merged(rows):
+                columns = [pa.array(np.ascontiguousarray(x), pa.int64()) for x in span]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary()) if keys is None else pa.array(keys, pa.binary())], ["doc", "start", "end", "key"])
 
     return run
 
@@ -565,7 +587,7 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def splitters_of(source: DataFrame, places: DataFrame, parts: int) -> list[tuple[bytes, bytes]]:
-    """At most ``parts - 1`` (suffix, left) that cut the suffixes into ranges of like size.
+    """At most ``parts - 1`` (suffix, left) that cut the suffixes into ranges of like size; all of a sample with fewer.
 
     From a seeded sample of SAMPLES to twice as many for each range, without repeats: suffixes
     with equal surroundings are one entry of a run, however many they are.
@@ -575,7 +597,7 @@ def splitters_of(source: DataFrame, places: DataFrame, parts: int) -> list[tuple
     some = places.withColumn("places", F.filter("places", lambda p: F.pmod(F.xxhash64("doc", p), F.lit(share)) == 0)).where(F.size("places") > 0)
     rows = source.join(F.broadcast(some), "doc").select("number", "text", "places")  # bounded by the sample
     found = sorted((bytes(r[0]), bytes(r[1])) for r in rows.mapInArrow(_surroundings(), "suffix binary, left binary, doc long, place int").select("suffix", "left").distinct().collect())
-    return [found[i * len(found) // parts] for i in range(1, parts)] if len(found) >= parts else []
+    return [found[i * len(found) // parts] for i in range(1, parts)] if len(found) >= parts else found
 
 
 def sorted_runs(source: DataFrame, places: DataFrame, tasks: int, splitters: list[tuple[bytes, bytes]]) -> DataFrame:
@@ -622,7 +644,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         group = F.floor(F.col("run") / FAN_IN).cast("int")
         blocks = blocks.repartition(tasks, "part", group).sortWithinPartitions("part", group, "forecast", "place_in_run").mapInArrow(_merged_runs(), BLOCKS)
         blocks, runs = freeze(blocks, "repeats_runs"), -(-runs // FAN_IN)
-    merged = blocks.repartitionById(len(splitters) + 1, F.col("part")).sortWithinPartitions("part", "forecast", "place_in_run")
+    # the ranges of the merge, and as many through which settled rows pass
+    merged = blocks.repartitionById(2 * (len(splitters) + 1), F.col("part")).sortWithinPartitions("part", "forecast", "place_in_run")
     merged = freeze(merged.mapInArrow(_spans(splitters), "doc long, start long, end long, key binary"), "repeats_spans")
     # a window's rows here are as many as its start has chunks
     places_of_window = Window.partitionBy("key").orderBy("doc", "start")

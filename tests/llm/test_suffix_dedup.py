@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from slicewise.llm import suffix_dedup
-from slicewise.llm.suffix_dedup import RunWriter, Suffixes, anchors, block_rows, merge_runs, merge_spans, padded, read_blocks, remove_repeats
+from slicewise.llm.suffix_dedup import RunWriter, Suffixes, anchors, block_rows, merge_runs, merge_spans, padded, read_block, remove_repeats, rows_of
 
 
 def brute(texts):
@@ -68,6 +68,37 @@ def test_starts_that_very_many_have(spark, monkeypatch, sizes):
     assert len(found[0]) == 8
 
 
+def test_a_passage_of_all_documents(spark, monkeypatch):
+    """What the runs settle of a common passage goes past the merge; its rows are bounded and evenly dealt, and so are block rows."""
+    monkeypatch.setattr(suffix_dedup, "SETTLED", 64)
+    passage, real, largest = odd.prose(1, 60), suffix_dedup.sorted_runs, {}
+    for n in (100, 400):
+        made = []
+        monkeypatch.setattr(suffix_dedup, "sorted_runs", lambda *x, made=made: (made.append(real(*x)), made[-1])[1])
+        texts = [(i, odd.prose(1000 + i, 2) + passage + odd.prose(5000 + i, 2)) for i in range(n)]
+        df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+        assert rows(remove_repeats(df, tasks=4)) == brute(texts)
+        sizes = made[0].selectExpr("part", "done IS NOT NULL AS settled", "length(doc) + length(tails) + length(lefts) AS block", "length(done) AS done").collect()
+        ranges = max(r.part for r in sizes if not r.settled) + 1
+        settled = Counter()
+        for r in sizes:
+            assert r.settled == (r.part >= ranges) and (not r.settled or r.done <= 64 * 24)
+            if r.settled:
+                settled[r.part] += r.done
+        assert len(settled) == ranges and max(settled.values()) < 2 * sum(settled.values()) / ranges
+        assert max(r.block or 0 for r in sizes) <= suffix_dedup.BLOCK * (100 + 68 + 8)  # a suffix, what is to its left, its document
+        largest[n] = sum(settled.values())
+    assert largest[400] > 3 * largest[100]
+
+
+def test_fewer_samples_than_ranges(spark, monkeypatch):
+    """Each entry of a small sample cuts; nothing collapses into one range."""
+    made, real = [], suffix_dedup.splitters_of
+    monkeypatch.setattr(suffix_dedup, "splitters_of", lambda *x: (made.append(real(*x)), made[-1])[1])
+    texts = [(i, odd.prose(i, 5) + odd.prose(77, 30)) for i in range(5)]
+    assert rows(remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), tasks=64)) == brute(texts)
+    assert 1 < len(made[0]) < 63
+
 def test_as_many_ranges_at_any_size(spark, monkeypatch):
     """The number of runs and ranges follows the cluster, and runs get longer with the input."""
     length = {}
@@ -78,7 +109,7 @@ def test_as_many_ranges_at_any_size(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "sorted_runs", lambda *x, made=made: (made.append(real(*x)), made[-1])[1])
         df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
         assert rows(remove_repeats(df)) == brute(texts)
-        blocks = made[0].select("part", "run", F.length("length").alias("n")).collect()
+        blocks = made[0].where("done IS NULL").select("part", "run", F.length("length").alias("n")).collect()
         runs = Counter()
         for b in blocks:
             runs[b.part, b.run] += b.n
@@ -112,7 +143,7 @@ def coded(runs: list[list[bytes]], width: int = 12) -> list:
         some = Suffixes(shared, padded(np.frombuffer(b"".join(suffixes), np.uint8), length, width), length, none, np.zeros(len(suffixes), int), place + 100 * number, place)
         out += [*writer.put(0, some), *writer.flush()]
     out.sort(key=lambda r: (r["forecast"] is not None, r["forecast"] or b"", r["place_in_run"]))
-    return list(read_blocks([block_rows(out)], [], 32))
+    return [read_block(row, 32) for _, rows in rows_of([block_rows(out)]) for row in rows]
 
 
 def shared_bytes(a: bytes, b: bytes) -> int:
