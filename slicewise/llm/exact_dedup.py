@@ -1,18 +1,21 @@
 """Exact dedup by two-pass Bloom filtering.
 
 Pass one writes a narrow table (id, SHA-256 of the text) and builds a blocked
-Bloom filter of the hashes that occur at least twice: every builder task keeps
-two bit planes, "seen" and "seen again", and planes of the same block merge
-with ``again = again1 | again2 | (seen1 & seen2)``. Pass two probes the narrow
-table; only rows whose bits are all in the "again" plane can have a twin, and
-only those (as id and hash, never the text) shuffle. The rest pass straight
-through. False positives cost a little shuffle and nothing else, because the
-groups are formed on the full SHA-256.
+Bloom filter of the hashes that occur at least twice. Every task sends, for each
+block it touches, the bits that it has seen and those that it has seen again, as
+sorted places; places of one block merge in two levels with
+``again = again1 | again2 | (seen1 & seen2)``. So a text costs a few bytes however many tasks
+build, and all of them do. Pass two probes the narrow table; only rows whose bits
+are all seen again can have a twin, and only those (as id and hash, never the
+text) shuffle. The rest pass straight through. False positives cost a little
+shuffle and nothing else, because the groups are formed on the full SHA-256.
 
 The filter is bounded: hash space is cut into slices so that the filter of one
 slice never exceeds ``filter_mb``, whatever the row count; it is broadcast
-because of that bound. What a slice's filter says of its rows is written out
-before the next filter is built, so one filter is alive at a time.
+because of that bound. The narrow table is written once, each task's rows in order of
+their slices, so that a slice reads the pages it needs. What a slice's filter says of its
+rows is written out before the next filter is built, so one filter is alive at a time; how many
+files that gives follows from the rows, not from the slices.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,50 +34,68 @@ from .tables import freeze, freeze_parts
 
 BLOCK_BITS = 1 << 15
 BLOCK_BYTES = BLOCK_BITS // 8
-#: builders of one slice; bounds the planes that meet in one merge group
-MAX_BUILDERS = 64
+#: groups of tasks whose places of a block merge first
+MERGERS = 16
+#: rows whose places a task keeps before it sends them
+BUILD_ROWS = 1 << 20
+#: rows of a file of what was probed
+FILE_ROWS = 250_000
 
 
-def _positions(hashes: np.ndarray) -> list[np.ndarray]:
-    return [(hashes >> np.uint64(15 * i)) & np.uint64(BLOCK_BITS - 1) for i in range(3)]
+def _places(bits: np.ndarray) -> list[np.ndarray]:
+    """The three places in its block of each text."""
+    return [(bits >> np.uint64(15 * i)).astype(np.int64) & (BLOCK_BITS - 1) for i in range(3)]
 
 
-def _set_bits(plane: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(plane, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+def _lists(key: np.ndarray, blocks: np.ndarray) -> pa.Array:
+    """Of sorted keys (block, place) the places of each block, as binary values."""
+    ends = np.searchsorted(key, np.append(blocks, blocks[-1] + 1) * BLOCK_BITS) * 2
+    data = (key & (BLOCK_BITS - 1)).astype(np.uint16)
+    return pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
-def _build(first_block: int, blocks: int):
-    """Planes of a task, as rows (block, seen, again) of the blocks it touched."""
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, merger, seen, again) of the blocks that a task touched."""
+    merger = TaskContext.get().partitionId() % MERGERS
+    waiting, n = [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(blocks * BLOCK_BYTES, np.uint8)
-        again = np.zeros_like(seen)
-        touched = np.zeros(blocks, bool)
-        for batch in batches:
-            block = batch.column("block").to_numpy() - first_block
-            touched[block] = True
-            bits = batch.column("bits").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            at = np.concatenate([block * BLOCK_BITS + p.astype(np.int64) for p in _positions(bits)])
-            at, times = np.unique(at, return_counts=True)
-            before = (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            _set_bits(again, at[before | (times > 1)])
-            _set_bits(seen, at)
-        found = np.flatnonzero(touched)
-        if len(found):
-            cut = lambda plane: [plane[b * BLOCK_BYTES : (b + 1) * BLOCK_BYTES].tobytes() for b in found]
-            yield pa.RecordBatch.from_arrays([pa.array(found + first_block, pa.int64()), pa.array(cut(seen), pa.binary()), pa.array(cut(again), pa.binary())], ["block", "seen", "again"])
+    def rows() -> pa.RecordBatch:
+        key, times = np.unique(np.concatenate(waiting), return_counts=True)
+        blocks = np.unique(key // BLOCK_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.full(len(blocks), merger, np.int32)), _lists(key, blocks), _lists(key[times > 1], blocks)], ["block", "merger", "seen", "again"])
 
-    return run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("block").to_numpy()
+        bits = batch.column("bits").to_numpy().view(np.uint64)
+        waiting += [block * BLOCK_BITS + place for place in _places(bits)]
+        n += len(block)
+        if n >= BUILD_ROWS:
+            yield rows()
+            waiting, n = [], 0
+    if waiting:
+        yield rows()
 
 
-def _merge(planes: pd.DataFrame) -> pd.DataFrame:
-    seen = np.zeros(BLOCK_BYTES, np.uint8)
-    again = np.zeros_like(seen)
-    for s, a in zip(planes["seen"], planes["again"], strict=True):
-        s = np.frombuffer(s, np.uint8)
-        again |= np.frombuffer(a, np.uint8) | (seen & s)
-        seen |= s
-    return pd.DataFrame({"filter_block": [int(planes["block"].iloc[0])], "words": [again.view(np.int64)]})
+def _united(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a block that were seen in any of the rows, and those seen again."""
+    seen, times = np.unique(np.frombuffer(b"".join(rows["seen"]), np.uint16), return_counts=True)
+    return seen, np.union1d(np.frombuffer(b"".join(rows["again"]), np.uint16), seen[times > 1])
+
+
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    seen, again = _united(rows)
+    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "seen": [seen.tobytes()], "again": [again.tobytes()]})
+
+
+def _filter(rows: pd.DataFrame) -> pd.DataFrame:
+    """The block of the filter; none if nothing was seen again."""
+    _, again = _united(rows)
+    plane = np.zeros(BLOCK_BITS, bool)
+    plane[again] = True
+    words = [np.packbits(plane, bitorder="little").view(np.int64)]
+    return pd.DataFrame({"filter_block": [int(rows["block"].iloc[0])], "words": words}).iloc[: len(again)]
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_mb: int = 64, bits_per_text: int = 8) -> DataFrame:
@@ -96,17 +118,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(blocks)).alias("block"),
         F.xxhash64("digest", F.lit(2)).alias("bits"),
     )
-    keyed = freeze(keyed.withColumn("slice", F.floor(F.col("block") / per_slice).cast("int")), "exact_dedup", "slice" if slices > 1 else None)
+    keyed = keyed.withColumn("slice", F.floor(F.col("block") / per_slice).cast("int"))
+    keyed = freeze(keyed.sortWithinPartitions("slice") if slices > 1 else keyed, "exact_dedup")
+    files = max(1, math.ceil(n_rows / slices / FILE_ROWS))
 
     def probed() -> Iterator[DataFrame]:
         for number in range(slices):
             part = keyed.where(F.col("slice") == number) if slices > 1 else keyed
-            first = number * per_slice
-            size = min(per_slice, blocks - first)
-            planes = part.select("block", "bits").coalesce(MAX_BUILDERS).mapInArrow(_build(first, size), "block long, seen binary, again binary")
+            built = part.select("block", "bits").mapInArrow(_build, "block long, merger int, seen binary, again binary")
+            merged = built.groupBy("block", "merger").applyInPandas(_merge, "block long, seen binary, again binary")
             # at most filter_mb, by the choice of slices; written out before the next slice's filter is built
-            twice = F.broadcast(freeze(planes.groupBy("block").applyInPandas(_merge, "filter_block long, words array<long>"), "exact_dedup_filter"))
-            found = part.join(twice, part["block"] == twice["filter_block"], "left")
+            twice = F.broadcast(freeze(merged.groupBy("block").applyInPandas(_filter, "filter_block long, words array<long>"), "exact_dedup_filter"))
+            found = (part.coalesce(files) if slices > 1 else part).join(twice, part["block"] == twice["filter_block"], "left")
             flags = [F.getbit(F.element_at("words", (F.shiftrightunsigned("bits", 15 * i).bitwiseAND(BLOCK_BITS - 1) / 64).cast("int") + 1), F.shiftrightunsigned("bits", 15 * i).bitwiseAND(63).cast("int")) == 1 for i in range(3)]
             yield found.select("id", "digest", "row", F.coalesce(flags[0] & flags[1] & flags[2], F.lit(False)).alias("maybe"))
 
