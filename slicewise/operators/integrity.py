@@ -1,8 +1,8 @@
 """Orphan rows: rows whose foreign key has no parent.
 
-A row with a null in any key column is exempt (MATCH SIMPLE). Each constraint
-is one anti join that reads key columns only; the counts of all constraints are
-one union, so a whole catalog is checked by one action.
+A row with a null in any key column is exempt (MATCH SIMPLE). All constraints of a
+catalog are looked at in one pass over its tables (``keys``), and the samples of all that
+are broken in a second one over their children.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quoting import quote_ident, quote_table
+from ..scratch import freeze
 from ..sources.catalog import Catalog, ForeignKey
+from .keys import counts_by_tag, first_orphans, labelled, orphan_keys
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_cols: Iterable[str], parent_cols: Iterable[str]) -> DataFrame:
@@ -29,22 +31,23 @@ def orphans_of(catalog: Catalog, fk: ForeignKey) -> DataFrame:
     return orphans(catalog.df(fk.child), catalog.df(fk.parent), fk.child_cols, fk.parent_cols)
 
 
-COUNTS = "child_table string, constraint_name string, child_columns string, parent_table string, parent_columns string, orphan_count long"
+LABELS = "child_table string, constraint_name string, child_columns string, parent_table string, parent_columns string"
+
+
+def label_of(fk: ForeignKey) -> tuple:
+    return fk.child, fk.name, ",".join(fk.child_cols), fk.parent, ",".join(fk.parent_cols)
+
+
+def tables_of(catalog: Catalog, keys: Iterable[ForeignKey]) -> dict[str, DataFrame]:
+    return {name: catalog.df(name) for fk in keys for name in (fk.child, fk.parent)}
 
 
 def orphan_counts(catalog: Catalog, tables: Iterable[str] | None = None) -> DataFrame:
     """One row per constraint of the tables, orphan-free ones included."""
-    parts = []
-    for fk in catalog.constraints(tables):
-        names = [fk.child, fk.name, ",".join(fk.child_cols), fk.parent, ",".join(fk.parent_cols)]
-        labels = [F.lit(x).alias(part.split()[0]) for x, part in zip(names, COUNTS.split(", "), strict=False)]
-        parts.append(orphans_of(catalog, fk).agg(F.count("*").alias("orphan_count")).select(*labels, "orphan_count"))
-    if not parts:
-        return catalog.spark.createDataFrame([], COUNTS)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    keys = catalog.constraints(tables)
+    if not keys:
+        return catalog.spark.createDataFrame([], f"{LABELS}, orphan_count long")
+    return labelled(catalog.spark, orphan_keys(tables_of(catalog, keys), keys), [label_of(fk) for fk in keys], LABELS)
 
 
 def sample_columns(catalog: Catalog, fk: ForeignKey) -> list[str]:
@@ -58,6 +61,24 @@ def orphan_samples(catalog: Catalog, fk: ForeignKey, samples: int = 3) -> DataFr
     return orphans_of(catalog, fk).select(*columns).orderBy(*columns).limit(samples)
 
 
+def all_orphan_samples(catalog: Catalog, tables: Iterable[str] | None = None, samples: int = 3) -> DataFrame:
+    """(child_table, constraint_name, place, sample): the first orphans of every constraint, as JSON text of the sampled columns."""
+    keys = catalog.constraints(tables)
+    schema = "child_table string, constraint_name string, place int, sample string"
+    if not keys:
+        return catalog.spark.createDataFrame([], schema)
+    frames = tables_of(catalog, keys)
+    found = freeze(orphan_keys(frames, keys), "orphan_keys")
+    rows = first_orphans(frames, keys, found, [sample_columns(catalog, fk) for fk in keys], samples)
+    one_of = lambda of: F.coalesce(*[F.when(F.col("tag") == tag, of(tag, fk)) for tag, fk in enumerate(keys)])
+    return rows.select(
+        one_of(lambda tag, fk: F.lit(fk.child)).alias("child_table"),
+        one_of(lambda tag, fk: F.lit(fk.name)).alias("constraint_name"),
+        "place",
+        one_of(lambda tag, fk: F.to_json(f"key_{tag}", {"ignoreNullFields": "false"})).alias("sample"),
+    )
+
+
 @dataclass
 class OrphanResult:
     constraint: ForeignKey
@@ -68,16 +89,25 @@ class OrphanResult:
 
 def check(catalog: Catalog, tables: Iterable[str] | None = None, samples: int = 3) -> list[OrphanResult]:
     """Counts of every constraint and a few orphans of those that have any."""
-    tables = None if tables is None else list(tables)
-    counts = {(r["child_table"], r["constraint_name"]): r["orphan_count"] for r in orphan_counts(catalog, tables).collect()}  # one row per constraint
-    out = []
-    for fk in catalog.constraints(tables):
-        result = OrphanResult(fk, counts[fk.child, fk.name])
-        if result.count and samples > 0:
-            result.columns = sample_columns(catalog, fk)
-            result.samples = [tuple(r) for r in orphan_samples(catalog, fk, samples).collect()]
-        out.append(result)
-    return out
+    keys = catalog.constraints(tables)
+    if not keys:
+        return []
+    frames = tables_of(catalog, keys)
+    found = freeze(orphan_keys(frames, keys), "orphan_keys")
+    columns = [sample_columns(catalog, fk) for fk in keys]
+    # counts (place 0) and samples together are one job, of at most 1 + samples rows a constraint
+    rows = counts_by_tag(found).withColumn("place", F.lit(0))
+    if samples > 0:
+        rows = rows.unionByName(first_orphans(frames, keys, found, columns, samples), allowMissingColumns=True)
+    results = [OrphanResult(fk, 0) for fk in keys]
+    for row in sorted(rows.collect(), key=lambda r: (r["tag"], r["place"])):
+        result = results[row["tag"]]
+        if row["place"]:
+            result.columns = columns[row["tag"]]
+            result.samples.append(tuple(row[f"key_{row['tag']}"]))
+        else:
+            result.count = row["n"]
+    return results
 
 
 def total_orphans(results: Iterable[OrphanResult]) -> int:

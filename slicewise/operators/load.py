@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.quoting import quote_table
 from ..plans.graph import load_order
 from ..sources.catalog import Catalog
-from .integrity import orphans
+from .keys import labelled, orphan_keys
 from .subset import Slice
 
 
@@ -130,14 +130,10 @@ class LoadResult:
 def dangling(cut: Slice, tables: Iterable[str] | None = None) -> DataFrame:
     """(child_table, constraint_name, orphan_count) of keys between tables of the slice."""
     names = set(cut.tables if tables is None else tables)
-    parts = []
-    for fk in cut.catalog.constraints(names):
-        if fk.parent in names:
-            found = orphans(cut.tables[fk.child], cut.tables[fk.parent], fk.child_cols, fk.parent_cols)
-            parts.append(found.agg(F.count("*").alias("orphan_count")).select(F.lit(fk.child).alias("child_table"), F.lit(fk.name).alias("constraint_name"), "orphan_count"))
-    if not parts:
+    keys = [fk for fk in cut.catalog.constraints(names) if fk.parent in names]
+    if not keys:
         return cut.catalog.spark.createDataFrame([], "child_table string, constraint_name string, orphan_count long")
-    return reduce(DataFrame.unionByName, parts)
+    return labelled(cut.catalog.spark, orphan_keys(cut.tables, keys), [(fk.child, fk.name) for fk in keys], "child_table string, constraint_name string")
 
 
 def next_sequence_values(catalog: Catalog, tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.rendering import copy_lines, insert_statements, interval_text, rendered, rfc3339_seconds, sql_literal, uuid_text
-from .operators.integrity import orphan_counts, orphan_samples, orphans, repaired
+from .operators.integrity import all_orphan_samples, orphan_counts, orphan_samples, orphans, repaired
 from .operators.load import dangling, next_sequence_values
 from .operators.masking import apply_masks
 from .operators.subset import Slice, SubsetSpec, extract
@@ -81,9 +81,30 @@ _SOME = {"region": "r_name <> 'ASIA'", "nation": "n_regionkey <> 1", "customer":
     ),
 )
 def orphans_by_fk_restricted(spark, sf_dir):
+    return orphan_counts(_some(spark, sf_dir)).select("child_table", "constraint_name", "orphan_count")
+
+
+def _some(spark, sf_dir):
     whole = star(spark, sf_dir)
-    tables = [replace(t, load=lambda s, n=n: whole.df(n).where(_SOME[short(n)])) for n, t in whole.tables.items()]
-    return orphan_counts(Catalog(spark, tables)).select("child_table", "constraint_name", "orphan_count")
+    return Catalog(spark, [replace(t, load=lambda s, n=n: whole.df(n).where(_SOME[short(n)])) for n, t in whole.tables.items()])
+
+
+_SHOWN = {"customer": ["c_custkey", "c_nationkey"], "events": ["event_id", "user_id"], "nation": ["n_nationkey", "n_regionkey"], "orders": ["o_orderkey", "o_custkey"], "supplier": ["s_suppkey", "s_nationkey"]}
+
+
+def _samples_sql(t: str, c: str, p: str, pc: str) -> str:
+    shown = _SHOWN.get(t, [c])
+    text = " || ',' || ".join(f"'\"{x}\":' || {x}" for x in shown)
+    return (
+        f"SELECT 'public.{t}' AS child_table, '{t}_{c}_fkey' AS constraint_name, CAST(place AS INT) AS place, '{{' || {text} || '}}' AS sample "
+        f"FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(shown)}) AS place FROM some_{t} WHERE {_NO_PARENT.format(c=c, p=f'some_{p}', pc=pc)}) WHERE place <= 4"
+    )
+
+
+@query("orphan_samples_all", f"WITH {', '.join(f'some_{t} AS (SELECT * FROM {t} WHERE {w})' for t, w in _SOME.items())} " + " UNION ALL ".join(_samples_sql(*fk) for fk in _FKS))
+def orphan_samples_all(spark, sf_dir):
+    """The first orphans of every key of a catalog at once."""
+    return all_orphan_samples(_some(spark, sf_dir), samples=4)
 
 
 @query("orphans_partial_parent", f"SELECT {LINE_SQL} FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
