@@ -3,7 +3,8 @@
 Tokenizer A is a byte-level BPE, B a piece BPE with byte fallback. Both leave words alone:
 a space between two characters that aren't white space begins a token of either, so a
 text's tokens are those of its units, the pieces between such spaces. Each task encodes a
-unit once and remembers it, as many as UNITS; long texts are never held as tokens whole.
+unit once, new ones laid end to end again, and remembers as many as UNITS; long texts are
+never held as tokens whole.
 
 The tokens of all new units are laid end to end as two streams of byte ends (cumsum). Ends
 in both streams (intersect1d) cut them into groups, whose labels come by searchsorted. Two
@@ -36,7 +37,9 @@ from .tables import freeze
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: units that a task remembers, and their characters, before it forgets all
-UNITS, UNIT_CHARS = 200_000, 8_000_000
+UNITS, UNIT_CHARS = 400_000, 16_000_000
+#: characters of units that are encoded as one text
+JOINED = 20_000
 #: characters of texts that are looked at together
 PIECE = 2_000_000
 #: id pairs that a task counts before it sends them
@@ -101,7 +104,7 @@ def tokenizers(folder: str):
         piece = b.id_to_piece(i)
         pieces.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
     return (
-        lambda texts: [e.ids for e in a.encode_batch(texts, add_special_tokens=False)],
+        lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)],
         Vocabulary.of([entries.get(i, b"") for i in range(max(entries) + 1)]),
         lambda texts: b.encode(texts, num_threads=1),
         Vocabulary.of(pieces),
@@ -140,17 +143,29 @@ def _numbers(ids: np.ndarray, separator: np.ndarray) -> np.ndarray:
     return out
 
 
-def align_units(texts: list[str], folder: str) -> Units:
-    """The units' tokens cut into groups where both tokenizers end, and linked where two tokens end together."""
+def _joined(texts: list[str]) -> tuple[list[str], list[int]]:
+    """Texts of several units each, and how many; a unit with white space at an end is one of its own."""
+    out, each, chars = [], [], 0
+    for text in texts:
+        alone = not text or text[0].isspace() or text[-1].isspace()
+        if alone or not out or chars > JOINED:
+            out.append([])
+            chars = 1 + JOINED * alone
+        out[-1].append(text)
+        chars += len(text)
+    each = [len(x) for x in out]
+    return [" ".join(x) for x in out], each
+
+
+def _encoded(texts: list[str], folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(A ids, B ids, how many of each a text has, whether both give back the text's bytes)."""
     encode_a, bytes_a, encode_b, bytes_b = tokenizers(folder)
-    spaced = [" " + t for t in texts]
-    found = [encode_a(spaced), encode_b(texts)]
-    n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in found)
-    a, b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in zip(found, (n_a, n_b), strict=True))
-    raw = [t.encode("utf-8", "surrogatepass") for t in spaced]
+    raw = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
     size = np.array([len(t) for t in raw], np.int64)
-    right = np.ones(len(texts), bool)
-    for ids, n, vocabulary in ((a, n_a, bytes_a), (b, n_b, bytes_b)):
+    right, out = np.ones(len(texts), bool), []
+    for found, vocabulary in ((encode_a([" " + t for t in texts]), bytes_a), (encode_b(texts), bytes_b)):
+        n = np.array([len(x) for x in found], np.int64)
+        ids = np.concatenate([np.array(x, np.int64) for x in found]) if found else np.zeros(0, np.int64)
         upto = np.concatenate(([0], np.cumsum(vocabulary.lengths(ids))))[np.concatenate(([0], np.cumsum(n)))]
         same = np.diff(upto) == size
         joined, at = vocabulary.joined(ids), np.flatnonzero(same)
@@ -158,14 +173,32 @@ def align_units(texts: list[str], folder: str) -> Units:
         differ = joined[spread(upto[at], size[at])] != want
         same[at[np.repeat(np.arange(len(at)), size[at])[differ]]] = False
         right &= same
-    keep_a, keep_b = np.repeat(right, n_a), np.repeat(right, n_b)
-    a, b, n_a, n_b = a[keep_a], b[keep_b], n_a * right, n_b * right
+        out.append((ids, n))
+    (a, n_a), (b, n_b) = out
+    return a[np.repeat(right, n_a)], b[np.repeat(right, n_b)], n_a * right, n_b * right, right
+
+
+def align_units(texts: list[str], folder: str) -> Units:
+    """The units' tokens cut into groups where both tokenizers end, and linked where two tokens end together."""
+    _, bytes_a, _, bytes_b = tokenizers(folder)
+    wholes, each = _joined(texts)
+    a, b, n_a, n_b, right = _encoded(wholes, folder)
+    if not right.all():  # the units of a text that isn't given back are looked at one by one
+        first = np.cumsum([0, *each])
+        alone = set(np.flatnonzero(~right).tolist())
+        pieces = [x for k, whole in enumerate(wholes) for x in (texts[first[k] : first[k + 1]] if k in alone else [whole])]
+        each = [n for k, count in enumerate(each) for n in ([1] * count if k in alone else [count])]
+        a, b, n_a, n_b, right = _encoded(pieces, folder)
+    right = np.repeat(right, each)
+    size = np.array([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts], np.int64) * right
+    unit_end = np.cumsum(size)
+    upto = np.concatenate(([0], unit_end))
     end_a, end_b = np.cumsum(bytes_a.lengths(a)), np.cumsum(bytes_b.lengths(b))
-    cuts = np.intersect1d(end_a, end_b)
+    per_unit = lambda ends: np.diff(np.searchsorted(ends, upto, side="right"))  # noqa: E731  the ends of units are ends of tokens, and cuts
+    n_a, n_b = per_unit(end_a), per_unit(end_b)
+    cuts = np.intersect1d(end_a, end_b, assume_unique=bool((end_a[1:] > end_a[:-1]).all() and (end_b[1:] > end_b[:-1]).all()))
     group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-    # the ends of units are cuts, so the groups of a unit are those up to its end
-    unit_end = np.cumsum(size * right)
-    n_groups = np.diff(np.searchsorted(cuts, np.concatenate(([0], unit_end)), side="right"))
+    n_groups = per_unit(cuts)
     low = np.searchsorted(end_b, end_a, side="left")
     times = np.searchsorted(end_b, end_a, side="right") - low
     links = np.repeat(a, times) << 32 | b[spread(low, times)]
