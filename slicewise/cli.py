@@ -44,7 +44,7 @@ def open_catalog(spark: SparkSession, connection: str, schema: str = "", timeout
 def open_target(where: str, catalog: Catalog, connection: str, disable_triggers: bool = False) -> Target:
     """Where a load goes: a folder or JDBC URL that is named, or else the tables of the connection."""
     if where.startswith("jdbc:") or (not where and connection.startswith("jdbc:")):
-        return JdbcTarget(where or connection, {"driver": "org.postgresql.Driver"} if "postgresql" in (where or connection) else {}, disable_triggers)
+        return JdbcTarget(where or connection, {"driver": "org.postgresql.Driver"} if "postgresql" in (where or connection) else {}, disable_triggers, catalog.spark, identity={t.name for t in catalog.tables.values() if t.has_identity})
     if disable_triggers:
         raise LoadError("only a database has triggers to disable")
     if not where or where == connection:

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from .functions.rendering import copy_lines, insert_statements, interval_text, rendered, rfc3339_seconds, sql_literal, uuid_text
 from .operators.integrity import all_orphan_samples, orphan_counts, orphan_samples, orphans, repaired
-from .operators.load import dangling, next_sequence_values
+from .operators.load import ParquetTarget, apply, dangling, next_sequence_values
 from .operators.masking import apply_masks
 from .operators.subset import Slice, SubsetSpec, extract
 from .plans.graph import load_order, reachable, root_candidates_df
 from .plans.pii import analyze, mask_specs, matches_df
 from .plans.suggest_fks import suggest, suggestions_df, validate
 from .sources.catalog import Catalog, Column, Table, short, table_of
+from .scratch import new_path
 from .sources.testdata import catalog
+from .sources.versions import loaded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -368,6 +370,20 @@ def slice_with_orphans(spark, sf_dir):
     return dangling(Slice(cut.catalog, tables, cut.root))
 
 
+_AUTO = "o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')"
+
+
+@query("loaded_rows", f"SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, o_totalprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {_AUTO}")
+def loaded_rows(spark, sf_dir):
+    """A slice loaded in place of another one, and read back."""
+    path, c = new_path(spark, "loaded"), star(spark, sf_dir)
+    apply(extract(c, SubsetSpec(root=ROOT)), ParquetTarget(path))
+    apply(extract(c, SubsetSpec(root="customer WHERE c_mktsegment = 'AUTOMOBILE'")), ParquetTarget(path), force=True)
+    tables = loaded(spark, path)
+    both = tables["public.lineitem"].join(tables["public.orders"], F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "o_totalprice")
+
+
 @query("untouched_tables", "SELECT * FROM (VALUES ('public.benchmark'), ('public.conversations'), ('public.documents'), ('public.embeddings'), ('public.labels'), ('public.pages')) t(table_name)")
 def untouched_tables(spark, sf_dir):
     cut = extract(catalog(spark, sf_dir), SubsetSpec(root=ROOT))

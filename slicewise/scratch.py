@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SHARED_DIR).rstrip("/")
 
 
-def _new_path(spark: SparkSession, label: str) -> str:
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder of its own below the shared one."""
     return f"{shared_dir(spark)}/slicewise/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
@@ -39,7 +40,7 @@ def freeze(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     later joins a table of known size, and pins whatever was not deterministic.
     The folder follows the cluster's retention of ``spark.checkpoint.dir``.
     """
-    path = _new_path(df.sparkSession, label)
+    path = new_path(df.sparkSession, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -51,7 +52,7 @@ def freeze_parts(parts: Iterable[DataFrame], label: str) -> DataFrame | None:
     paths, schema, spark = [], None, None
     for part in parts:
         spark, schema = part.sparkSession, part.schema
-        paths.append(f"{paths[0].rsplit('/', 1)[0] if paths else _new_path(spark, label)}/{len(paths):06d}")
+        paths.append(f"{paths[0].rsplit('/', 1)[0] if paths else new_path(spark, label)}/{len(paths):06d}")
         part.write.option("compression", "zstd").parquet(paths[-1])
         del part
     return spark.read.schema(schema).parquet(*paths) if paths else None

@@ -101,6 +101,7 @@ class Catalog:
     def __init__(self, spark: SparkSession | None, tables: Iterable[Table], default_schema: str = DEFAULT_SCHEMA) -> None:
         self.spark = spark
         self.default_schema = default_schema
+        self.root = ""  # the folder of a registry's tables
         self.tables = {t.name: t for t in sorted(tables, key=lambda t: t.name)}
         self._frames: dict[str, DataFrame] = {}
         for table in self.tables.values():
@@ -141,9 +142,18 @@ class Catalog:
             self._frames[full] = self.tables[full].load(self.spark)
         return self._frames[full]
 
-    def forget(self, name: str) -> None:
-        """Drops what is known of a table's files, which have changed."""
-        self._frames.pop(self.resolve(name), None)
+    def pin(self) -> None:
+        """Lists the files of all tables now: whatever is read of this catalog later is read from these files."""
+        for name, table in self.tables.items():
+            if table.load is not None:
+                self.df(name)
+
+    def moved(self, name: str, folders: list[str]) -> None:
+        """A table's rows are in other folders from now on."""
+        full = self.resolve(name)
+        table, shape = self.tables[full], self.df(full).schema
+        self.tables[full] = replace(table, load=lambda s: s.read.format(table.format).schema(shape).load(folders))
+        del self._frames[full]
 
     def constraints(self, tables: Iterable[str] | None = None) -> list[ForeignKey]:
         """Foreign keys of the tables, by child and name."""
@@ -156,7 +166,7 @@ class Catalog:
         for fk in keys:
             tables[fk.child] = replace(tables[fk.child], foreign_keys=(*tables[fk.child].foreign_keys, fk))
         out = Catalog(self.spark, tables.values(), self.default_schema)
-        out._frames = dict(self._frames)
+        out._frames, out.root = dict(self._frames), self.root
         return out
 
 
@@ -186,24 +196,29 @@ def from_yaml(spark: SparkSession, path: str | Path, data_dir: str | None = None
 
     ``tables: {name: {path, format, primary_key, foreign_keys: [{columns, table,
     references, name}], types, generated, identity, unique, not_null}}``; a path is
-    relative to ``data_dir`` and defaults to ``<table>.parquet``.
+    relative to ``data_dir`` and defaults to ``<table>.parquet``. Tables that were loaded are read from
+    where the folder's pointer says, all of one state (``versions``).
     """
     import yaml
 
+    from .versions import Versions
+
     spec = yaml.safe_load(Path(path).read_text()) or {}
     base = data_dir if data_dir is not None else spec.get("data_dir", str(Path(path).parent))
-    tables = []
+    tables, versions = [], Versions(spark, base)
     for name, t in (spec.get("tables") or {}).items():
         t = t or {}
         where = t.get("path", f"{short(name)}.parquet")
         full = where if "://" in where or where.startswith("/") else f"{base}/{where}"
         kind = t.get("format", "parquet")
-        df = spark.read.format(kind).load(full)
+        folders = versions.folders(qualify(name)) or [full]
+        df = spark.read.format(kind).load(folders)
         keys = [(fk["columns"], fk["table"], fk["references"], *([fk["name"]] if "name" in fk else [])) for fk in t.get("foreign_keys", [])]
         made = table_of(name, df, t.get("primary_key", ()), keys, t.get("types"), t.get("generated", ()), t.get("identity", ()), t.get("unique", ()), t.get("not_null", ()))
-        # read anew when the catalog forgets it, in the columns that it was registered with
-        tables.append(replace(made, path=full, format=kind, load=lambda s, kind=kind, full=full, shape=df.schema: s.read.format(kind).schema(shape).load(full)))
-    return Catalog(spark, tables, spec.get("default_schema", DEFAULT_SCHEMA))
+        tables.append(replace(made, path=full, format=kind))
+    out = Catalog(spark, tables, spec.get("default_schema", DEFAULT_SCHEMA))
+    out.root = versions.root
+    return out
 
 
 def partition_roots(parents: dict[str, str]) -> dict[str, str]:

@@ -1,15 +1,15 @@
-import json
-
 import pytest
+from pyspark.sql import functions as F
 
 from harbour import harbour
 from slicewise import cli
 from slicewise.cli import elapsed, main, open_target
-from slicewise.operators import load
+from slicewise.operators.integrity import check
 from slicewise.operators.load import JdbcTarget, LoadError, ParquetTarget, RegistryTarget, apply, next_sequence_values
-from slicewise.operators.subset import Slice, extract
+from slicewise.operators.subset import Slice, SubsetSpec, extract
 from slicewise.sources import jdbc
 from slicewise.sources.catalog import from_yaml
+from slicewise.sources.versions import Versions, loaded
 
 BRINE = "ports WHERE id = 4"
 REGISTRY = """
@@ -41,7 +41,7 @@ def test_load(spark, tmp_path):
     result = apply(cut, target, sync_sequences=True)
     assert result.next_values["public.captains"] == 23 and not result.sequences_set
     apply(cut, target, force=True)
-    assert spark.read.parquet(str(tmp_path / "db" / "public.captains")).count() == 3
+    assert loaded(spark, str(tmp_path / "db"))["public.captains"].count() == 3
     broken = Slice(cut.catalog, {t: df for t, df in cut.tables.items()} | {"public.ports": cut.tables["public.ports"].limit(0)}, "x")
     with pytest.raises(LoadError):
         apply(broken, target)
@@ -58,77 +58,151 @@ class Recorder:
     def __init__(self):
         self.told = []
 
-    def clear(self, tables):
-        self.told += [("clear", name) for name in tables]
-
-    def write(self, name, df, replace):
-        self.told.append(("write", name))
+    def stage(self, name, df):
+        self.told.append(("stage", name))
+        return df
 
-    def set_sequences(self, values):
-        self.told += [("sequence", *v) for v in values]
+    def publish(self, order, replace, sequences):
+        self.told.append(("publish", replace, *order, *sequences))
         return True
 
+    def discard(self):
+        self.told.append(("discard",))
+
 
-def test_order_of_statements(spark):
-    """Children are emptied before parents, all before the first row is written, and parents are written first."""
+def test_order_of_a_load(spark):
+    """Parents are staged first, and only what is staged and right is published."""
     cut, target = extract(harbour(spark), root="voyages WHERE id = 31"), Recorder()
     result = apply(cut, target, force=True, sync_sequences=True)
-    assert target.told[:6] == [("clear", "public.voyages"), ("clear", "public.captains"), ("clear", "public.ports"), ("write", "public.ports"), ("write", "public.captains"), ("write", "public.voyages")]
-    assert sorted(target.told[6:]) == [("sequence", "public.captains", "id", 21), ("sequence", "public.ports", "id", 4), ("sequence", "public.voyages", "id", 31)]
+    names = ["public.ports", "public.captains", "public.voyages"]
+    assert target.told[:3] == [("stage", name) for name in names] and target.told[4:] == [("discard",)]
+    assert target.told[3][:5] == ("publish", True, *names)
+    assert sorted(target.told[3][5:]) == [("public.captains", "id", 21), ("public.ports", "id", 4), ("public.voyages", "id", 31)]
     assert result.sequences_set
     target.told.clear()
-    apply(cut, target)
-    assert [x[0] for x in target.told] == ["write"] * 3
-    target.told.clear()
     apply(cut, target, force=True, dry_run=True, sync_sequences=True)
     assert target.told == []
+    broken = Slice(cut.catalog, {t: df for t, df in cut.tables.items()} | {"public.ports": cut.tables["public.ports"].where("id <> 4")}, "x")
+    with pytest.raises(LoadError, match="without parent"):
+        apply(broken, target)
+    assert [x[0] for x in target.told] == ["stage", "stage", "discard"]
+
+
+def fails_at(target, name):
+    """The target, but staging that table stops."""
+    real = target.stage
+
+    def stage(table, df):
+        if table == name:
+            df = df.withColumn("label", F.raise_error(F.lit("stopped")).cast("string"))
+        return real(table, df)
+
+    target.stage = stage
+    return target
+
+
+@pytest.mark.parametrize("where", ["folder", "registry"])
+def test_a_load_that_stops_leaves_all_files_as_they_were(spark, registry, tmp_path, where):
+    folder = str(tmp_path / "db") if where == "folder" else registry
+
+    def target():
+        return ParquetTarget(folder) if where == "folder" else RegistryTarget(from_yaml(spark, f"{folder}/catalog.yaml"))
+
+    def seen():
+        tables = loaded(spark, folder) if where == "folder" else {n: c.df(n) for c in [from_yaml(spark, f"{folder}/catalog.yaml")] for n in c.names()}
+        return {n: sorted(map(tuple, df.collect())) for n, df in tables.items()}
+
+    cut = extract(harbour(spark), SubsetSpec(root="captains WHERE id < 23", exclude=["berths", "tides", "arrivals", "gauges", "cargo"]))
+    other = extract(harbour(spark), SubsetSpec(root="captains WHERE id > 22", exclude=["berths", "tides", "arrivals", "gauges", "cargo"]))
+    apply(cut, target(), force=True)
+    before = seen()
+    assert before["public.voyages"] == [(31, 21, "north"), (32, 21, "round the cape")]
+    with pytest.raises(Exception, match="stopped"):
+        apply(other, fails_at(target(), "public.voyages"), force=True)
+    assert seen() == before
+    assert Versions(spark, folder).vacuum() == []  # nothing is left of it
+    late = target()
+    late.stage("public.ports", other.tables["public.ports"])
+    apply(other, target(), force=True)
+    after = seen()
+    assert after["public.voyages"] == [(33, 23, "ferry"), (34, 24, "survey")]
+    with pytest.raises(LoadError, match="loaded since"):  # two loads at a time: the first to publish wins
+        late.publish(["public.ports"], True, [])
+    late.discard()
+    assert len(Versions(spark, folder).vacuum()) == 1 and seen() == after
+    apply(cut, target(), verify=False)  # added to what is there
+    assert len(seen()["public.voyages"]) == 4
+
+
+def test_a_catalog_reads_files_of_one_moment(spark, registry):
+    """A file that is added between two uses of a table isn't seen, nor is a load; a new catalog sees both."""
+    c = from_yaml(spark, f"{registry}/catalog.yaml")
+    c.pin()
+    spark.createDataFrame([(77, 9999, "added")], "id int, captain_id int, label string").write.mode("append").parquet(f"{registry}/voyages.parquet")
+    assert c.df("voyages").where("id = 77").count() == 0 and check(c)[1].count == 1
+    again = from_yaml(spark, f"{registry}/catalog.yaml")
+    assert again.df("voyages").where("id = 77").count() == 1 and check(again)[1].count == 2
+    apply(extract(c, SubsetSpec(root="captains WHERE id = 24")), RegistryTarget(again), force=True)
+    assert c.df("captains").count() == 4 and again.df("captains").count() == 1
 
 
-class FakeWriter:
-    """What Spark's writer is asked for."""
-
-    def __init__(self, log, rows):
-        self.log, self.made = log, {"rows": rows}
-
-    def format(self, name):
-        return self
-
-    def mode(self, mode):
-        self.made["mode"] = mode
-        return self
-
-    def options(self, **options):
-        self.made |= options
-        return self
-
-    def save(self):
-        self.log.append(self.made)
-
-
-class FakeFrame:
-    def __init__(self, log, rows=5):
-        self.log, self.rows = log, rows
-
-    def limit(self, n):
-        return FakeFrame(self.log, n)
-
-    @property
-    def write(self):
-        return FakeWriter(self.log, self.rows)
+# ---- a database: the one that Spark brings along
 
 
-def test_jdbc_statements(monkeypatch):
-    log = []
-    target = JdbcTarget("jdbc:postgresql://h/db", {"user": "u"}, disable_triggers=True)
-    target.clear({"public.b": FakeFrame(log), "public.a": FakeFrame(log)})
-    target.write("public.a", FakeFrame(log), True)
-    assert [(x["dbtable"], x["mode"], x["rows"]) for x in log] == [('"public"."b"', "overwrite", 0), ('"public"."a"', "overwrite", 0), ('"public"."a"', "append", 5)]
-    assert all(x["truncate"] == x["cascadeTruncate"] == "true" for x in log[:2]) and "truncate" not in log[2]
-    assert all(x["options"] == "-c session_replication_role=replica" and x["user"] == "u" for x in log)
-    asked = []
-    monkeypatch.setattr(jdbc, "read_sql", lambda spark, url, sql, properties: asked.append(sql) or type("R", (), {"collect": lambda self: []})())
-    assert target.set_sequences([("public.a", "id", 7)])
-    assert asked == ["SELECT setval(pg_get_serial_sequence('\"public\".\"a\"', 'id'), 7) AS v"]
+@pytest.fixture
+def database(spark, request):
+    """Tables with keys in a database in memory, filled by a load."""
+    url = f"jdbc:derby:memory:load{request.node.name[:20].replace('[', '').replace(']', '')};create=true"
+    target = JdbcTarget(url, spark=spark)
+    target.run([
+        'CREATE SCHEMA "public"',
+        'CREATE TABLE "public"."ports" ("id" INT PRIMARY KEY, "name" VARCHAR(40), "gate_code" VARCHAR(40))',
+        'CREATE TABLE "public"."captains" ("id" INT PRIMARY KEY, "port_id" INT NOT NULL REFERENCES "public"."ports" ("id"), "email" VARCHAR(80), "title" VARCHAR(40))',
+        'CREATE TABLE "public"."voyages" ("id" INT PRIMARY KEY, "captain_id" INT NOT NULL REFERENCES "public"."captains" ("id"), "label" VARCHAR(20) CHECK ("label" <> \'survey\'))',
+    ])
+    only = ["berths", "tides", "arrivals", "gauges", "cargo"]
+    apply(extract(harbour(spark), SubsetSpec(root="captains WHERE id < 23", exclude=only)), JdbcTarget(url))
+
+    def rows():
+        return {t: sorted(map(tuple, spark.read.format("jdbc").options(url=url, dbtable=f'"public"."{t}"').load().collect())) for t in ("ports", "captains", "voyages")}
+
+    def tables():
+        return spark.read.format("jdbc").options(url=url, query="SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'").load().count()
+
+    return url, rows, tables, only
+
+
+def test_a_database_is_loaded_in_one_transaction(spark, database):
+    url, rows, tables, only = database
+    before = rows()
+    assert before["captains"] == [(21, 4, "ada@brine.example", "Master"), (22, 4, "ivo@brine.example", "Mate")] and len(before["voyages"]) == 2
+    bad = extract(harbour(spark), SubsetSpec(root="captains WHERE id > 22", exclude=only))
+    with pytest.raises(LoadError, match="refused"):  # the third table's check fails when the first two are replaced already
+        apply(bad, JdbcTarget(url), force=True)
+    assert rows() == before and tables() == 3
+    with pytest.raises(LoadError, match="refused"):  # keys that are there already
+        apply(extract(harbour(spark), SubsetSpec(root="captains WHERE id < 24", exclude=only)), JdbcTarget(url))
+    assert rows() == before and tables() == 3
+    good = extract(harbour(spark), SubsetSpec(root="captains WHERE id = 23", exclude=only))
+    result = apply(good, JdbcTarget(url), force=True, sync_sequences=True)
+    assert result.rows == {"public.ports": 1, "public.captains": 1, "public.voyages": 1} and not result.sequences_set
+    assert rows() == {"ports": [(4, "Brine", "g-7714")], "captains": [(23, 4, "lou@brine.example", "Pilot")], "voyages": [(33, 23, "ferry")]}
+    assert tables() == 3
+
+
+def test_postgresql_statements():
+    """Children are emptied with their parents in one statement, in the transaction that fills them."""
+    target = JdbcTarget("jdbc:postgresql://h/db", {"user": "u"}, disable_triggers=True, identity={"public.b"})
+    target.staged = {"public.a": "public.a_stage", "public.b": "public.b_stage"}
+    target.columns = {"public.a": ["id", "x"], "public.b": ["id"]}
+    assert target.statements(["public.a", "public.b"], True, [("public.a", "id", 7)]) == [
+        "SET LOCAL session_replication_role = replica",
+        'TRUNCATE "public"."b", "public"."a" CASCADE',
+        'INSERT INTO "public"."a" ("id", "x") SELECT "id", "x" FROM "public"."a_stage"',
+        'INSERT INTO "public"."b" ("id") OVERRIDING SYSTEM VALUE SELECT "id" FROM "public"."b_stage"',
+        "SELECT setval(pg_get_serial_sequence('\"public\".\"a\"', 'id'), 7)",
+    ]
+    assert target.statements(["public.a"], False, [])[1:] == ['INSERT INTO "public"."a" ("id", "x") SELECT "id", "x" FROM "public"."a_stage"']
 
 
 def test_targets(spark, registry):
@@ -170,7 +244,7 @@ def test_cli(spark, registry, tmp_path, capsys):
         assert run("extract", "--root", "captains WHERE id = 21", "-o", str(tmp_path / name), "--format", form, "--mask", "captains.email='x'")[0] == 0
     for source in ("s", "l", "s.json"):
         assert "public.captains: 1 rows" in run("apply", str(tmp_path / source), "--target", str(tmp_path / "db"), "--force")[1]
-        assert spark.read.parquet(str(tmp_path / "db" / "public.captains")).first()["email"] == "x"
+        assert loaded(spark, str(tmp_path / "db"))["public.captains"].first()["email"] == "x"
 
 
 @pytest.mark.parametrize("by", ["flag", "environment", "profile", "file"])
@@ -230,8 +304,3 @@ def test_jdbc_catalog(spark, monkeypatch):
     fk = c.constraints()[0]
     assert (fk.child, fk.parent, fk.child_cols, fk.parent_cols) == ("public.b", "public.a", ("a_id",), ("id",))
     assert c.table("b").column("a_id").unique and c.table("b").has_identity and not c.table("a").column("id").nullable
-
-
-def test_load_module_has_no_session_statement():
-    """Spark's writer would ignore one."""
-    assert "sessionInitStatement" not in open(load.__file__).read() and "sessionInitStatement" not in json.dumps(JdbcTarget("jdbc:x")._options())
