@@ -127,6 +127,23 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op9_license_scan": licenses.oracle_sql(threshold=0.8),
     "op11_spelling_variants": spelling_sql(),
+    "op13_substring_dedup": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+        ),
+        windows AS (
+            SELECT r, s, md5(array_to_string(words[s : s + 34], ' ')) AS k FROM docs, unnest(range(1, len(words) - 33)) AS u(s)
+        ),
+        repeated AS (SELECT r, s FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1),
+        removed AS (SELECT DISTINCT r, s + i AS place FROM repeated, unnest(range(35)) AS u(i)),
+        kept AS (
+            SELECT d.r, count(*) AS n, string_agg(word, ' ' ORDER BY d.place) AS text
+            FROM (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM docs) d
+            ANTI JOIN removed USING (r, place) GROUP BY d.r
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r)
+    """,
     "op10_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
