@@ -29,6 +29,8 @@ BUCKET_DOCS = 256
 #: bits of the hash that one level adds: a level sums at most 2 to the power of it buckets a source
 LEVEL_BITS = 16
 LUCK_BITS = 63
+#: the order in which a source's documents are taken
+PLACE = ("mix_luck", "mix_id", "mix_size", "mix_text", "mix_number")
 
 
 def word_count(text: Column) -> Column:
@@ -66,18 +68,41 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     return sources.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.lit(level)) if not math.isinf(level) else F.col("cap")).drop("cap")
 
 
-def _placed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Rows with what decides on them: id, source, size, source_key and luck."""
+def _placed(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows of (mix_id, mix_source, mix_size, mix_text, mix_number) with the source's key and their luck; what is null doesn't count in it."""
     key = F.coalesce(F.concat(F.lit("="), F.col("mix_source")), F.lit("null"))
-    named = docs.withColumns({"mix_id": F.col(id_col), "mix_source": F.col(source_col), "mix_size": word_count(F.col(text_col))})
-    return named.withColumns({"mix_key": key, "mix_luck": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", "mix_source", "mix_size"), 64 - LUCK_BITS)})
+    return rows.withColumns({"mix_key": key, "mix_luck": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", "mix_source", "mix_size", "mix_text", "mix_number"), 64 - LUCK_BITS)})
+
+
+def _sized(docs: DataFrame, shared: bool) -> DataFrame:
+    """Adds mix_id, mix_source and mix_size to (id, text, source), and with shared ids a hash of the text."""
+    return docs.withColumns({"mix_id": F.col("id"), "mix_source": F.col("source"), "mix_size": word_count(F.col("text")), "mix_text": F.xxhash64("text") if shared else F.lit(None).cast("long")})
+
+
+def _ids_are_shared(rows: DataFrame, id_col: str) -> bool:
+    return rows.groupBy(id_col).count().where(f"count > 1 OR `{id_col}` IS NULL").limit(1).count() > 0
+
+
+def _numbers(sized: DataFrame) -> DataFrame:
+    """(mix_row, mix_number) of rows that equal another one: 0, 1, ... among them, except for the 0.
+
+    Rows of one partition are numbered on from how many equal ones the partitions before have, so no task
+    holds all that are equal. Whatever the partitions are, as many rows get as many numbers.
+    """
+    hashed = sized.select("mix_row", F.shiftright("mix_row", 33).alias("part"), *[F.xxhash64("mix_id", "mix_source", "mix_size", "mix_text", F.isnull("mix_id"), F.isnull("mix_source"), F.lit(n)).alias(f"same{n}") for n in (1, 2)])
+    same, parts = ["same1", "same2"], Window.partitionBy("same1", "same2")
+    counts = hashed.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(parts.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*same, "part", before.alias("before"), F.sum("n").over(parts).alias("all")).where("all > 1").drop("all")
+    place = F.row_number().over(Window.partitionBy(*same, "part").orderBy("mix_row")) - 1
+    return hashed.join(counts, [*same, "part"]).select("mix_row", (F.col("before") + place).alias("mix_number")).where("mix_number > 0")
 
 
 def mixing_plan(sized: DataFrame, weights: DataFrame | tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
     """One row per source: mix_key, source_size, target, whole, below, last.
 
     A document is taken ``whole`` times, and once more if its luck is under ``below`` or its
-    place (luck, id, size) is not after ``last``; a null is before all.
+    place (PLACE) is not after ``last``; a null is before all.
     """
     sources = freeze(sized.groupBy("mix_key", "mix_source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("docs")), "mix_sources")
     if isinstance(weights, tuple):
@@ -103,7 +128,7 @@ def mixing_plan(sized: DataFrame, weights: DataFrame | tuple[float, ...], share:
         if done == bits:
             break
     # in that bucket a document is taken if more than half of it lies below the end
-    running = Window.partitionBy("mix_key").orderBy("mix_luck", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("mix_key").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
     border = _inside(sized, edge, done).withColumn("upto", F.sum("mix_size").over(running)).where(F.col("upto") - F.col("mix_size") / 2 < F.col("left"))
     ends = border.groupBy("mix_key").agg(F.max(_place()).alias("last"))
     plan = plan.join(edge.select("mix_key", "bucket"), "mix_key", "left").join(ends, "mix_key", "left")
@@ -123,7 +148,7 @@ def _inside(sized: DataFrame, edge: DataFrame, bits: int) -> DataFrame:
 
 
 def _place() -> Column:
-    return F.struct("mix_luck", "mix_id", "mix_size")
+    return F.struct(*PLACE)
 
 
 def _copies(whole: str, below: str, last: str) -> Column:
@@ -139,12 +164,14 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3, 1, 2), sha
     source of its own, last in order; a null text has size 0. ``weights`` is a
     table (source, weight) or weights given to the sources in code point order,
     in turn; a source that the table lacks weighs 0 and is not taken. Documents
-    without words take nothing, however often. Rows repeated in full are
-    taken alike. Extra columns are ignored; an empty table gives an empty
-    result. Reruns agree.
+    without words take nothing, however often. Where ids are null or shared, the text and a
+    number among equal rows tell rows apart, so targets are met then too; of rows repeated in full
+    some are taken. Extra columns are ignored; an empty table gives an empty result. Reruns agree.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    sized = freeze(_placed(own, seed, "id", "text", "source").drop("id", "text", "source"), "mix_sizes")
+    shared = _ids_are_shared(own, "id")
+    sized = freeze(_sized(own, shared).drop("id", "text", "source").withColumn("mix_row", F.monotonically_increasing_id()), "mix_sizes")
+    sized = _placed(sized.join(freeze(_numbers(sized), "mix_numbers"), "mix_row", "left") if shared else sized.withColumn("mix_number", F.lit(None).cast("long")), seed)
     out = sized.join(mixing_plan(sized, weights, share, max_epochs), "mix_key").withColumn("copies", _copies("whole", "below", "last"))
     return out.select(F.col("mix_id").alias(id_col), F.col("mix_source").alias(source_col), F.col("mix_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken"))
 
@@ -156,12 +183,21 @@ def mixed_rows(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3, 1,
     aren't shuffled. All columns are kept, also those with names that ``mix`` has. Nulls,
     empty texts, ties and repeated rows are taken as ``mix`` says: a row
     without words is there once for each whole copy of its source (and once more if
-    the sample reaches it), and rows repeated in full each as often. An empty
-    table stays empty.
+    the sample reaches it). Where ids are null or shared, rows are numbered on a copy, so that
+    the numbers stay. An empty table stays empty.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    sized = freeze(_placed(own, seed, "id", "text", "source").drop("id", "text", "source"), "mix_sizes")
-    plan = mixing_plan(sized, weights, share, max_epochs).select("mix_key", F.struct("whole", "below", "last").alias("mix_plan"))
-    placed = _placed(docs, seed, id_col, text_col, source_col).join(plan, "mix_key")
+    shared = _ids_are_shared(docs, id_col)
+    # the rows' own columns are kept aside, whatever they are called
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_whole"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    whole = freeze(whole.withColumn("mix_row", F.monotonically_increasing_id()), "mix_rows") if shared else whole.withColumn("mix_row", F.lit(None).cast("long"))
+    rows = _sized(whole, shared)
+    sized = freeze(rows.select("mix_row", "mix_id", "mix_source", "mix_size", "mix_text"), "mix_sizes")
+    if shared:
+        numbers = freeze(_numbers(sized), "mix_numbers")
+        rows, sized = rows.join(numbers, "mix_row", "left"), sized.join(numbers, "mix_row", "left")
+    else:
+        rows, sized = (x.withColumn("mix_number", F.lit(None).cast("long")) for x in (rows, sized))
+    plan = mixing_plan(_placed(sized, seed), weights, share, max_epochs).select("mix_key", F.struct("whole", "below", "last").alias("mix_plan"))
+    placed = _placed(rows, seed).join(plan, "mix_key")
     copies = F.array_repeat(F.lit(1), _copies("mix_plan.whole", "mix_plan.below", "mix_plan.last"))
-    return placed.withColumn("mix_copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return placed.withColumn("mix_copy", F.explode(copies)).select("mix_whole.*")

@@ -48,7 +48,7 @@ def test_the_sample_is_the_first_by_luck(spark, monkeypatch, docs_in_bucket, lev
     monkeypatch.setattr(mixing, "BUCKET_DOCS", docs_in_bucket)
     monkeypatch.setattr(mixing, "LEVEL_BITS", level_bits)
     docs = spark.range(900).selectExpr("id AS doc_id", "if(id % 3 = 0, null, concat('s', id % 2)) AS source", "repeat('word ', int(pmod(hash(id), 30))) AS text")
-    placed = mixing._placed(docs, 11, "doc_id", "text", "source").collect()
+    placed = mixing._placed(mixing._sized(docs.withColumnRenamed("doc_id", "id"), False).selectExpr("*", "cast(null as long) AS mix_number"), 11).collect()
     got = {r.doc_id: r for r in mix(docs, weights=(3, 1, 2), share=0.9).collect()}
     for source in ("s0", "s1", None):
         own = sorted((r for r in placed if r.mix_source == source), key=lambda r: (r.mix_luck, r.mix_id))
@@ -59,6 +59,22 @@ def test_the_sample_is_the_first_by_luck(spark, monkeypatch, docs_in_bucket, lev
             assert got[r.mix_id].copies == whole + (at - r.mix_size / 2 < target - whole * size)
 
 
+@pytest.mark.parametrize("rows", ["no ids and one text", "one id and texts of one size"])
+def test_rows_that_share_an_id_meet_the_target(spark, rows):
+    """Rows that nothing but their place tells apart are taken one by one, not all or none."""
+    kinds = {"no ids and one text": ("cast(null as long)", "'one two three four five'"), "one id and texts of one size": ("7", "concat('one two three four ', id)")}
+    number, text = kinds[rows]
+    docs = spark.range(0, 3000, 1, 7).selectExpr(f"{number} AS doc_id", "concat('s', id % 3) AS source", f"{text} AS text", "id AS n")
+    got = mix(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 5
+    out = mixed_rows(docs)
+    assert out.columns == docs.columns and {r.source: r["count"] * 5 for r in out.groupBy("source").count().collect()} == {r.source: r["sum(taken)"] for r in got}
+    assert out.groupBy("n").count().agg({"count": "max"}).first()[0] <= 2
+    again = sorted(map(str, mix(docs.repartition(3)).collect()))
+    assert again == sorted(map(str, mix(docs).collect()))
+
+
 def test_weights_in_turn(spark):
     """In code point order, whatever partitions hold the sources."""
     names = [f"s{i}" for i in range(500)] + ["", "ß", "Z", "漢", "\U0001F600", "\uffee", None]
