@@ -11,8 +11,9 @@ A table's rows are a plan that is made when they are asked for. What other table
 need of them, the key columns, is written once as a narrow table and joined from
 there, so a large table is read once for its keys, if any other table wants them,
 and once for its rows, whatever hangs on it. Where the key graph has no cycle each
-direction is one pass over the tables; tables of a cycle, and hops where a depth is
-given, follow the keys found last. Masks are applied when all keys have been followed.
+direction is one pass over the tables. In a cycle whose tables each have one key in it, as a
+tree has, paths are doubled (``reach``), so rounds are the logarithm of the depth; other cycles, and hops
+where a depth is given, follow the keys found last. Masks are applied when all keys have been followed.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from ..functions.dialect import to_spark
 from ..plans.graph import children_of, cycles, load_order
 from ..scratch import freeze
 from ..sources.catalog import Catalog, ForeignKey, short
+from .keys import key_value, kinds_of
 from .masking import apply_masks, parse_filters, parse_masks
+from .reach import NODE, TO, reached_from, renamed
 
 MAX_ROUNDS = 100
 
@@ -430,11 +433,59 @@ class Extraction:
 
         def make(name: str) -> DataFrame:
             if not done:
-                done.append(self._iterate({t: r.df for t, r in begin.items()}, step, edges, downwards))
+                start = {t: r.df for t, r in begin.items()}
+                done.append(self._doubled(start, group, edges, downwards) if self._can_double(edges, downwards) else self._iterate(start, step, edges, downwards))
             return done[0][name] if name in done[0] else self.catalog.df(name).limit(0)
 
         return {t: Rows(lambda t=t: make(t), self.key_columns(t)) for t in sorted(group)}
 
+    def _can_double(self, edges: list[ForeignKey], downwards: bool) -> bool:
+        """Whether each table of a cycle has one key in it, so that a row has one parent there, and all keys to
+        a table mean the same values of it. A limit counts hop by hop."""
+        if len({fk.child for fk in edges}) < len(edges) or (downwards and self.spec.limit):
+            return False
+        into: dict[str, set] = {}
+        for fk in edges:
+            into.setdefault(fk.parent, set()).add((fk.parent_cols, *map(str, kinds_of(self.catalog.frames, fk))))
+        return all(len(x) == 1 for x in into.values())
+
+    def _doubled(self, begin: dict[str, DataFrame], group: set[str], edges: list[ForeignKey], downwards: bool) -> dict[str, DataFrame]:
+        """Rows of a cycle's tables to the fixpoint, along doubled paths. A row is a node by the key that others reference,
+        and points to its parent's; what a filter excludes has no pointer, since no step leads down to it."""
+        tags = {t: i for i, t in enumerate(sorted(group))}
+        own = {fk.child: fk for fk in edges}
+        into = {fk.parent: fk for fk in edges}
+
+        def node(table: str, fk: ForeignKey, columns: tuple[str, ...], names: tuple[str, ...]) -> list[Column]:
+            num, text = key_value(columns, kinds_of(self.catalog.frames, fk))
+            return [F.lit(tags[table]).alias(names[0]), F.coalesce(num, F.lit(0)).alias(names[1]), F.coalesce(text, F.lit("")).alias(names[2])]
+
+        whole = lambda columns: reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in columns])
+        here = lambda df, t: df.where(whole(into[t].parent_cols)).select(*node(t, into[t], into[t].parent_cols, NODE))
+        pairs = []
+        for t in sorted(group):
+            rows = self.catalog.df(t)
+            if downwards and t in self.filters:
+                rows = rows.where(self.filters[t])
+            fk = own[t]
+            rows = rows.where(whole(fk.child_cols) & whole(into[t].parent_cols))
+            pairs.append(rows.select(*node(t, into[t], into[t].parent_cols, NODE), *node(fk.parent, fk, fk.child_cols, TO)))
+        pairs = freeze(reduce(DataFrame.unionByName, pairs).distinct(), "key_pairs")
+        start = reduce(DataFrame.unionByName, [here(df, t) for t, df in begin.items()])
+        reached = reached_from(start, pairs, ahead=not downwards)
+        if not downwards:  # the rows that are pointed to; what the start holds comes from the start
+            reached = freeze(renamed(pairs.join(reached, list(NODE), "left_semi"), TO, NODE).distinct(), "reached")
+        out = dict(begin)
+        for t in sorted(group):
+            fk, columns = (own[t], own[t].child_cols) if downwards else (into[t], into[t].parent_cols)
+            base = self.catalog.df(t)
+            rows = base.where(self.filters[t]) if downwards and t in self.filters else base
+            at = node(fk.parent, fk, columns, TO)
+            wide = rows.where(whole(columns)).withColumns({f"reach_{c}": x for c, x in zip(TO, at, strict=True)})
+            found = wide.join(renamed(reached, NODE, tuple(f"reach_{c}" for c in TO)), [f"reach_{c}" for c in TO], "left_semi").select(*[F.col(f"`{c}`") for c in base.columns])
+            out[t] = freeze(begin[t].unionByName(self.missing(t, found, begin[t])) if t in begin else found, "cycle")
+        return out
+
     def _iterate(self, begin: dict[str, DataFrame], step: Callable, edges: list[ForeignKey], downwards: bool) -> dict[str, DataFrame]:
         """Rows of a cycle's tables to the fixpoint, following only the rows found last."""
         have = {t: freeze(df, "cycle") for t, df in begin.items()}

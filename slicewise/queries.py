@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.rendering import copy_lines, insert_statements, interval_text, rendered, rfc3339_seconds, sql_literal, uuid_text
@@ -17,7 +17,7 @@ from .plans.graph import load_order, reachable, root_candidates_df
 from .plans.pii import analyze, mask_specs, matches_df
 from .plans.suggest_fks import suggest, suggestions_df, validate
 from .sources.catalog import Catalog, Column, Table, short, table_of
-from .scratch import new_path
+from .scratch import freeze, new_path
 from .sources.testdata import catalog
 from .sources.versions import loaded
 
@@ -318,6 +318,30 @@ def self_ref_filtered(spark, sf_dir):
     return extract(c, SubsetSpec(root="tree WHERE node = 7", filters=["tree=status <> 'O'"])).tables["public.tree"]
 
 
+_CHAIN = "WITH RECURSIVE chain AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS node, row_number() OVER (ORDER BY o_orderkey) - 1 AS parent, o_orderstatus AS status FROM (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))), "
+
+
+@query(
+    "deep_chain",
+    _CHAIN + "found AS (SELECT * FROM chain WHERE node = 40 UNION ALL SELECT c.* FROM chain c JOIN found f ON c.parent = f.node), "
+    "above AS (SELECT * FROM chain WHERE node = 40 UNION ALL SELECT c.* FROM chain c JOIN above a ON c.node = a.parent) SELECT node, parent, status FROM found UNION SELECT node, parent, status FROM above",
+)
+def deep_chain(spark, sf_dir):
+    """A tree that is one path of some thousand rows: each order of a segment's customers is below the one before."""
+    customer = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    own = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    ordered = freeze(own.select("o_orderkey", "o_orderstatus").orderBy("o_orderkey").withColumn("number", F.monotonically_increasing_id()), "chain")
+    # the rows of a sorted partition are numbered on from those before it: only counts meet in one task
+    part = F.shiftright("number", 33)
+    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = ordered.withColumn("part", part).join(F.broadcast(before), "part")
+    node = F.col("before") + F.col("number").bitwiseAND((1 << 33) - 1) + 1
+    chain = freeze(numbered.select(node.alias("node"), (node - 1).alias("parent"), F.col("o_orderstatus").alias("status")), "chain")
+    c = Catalog(spark, [table_of("chain", chain, ["node"], [(["parent"], "chain", ["node"])])])
+    return extract(c, SubsetSpec(root="chain WHERE node = 40")).tables["public.chain"]
+
+
 @query(
     "cycle_closure",
     "WITH RECURSIVE emp AS (SELECT c_custkey AS id, c_custkey % 8 AS dept FROM customer), dep AS (SELECT DISTINCT c_custkey % 8 AS id, (c_custkey % 8) * 3 % 5 AS lead FROM customer), "

@@ -7,7 +7,7 @@ a schema is in ``public``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -97,6 +97,20 @@ class UnknownTable(KeyError):
     """A name that the catalog doesn't have."""
 
 
+class _Frames(Mapping):
+    def __init__(self, catalog: Catalog) -> None:
+        self.catalog = catalog
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.catalog.df(name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.catalog.tables)
+
+    def __len__(self) -> int:
+        return len(self.catalog.tables)
+
+
 class Catalog:
     def __init__(self, spark: SparkSession | None, tables: Iterable[Table], default_schema: str = DEFAULT_SCHEMA) -> None:
         self.spark = spark
@@ -142,6 +156,11 @@ class Catalog:
             self._frames[full] = self.tables[full].load(self.spark)
         return self._frames[full]
 
+    @property
+    def frames(self) -> Mapping[str, DataFrame]:
+        """The tables' rows by qualified name."""
+        return _Frames(self)
+
     def pin(self) -> None:
         """Lists the files of all tables now: whatever is read of this catalog later is read from these files."""
         for name, table in self.tables.items():
