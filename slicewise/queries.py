@@ -268,6 +268,19 @@ def subset_root_dialect(spark, sf_dir):
     return _sliced(spark, sf_dir, "orders", root=f"customer {_PG_TAIL}").select("o_orderkey", "o_custkey")
 
 
+_OPERATORS = r"WHERE c_mktsegment ~ '^(BUILD|AUTO)' AND c_name !~* '#0*1$' AND c_nationkey = ANY(ARRAY[1, 3, 5, 7, 9, 11]) AND c_mktsegment SIMILAR TO '%(ING|BILE)' AND c_acctbal ^ 2 > 10000 AND c_name <> E'Customer\x23000000002'"
+
+
+@query(
+    "subset_root_operators",
+    "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE (c_mktsegment LIKE 'BUILD%' OR c_mktsegment LIKE 'AUTO%') AND NOT regexp_matches(c_name, '#0*1$') "
+    "AND c_nationkey IN (1, 3, 5, 7, 9, 11) AND (c_mktsegment LIKE '%ING' OR c_mktsegment LIKE '%BILE') AND c_acctbal * c_acctbal > 10000 AND c_name <> 'Customer#000000002')",
+)
+def subset_root_operators(spark, sf_dir):
+    """A root clause with operators that only PostgreSQL has."""
+    return _sliced(spark, sf_dir, "orders", root=f"customer {_OPERATORS}").select("o_orderkey", "o_custkey")
+
+
 _RICHEST = "WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 100"
 
 
@@ -436,6 +449,27 @@ def mask_dob(spark, sf_dir):
     return apply_masks(people, {"birth": "'1990-01-01'::date + (c_custkey % 10000)"})
 
 
+def _hashtext_sql(key: str, text: str, source: str, size: int) -> str:
+    """DuckDB SQL for (key, h) of texts of ``size`` bytes, 12 to 23: each step of the hash is a query over the one before."""
+    word = lambda at: " + ".join(f"(ascii(substr({text}, {at + i + 1}, 1)) << {8 * i})" for i in range(4) if at + i < size) or "0"
+    turn = lambda x, by: f"((({x} << {by}) | ({x} >> {32 - by})) & 4294967295)"
+    start = (0x9E3779B9 + size + 3923095) & 0xFFFFFFFF
+    out = f"SELECT {key}, {text}, " + ", ".join(f"(CAST({start} AS BIGINT) + {word(4 * i)}) & 4294967295 AS {x}" for i, x in enumerate("abc")) + f" FROM {source}"
+    for (x, y, z), by in zip(["acb", "bac", "cba"] * 2, (4, 6, 8, 16, 19, 4)):
+        out = f"SELECT {key}, {text}, xor(({x} - {y}) & 4294967295, {turn(y, by)}) AS {x}, ({y} + {z}) & 4294967295 AS {y}, {z} FROM ({out})"
+    out = f"SELECT {key}, {text}, " + ", ".join(f"({x} + {f'(({word(12 + 4 * i)}) << 8)' if x == 'c' else word(12 + 4 * i)}) & 4294967295 AS {x}" for i, x in enumerate("abc")) + f" FROM ({out})"
+    for (x, y, z), by in zip(["cba", "acb", "bac"] * 2 + ["cba"], (14, 11, 25, 16, 4, 14, 24)):
+        out = f"SELECT {key}, {text}, (xor({x}, {y}) - {turn(y, by)}) & 4294967295 AS {x}, {y}, {z} FROM ({out})"
+    return f"SELECT {key}, CASE WHEN c > 2147483647 THEN c - 4294967296 ELSE c END AS h FROM ({out})"
+
+
+@query("mask_hashtext", f"SELECT c_custkey, 'user_' || abs(h) % 1000000 || '@x.example' AS c_name, CAST(h AS BIGINT) AS h FROM ({_hashtext_sql('c_custkey', 'c_name', 'customer', 18)})")
+def mask_hashtext(spark, sf_dir):
+    """A mask by the database's own hash of a text."""
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(0).cast("long").alias("h"))
+    return apply_masks(people, {"c_name": "'user_' || abs(hashtext(c_name)) % 1000000 || '@x.example'", "h": "hashtext(c_name)"})
+
+
 @query("mask_detected", "SELECT c_custkey AS id, 'user_' || c_custkey || '@test.com' AS email, '+1555' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0') AS home_phone, CAST(50000 + (c_custkey % 100) * 1000 AS DOUBLE) AS salary, c_mktsegment AS segment FROM customer")
 def mask_detected(spark, sf_dir):
     """Masks that the detection itself suggests, applied in a slice."""
