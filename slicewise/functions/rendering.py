@@ -114,6 +114,28 @@ def rendered(column: Column, spark_type: str, logical: str = "", seconds_only: b
     return column.cast("string")
 
 
+def inner_arrays(text: Column) -> Column:
+    """The elements of an array of arrays, as text: what is between the commas one brace deep.
+
+    A state (depth, the element so far, the elements) goes over the text's tokens, which are quoted
+    texts, braces, commas and what is between them; so braces and commas in quotes are no structure.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|[{},]|[^{},"]+'), F.lit(0))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("depth"), none.alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(state: Column, token: Column) -> Column:
+        deeper = F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        depth = state["depth"] + deeper
+        outer = ((state["depth"] == 0) & (token == "{")) | ((state["depth"] == 1) & (token == "}"))  # the braces of the whole
+        ends = (state["depth"] == 1) & ((token == ",") | (token == "}"))
+        grown = F.concat(F.coalesce(state["open"], F.lit("")), token)
+        done = F.when(ends & state["open"].isNotNull(), F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        return F.struct(depth.alias("depth"), F.when(ends | outer, none).otherwise(grown).alias("open"), done.alias("done"))
+
+    return F.aggregate(tokens, start, step, lambda state: state["done"])
+
+
 def parsed(text: Column, spark_type: str) -> Column:
     """What ``rendered`` states, as a value of its type again."""
     if spark_type == "binary":
@@ -134,10 +156,10 @@ def parsed(text: Column, spark_type: str) -> Column:
         return F.from_json(text, spark_type)
     if spark_type.startswith("array<"):
         element = spark_type[len("array<") : -1]
-        if element.startswith("array"):
-            raise ValueError(f"arrays in arrays can't be read back from text: {spark_type}")
         quoted = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")
         value = lambda x: F.when(x.startswith('"'), quoted(x)).when(F.upper(x) != "NULL", x)
+        if element.startswith("array"):
+            return F.when(text.isNotNull(), F.transform(inner_arrays(text), lambda x: parsed(F.when(F.upper(x) != "NULL", x), element)))
         parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|[^,{}]+'), F.lit(0))
         return F.when(text.isNotNull(), F.transform(parts, lambda x: parsed(value(x), element)))
     return text.cast(spark_type)

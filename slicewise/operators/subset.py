@@ -289,7 +289,8 @@ class Extraction:
         return have.df.unionByName(self.missing(name, found, have.keys if self.catalog.table(name).primary_key else have.df))
 
     def matching(self, name: str, ways: list[Way]) -> DataFrame:
-        return rows_by(self.catalog.df(name), ways)
+        """Rows that come in by the ways; of a partitioned table leaves that no key falls into aren't read."""
+        return rows_by(self.catalog.df_with(name, [(way.keys, dict(way.pairs)) for way in ways]), ways)
 
     def down_way(self, fk: ForeignKey, parents: DataFrame) -> Way:
         return children_in(fk, parents, self.filters.get(fk.child, ""))

@@ -18,6 +18,7 @@ from .plans.pii import analyze, mask_specs, matches_df
 from .plans.suggest_fks import suggest, suggestions_df, validate
 from .sources.catalog import Catalog, Column, Table, short, table_of
 from .scratch import freeze, new_path
+from .sources.partitions import leaves
 from .sources.testdata import catalog
 from .sources.versions import loaded
 
@@ -407,6 +408,27 @@ def slice_with_orphans(spark, sf_dir):
     return dangling(Slice(cut.catalog, tables, cut.root))
 
 
+@query(
+    "partitioned_slice",
+    f"SELECT {LINE_SQL} FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < DATE '1995-06-01' AND o_orderkey % 1000 < 400)",
+)
+def partitioned_slice(spark, sf_dir):
+    """Lines in parts by the order's number, some of them in parts again by quantity, below orders of a few of them."""
+    lines, path = table(spark, sf_dir, "lineitem"), new_path(spark, "partitioned")
+    part = F.when(F.col("l_orderkey") % 1000 < 400, "low").when(F.col("l_orderkey") % 1000 < 700, "middle").otherwise("high")
+    keyed = lines.withColumn("slot", (F.col("l_orderkey") % 1000).cast("int")).withColumn("part", F.when((part == "low") & (F.col("l_quantity") > 25), "low_many").when(part == "low", "low_few").otherwise(part))
+    keyed.write.partitionBy("part").parquet(path)
+    at = lambda name: {"path": f"part={name}"}
+    low = {"by": "range", "column": "l_quantity", "of": {"few": at("low_few") | {"to": 25.5}, "many": at("low_many") | {"from": 25.5}}}
+    tree = {"by": "range", "column": "slot", "of": {"low": {"to": 400, "partitions": low}, "middle": at("middle") | {"from": 400, "to": 700}, "high": at("high") | {"default": True}}}
+    parts = leaves(tree, path)
+    whole = spark.read.parquet(*[leaf.path for leaf in parts])
+    orders = table(spark, sf_dir, "orders").withColumn("slot", (F.col("o_orderkey") % 1000).cast("int"))
+    child = replace(table_of("lineitem", whole, [], [(["l_orderkey", "slot"], "orders", ["o_orderkey", "slot"])]), parts=tuple(parts))
+    c = Catalog(spark, [table_of("orders", orders, ["o_orderkey", "slot"]), child])
+    return extract(c, SubsetSpec(root="orders WHERE o_orderdate < '1995-06-01'::date AND slot < 400")).tables["public.lineitem"].select(*LINE)
+
+
 _AUTO = "o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')"
 
 

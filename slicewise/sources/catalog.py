@@ -13,6 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .partitions import Leaf, leaves, touched
+
 DEFAULT_SCHEMA = "public"
 
 
@@ -72,6 +74,7 @@ class Table:
     load: Callable[[SparkSession], DataFrame] | None = field(default=None, compare=False)
     path: str = ""  # where a registry says the rows are, and in which format
     format: str = "parquet"
+    parts: tuple[Leaf, ...] = ()  # the leaves of a partitioned table
 
     def column(self, name: str) -> Column | None:
         return next((c for c in self.columns if c.name == name), None)
@@ -156,6 +159,20 @@ class Catalog:
             self._frames[full] = self.tables[full].load(self.spark)
         return self._frames[full]
 
+    def df_with(self, name: str, keys: list[tuple[DataFrame, Mapping[str, str]]]) -> DataFrame:
+        """The table's rows that can have one of the keys: of a partitioned table those of leaves whose bounds allow
+        it, of another all. A key is a table of keys and which of its columns the table's columns are compared with."""
+        full = self.resolve(name)
+        table, whole = self.tables[full], self.df(full)
+        if not table.parts or not keys:
+            return whole
+        kinds = dict(whole.dtypes)
+        found = {leaf for part, columns in keys for leaf in touched(list(table.parts), part, columns, kinds)}
+        if len(found) == len(table.parts):
+            return whole
+        paths = [leaf.path for leaf in table.parts if leaf in found]
+        return self.spark.read.format(table.format).schema(whole.schema).load(paths) if paths else whole.limit(0)
+
     @property
     def frames(self) -> Mapping[str, DataFrame]:
         """The tables' rows by qualified name."""
@@ -214,7 +231,7 @@ def from_yaml(spark: SparkSession, path: str | Path, data_dir: str | None = None
     """A catalog from a YAML registry.
 
     ``tables: {name: {path, format, primary_key, foreign_keys: [{columns, table,
-    references, name}], types, generated, identity, unique, not_null}}``; a path is
+    references, name}], types, generated, identity, unique, not_null, partitions}}``; a path is
     relative to ``data_dir`` and defaults to ``<table>.parquet``. Tables that were loaded are read from
     where the folder's pointer says, all of one state (``versions``).
     """
@@ -231,10 +248,11 @@ def from_yaml(spark: SparkSession, path: str | Path, data_dir: str | None = None
         full = where if "://" in where or where.startswith("/") else f"{base}/{where}"
         kind = t.get("format", "parquet")
         folders = versions.folders(qualify(name)) or [full]
-        df = spark.read.format(kind).load(folders)
+        parts = leaves(t["partitions"], base) if t.get("partitions") and not versions.folders(qualify(name)) else []
+        df = spark.read.format(kind).load([leaf.path for leaf in parts] or folders)
         keys = [(fk["columns"], fk["table"], fk["references"], *([fk["name"]] if "name" in fk else [])) for fk in t.get("foreign_keys", [])]
         made = table_of(name, df, t.get("primary_key", ()), keys, t.get("types"), t.get("generated", ()), t.get("identity", ()), t.get("unique", ()), t.get("not_null", ()))
-        tables.append(replace(made, path=full, format=kind))
+        tables.append(replace(made, path="" if parts else full, format=kind, parts=tuple(parts)))
     out = Catalog(spark, tables, spec.get("default_schema", DEFAULT_SCHEMA))
     out.root = versions.root
     return out

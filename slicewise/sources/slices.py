@@ -3,13 +3,13 @@
 The native form is a folder with a Parquet table for each table and a manifest; the
 same with JSON lines has values as text where JSON has no such type. The SQL form is one
 folder of INSERT statements, cut into steps in load order. The JSON document ``{meta,
-table_order, tables: {name: {columns, rows, identity_columns}}}`` is for interchange: it is
-one file by nature, so it is streamed by the driver and meant for slices of fixture size.
+table_order, tables: {name: {columns, rows, identity_columns}}}`` is for interchange (``document``).
 """
 
 from __future__ import annotations
 
 import json
+import os
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.quoting import backtick
 from ..functions.rendering import insert_statements, parsed, rendered
 from ..operators.subset import Slice
+from . import document
 from .catalog import Catalog
 
 
@@ -106,37 +107,34 @@ def rendered_rows(cut: Slice, name: str, seconds_only: bool = False) -> DataFram
 
 
 def write_document(cut: Slice, path: str, seconds_only: bool = False) -> None:
-    """The JSON document, on the driver's file system, streamed row by row."""
+    """The JSON document, written in parallel: as one file if it is small, else as a folder of parts whose bytes end to end it is."""
     meta = manifest(cut)
     order = meta.pop("table_order")
     meta = {k: v for k, v in meta.items() if v or k in ("extracted_at", "root")}
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(f'{{"meta": {json.dumps(meta)},\n"table_order": {json.dumps(order)},\n"tables": {{')
-        for i, name in enumerate(order):
-            rows = rendered_rows(cut, name, seconds_only)
-            out.write(f'{"," if i else ""}\n{json.dumps(name)}: {{"columns": {json.dumps(rows.columns)}, "identity_columns": {json.dumps(cut.catalog.table(name).has_identity)}, "rows": [')
-            for j, row in enumerate(rows.toLocalIterator()):
-                out.write(("," if j else "") + "\n" + json.dumps(list(row), ensure_ascii=False))
-            out.write("]}")
-        out.write("}}\n")
+    spark = cut.catalog.spark
+    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    lines = [line(f'{{"meta": {json.dumps(meta)},\n"table_order": {json.dumps(order)},\n"tables": {{')]
+    for i, name in enumerate(order):
+        rows = rendered_rows(cut, name, seconds_only)
+        head = f'{"," if i else ""}{json.dumps(name)}: {{"columns": {json.dumps(rows.columns)}, "identity_columns": {json.dumps(cut.catalog.table(name).has_identity)}, "rows": ['
+        lines += [line(head), document.row_lines(rows), line("]}")]
+    document.write_parts(spark, [*lines, line("}}")], path if "://" in path else os.path.abspath(path))
 
 
 def read_document(catalog: Catalog, path: str) -> Slice:
-    """A slice from the JSON document; values are cast to the catalog's types, so large integers keep all digits."""
+    """A slice from the JSON document, a file or a folder of parts, read in parallel whatever its lines; values are cast to
+    the catalog's types, so large integers keep all digits."""
     spark = catalog.spark
-    shape = (
-        "meta struct<extracted_at: string, root: string, masks_applied: array<string>, filters_applied: array<string>, untouched_tables: array<string>>, table_order array<string>, "
-        "tables map<string, struct<columns: array<string>, rows: array<array<string>>, identity_columns: boolean>>"
-    )
-    document = spark.read.schema(shape).json(path, multiLine=True)
-    tables = document.select(F.explode("tables").alias("name", "t")).select("name", "t.columns", "t.rows")
-    heads = {r["name"]: list(r["columns"]) for r in tables.select("name", "columns").collect()}
-    meta = document.select("meta", "table_order").first()
-    order = [n for n in meta["table_order"] or sorted(heads) if n in heads]
+    said, rows = document.read_rows(spark, path if "://" in path else os.path.abspath(path))
+    tables, meta = said["tables"], said["meta"]
+    starts = sorted(t["rows"][0] for t in tables.values() if t["rows"])
     out = {}
-    for name in order:
-        rows = tables.where(F.col("name") == name).select(F.explode("rows").alias("r"))
+    for name in [n for n in said.get("table_order") or sorted(tables) if n in tables]:
+        first, columns = (tables[name]["rows"] or [None])[0], tables[name]["columns"]
+        own = rows.where(F.lit(False)) if first is None else rows.where(F.col("at") >= first)
+        if first is not None and first != starts[-1]:
+            own = own.where(F.col("at") < starts[starts.index(first) + 1])
         types = dict(catalog.df(name).dtypes)
-        out[name] = rows.select(*[parsed(F.col("r")[i], types[c]).alias(c) for i, c in enumerate(heads[name])])
-    m = meta["meta"]
-    return Slice(catalog, out, m["root"], m["masks_applied"] or [], m["filters_applied"] or [], m["untouched_tables"] or [])
+        values = own.select(F.from_json("text", "array<string>").alias("r"))
+        out[name] = values.select(*[parsed(F.col("r")[i], types[c]).alias(c) for i, c in enumerate(columns)])
+    return Slice(catalog, out, meta["root"], meta.get("masks_applied") or [], meta.get("filters_applied") or [], meta.get("untouched_tables") or [])
