@@ -31,9 +31,10 @@ def comma_list(values: list[str]) -> list[str]:
     return [part.strip() for value in values for part in value.split(",") if part.strip()]
 
 
-def open_catalog(spark: SparkSession, connection: str, schema: str = "", timeout: int = 0) -> Catalog:
+def open_catalog(spark: SparkSession, connection: str, schema: str = "", timeout: int = 0, one_moment: bool = False) -> Catalog:
+    """A database's catalog, or a registry's; with ``one_moment`` a database is read of one snapshot, as files always are."""
     if connection.startswith("jdbc:"):
-        return jdbc.catalog(spark, connection, {"queryTimeout": str(timeout)} if timeout else None, default_schema=schema or DEFAULT_SCHEMA)
+        return jdbc.catalog(spark, connection, {"queryTimeout": str(timeout)} if timeout else None, default_schema=schema or DEFAULT_SCHEMA, one_moment=one_moment)
     path = Path(connection)
     catalog = from_yaml(spark, path / "catalog.yaml" if path.is_dir() else path)
     if schema:
@@ -147,9 +148,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     timeout = getattr(args, "statement_timeout", None) or profile.extract.get("statement_timeout", 0)
     verbose = getattr(args, "verbose", False)
     with timed("catalog", verbose):
-        catalog = open_catalog(spark, connection, args.schema or profile.schema, timeout)
-    with cancelled_after(spark, timeout), timed(args.command, verbose):
-        return run(args, profile, catalog, connection)
+        # a load must not wait for a moment of its own
+        catalog = open_catalog(spark, connection, args.schema or profile.schema, timeout, one_moment=args.command != "apply")
+    try:
+        with cancelled_after(spark, timeout), timed(args.command, verbose):
+            return run(args, profile, catalog, connection)
+    finally:
+        catalog.close()
 
 
 class cancelled_after:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.quoting import quote_columns, quote_table
 from ..plans.graph import load_order
 from ..sources.catalog import Catalog, split_name
+from ..sources.jdbc import connect
 from ..sources.versions import ChangedMeanwhile, Versions
 from .keys import labelled, orphan_keys
 from .subset import Slice
@@ -195,13 +196,7 @@ class JdbcTarget:
         """Runs statements in one transaction of one connection of the driver: all of them or none."""
         from py4j.protocol import Py4JJavaError
 
-        jvm = (self.spark or SparkSession.active())._jvm
-        known = jvm.java.util.Properties()
-        for key, value in self.properties.items():
-            known.setProperty(key, str(value))
-        if "driver" in self.properties:
-            jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(self.properties["driver"])
-        connection = jvm.java.sql.DriverManager.getConnection(self.url, known)
+        connection = connect(self.spark or SparkSession.active(), self.url, self.properties)
         try:
             connection.setAutoCommit(False)
             for text in statements:

@@ -119,6 +119,7 @@ class Catalog:
         self.spark = spark
         self.default_schema = default_schema
         self.root = ""  # the folder of a registry's tables
+        self.snapshot = None  # what holds a database's moment open
         self.tables = {t.name: t for t in sorted(tables, key=lambda t: t.name)}
         self._frames: dict[str, DataFrame] = {}
         for table in self.tables.values():
@@ -184,6 +185,12 @@ class Catalog:
             if table.load is not None:
                 self.df(name)
 
+    def close(self) -> None:
+        """Lets go of a database's moment; a catalog of files has none to let go."""
+        if self.snapshot:
+            self.snapshot.close()
+            self.snapshot = None
+
     def moved(self, name: str, folders: list[str]) -> None:
         """A table's rows are in other folders from now on."""
         full = self.resolve(name)

@@ -1,8 +1,10 @@
 """A catalog read from a PostgreSQL database by JDBC.
 
 Keys and columns come from the information schema; rows are read in parallel
-where a table has a single integer primary key. Untested here: there is no
-database on the build machine.
+where a table has a single integer primary key. With ``one_moment`` a connection of the driver holds a
+snapshot open, and every reader's session adopts it, so all tables are read as they were at
+one moment, however many connections read them and however long. Tests know the statements and how
+Spark runs them, but there is no PostgreSQL on the build machine.
 """
 
 from __future__ import annotations
@@ -42,6 +44,41 @@ PARTITIONS = """
 """
 
 
+class Snapshot:
+    """A transaction of the driver that keeps a snapshot open; ``options`` make a reader's session adopt it."""
+
+    def __init__(self, spark: SparkSession, url: str, properties: dict[str, str]) -> None:
+        self.connection = connect(spark, url, properties)
+        self.connection.setAutoCommit(False)
+        statement = self.connection.createStatement()
+        statement.execute("SET TRANSACTION ISOLATION LEVEL REPEATABLE READ, READ ONLY")
+        rows = statement.executeQuery("SELECT pg_export_snapshot()")
+        rows.next()
+        self.name = rows.getString(1)
+        statement.close()
+
+    @property
+    def options(self) -> dict[str, str]:
+        # with a fetch size Spark reads within a transaction, at whose start the session's statement runs
+        said = self.name.replace("'", "''")
+        return {"fetchsize": "10000", "sessionInitStatement": f"SET TRANSACTION ISOLATION LEVEL REPEATABLE READ, READ ONLY; SET TRANSACTION SNAPSHOT '{said}'"}
+
+    def close(self) -> None:
+        """Nothing can be read of this moment from now on."""
+        self.connection.close()
+
+
+def connect(spark: SparkSession, url: str, properties: dict[str, str]):
+    """A connection of the driver."""
+    jvm = spark._jvm
+    known = jvm.java.util.Properties()
+    for key, value in properties.items():
+        known.setProperty(key, str(value))
+    if "driver" in properties:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    return jvm.java.sql.DriverManager.getConnection(url, known)
+
+
 def read_sql(spark: SparkSession, url: str, query: str, properties: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, query=query, **properties).load()
 
@@ -57,9 +94,12 @@ def read_table(spark: SparkSession, url: str, name: str, integer_key: str | None
     return reader.load()
 
 
-def catalog(spark: SparkSession, url: str, properties: dict[str, str] | None = None, partitions: int = 32, default_schema: str = DEFAULT_SCHEMA) -> Catalog:
-    """The tables of a database; partitions are part of their root table. Names without a schema are in ``default_schema``."""
+def catalog(spark: SparkSession, url: str, properties: dict[str, str] | None = None, partitions: int = 32, default_schema: str = DEFAULT_SCHEMA, one_moment: bool = False) -> Catalog:
+    """The tables of a database; partitions are part of their root table. Names without a schema are in ``default_schema``.
+    With ``one_moment`` all of them, their keys and columns too, are read of one snapshot until the catalog is closed."""
     properties = {"driver": "org.postgresql.Driver"} | (properties or {})
+    snapshot = Snapshot(spark, url, properties) if one_moment else None
+    properties |= snapshot.options if snapshot else {}
     columns = read_sql(spark, url, COLUMNS, properties).orderBy("schema_name", "table_name", "place").collect()
     found = read_sql(spark, url, CONSTRAINTS, properties).withColumns({c: F.split(c, "\x1f") for c in ("columns", "parent_columns")}).collect()
     parents = {r["child"]: r["parent"] for r in read_sql(spark, url, PARTITIONS, properties).collect()}
@@ -83,4 +123,6 @@ def catalog(spark: SparkSession, url: str, properties: dict[str, str] | None = N
         pk = table.primary_key[0] if len(table.primary_key) == 1 else None
         integer = pk if pk and table.column(pk).type in ("smallint", "integer", "bigint") else None
         tables[name] = replace(table, load=lambda s, n=name, k=integer: read_table(s, url, n, k, properties, partitions))
-    return Catalog(spark, without_partitions(tables.values(), parents), default_schema)
+    out = Catalog(spark, without_partitions(tables.values(), parents), default_schema)
+    out.snapshot = snapshot
+    return out

@@ -281,9 +281,9 @@ def test_verbose_says_how_long_it_took(spark, registry, capsys):
 
 def test_schema_and_timeout_reach_jdbc(spark, monkeypatch):
     seen = {}
-    monkeypatch.setattr(jdbc, "catalog", lambda spark, url, properties=None, partitions=32, default_schema="public": seen.update(url=url, properties=properties, schema=default_schema))
-    cli.open_catalog(spark, "jdbc:postgresql://h/db", "sales", 30)
-    assert seen == {"url": "jdbc:postgresql://h/db", "properties": {"queryTimeout": "30"}, "schema": "sales"}
+    monkeypatch.setattr(jdbc, "catalog", lambda spark, url, properties=None, partitions=32, default_schema="public", one_moment=False: seen.update(url=url, properties=properties, schema=default_schema, one_moment=one_moment))
+    cli.open_catalog(spark, "jdbc:postgresql://h/db", "sales", 30, True)
+    assert seen == {"url": "jdbc:postgresql://h/db", "properties": {"queryTimeout": "30"}, "schema": "sales", "one_moment": True}
 
 
 def test_jdbc_catalog(spark, monkeypatch):
@@ -304,3 +304,59 @@ def test_jdbc_catalog(spark, monkeypatch):
     fk = c.constraints()[0]
     assert (fk.child, fk.parent, fk.child_cols, fk.parent_cols) == ("public.b", "public.a", ("a_id",), ("id",))
     assert c.table("b").column("a_id").unique and c.table("b").has_identity and not c.table("a").column("id").nullable
+
+
+class FakeConnection:
+    """A connection that notes what it is told, and knows a snapshot's name."""
+
+    def __init__(self):
+        self.told = []
+
+    def setAutoCommit(self, on):  # noqa: N802
+        self.told.append(f"autocommit {on}")
+
+    def createStatement(self):  # noqa: N802
+        return self
+
+    def execute(self, text):
+        self.told.append(text)
+
+    def executeQuery(self, text):  # noqa: N802
+        self.told.append(text)
+        return self
+
+    def next(self):
+        return True
+
+    def getString(self, place):  # noqa: N802
+        return "00000003-1B-1"
+
+    def close(self):
+        self.told.append("close")
+
+
+def test_readers_adopt_the_snapshot_of_the_driver(spark, monkeypatch):
+    connection, asked = FakeConnection(), []
+    monkeypatch.setattr(jdbc, "connect", lambda spark, url, properties: connection)
+    shapes = {jdbc.COLUMNS: "schema_name string, table_name string, column_name string, place int, type string, nullable boolean, generated boolean, identity boolean, default_value string", jdbc.CONSTRAINTS: "schema_name string, table_name string, name string, kind string, parent_schema string, parent_table string, columns string, parent_columns string", jdbc.PARTITIONS: "child string, parent string"}
+    rows = {jdbc.COLUMNS: [("public", "a", "id", 1, "bigint", False, False, False, None)]}
+    monkeypatch.setattr(jdbc, "read_sql", lambda spark, url, sql, properties: (asked.append(properties), spark.createDataFrame(rows.get(sql, []), shapes[sql]))[1])
+    monkeypatch.setattr(jdbc, "read_table", lambda spark, url, name, key, properties, partitions: (asked.append(properties), spark.range(1))[1])
+    c = jdbc.catalog(spark, "jdbc:postgresql://h/db", one_moment=True)
+    c.df("a")
+    assert connection.told[:3] == ["autocommit False", "SET TRANSACTION ISOLATION LEVEL REPEATABLE READ, READ ONLY", "SELECT pg_export_snapshot()"]
+    assert len(asked) == 4 and all(x["sessionInitStatement"].endswith("SET TRANSACTION SNAPSHOT '00000003-1B-1'") and x["fetchsize"] == "10000" for x in asked)
+    c.close()
+    c.close()
+    assert connection.told[-1] == "close" and connection.told.count("close") == 2  # its statement, and once the connection
+    jdbc.catalog(spark, "jdbc:postgresql://h/db").close()
+    assert "sessionInitStatement" not in asked[-1]
+
+
+def test_readers_run_their_session_statement(spark, database):
+    """What Spark's readers are given is run, by each of them, before they read."""
+    url, *_ = database
+    read = lambda statement: spark.read.format("jdbc").options(url=url, dbtable='"public"."ports"', fetchsize="10000", sessionInitStatement=statement).load().count()
+    assert read("SET SCHEMA \"public\"") == 1
+    with pytest.raises(Exception, match="nowhere"):
+        read("SET SCHEMA \"nowhere\"")
