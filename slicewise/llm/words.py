@@ -6,6 +6,7 @@ is 64 bits wide, the same on every machine.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,19 @@ SHINGLE = 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _give_back_large_buffers() -> None:
+    """Workers are used again and again: buffers over 16 MB, and what is free at the end of the heap, shall go back
+    to the system, not stay in the process."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 25)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back_large_buffers()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
