@@ -22,7 +22,7 @@ from .operators.load import JdbcTarget, LoadError, ParquetTarget, RegistryTarget
 from .operators.subset import SubsetSpec, extract
 from .plans.graph import format_inspect, format_roots, reachable, root_candidates
 from .plans.pii import Confidence, analyze, format_analysis, policy_yaml
-from .plans.suggest_fks import format_ddl, format_suggestions, suggest, validate
+from .plans.suggest_fks import discover, format_ddl, format_suggestions, pairs_by_type, suggest, validate
 from .sources import jdbc, slices
 from .sources.catalog import DEFAULT_SCHEMA, Catalog, from_yaml
 
@@ -103,8 +103,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--samples", type=int, default=3)
     c.add_argument("--emit-sql", action="store_true")
     c = command("suggest-fks", "Find undeclared foreign keys.")
-    for name in ("names-only", "show-unmatched", "emit-sql"):
+    for name in ("show-unmatched", "emit-sql"):
         c.add_argument(f"--{name}", action="store_true")
+    looks = c.add_mutually_exclusive_group()
+    looks.add_argument("--names-only", action="store_true", help="don't look at rows")
+    looks.add_argument("--by-values", action="store_true", help="any column whose values are all in a key of its type")
     c = command("suggest-roots", "Rank tables to start a slice from.", scoped=False)
     c.add_argument("--top", type=int, default=10)
     c = command("analyze", "Find columns with personal data.")
@@ -219,9 +222,12 @@ def run(args: argparse.Namespace, profile: Profile, catalog: Catalog, connection
         print(format_cleanup_sql(results) if args.emit_sql else format_check(results), end="")
         return 1 if total_orphans(results) else 0
     if args.command == "suggest-fks":
-        found = suggest(catalog, scope)
+        found = (pairs_by_type if args.by_values else suggest)(catalog, scope)
         with timed(f"{len(found)} column(s)", verbose):
-            found = found if args.names_only else validate(catalog, found)
+            if args.by_values:
+                found = discover(catalog, scope)
+            elif not args.names_only:
+                found = validate(catalog, found)
         print(format_ddl(found) if args.emit_sql else format_suggestions(found, args.show_unmatched), end="")
     elif args.command == "suggest-roots":
         print(format_roots(root_candidates(catalog)[: args.top]), end="")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.quoting import quote_ident, quote_table
 from ..operators.integrity import tables_of
 from ..operators.keys import counts_by_tag, orphan_keys
+from ..operators.sketches import BUCKETS, broken, compared_as, ranges, refuted, sketches
+from ..scratch import freeze
 from ..sources.catalog import Catalog, ForeignKey, short, split_name
 
 
@@ -84,6 +86,62 @@ def validate(catalog: Catalog, suggestions: list[Suggestion]) -> list[Suggestion
     return [replace(s, checked=True, orphans=counts[i]) if i in counts else s for i, s in enumerate(suggestions)]
 
 
+def pairs_by_type(catalog: Catalog, tables: Iterable[str] | None = None) -> list[Suggestion]:
+    """Every column that is in no key of its own, with every lone primary key of its type, whatever their names."""
+    kind = lambda name, column: (type_family(catalog.table(name).column(column).type), compared_as(catalog.df(name).select(f"`{column}`").schema[0].dataType))
+    parents: dict[tuple, list[tuple[str, str]]] = {}
+    for name in sorted(catalog.names()):
+        if len(key := catalog.table(name).primary_key) == 1:
+            parents.setdefault(kind(name, key[0]), []).append((name, key[0]))
+    out = []
+    for name in sorted(catalog.names() if tables is None else map(catalog.resolve, tables)):
+        table = catalog.table(name)
+        referencing = {c for fk in table.foreign_keys for c in fk.child_cols}
+        for column in table.columns:
+            if column.name not in referencing and table.primary_key != (column.name,):
+                out += [Suggestion(name, column.name, *parent) for parent in parents.get(kind(name, column.name), [])]
+    return out
+
+
+def screened(catalog: Catalog, suggestions: list[Suggestion], buckets: int = BUCKETS) -> list[Suggestion]:
+    """The suggestions that sketches of the values don't refute, from one scan of each table. None that holds is
+    refuted; columns without any value are left out."""
+    columns, pairs = _columns_and_pairs(suggestions)
+    if not pairs:
+        return []
+    sketch = freeze(sketches({name: catalog.df(name) for name, _ in columns}, columns, buckets), "key_sketches")
+    filled = {r["tag"] for r in ranges(sketch).collect()}  # a row for each column
+    return _without(catalog, {s: p for s, p in pairs.items() if p[0] in filled}, lambda df: refuted(sketch, df))
+
+
+def held(catalog: Catalog, suggestions: list[Suggestion]) -> list[Suggestion]:
+    """The suggestions that no row contradicts, from one scan of each table however many there are."""
+    columns, pairs = _columns_and_pairs(suggestions)
+    tables = {name: catalog.df(name) for name, _ in columns}
+    return [replace(s, checked=True, orphans=0) for s in _without(catalog, pairs, lambda df: broken(tables, columns, df))]
+
+
+def _columns_and_pairs(suggestions: list[Suggestion]) -> tuple[list[tuple[str, str]], dict[Suggestion, tuple[int, int]]]:
+    """The columns, each once, and for each suggestion the places of its own."""
+    named = [s for s in suggestions if s.parent]
+    columns = list(dict.fromkeys(use for s in named for use in ((s.child, s.column), (s.parent, s.parent_column))))
+    place = {use: tag for tag, use in enumerate(columns)}
+    return columns, {s: (place[s.child, s.column], place[s.parent, s.parent_column]) for s in named}
+
+
+def _without(catalog: Catalog, pairs: dict[Suggestion, tuple[int, int]], find: Callable[[DataFrame], DataFrame]) -> list[Suggestion]:
+    if not pairs:
+        return []
+    found = find(catalog.spark.createDataFrame(sorted(set(pairs.values())), "inner int, outer int"))
+    bad = {(r["inner"], r["outer"]) for r in found.collect()}  # at most a row for each pair of columns
+    return [s for s, pair in pairs.items() if pair not in bad]
+
+
+def discover(catalog: Catalog, tables: Iterable[str] | None = None, buckets: int = BUCKETS) -> list[Suggestion]:
+    """Keys that hold in the data, whatever columns are called: pairs by type, screened by sketches, the rest probed."""
+    return held(catalog, screened(catalog, pairs_by_type(catalog, tables), buckets))
+
+
 def suggestions_df(spark: SparkSession, suggestions: Iterable[Suggestion]) -> DataFrame:
     rows = [(s.child, s.column, s.parent, s.parent_column, s.checked, s.orphans) for s in suggestions]
     return spark.createDataFrame(rows, "child_table string, child_column string, parent_table string, parent_column string, checked boolean, orphan_count long")

@@ -15,7 +15,7 @@ from .operators.masking import apply_masks
 from .operators.subset import Slice, SubsetSpec, extract
 from .plans.graph import load_order, reachable, root_candidates_df
 from .plans.pii import analyze, mask_specs, matches_df
-from .plans.suggest_fks import suggest, suggestions_df, validate
+from .plans.suggest_fks import discover, pairs_by_type, suggest, suggestions_df, validate
 from .sources.catalog import Catalog, Column, Table, short, table_of
 from .scratch import freeze, new_path
 from .sources.partitions import leaves
@@ -588,6 +588,27 @@ def fk_candidates_many(spark, sf_dir):
     return suggestions_df(spark, validate(c, suggest(c)))
 
 
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id"}
+_WHOLE = {"nation": ["n_regionkey"], "customer": ["c_nationkey"], "supplier": ["s_nationkey"], "part": ["p_size"], "orders": ["o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "events": ["user_id"]}
+
+
+@query(
+    "fk_candidates_by_values",
+    " UNION ALL ".join(
+        f"SELECT 'public.{t}' AS child_table, '{c}' AS child_column, 'public.{p}' AS parent_table, '{k}' AS parent_column, (SELECT count({c}) > 0 AND count(*) FILTER (WHERE {c} NOT IN (SELECT {k} FROM {p})) = 0 FROM {t}) AS holds"
+        for t, columns in _WHOLE.items()
+        for c in columns
+        for p, k in _KEYS.items()
+    ),
+)
+def fk_candidates_by_values(spark, sf_dir):
+    """Every column with every key of its type: sketches of all columns refute most pairs, the others are probed."""
+    bare = Catalog(spark, [table_of(n, table(spark, sf_dir, n), [_KEYS[n]] if n in _KEYS else []) for n in STAR])
+    held = {replace(s, checked=False) for s in discover(bare)}
+    rows = [(s.child, s.column, s.parent, s.parent_column, s in held) for s in pairs_by_type(bare)]
+    return spark.createDataFrame(rows, "child_table string, child_column string, parent_table string, parent_column string, holds boolean")
+
+
 # ---- values as text
 
 

@@ -1,0 +1,90 @@
+"""Sketches refute only what is false, and the exact probe tells the rest, against sets in Python."""
+
+import random
+
+import pytest
+from harbour import harbour
+from slicewise.operators.sketches import broken, ranges, refuted, sketches
+from slicewise.plans.suggest_fks import discover, format_suggestions, held, pairs_by_type, screened
+from slicewise.sources.catalog import Catalog, table_of
+
+
+def random_tables(spark, seed):
+    """Columns of some types; of each some are contained in others, some nearly, and some are far off."""
+    rng = random.Random(seed)
+    pool = rng.sample(range(-(10**6), 10**6), 400)
+    some = lambda n, spoilt: [rng.choice(pool) for _ in range(n)] + ([10**7 + seed] if spoilt == 1 else [rng.randrange(-(10**6), 10**6)] * spoilt)
+    inner, near, far = some(120, 0), some(120, 1), [rng.randrange(10**6) for _ in range(121)]
+    width = 121
+    rows = [(inner[i % 120], near[i], far[i], f"k{near[i]}", f"k{inner[i % 120]}", None, "hot") for i in range(width)]
+    child = spark.createDataFrame(rows, "tag int, num long, hash int, text string, bucket string, nothing long, hot string").repartition(3)
+    parent = spark.createDataFrame([(p, f"k{p}") for p in pool], "id long, name string")
+    return {"child": child, "parent": parent}
+
+
+def contained(tables, columns, pairs):
+    values = [{r[0] for r in tables[t].select(f"`{c}`").collect()} - {None} for t, c in columns]
+    return {(a, b) for a, b in pairs if values[a] <= values[b]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("buckets", [1, 64, 4096])
+def test_nothing_contained_is_refuted(spark, seed, buckets):
+    tables = random_tables(spark, seed)
+    columns = [("child", c) for c in tables["child"].columns] + [("parent", c) for c in tables["parent"].columns]
+    numbers, texts = [0, 1, 2, 5, 7], [3, 4, 6, 8]
+    every = [(a, b) for family in (numbers, texts) for a in family for b in family if a != b]
+    pairs = spark.createDataFrame(every, "inner int, outer int")
+    truth = contained(tables, columns, every)
+    sketch = sketches(tables, columns, buckets)
+    gone = {tuple(r) for r in refuted(sketch, pairs).collect()}
+    assert not gone & truth and (0, 7) in truth and (4, 8) in truth
+    if buckets == 4096:
+        assert gone | truth == set(every)  # and with room enough all that is false is refuted
+    assert {tuple(r) for r in broken(tables, columns, pairs).collect()} == set(every) - truth
+    assert 5 not in {r["tag"] for r in ranges(sketch).collect()}  # no values
+
+
+def test_more_columns_than_bits(spark):
+    """130 columns, each contained in the next ones."""
+    df = spark.range(130).selectExpr(*[f"if(id <= {i}, id, 0) AS c{i}" for i in range(130)])
+    columns = [("t", f"c{i}") for i in range(130)]
+    every = [(a, b) for a in (0, 61, 62, 63, 64, 129) for b in (0, 62, 63, 125, 126, 127) if a != b]
+    gone = {tuple(r) for r in broken({"t": df}, columns, spark.createDataFrame(every, "inner int, outer int")).collect()}
+    assert gone == {(a, b) for a, b in every if a > b}
+
+
+def test_one_scan_a_table_and_bounded_rows(spark, tmp_path):
+    """Each file is read once, and a value that most rows have is sent once by a task."""
+    spark.range(5000).selectExpr("id", "if(id % 3 = 0, id, 7) AS hot", "id % 40 AS few").write.parquet(f"{tmp_path}/a")
+    spark.range(40).selectExpr("id").write.parquet(f"{tmp_path}/b")
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in "ab"}
+    columns = [("a", "id"), ("a", "hot"), ("a", "few"), ("b", "id")]
+    for df in (sketches(tables, columns, 64), broken(tables, columns, spark.createDataFrame([(2, 3)], "inner int, outer int"))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    assert sketches(tables, columns, 64).where("tag < 3").count() <= 3 * 64
+    assert sketches(tables, columns, 64).where("tag = 2").agg({"n": "sum"}).first()[0] == 5000
+    with pytest.raises(ValueError, match="power of two"):
+        sketches(tables, columns, 65)
+
+
+@pytest.mark.parametrize("buckets", [1, 4096])
+def test_discover(spark, buckets):
+    """Names don't matter, types do; a column of nulls and an empty table are no candidates."""
+    people = spark.createDataFrame([(i, f"p{i}") for i in range(50)], "nr int, code string")
+    visits = spark.createDataFrame([(900 + i, i % 9, i % 60, f"p{i % 7}", None, i + 0.5) for i in range(70)], "visit long, who long, wrong short, badge string, gone int, cost double")
+    empty = spark.createDataFrame([], "x int, y int")
+    c = Catalog(spark, [table_of("people", people, ["nr"]), table_of("codes", people.selectExpr("code", "nr AS of"), ["code"]), table_of("visits", visits, ["visit"]), table_of("empty", empty, ["x"])])
+    got = {(s.child, s.column, s.parent) for s in discover(c, buckets=buckets)}
+    p = "public."
+    assert got == {(p + "visits", "who", p + "people"), (p + "visits", "badge", p + "codes"), (p + "codes", "of", p + "people"), (p + "people", "code", p + "codes")}
+    assert {s.column for s in pairs_by_type(c, ["visits"])} == {"who", "wrong", "badge", "gone"}
+    assert "who -> public.people.nr: every row fits" in format_suggestions(discover(c))
+    assert discover(c, ["empty"]) == [] and screened(c, []) == [] and held(c, []) == []
+
+
+def test_undeclared_key_of_the_harbour(spark):
+    found = {(s.child, s.column, s.parent) for s in discover(harbour(spark), ["passages"])}
+    assert ("public.passages", "voyage_id", "public.voyages") in found
+    lost = {(s.child, s.column, s.parent) for s in discover(harbour(spark, passages=[(62, 5005, "lost")]), ["passages"])}
+    assert ("public.passages", "voyage_id", "public.voyages") not in lost
