@@ -47,6 +47,12 @@ def key_value(columns: Sequence[str], kinds: Sequence[DataType]) -> tuple[Column
     return F.lit(None).cast("long"), texts[0] if len(texts) == 1 else F.concat(*[x for t in texts for x in (F.length(t).cast("string"), F.lit(":"), t)])
 
 
+def identity(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Text that is equal where rows are, nulls being equal; it is never null."""
+    parts = [_as_text(F.col(f"`{c}`"), df.select(f"`{c}`").schema[0].dataType) for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("null")) for t in parts])
+
+
 def kinds_of(tables: Mapping[str, DataFrame], fk: ForeignKey) -> list[DataType]:
     child, parent = tables[fk.child], tables[fk.parent]
     return [common_type(child.sparkSession, child.select(f"`{c}`").schema[0].dataType, parent.select(f"`{p}`").schema[0].dataType) for c, p in zip(fk.child_cols, fk.parent_cols, strict=True)]

@@ -19,7 +19,9 @@ where a depth is given, follow the keys found last. Masks are applied when all k
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
@@ -33,6 +35,7 @@ from ..sources.catalog import Catalog, ForeignKey, short
 from .keys import key_value, kinds_of
 from .masking import apply_masks, parse_filters, parse_masks
 from .reach import NODE, TO, reached_from, renamed
+from .seen import Seen
 
 MAX_ROUNDS = 100
 
@@ -236,11 +239,14 @@ class Extraction:
         full = self.catalog.resolve(name)
         if full in self.excluded:
             raise SubsetError(f"the root {name} is excluded")
-        view = full.replace(".", "_") + "_root"
-        self.catalog.df(full).createOrReplaceTempView(view)
+        view = f"root_{uuid.uuid4().hex}"
+        self.catalog.df(full).createTempView(view)
         # the tail may name the table's columns by the table
         alias = f"AS `{short(full)}` " if not tail or tail.split(maxsplit=1)[0].lower() in ("where", "order", "limit", "offset") else ""
-        rows = self.catalog.spark.sql(f"SELECT * FROM {view} {alias}{to_spark(tail)}")  # a trusted operator's SQL; analysis errors surface here
+        try:
+            rows = self.catalog.spark.sql(f"SELECT * FROM {view} {alias}{to_spark(tail)}")  # a trusted operator's SQL; analysis errors surface here
+        finally:
+            self.catalog.spark.catalog.dropTempView(view)
         if not tail.lower().startswith("where") or any(w in tail.lower() for w in ("rand", "limit", "uuid")):
             rows = freeze(rows, "root") if tail else rows  # every use must see the same rows
         if rows.isEmpty():
@@ -488,26 +494,38 @@ class Extraction:
         return out
 
     def _iterate(self, begin: dict[str, DataFrame], step: Callable, edges: list[ForeignKey], downwards: bool) -> dict[str, DataFrame]:
-        """Rows of a cycle's tables to the fixpoint, following only the rows found last."""
-        have = {t: freeze(df, "cycle") for t, df in begin.items()}
-        last = dict(have)
-        for _ in range(self.spec.max_rounds):
-            ways: dict[str, list[Way]] = {}
-            for fk in edges:
-                if way := step(fk, last):
-                    ways.setdefault(way[0], []).append(way[1])
-            last = {}
-            for name, conditions in ways.items():
-                found = self.matching(name, conditions)
-                if downwards:
-                    found = self.capped(name, found)
-                new = freeze(self.missing(name, found, have[name]) if name in have else found, "cycle")
-                if not new.isEmpty():
-                    last[name] = new
-            for name, new in last.items():
-                have[name] = have[name].unionByName(new) if name in have else new
-            if not last:
-                return have
+        """Rows of a cycle's tables to the fixpoint, following only the rows found last; a round shuffles what it
+        finds, and not the rows before."""
+        have: dict[str, list[DataFrame]] = {}
+        with ExitStack() as stack:
+            seen: dict[str, Seen] = {}
+
+            def keep(name: str, rows: DataFrame) -> None:
+                if name not in seen:
+                    seen[name] = stack.enter_context(Seen(self.catalog.spark, self.key(name)))
+                seen[name].add(rows)
+                have.setdefault(name, []).append(rows)
+
+            last = {t: freeze(df, "cycle") for t, df in begin.items()}
+            for name, rows in last.items():
+                keep(name, rows)
+            for _ in range(self.spec.max_rounds):
+                ways: dict[str, list[Way]] = {}
+                for fk in edges:
+                    if way := step(fk, last):
+                        ways.setdefault(way[0], []).append(way[1])
+                last = {}
+                for name, conditions in ways.items():
+                    found = self.matching(name, conditions)
+                    if downwards:
+                        found = self.capped(name, found)
+                    new = freeze(seen[name].new(found) if name in seen else found, "cycle")
+                    if not new.isEmpty():
+                        last[name] = new
+                for name, new in last.items():
+                    keep(name, new)
+                if not last:
+                    return {t: reduce(DataFrame.unionByName, parts) for t, parts in have.items()}
         raise SubsetError(f"no fixpoint after {self.spec.max_rounds} rounds")
 
     def closure(self) -> dict[str, Rows]:

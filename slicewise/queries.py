@@ -356,6 +356,20 @@ def deep_chain(spark, sf_dir):
     return extract(c, SubsetSpec(root="chain WHERE node = 40")).tables["public.chain"]
 
 
+@query(
+    "two_parents_closure",
+    "WITH RECURSIVE net AS (SELECT c_custkey AS id, c_name AS label, c_custkey // 7 AS first, c_custkey // 11 AS second, c_acctbal > 0 AS open FROM customer), "
+    "found AS (SELECT id, first, second FROM net WHERE id BETWEEN 3 AND 5 UNION SELECT n.id, n.first, n.second FROM net n JOIN found f ON f.id = n.first OR f.id = n.second WHERE n.open), "
+    "above AS (SELECT * FROM found UNION SELECT n.id, n.first, n.second FROM net n JOIN above a ON n.id = a.first OR n.id = a.second) "
+    "SELECT id, label, first, second FROM net WHERE id IN (SELECT id FROM above)",
+)
+def two_parents_closure(spark, sf_dir):
+    """A net in which every row has two parents, with a filter on the way down."""
+    net = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS label", "c_custkey div 7 AS first", "c_custkey div 11 AS second", "c_acctbal > 0 AS open")
+    c = Catalog(spark, [table_of("net", net, ["id"], [(["first"], "net", ["id"]), (["second"], "net", ["id"])])])
+    return extract(c, SubsetSpec(root="net WHERE id BETWEEN 3 AND 5", filters=["net=open"])).tables["public.net"].drop("open")
+
+
 @query(
     "cycle_closure",
     "WITH RECURSIVE emp AS (SELECT c_custkey AS id, c_custkey % 8 AS dept FROM customer), dep AS (SELECT DISTINCT c_custkey % 8 AS id, (c_custkey % 8) * 3 % 5 AS lead FROM customer), "
