@@ -4,6 +4,7 @@ import random
 
 import pytest
 from harbour import harbour
+from slicewise import cli
 from slicewise.operators.sketches import broken, ranges, refuted, sketches
 from slicewise.plans.suggest_fks import discover, format_suggestions, held, pairs_by_type, screened
 from slicewise.sources.catalog import Catalog, table_of
@@ -88,3 +89,11 @@ def test_undeclared_key_of_the_harbour(spark):
     assert ("public.passages", "voyage_id", "public.voyages") in found
     lost = {(s.child, s.column, s.parent) for s in discover(harbour(spark, passages=[(62, 5005, "lost")]), ["passages"])}
     assert ("public.passages", "voyage_id", "public.voyages") not in lost
+
+
+def test_cli(spark, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "open_catalog", lambda *_, **__: harbour(spark))
+    assert cli.main(["suggest-fks", "--connection", "c.yaml", "--by-values"], spark) == 0
+    assert "public.passages\n  voyage_id -> public.voyages.id: every row fits" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["suggest-fks", "--connection", "c.yaml", "--by-values", "--names-only"], spark)
