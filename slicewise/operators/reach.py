@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import freeze
+from ..scratch import freeze, sent_if_small
 
 NODE = ("tag", "num", "text")
 TO = tuple(f"to_{c}" for c in NODE)
@@ -34,11 +34,12 @@ def reached_from(start: DataFrame, pairs: DataFrame, ahead: bool, on_round: Call
     jumps = freeze(pairs.select(*NODE, *TO).distinct(), "jumps")
     near, far = (NODE, TO) if ahead else (TO, NODE)
     while True:
-        found = jumps.join(renamed(reached, NODE, near), list(near), "left_semi").select(*[F.col(c).alias(n) for c, n in zip(far, NODE, strict=True)]).distinct()
-        new = found.join(reached, list(NODE), "left_anti")
+        known, further = sent_if_small(reached), sent_if_small(jumps)
+        found = jumps.join(renamed(known, NODE, near), list(near), "left_semi").select(*[F.col(c).alias(n) for c, n in zip(far, NODE, strict=True)]).distinct()
+        new = found.join(known, list(NODE), "left_anti")
         middle = tuple(f"middle_{c}" for c in NODE)
         first = jumps.select(*NODE, *[F.col(c).alias(m) for c, m in zip(TO, middle, strict=True)])
-        second = jumps.select(*[F.col(c).alias(m) for c, m in zip(NODE, middle, strict=True)], *TO)
+        second = further.select(*[F.col(c).alias(m) for c, m in zip(NODE, middle, strict=True)], *TO)
         longer = first.join(second, list(middle)).select(*NODE, *TO).distinct()
         if on_round:
             on_round(new, longer)

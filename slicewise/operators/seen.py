@@ -59,4 +59,4 @@ class Seen:
         if not self._name:
             return rows
         wide = rows.withColumn(KEY, identity(rows, self._columns))
-        return wide.join(self._spark.table(self._name), KEY, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])
+        return wide.join(self._spark.table(self._name).hint("merge"), KEY, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import to_spark
 from ..plans.graph import children_of, cycles, load_order
-from ..scratch import freeze
+from ..scratch import freeze, sent_if_small
 from ..sources.catalog import Catalog, ForeignKey, short
 from .keys import key_value, kinds_of
 from .masking import apply_masks, parse_filters, parse_masks
@@ -183,7 +183,7 @@ def rows_by(base: DataFrame, ways: list[Way]) -> DataFrame:
     for way in ways:
         n = next(_numbers)  # names of their own keep a table's columns apart from those of its keys
         wide = wide.withColumns({f"own_{n}_{i}": F.col(f"`{own}`") for i, (own, _) in enumerate(way.pairs)})
-        named = way.keys.select(*[F.col(f"`{theirs}`").alias(f"key_{n}_{i}") for i, (_, theirs) in enumerate(way.pairs)])
+        named = sent_if_small(way.keys.select(*[F.col(f"`{theirs}`").alias(f"key_{n}_{i}") for i, (_, theirs) in enumerate(way.pairs)]))
         match = reduce(Column.__and__, [F.col(f"key_{n}_{i}") == F.col(f"own_{n}_{i}").outer() for i in range(len(way.pairs))])
         found = named.where(match).exists()
         conditions.append(found & F.expr(way.condition) if way.condition else found)
@@ -286,8 +286,9 @@ class Extraction:
         return Rows((lambda: freeze(make(), "slice")) if self.spec.materialize else make, self.key_columns(name), ways)
 
     def missing(self, name: str, rows: DataFrame, have: DataFrame) -> DataFrame:
-        """``rows`` that ``have`` lacks, by key, nulls being equal."""
+        """``rows`` that ``have`` lacks, by key, nulls being equal. Whole rows as keys are joined by a shuffle."""
         keys = have.select(*[F.col(f"`{c}`").alias(f"have_{i}") for i, c in enumerate(self.key(name))]).distinct()
+        keys = sent_if_small(freeze(keys, "have_keys")) if self.catalog.table(name).primary_key else keys.hint("merge")
         return rows.join(keys, [rows[f"`{c}`"].eqNullSafe(keys[f"have_{i}"]) for i, c in enumerate(self.key(name))], "left_anti")
 
     def added(self, name: str, have: Rows, found: DataFrame) -> DataFrame:
@@ -381,7 +382,7 @@ class Extraction:
                     continue
                 found = narrow(self.capped(name, self.matching(name, own)), self.key_columns(name))
                 if name in have and not self.spec.limit:
-                    found = found.join(have[name], [found[f"`{c}`"].eqNullSafe(have[name][f"`{c}`"]) for c in self.key_columns(name)], "left_anti")
+                    found = found.join(sent_if_small(have[name]), [found[f"`{c}`"].eqNullSafe(have[name][f"`{c}`"]) for c in self.key_columns(name)], "left_anti")
                 new[name] = freeze(found, "hop_keys")
             for name, found in new.items():
                 have[name] = have[name].unionByName(found) if name in have and not self.spec.limit else found
@@ -479,9 +480,9 @@ class Extraction:
             pairs.append(rows.select(*node(t, into[t], into[t].parent_cols, NODE), *node(fk.parent, fk, fk.child_cols, TO)))
         pairs = freeze(reduce(DataFrame.unionByName, pairs).distinct(), "key_pairs")
         start = reduce(DataFrame.unionByName, [here(df, t) for t, df in begin.items()])
-        reached = reached_from(start, pairs, ahead=not downwards)
+        reached = sent_if_small(reached_from(start, pairs, ahead=not downwards))
         if not downwards:  # the rows that are pointed to; what the start holds comes from the start
-            reached = freeze(renamed(pairs.join(reached, list(NODE), "left_semi"), TO, NODE).distinct(), "reached")
+            reached = sent_if_small(freeze(renamed(pairs.join(reached, list(NODE), "left_semi"), TO, NODE).distinct(), "reached"))
         out = dict(begin)
         for t in sorted(group):
             fk, columns = (own[t], own[t].child_cols) if downwards else (into[t], into[t].parent_cols)

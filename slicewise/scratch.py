@@ -6,9 +6,13 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: used only where the session names no folder and all runs on one machine, as in tests
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
+#: memory that a written table may take where it is gathered on the driver and sent to all tasks
+BROADCAST_BYTES = 8 << 20
 
 
 class NoSharedFolder(RuntimeError):
@@ -46,6 +50,18 @@ def freeze(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(kept: DataFrame) -> DataFrame:
+    """Rows that were written, as the side of a join that Spark may broadcast: beyond ``BROADCAST_BYTES`` the join is by a shuffle.
+
+    Spark goes by the size of files, in which keys that follow one another take a small part of the memory that they
+    take in a broadcast's hash table. So rows are counted, which reads the ends of files, and the lengths of texts added.
+    """
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) for f in kept.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    rows, *lengths = kept.agg(F.count("*"), *texts).first()
+    held = rows * (64 + 16 * len(kept.columns)) + 2 * sum(lengths)  # a key and a row each, and the table's own
+    return kept.hint("merge") if held > BROADCAST_BYTES else kept
+
+
 def freeze_parts(parts: Iterable[DataFrame], label: str) -> DataFrame | None:
     """The union of parts with the same columns, each written before the next one is
     asked for, so that what only one part needs (a broadcast, an index) is gone by then."""

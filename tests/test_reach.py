@@ -3,7 +3,9 @@ import random
 import pytest
 from slicewise.operators import subset
 from slicewise.operators.reach import NODE, TO, reached_from
-from slicewise.operators.subset import Extraction, SubsetSpec, extract
+from slicewise.operators.seen import Seen
+from slicewise.operators.subset import Extraction, SubsetSpec, Way, extract, rows_by
+from slicewise.scratch import freeze
 from slicewise.sources.catalog import Catalog, table_of
 
 
@@ -89,3 +91,45 @@ def test_several_keys_in_a_cycle_go_step_by_step(spark):
     x = Extraction(c, SubsetSpec(root="staff WHERE id = 6"))
     assert not x._can_double(c.constraints(), True)
     assert sorted(r.id for r in x.run().tables["public.staff"].collect()) == list(range(9))
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange ")
+
+
+class FirstRound(Exception):
+    pass
+
+
+@pytest.mark.parametrize("ahead", [True, False])
+def test_large_jumps_are_not_gathered_on_the_driver(spark, ahead):
+    """300 000 keys that follow one another are a small file, and a large hash table."""
+
+    def told(*plans):
+        raise FirstRound(*map(broadcasts, plans))
+
+    chain = spark.range(1, 300_001).selectExpr("0 AS tag", "id AS num", "'' AS text", "0 AS to_tag", "id - 1 AS to_num", "'' AS to_text")
+    with pytest.raises(FirstRound) as first:
+        reached_from(chain.select(*NODE), chain, ahead, told)
+    assert first.value.args == (0, 0)
+
+
+def test_large_keys_are_not_gathered_on_the_driver(spark):
+    """Small ones are still sent."""
+    rows = spark.range(10).selectExpr("id", "id + 1 AS other")
+    large, small = (freeze(spark.range(n), "keys") for n in (300_000, 5))
+    for keys, sent in ((large, 0), (small, 1)):
+        one = rows_by(rows, [Way(keys, (("id", "id"),))])
+        both = rows_by(rows, [Way(keys, (("id", "id"),), "other > 2"), Way(keys, (("other", "id"),))])
+        assert broadcasts(one) == sent and broadcasts(both) == 2 * sent
+        assert one.count() == both.count() == (10 if not sent else 5)
+        have = Extraction(Catalog(spark, [table_of("t", rows, ["id"])]), SubsetSpec(root="t"))
+        missing = have.missing("public.t", rows, keys)
+        assert broadcasts(missing) == sent and missing.count() == (0 if not sent else 5)
+
+
+def test_keys_of_a_cycle_are_not_gathered_on_the_driver(spark):
+    with Seen(spark, ["id"]) as seen:
+        seen.add(spark.range(5))
+        new = seen.new(spark.range(8))
+        assert broadcasts(new) == 0 and sorted(r.id for r in new.collect()) == [5, 6, 7]
